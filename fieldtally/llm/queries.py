@@ -24,6 +24,18 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtally.llm.decontamination import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtally.llm.chunks import chunk_report
+
+    return chunk_report(table(spark, sf_dir, "documents")).select("doc_id", "n_chunks", "n_bytes", "n_spans", "first_docs")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldtally.llm.tokens import count_tokens
 
@@ -57,6 +69,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_language_id": op3_language_id,
+    "op4_decontamination": op4_decontamination,
+    "op5_chunk_dedup": op5_chunk_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_license_scan": op7_license_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
