@@ -8,6 +8,8 @@ rules are a constant array, and each document's detections stay in its own row,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,8 +81,8 @@ NOTICES = [
     (1, "spdx license identifier", "spdx license identifier ", "", "id"),
     (1, "licen", "licen[cs]ed under (?:the terms of )?(?:the |an? )?", "(?: v(?:ersion)? ?[0-9]+(?: [0-9]+)?| version [0-9]+(?: [0-9]+)?)?", "name"),
     (1, "licen", "licen[cs]ed under (?:the terms of )?(?:the |an? )?", "", "id"),
-    (2, "under", "(?:released|distributed|available|published|provided) under (?:the terms of )?(?:the |an? )?", "(?: version [0-9]+(?: [0-9]+)?)?", "name"),
-    (2, "under", "(?:released|distributed|available|published|provided) under (?:the terms of )?(?:the |an? )?", "", "id"),
+    *[(2, f"{verb} under", f"{verb} under (?:the terms of )?(?:the |an? )?", "(?: version [0-9]+(?: [0-9]+)?)?", "name") for verb in ("released", "distributed", "available", "published", "provided")],
+    *[(2, f"{verb} under", f"{verb} under (?:the terms of )?(?:the |an? )?", "", "id") for verb in ("released", "distributed", "available", "published", "provided")],
     (3, "licen", "", "(?: version [0-9]+(?: [0-9]+)?)?", "name"),
 ]
 #: Signatures of license bodies, as (label, keyword, regex).
@@ -100,6 +102,9 @@ BODIES = [
 ]
 #: How sure a detection of each priority is.
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.6}
+#: A word of each keyword and each base phrase: a text without any of them is not scanned.
+GATES = ("licen", "released", "distributed", "available", "published", "provided", "permission", "redistribution", "apache", "foundation", "mozilla", "warranty", "domain", "just", "rights", "cc0")
+NOT_WORDS_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PRIORITIES = (1, 2, 3, 4)
 
@@ -144,12 +149,18 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     score is the best confidence among base places and detections, 0 where there are none. Null and empty texts have no
     words. Repeated rows are scanned each for itself.
     """
-    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    split = documents(docs).select("doc_id", F.split(lower, NOT_WORDS, -1).alias("parts"))
-    keywords = sorted({r[0] for r in rules()} | {phrase for phrase, _ in BASE})
-    parts = split.select("doc_id", (F.size("parts") - (F.element_at("parts", 1) == "").cast("int") - ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")).cast("long").alias("n_words"), F.concat(F.lit(" "), F.btrim(F.array_join("parts", " ")), F.lit(" ")).alias("line"))
-    gate = F.col("line").rlike("|".join(keywords))
-    gated = parts.select("doc_id", "n_words", F.when(gate, F.col("line")).alias("line"))
+    text = F.coalesce("text", F.lit(""))
+    # Words don't depend on case, so they are counted on the text as it is. Lower-casing more than A-Z lets no keyword
+    # slip, so the quick gate may do it; texts that pass are lower-cased and joined exactly.
+    low = F.lower("text")
+    gate = reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in GATES])
+    parts = documents(docs).select("doc_id", text.alias("text")).select("doc_id", F.split("text", NOT_WORDS_RAW, -1).alias("parts"), F.when(gate, F.col("text")).alias("gated"))
+    exact = F.translate("gated", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    gated = parts.select(
+        "doc_id",
+        (F.size("parts") - (F.element_at("parts", 1) == "").cast("int") - ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")).cast("long").alias("n_words"),
+        F.when(F.col("gated").isNotNull(), F.concat(F.lit(" "), F.btrim(F.array_join(F.split(exact, NOT_WORDS, -1), " ")), F.lit(" "))).alias("line"),
+    )
     held = F.filter(_rules_column(), lambda r: F.contains(F.col("line"), F.substring_index(r, "\t", 1)))
     field = lambda r, i: F.element_at(F.split(r, "\t"), i)
     found = F.when(F.col("line").isNotNull(), F.flatten(F.transform(held, lambda r: _places(F.col("line"), field(r, 2), field(r, 3), field(r, 4).cast("int")))))
