@@ -2,5 +2,399 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fieldtally.functions import scalars
+from fieldtally.operators import audit, clock, delivery, retention
+from fieldtally.sources import wire
+from fieldtally.sources.tables import arrivals, readings
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+#: Readings and arrivals in SQL, as fieldtally.sources.tables derives them.
+BASE = """WITH readings AS (
+  SELECT concat('buf-', CAST(user_id % 4 AS VARCHAR)) AS buffer_id, event_id AS seq, concat('dev-', CAST(user_id % 4 AS VARCHAR)) AS device_id,
+    event_type AS sensor_id, CASE WHEN event_id % 97 = 0 THEN NULL ELSE value END AS value,
+    concat('boot-', CAST(user_id % 4 AS VARCHAR), '-', CAST(day(ts) AS VARCHAR)) AS boot_id, us % 86400000000 * 1000 AS mono_ns,
+    CASE WHEN event_id % 5 = 0 THEN us % 86400000000 * 1000 ELSE us * 1000 END AS wall_ns, CASE WHEN event_id % 5 = 0 THEN 0 ELSE 2 END AS ts_quality
+  FROM (SELECT *, epoch_us(ts) AS us FROM events)),
+first_arrivals AS (
+  SELECT buffer_id, seq, device_id, sensor_id, value, boot_id, mono_ns, CASE WHEN ts_quality <> 0 THEN wall_ns + seq % 7 * 1000 ELSE wall_ns END AS wall_ns,
+    ts_quality, seq % 11 AS arrival_batch, seq AS arrival_pos FROM readings),
+arrivals AS (
+  SELECT * FROM first_arrivals UNION ALL
+  SELECT buffer_id, seq, device_id, sensor_id, value + 1000, boot_id, mono_ns, wall_ns, ts_quality, arrival_batch + 1, arrival_pos FROM first_arrivals WHERE seq % 50 = 3),
+stored AS (SELECT * FROM arrivals QUALIFY row_number() OVER (PARTITION BY buffer_id, seq ORDER BY arrival_batch, arrival_pos) = 1),
+clocks AS (
+  SELECT boot_id, wall_ns - mono_ns AS offset_ns, mono_ns FROM readings WHERE ts_quality <> 0
+  QUALIFY row_number() OVER (PARTITION BY boot_id ORDER BY mono_ns, seq) = 1)
+"""
+
+
+def query(oracle: str | None = None):
+    """Registers a query under its function's name, with the SQL that follows BASE."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle if oracle.startswith("WITH RECURSIVE") else BASE + oracle
+        return f
+
+    return register
+
+
+@query("""SELECT s.boot_id, CAST(count(*) AS BIGINT) AS stored, CAST(sum(CASE WHEN s.ts_quality = 0 AND c.boot_id IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS corrected,
+  CAST(sum(CASE WHEN s.ts_quality = 0 AND c.boot_id IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS uncorrected, CAST(any_value(a.n) - count(*) AS BIGINT) AS duplicates
+  FROM stored s LEFT JOIN (SELECT DISTINCT boot_id FROM stored WHERE ts_quality <> 0) c USING (boot_id) JOIN (SELECT boot_id, count(*) AS n FROM arrivals GROUP BY boot_id) a USING (boot_id) GROUP BY s.boot_id""")
+def receiver_summary(spark, sf_dir):
+    """Each boot's stored, duplicate, corrected and uncorrected readings. The arrivals of a key are counted as it is
+    deduplicated, so the input is read and shuffled once."""
+    all_ = arrivals(spark, sf_dir)
+    place = F.struct("arrival_batch", "arrival_pos")
+    stored = all_.groupBy("buffer_id", "seq").agg(F.min_by(F.struct("boot_id", "mono_ns", "wall_ns", "ts_quality"), place).alias("r"), F.count(F.lit(1)).alias("times")).select("r.*", "times")
+    good = scalars.trusted(F.col("ts_quality"), F.col("mono_ns"), F.col("wall_ns"))
+    unsynced = F.count_if((F.col("ts_quality") == 0) & scalars.sane(F.col("mono_ns")))
+    sums = stored.groupBy("boot_id").agg(F.count(F.lit(1)).alias("stored"), F.sum("times").alias("arrived"), unsynced.alias("unsynced"), F.count_if(good).alias("trusted"), F.count_if(F.col("ts_quality") == 0).alias("zero"))
+    corrected = F.when(F.col("trusted") > 0, F.col("unsynced")).otherwise(0)
+    return sums.select("boot_id", "stored", corrected.alias("corrected"), (F.col("zero") - corrected).alias("uncorrected"), (F.col("arrived") - F.col("stored")).alias("duplicates"))
+
+
+@query("SELECT sensor_id, boot_id, min(mono_ns) AS from_mono_ns, max(mono_ns) AS to_mono_ns, count(*) AS count, min(seq) AS first_id, 'rejected:sink' AS reason FROM readings WHERE seq % 10 = 0 GROUP BY sensor_id, boot_id")
+def gap_summary(spark, sf_dir):
+    return retention.gap_summary(readings(spark, sf_dir).where("seq % 10 = 0"), "rejected:sink")
+
+
+@query("SELECT * FROM clocks")
+def boot_clock_argmin(spark, sf_dir):
+    return clock.boot_clocks(readings(spark, sf_dir), "seq")
+
+
+@query("SELECT r.buffer_id, r.seq, CASE WHEN r.ts_quality = 0 AND c.boot_id IS NOT NULL THEN r.mono_ns + c.offset_ns ELSE r.wall_ns END AS wall_ns, CASE WHEN r.ts_quality = 0 AND c.boot_id IS NOT NULL THEN 1 ELSE r.ts_quality END AS ts_quality, CASE WHEN r.ts_quality = 0 AND c.boot_id IS NOT NULL THEN r.wall_ns END AS wall_ns_device FROM readings r LEFT JOIN clocks c USING (boot_id)")
+def correct_unsynced(spark, sf_dir):
+    rows = readings(spark, sf_dir)
+    return clock.correct(rows, clock.boot_clocks(rows, "seq")).select("buffer_id", "seq", "wall_ns", "ts_quality", "wall_ns_device")
+
+
+@query(""", batches AS (SELECT DISTINCT boot_id, arrival_batch FROM stored),
+running AS (SELECT b.boot_id, b.arrival_batch, (SELECT arg_min(s.wall_ns - s.mono_ns, (s.mono_ns, s.arrival_batch, s.arrival_pos)) FROM stored s WHERE s.boot_id = b.boot_id AND s.ts_quality <> 0 AND s.arrival_batch <= b.arrival_batch) AS off FROM batches b),
+used AS (SELECT r.boot_id, r.arrival_batch, (SELECT arg_min(x.off, x.arrival_batch) FROM running x WHERE x.boot_id = r.boot_id AND x.arrival_batch >= r.arrival_batch AND x.off IS NOT NULL) AS off FROM running r)
+SELECT s.buffer_id, s.seq, CASE WHEN s.ts_quality = 0 AND u.off IS NOT NULL THEN s.mono_ns + u.off ELSE s.wall_ns END AS wall_ns, CASE WHEN s.ts_quality = 0 AND u.off IS NOT NULL THEN 1 ELSE s.ts_quality END AS ts_quality FROM stored s JOIN used u USING (boot_id, arrival_batch)""")
+def correct_unsynced_arrival(spark, sf_dir):
+    return clock.correct_by_arrival(clock.first_arrivals(arrivals(spark, sf_dir))).select("buffer_id", "seq", "wall_ns", "ts_quality")
+
+
+@query("SELECT buffer_id, seq, mono_ns FROM readings QUALIFY row_number() OVER (PARTITION BY buffer_id ORDER BY seq DESC) <= 200")
+def retention_survivors(spark, sf_dir):
+    return retention.survivors(readings(spark, sf_dir).select("buffer_id", "seq", "mono_ns"), 200)
+
+
+@query("SELECT buffer_id, sensor_id, boot_id, min(mono_ns) AS from_mono_ns, max(mono_ns) AS to_mono_ns, count(*) AS count, min(seq) AS first_id, 'retention:drop_oldest' AS reason FROM (SELECT *, row_number() OVER (PARTITION BY buffer_id ORDER BY seq DESC) AS nth FROM readings) WHERE nth > 200 GROUP BY buffer_id, sensor_id, boot_id")
+def retention_gaps(spark, sf_dir):
+    gone = retention.evicted(readings(spark, sf_dir).select("buffer_id", "seq", "sensor_id", "boot_id", "mono_ns"), 200)
+    return retention.gap_summary(gone, "retention:drop_oldest", "buffer_id")
+
+
+@query(BASE.replace("WITH readings", "WITH RECURSIVE readings") + """, b AS (SELECT buffer_id, seq // 40 AS batch, count(*) AS n, row_number() OVER (PARTITION BY buffer_id ORDER BY seq // 40) AS i, CASE WHEN (seq // 40) % 3 = 0 THEN 12 ELSE 0 END AS acked FROM readings GROUP BY buffer_id, seq // 40),
+f AS (SELECT buffer_id, i, batch, n, (n <= 60) AS accepted, CASE WHEN n <= 60 THEN n ELSE 0 END AS used FROM b WHERE i = 1
+ UNION ALL SELECT b.buffer_id, b.i, b.batch, b.n, greatest(0, f.used - b.acked) + b.n <= 60, CASE WHEN greatest(0, f.used - b.acked) + b.n <= 60 THEN greatest(0, f.used - b.acked) + b.n ELSE greatest(0, f.used - b.acked) END FROM f JOIN b ON b.buffer_id = f.buffer_id AND b.i = f.i + 1)
+SELECT buffer_id, batch, n, accepted, CAST(used AS BIGINT) AS used FROM f""")
+def halt_greedy(spark, sf_dir):
+    batches = readings(spark, sf_dir).groupBy("buffer_id", F.floor(F.col("seq") / 40).alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+    return retention.halted_batches(batches.withColumn("acked", F.when(F.col("batch") % 3 == 0, 12).otherwise(0)), 60)
+
+
+@query("SELECT buffer_id, max(seq) AS last_step, count(DISTINCT seq) AS steps, max(seq) + 1 - count(DISTINCT seq) AS holes FROM readings GROUP BY buffer_id")
+def run_holes(spark, sf_dir):
+    return audit.holes(readings(spark, sf_dir), "buffer_id", "seq")
+
+
+@query("SELECT ts_quality, count(*) AS n FROM readings GROUP BY ts_quality")
+def quality_histogram(spark, sf_dir):
+    return readings(spark, sf_dir).groupBy("ts_quality").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS state, coalesce(n, 0) AS n FROM range(4) t(i) LEFT JOIN (SELECT CASE WHEN seq % 7 < 3 THEN 0 WHEN seq % 7 < 5 THEN 1 ELSE 2 END AS s, count(*) AS n FROM readings GROUP BY s) ON s = i")
+def state_histogram(spark, sf_dir):
+    state = F.when(F.col("seq") % 7 < 3, 0).when(F.col("seq") % 7 < 5, 1).otherwise(2)
+    return delivery.state_histogram(readings(spark, sf_dir).select(state.alias("state")))
+
+
+@query("SELECT buffer_id, seq, value, arrival_batch FROM stored")
+def dedupe_first_arrival(spark, sf_dir):
+    return clock.first_arrivals(arrivals(spark, sf_dir)).select("buffer_id", "seq", "value", "arrival_batch")
+
+
+@query("SELECT (SELECT count(DISTINCT seq) FROM readings) AS committed, (SELECT count(*) FROM arrivals WHERE seq % 31 <> 0) AS delivered, (SELECT count(*) - count(DISTINCT seq) FROM arrivals WHERE seq % 31 <> 0) AS redelivered, (SELECT count(*) FROM readings WHERE seq % 31 = 0) AS lost, CAST(0 AS BIGINT) AS duplicates_after_dedupe, CAST(0 AS BIGINT) AS unknown")
+def redelivery_report(spark, sf_dir):
+    step = F.col("seq").alias("step")
+    return audit.loss_report(readings(spark, sf_dir).select(step), arrivals(spark, sf_dir).where("seq % 31 <> 0").select(step, "buffer_id", "seq"))
+
+
+@query("SELECT seq, count(*) AS n, count(*) - 1 AS extra FROM arrivals GROUP BY seq HAVING count(*) > 1")
+def naive_duplicates(spark, sf_dir):
+    return audit.redeliveries(arrivals(spark, sf_dir), "seq")
+
+
+@query("SELECT seq FROM readings WHERE seq NOT IN (SELECT seq FROM arrivals WHERE seq % 31 <> 0)")
+def lost_steps(spark, sf_dir):
+    return audit.lost(readings(spark, sf_dir), arrivals(spark, sf_dir).where("seq % 31 <> 0"), "seq")
+
+
+@query("SELECT g.sensor_id, g.boot_id, g.count, g.lo + c.offset_ns AS from_wall_ns, g.hi + c.offset_ns AS to_wall_ns FROM (SELECT sensor_id, boot_id, count(*) AS count, min(mono_ns) AS lo, max(mono_ns) AS hi FROM readings WHERE seq % 10 = 0 GROUP BY sensor_id, boot_id) g JOIN clocks c USING (boot_id)")
+def gap_wall_time(spark, sf_dir):
+    rows = readings(spark, sf_dir)
+    gaps = retention.gap_summary(rows.where("seq % 10 = 0"), "rejected:sink")
+    return clock.gap_wall_times(gaps, clock.boot_clocks(rows, "seq")).select("sensor_id", "boot_id", "count", "from_wall_ns", "to_wall_ns")
+
+
+@query("SELECT CASE WHEN seq % 3 = 0 THEN 'backpressure' ELSE 'rejected:sink' END AS reason, count(DISTINCT (sensor_id, boot_id)) AS gaps, count(*) AS discarded FROM readings WHERE seq % 10 = 0 GROUP BY reason")
+def gap_totals_by_reason(spark, sf_dir):
+    rows = readings(spark, sf_dir).where("seq % 10 = 0")
+    gaps = retention.gap_summary(rows.where("seq % 3 = 0"), "backpressure").unionByName(retention.gap_summary(rows.where("seq % 3 <> 0"), "rejected:sink"))
+    return gaps.groupBy("reason").agg(F.count(F.lit(1)).alias("gaps"), F.sum("count").alias("discarded"))
+
+
+@query("SELECT buffer_id, seq, nth FROM (SELECT *, row_number() OVER (PARTITION BY buffer_id ORDER BY seq) AS nth FROM readings WHERE seq % 3 = 0) WHERE nth <= 100")
+def claim_oldest(spark, sf_dir):
+    return delivery.claim_oldest(readings(spark, sf_dir).where("seq % 3 = 0").select("buffer_id", "seq"), 100)
+
+
+@query("SELECT buffer_id, seq, nth FROM (SELECT *, row_number() OVER (PARTITION BY buffer_id ORDER BY seq) AS nth FROM readings WHERE seq % 3 = 0) WHERE nth = 25")
+def kth_pending(spark, sf_dir):
+    return delivery.kth_oldest(readings(spark, sf_dir).where("seq % 3 = 0").select("buffer_id", "seq"), 25)
+
+
+@query("SELECT buffer_id, seq FROM readings WHERE seq % 6 = 1 QUALIFY row_number() OVER (PARTITION BY buffer_id ORDER BY seq DESC) <= 50")
+def quarantine_trim(spark, sf_dir):
+    return delivery.keep_newest(readings(spark, sf_dir).where("seq % 6 = 1").select("buffer_id", "seq"), 50)
+
+
+@query("SELECT buffer_id, seq FROM readings WHERE seq % 6 = 2 QUALIFY row_number() OVER (PARTITION BY buffer_id ORDER BY seq) > 20")
+def purge_oldest_acked(spark, sf_dir):
+    return delivery.purge_oldest(readings(spark, sf_dir).where("seq % 6 = 2").select("buffer_id", "seq"), 20)
+
+
+@query(""", runs AS (SELECT buffer_id, boot_id AS run, count(*) AS n FROM readings GROUP BY buffer_id, boot_id), f AS (SELECT *, CAST(sum((n + 99) // 100 * 100) OVER (PARTITION BY buffer_id ORDER BY run) - (n + 99) // 100 * 100 AS BIGINT) AS first_seq FROM runs)
+SELECT buffer_id, run, first_seq, first_seq + n - 1 AS last_seq, first_seq + (n + 99) // 100 * 100 AS next_block FROM f""")
+def seq_blocks(spark, sf_dir):
+    return retention.seq_blocks(readings(spark, sf_dir).groupBy("buffer_id", F.col("boot_id").alias("run")).agg(F.count(F.lit(1)).alias("n")), 100)
+
+
+@query(""", d AS (SELECT buffer_id, sensor_id, boot_id, 'backpressure' AS reason, seq AS pos, mono_ns, 0 AS seal FROM readings WHERE seq % 4 = 0), s AS (SELECT buffer_id, sensor_id, boot_id, 'backpressure', seq, NULL, 1 FROM readings WHERE seq % 40 = 2),
+u AS (SELECT *, coalesce(sum(seal) OVER (PARTITION BY buffer_id, sensor_id, boot_id, reason ORDER BY pos, seal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM (SELECT * FROM d UNION ALL SELECT * FROM s))
+SELECT buffer_id, sensor_id, boot_id, reason, CAST(epoch AS BIGINT) AS epoch, min(mono_ns) AS from_mono_ns, max(mono_ns) AS to_mono_ns, count(*) AS count FROM u WHERE seal = 0 GROUP BY ALL""")
+def seal_epochs(spark, sf_dir):
+    rows = readings(spark, sf_dir).select("buffer_id", "sensor_id", "boot_id", F.lit("backpressure").alias("reason"), F.col("seq").alias("pos"), "mono_ns")
+    return retention.seal_epochs(rows.where("pos % 4 = 0"), rows.where("pos % 40 = 2"))
+
+
+ANSWERS = "CASE WHEN (seq // 10) % 13 = 0 THEN 'rejected' WHEN seq % 9 = 0 THEN 'rejected' WHEN seq % 4 = 1 THEN 'retry' ELSE 'accepted' END"
+
+
+@query(f""", a AS (SELECT seq // 10 AS batch, {ANSWERS} AS o FROM readings), t AS (SELECT batch, count(*) AS n, count(*) FILTER (o = 'rejected') AS r FROM a GROUP BY batch),
+x AS (SELECT batch, CASE WHEN n > 1 AND r = n THEN 'released' WHEN o = 'retry' THEN 'released' ELSE o END AS outcome FROM a JOIN t USING (batch))
+SELECT batch, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTER (outcome = 'rejected') AS rejected, count(*) FILTER (outcome = 'released') AS released, CASE WHEN count(*) FILTER (outcome IN ('accepted', 'rejected')) > 0 THEN 'progress' ELSE 'failed' END AS result FROM x GROUP BY batch""")
+def outcome_resolution(spark, sf_dir):
+    sent = readings(spark, sf_dir).select(F.floor(F.col("seq") / 10).alias("batch"), "seq")
+    outcome = F.when((F.col("batch") % 13 == 0) | (F.col("seq") % 9 == 0), "rejected").when(F.col("seq") % 4 == 1, "retry").otherwise("accepted")
+    unsent = sent.where("seq % 100 = 7").select("batch", (F.col("seq") + 1_000_000).alias("seq"), F.lit("accepted").alias("outcome"))
+    return delivery.progress(delivery.outcomes(sent, sent.withColumn("outcome", outcome).unionByName(unsent)))
+
+
+@query("SELECT seq, CASE WHEN c IS NULL THEN 'retry' WHEN c < 128 THEN 'accepted' WHEN c IN (135, 144, 153) THEN 'rejected' ELSE 'retry' END AS outcome FROM (SELECT seq, CASE WHEN seq % 256 <> 255 THEN seq % 256 END AS c FROM readings)")
+def puback_classes(spark, sf_dir):
+    code = F.when(F.col("seq") % 256 != 255, F.col("seq") % 256)
+    return readings(spark, sf_dir).select("seq", scalars.puback_class(code).alias("outcome"))
+
+
+@query("SELECT seq, CASE WHEN s IN (200, 207, 400, 422) AND seq % 3 <> 0 THEN CASE WHEN seq % 3 = 1 THEN 'accepted' ELSE 'rejected' END WHEN s IN (200, 207) THEN 'accepted' ELSE 'retry' END AS outcome FROM (SELECT seq, [200, 207, 400, 422, 401, 429, 503, 302][1 + seq % 8] AS s FROM readings)")
+def http_classes(spark, sf_dir):
+    status = F.element_at(F.array(*map(F.lit, (200, 207, 400, 422, 401, 429, 503, 302))), (1 + F.col("seq") % 8).cast("int"))
+    listed = lambda k: F.when(F.col("seq") % 3 != 0, F.when(F.col("seq") % 3 == k, F.array("seq")).otherwise(F.array().cast("array<bigint>")))
+    return readings(spark, sf_dir).select("seq", scalars.http_class(status, listed(1), listed(2), F.col("seq")).alias("outcome"))
+
+
+@query("SELECT seq, concat(device_id, '/', buffer_id, '/reading/', CASE WHEN seq % 8 = 0 THEN '_all' WHEN seq % 8 = 1 THEN concat(sensor_id, '%2Fa%2Bb%23c%25d') ELSE sensor_id END) AS topic FROM readings")
+def topic_template(spark, sf_dir):
+    sensor = F.when(F.col("seq") % 8 == 1, F.concat("sensor_id", F.lit("/a+b#c%d"))).when(F.col("seq") % 8 != 0, F.col("sensor_id"))
+    return readings(spark, sf_dir).select("seq", scalars.topic(F.col("device_id"), F.col("buffer_id"), F.lit("reading"), sensor).alias("topic"))
+
+
+@query("SELECT boot_id, seq, mono_ns, step_ns FROM (SELECT *, w - mono_ns - lag(w - mono_ns) OVER (PARTITION BY boot_id ORDER BY mono_ns, seq) AS step_ns FROM (SELECT *, wall_ns + seq % 5 * 15000000 AS w FROM readings WHERE ts_quality <> 0)) WHERE abs(step_ns) > 20000000")
+def clock_steps(spark, sf_dir):
+    return clock.clock_steps(readings(spark, sf_dir).withColumn("wall_ns", F.col("wall_ns") + F.col("seq") % 5 * 15_000_000))
+
+
+@query("SELECT boot_id, arg_min(w - ((m0 + m1) // 2), (m1 - m0, n)) AS offset_ns FROM (SELECT boot_id, seq AS n, mono_ns AS m0, mono_ns + 1000 + seq * 7919 % 5000 AS m1, wall_ns + 700 AS w FROM readings WHERE ts_quality <> 0) GROUP BY boot_id")
+def offset_measurement(spark, sf_dir):
+    brackets = readings(spark, sf_dir).where("ts_quality <> 0").select("boot_id", F.col("seq").alias("n"), F.col("mono_ns").alias("m0"), (F.col("mono_ns") + 1000 + F.col("seq") * 7919 % 5000).alias("m1"), (F.col("wall_ns") + 700).alias("w"))
+    return clock.measured_offsets(brackets, "boot_id")
+
+
+@query(""", t AS (SELECT boot_id, CAST(floor(median(wall_ns - mono_ns)) AS BIGINT) AS o FROM stored WHERE ts_quality = 2 GROUP BY boot_id), e AS (SELECT s.ts_quality, abs(s.wall_ns - s.mono_ns - t.o) AS e FROM stored s JOIN t USING (boot_id))
+SELECT ts_quality, count(*) AS n, CAST(floor(median(e)) AS BIGINT) AS median_ns, max(e) AS max_ns FROM e GROUP BY ts_quality""")
+def wall_error_stats(spark, sf_dir):
+    return clock.wall_errors(clock.first_arrivals(arrivals(spark, sf_dir)))
+
+
+@query("SELECT sensor_id, count(*) AS n, median(mono_ns // 1000000) AS p50, list_sort(list(mono_ns // 1000000))[least(count(*), CAST(floor(count(*) * 0.9) AS BIGINT) + 1)] AS p90, list_sort(list(mono_ns // 1000000))[least(count(*), CAST(floor(count(*) * 0.99) AS BIGINT) + 1)] AS p99, max(mono_ns // 1000000) AS max FROM readings GROUP BY sensor_id")
+def nearest_rank_percentiles(spark, sf_dir):
+    return audit.percentiles(readings(spark, sf_dir).select("sensor_id", F.call_function("div", "mono_ns", F.lit(1_000_000)).alias("ms")), "ms", "sensor_id")
+
+
+@query("SELECT boot_id, max(seq * 8) - min(seq * 8) AS gained FROM readings GROUP BY boot_id")
+def per_boot_delta(spark, sf_dir):
+    return audit.counter_deltas(readings(spark, sf_dir).select("boot_id", (F.col("seq") * 8).alias("sectors")), "sectors")
+
+
+@query("SELECT buffer_id, arg_min(v, (seq, v)) AS first, arg_max(v, (seq, v)) AS last, max(v) AS most, count(DISTINCT boot_id) AS boots, arg_max(v, (seq, v)) - arg_min(v, (seq, v)) AS growth FROM (SELECT *, seq * 7919 % 10007 AS v FROM readings) GROUP BY buffer_id")
+def resource_trend(spark, sf_dir):
+    return audit.trend(readings(spark, sf_dir).withColumn("rss", F.col("seq") * 7919 % 10007), "rss", "seq", "buffer_id")
+
+
+@query("SELECT seq // 1000 AS span, count(*) AS n, count(DISTINCT seq) AS n_distinct, min(seq) AS low, max(seq) AS high FROM readings GROUP BY span")
+def whole_table_audit(spark, sf_dir):
+    return audit.spans(readings(spark, sf_dir), "seq", 1000)
+
+
+@query("SELECT seq, CASE WHEN k <= 2 THEN 0.0::DOUBLE ELSE least(60.0::DOUBLE, 0.5 * pow(2.0, least(k - 3, 64))) END AS delay_s FROM (SELECT seq, 1 + seq % 100 AS k FROM readings)")
+def backoff_base(spark, sf_dir):
+    return readings(spark, sf_dir).select("seq", scalars.backoff_base(1 + F.col("seq") % 100).alias("delay_s"))
+
+
+@query(BASE.replace("WITH readings", "WITH RECURSIVE readings") + """, w AS (SELECT buffer_id, seq AS pos, mono_ns AS t, row_number() OVER (PARTITION BY buffer_id ORDER BY seq) AS i FROM (SELECT * FROM readings WHERE seq < 2000)),
+f AS (SELECT buffer_id, i, pos, CAST(1 AS BIGINT) AS n, true AS due, t AS last FROM w WHERE i = 1
+ UNION ALL SELECT w.buffer_id, w.i, w.pos, CASE WHEN f.due THEN 1 ELSE f.n + 1 END, (CASE WHEN f.due THEN 1 ELSE f.n + 1 END) >= 8 OR w.t - f.last >= 7200000000000, CASE WHEN (CASE WHEN f.due THEN 1 ELSE f.n + 1 END) >= 8 OR w.t - f.last >= 7200000000000 THEN w.t ELSE f.last END FROM f JOIN w ON w.buffer_id = f.buffer_id AND w.i = f.i + 1)
+SELECT buffer_id, pos, n FROM f WHERE due""".replace("(SELECT * FROM readings WHERE seq < 2000)", "readings"))
+def batcher_flushes(spark, sf_dir):
+    return retention.flushes(readings(spark, sf_dir).select("buffer_id", F.col("seq").alias("pos"), F.col("mono_ns").alias("t")), 8, 7_200_000_000_000)
+
+
+@query("SELECT buffer_id, seq AS id, CASE seq % 5 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 0 ELSE 3 END AS state FROM readings")
+def delivery_states(spark, sf_dir):
+    """Scripts of state changes, legal and not: none; claim; claim, ack, ack; ack, claim, release; claim, reject, claim."""
+    script = F.element_at(F.array(*[F.array(*map(F.lit, s)) if s else F.array(F.lit(2)) for s in ((), (1,), (1, 2, 2), (2, 1, 0), (1, 3, 1))]), (F.col("seq") % 5 + 1).cast("int"))
+    moves = readings(spark, sf_dir).select("buffer_id", F.col("seq").alias("id"), F.posexplode(script).alias("pos", "to_state"))
+    return delivery.states(moves)
+
+
+@query("""SELECT b.buffer_id, w AS written, k AS kept, w - k AS in_gaps, true AS holds FROM (SELECT buffer_id, count(*) AS w, least(count(*), 200) AS k FROM readings GROUP BY buffer_id) b""")
+def conservation(spark, sf_dir):
+    rows = readings(spark, sf_dir).select("buffer_id", "seq", "sensor_id", "boot_id", "mono_ns")
+    gaps = retention.gap_summary(retention.evicted(rows, 200), "retention:drop_oldest", "buffer_id")
+    return audit.conservation(rows, retention.survivors(rows, 200), gaps)
+
+
+@query("SELECT buffer_id, seq, CAST(2 AS BIGINT) AS readings FROM readings WHERE seq % 100 = 9 AND buffer_id = 'buf-1'")
+def key_conflicts(spark, sf_dir):
+    """Planted: some keys come again with another boot."""
+    rows = readings(spark, sf_dir)
+    planted = rows.where("seq % 100 = 9 AND buffer_id = 'buf-1'").withColumn("boot_id", F.lit("boot-x"))
+    return audit.key_conflicts(rows.unionByName(planted))
+
+
+@query("SELECT count(*) FILTER (seq % 7 < 3) AS pending, count(*) FILTER (seq % 7 IN (3, 4)) AS inflight, count(*) FILTER (seq % 7 >= 5) AS acked_not_purged, count(*) FILTER (seq % 7 < 5) AS unacked, CAST((SELECT count(*) FROM (SELECT DISTINCT sensor_id, boot_id FROM readings WHERE seq % 10 = 0)) AS BIGINT) AS unshipped_gaps, (SELECT count(*) FROM readings WHERE seq % 10 = 0) AS discarded FROM readings")
+def status_report(spark, sf_dir):
+    """One row: two aggregates of one row each, put side by side."""
+    rows = readings(spark, sf_dir)
+    k = F.col("seq") % 7
+    states = rows.agg(F.count_if(k < 3).alias("pending"), F.count_if(k.isin(3, 4)).alias("inflight"), F.count_if(k >= 5).alias("acked_not_purged"), F.count_if(k < 5).alias("unacked")).withColumn("one", F.lit(1))
+    gaps = retention.gap_summary(rows.where("seq % 10 = 0"), "rejected:sink").agg(F.count(F.lit(1)).alias("unshipped_gaps"), F.coalesce(F.sum("count"), F.lit(0)).alias("discarded")).withColumn("one", F.lit(1))
+    return states.join(gaps, "one").drop("one")
+
+
+@query("SELECT sensor_id, count(*) FILTER (seq % 4 = 0) AS retries_0, count(*) FILTER (seq % 4 = 1) AS retries_1, count(*) FILTER (seq % 4 = 2) AS retries_2, count(*) FILTER (seq % 4 = 3) AS retries_3 FROM readings GROUP BY sensor_id")
+def throughput_matrix(spark, sf_dir):
+    """Sends by regime (sensor) and number of immediate retries."""
+    rows = readings(spark, sf_dir).withColumn("retries", F.concat(F.lit("retries_"), (F.col("seq") % 4).cast("string")))
+    pivot = rows.groupBy("sensor_id").pivot("retries", [f"retries_{i}" for i in range(4)]).agg(F.count(F.lit(1)))
+    return pivot.na.fill(0)
+
+
+@query("SELECT arrival_batch, count(*) FILTER (nth = 1) AS readings, count(*) FILTER (nth > 1) AS duplicates, count(*) FILTER (nth = 1 AND ts_quality = 0) AS unsynced FROM (SELECT *, row_number() OVER (PARTITION BY buffer_id, seq ORDER BY arrival_batch, arrival_pos) AS nth FROM arrivals) GROUP BY arrival_batch")
+def batch_counters(spark, sf_dir):
+    nth = F.row_number().over(Window.partitionBy("buffer_id", "seq").orderBy("arrival_batch", "arrival_pos"))
+    rows = arrivals(spark, sf_dir).select("arrival_batch", "ts_quality", nth.alias("nth"))
+    return rows.groupBy("arrival_batch").agg(F.count_if(F.col("nth") == 1).alias("readings"), F.count_if(F.col("nth") > 1).alias("duplicates"), F.count_if((F.col("nth") == 1) & (F.col("ts_quality") == 0)).alias("unsynced"))
+
+
+@query("SELECT seq // 500 AS cut, CAST(max(lost) AS BIGINT) AS most, CAST(sum(lost) AS BIGINT) AS total, count(*) FILTER (lost > 0) AS batches_with_loss FROM (SELECT seq, CASE WHEN seq % 20 = 19 THEN seq % 7 ELSE 0 END AS lost FROM readings) GROUP BY cut")
+def power_cuts(spark, sf_dir):
+    rows = readings(spark, sf_dir).select(F.floor(F.col("seq") / 500).alias("cut"), F.when(F.col("seq") % 20 == 19, F.col("seq") % 7).otherwise(0).alias("lost"))
+    return rows.groupBy("cut").agg(F.max("lost").alias("most"), F.sum("lost").alias("total"), F.count_if(F.col("lost") > 0).alias("batches_with_loss"))
+
+
+@query("SELECT t.buffer_id, coalesce(max(r.seq), -1) AS high_water FROM (SELECT DISTINCT buffer_id FROM readings) t LEFT JOIN readings r ON r.buffer_id = t.buffer_id AND r.seq BETWEEN 100 AND 400 AND r.buffer_id <> 'buf-2' GROUP BY t.buffer_id")
+def high_water(spark, sf_dir):
+    rows = readings(spark, sf_dir)
+    inside = F.when(F.col("seq").between(100, 400) & (F.col("buffer_id") != "buf-2"), F.col("seq"))
+    return rows.groupBy("buffer_id").agg(F.coalesce(F.max(inside), F.lit(-1)).alias("high_water"))
+
+
+@query("SELECT seq, wall_ns // 1000 AS us FROM readings")
+def timestamps(spark, sf_dir):
+    return readings(spark, sf_dir).select("seq", F.unix_micros(scalars.timestamp_of(F.col("wall_ns"))).alias("us"))
+
+
+@query("SELECT device_id, sensor_id, wall_ns, seq, value FROM readings WHERE device_id = 'dev-1' AND ts_quality <> 0")
+def device_range_read(spark, sf_dir):
+    """Rows laid out for reads by device and time: dealt by device, sorted by sensor and time inside."""
+    rows = readings(spark, sf_dir).where("device_id = 'dev-1' AND ts_quality <> 0").select("device_id", "sensor_id", "wall_ns", "seq", "value")
+    return rows.repartition("device_id", "sensor_id").sortWithinPartitions("device_id", "sensor_id", "wall_ns")
+
+
+#: Kinds of payload that validate_payloads plants by seq modulo their number, with the error each must get.
+BROKEN = [
+    ("%s", None),
+    ("not json %s", "payload is not JSON"),
+    ("[%s]", "record is not a JSON object"),
+    ("buffer_id=x", "buffer_id must be a UUID"),
+    ("seq=-1", "seq must not be negative"),
+    ("seq=9223372036854775808", "seq must be a 64-bit integer"),
+    ("ts_quality=7", "ts_quality must be 0, 1 or 2"),
+    ('value="5"', "value must be a number or null"),
+    ("value=true", "value must be a number or null"),
+    ('type="other"', "unknown record type"),
+    ("mono_ns=1.0", "mono_ns must be a 64-bit integer"),
+    ('sensor_id=""', "sensor_id must be a non-empty string"),
+    ("qc_flag=40000", "qc_flag is out of range"),
+    ("qc_tests=[1]", "qc_tests must be a list of strings"),
+    ('unit=""', "unit must be a non-empty string"),
+    ("device_id=null", "device_id must be a non-empty string"),
+]
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(seq, payload): a wire record for each reading, most of them broken in one way of BROKEN."""
+    rows = readings(spark, sf_dir)
+    base = {"buffer_id": '"%s"', "seq": "%s", "type": '"reading"', "device_id": '"d"', "sensor_id": '"s"', "value": "1.5", "unit": "null", "mono_ns": "5", "wall_ns": "6", "boot_id": '"b"', "ts_quality": "2", "qc_flag": "2", "qc_tests": "[]"}
+    uuid = F.format_string("12345678-1234-1234-1234-%012d", F.col("seq"))
+    out = None
+    for i, (how, _) in enumerate(BROKEN):
+        key, _, value = how.partition("=")
+        fields = base | ({key: f'"{value}"' if key == "buffer_id" else value} if key in base else {})
+        text = F.lit("{" + ",".join(f'"{k}":{v}' for k, v in fields.items()) + "}")
+        text = F.replace(F.replace(text, F.lit('"%s"'), F.concat(F.lit('"'), uuid, F.lit('"'))), F.lit(":%s"), F.concat(F.lit(":"), F.col("seq").cast("string")))
+        text = text if key in base else F.format_string(how, text)
+        out = F.when(F.col("seq") % len(BROKEN) == i, text) if out is None else out.when(F.col("seq") % len(BROKEN) == i, text)
+    return rows.select("seq", out.alias("payload"))
+
+
+@query("SELECT seq, CASE seq % " + str(len(BROKEN)) + " " + " ".join(f"WHEN {i} THEN " + (f"'{e}'" if e else "CAST(NULL AS VARCHAR)") for i, (_, e) in enumerate(BROKEN)) + " END AS error FROM readings")
+def validate_payloads(spark, sf_dir):
+    return wire.validate(payloads(spark, sf_dir)).select("seq", "error")
+
+
+@query("SELECT seq, concat('12345678-1234-1234-1234-', lpad(CAST(seq AS VARCHAR), 12, '0')) AS buffer_id, CAST(1.5 AS DOUBLE) AS value, CAST(5 AS BIGINT) AS mono_ns FROM readings WHERE seq % " + str(len(BROKEN)) + " = 0")
+def parsed_readings(spark, sf_dir):
+    return wire.good_readings(wire.validate(payloads(spark, sf_dir).drop("seq"))).select("seq", "buffer_id", "value", "mono_ns")
+
+
+@query("""SELECT seq, concat('{"buffer_id":"', buffer_id, '","seq":', seq, ',"type":"reading","sensor_id":"', sensor_id, '","value":null,"unit":null,"mono_ns":', mono_ns, ',"wall_ns":', wall_ns, ',"boot_id":"', boot_id, '","ts_quality":', ts_quality, ',"qc_flag":2,"qc_tests":[]}') AS line FROM readings""")
+def wire_lines(spark, sf_dir):
+    rows = readings(spark, sf_dir).withColumns({"value": F.lit(None).cast("double"), "qc_flag": F.lit(2), "qc_tests": F.array().cast("array<string>")})
+    return rows.select("seq", wire.to_wire(rows, "reading").alias("line"))
