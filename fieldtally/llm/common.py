@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows up to which a list of 64-bit ids is broadcast; longer lists are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 #: Text bytes that a numpy step takes at once; a longer document makes a step of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -87,7 +87,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse modulo 2 ** 64, for i below n at least."""
     size = 1 << max(16, int(n).bit_length())
     if size not in _POWERS:
-        if size > (SLICE_BYTES << 2):
+        if size > 1 << 23:
             return _grow(size)
         _POWERS[size] = _grow(size)
     return _POWERS[size]

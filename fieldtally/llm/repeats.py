@@ -28,7 +28,9 @@ LENGTH = 100
 #: Bytes of an anchor.
 K = 40
 #: Context bytes that a step of the group scan takes; a larger group makes a step of its own.
-STEP = 4 << 20
+STEP = 1 << 20
+#: Text bytes that are hashed at once, few enough for a processor's cache.
+SLICE = 1 << 19
 
 
 def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -42,34 +44,47 @@ def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return out
 
 
-def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors of all rows, their hashes, and the first and last window (by its start) that each one is
-    the smallest of. Of equal hashes in a window all are anchors; the leftmost owns the window."""
+def place_hashes(raw: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of the k bytes from each place, and its upper half, by which the smallest is chosen; the last k - 1 places
+    have the greatest."""
+    full = np.full(len(raw), np.iinfo(np.uint64).max, np.uint64)
+    at = np.arange(max(0, len(raw) - k + 1))
+    full[: len(at)] = span_hash(BYTE_VALUE[raw], at, at + k)
+    return full, (full >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def anchors(raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the anchors of all rows, and the hashes of their k bytes: places that some window of `length` bytes has
+    for its smallest. Of equal ones in a window all are anchors."""
     n, width = len(raw), length - k + 1
-    none = np.zeros(0, np.int64)
     if n < length:
-        return none, none.view(np.uint64), none, none
-    hashes = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    at = np.arange(n - k + 1)
-    hashes[: n - k + 1] = span_hash(BYTE_VALUE[raw], at, at + k) | np.uint64(1)
-    least = sliding(hashes, width, True)
-    ends = np.repeat(offsets[1:], np.diff(offsets))
-    least[np.arange(n) + length > ends] = 0
-    # a place is an anchor if some window that covers it has it for its smallest
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    full, order = place_hashes(raw, length, k)
+    least = sliding(order, width, True)
+    for end in offsets[1:].tolist():  # windows that would cross a row's end
+        least[max(0, end - length + 1) : end] = 0
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if b - a < length:
+            least[a:b] = 0
     back = sliding(least[::-1], width, False)[::-1]
-    places = np.flatnonzero((back == hashes) & (back > 0))
-    # windows of each anchor: starts whose leftmost smallest it is
-    windows = np.flatnonzero(least)
-    owner = places[np.searchsorted(places, windows)]
-    wrong = hashes[owner] != least[windows]
-    while wrong.any():
-        owner[wrong] = places[np.searchsorted(places, owner[wrong] + 1)]
-        wrong = hashes[owner] != least[windows]
-    first = np.searchsorted(owner, places, "left")
-    last = np.searchsorted(owner, places, "right") - 1
-    own = last >= first
-    places, first, last = places[own], first[own], last[own]
-    return places, hashes[places], windows[first], windows[last]
+    places = np.flatnonzero(back == order)
+    return places, full[places]
+
+
+def windows_of(places: np.ndarray, raw: np.ndarray, offsets: np.ndarray, length: int = LENGTH, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """The first and last window (by its start) that has each place for its leftmost smallest; none where last < first."""
+    width = length - k + 1
+    _, order = place_hashes(raw, length, k)
+    order = np.concatenate([np.zeros(width, np.uint32), order, np.zeros(width, np.uint32)])
+    row = np.searchsorted(offsets, places, "right") - 1
+    own, step = order[places + width][:, None], np.arange(1, width)
+    before = order[places[:, None] + width - step] <= own
+    after = order[places[:, None] + width + step] < own
+    back = np.where(before.any(1), before.argmax(1), width - 1)
+    ahead = np.where(after.any(1), after.argmax(1), width - 1)
+    first = np.maximum(places - back, offsets[row])
+    last = np.minimum(np.minimum(places, places + ahead + 1 - width), offsets[row + 1] - length)
+    return first, last
 
 
 def maximal_repeats(text: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
@@ -146,9 +161,9 @@ def repeated_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
         done: set[tuple[int, int]] = set()
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
-            for a, b in slices(np.diff(offsets)):
+            for a, b in slices(np.diff(offsets), SLICE):
                 part, bounds = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                places, hashes, _, _ = anchors(part, bounds, length, k)
+                places, hashes = anchors(part, bounds, length, k)
                 rows = np.searchsorted(bounds, places, "right") - 1
                 keys = np.array([text_key(part[x:y].tobytes()) for x, y in zip(bounds[:-1], bounds[1:], strict=True)], np.int64)
                 fresh = np.zeros(b - a, bool)
@@ -178,11 +193,11 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
         for batch in batches:
             ids, (raw, offsets) = batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))
             wanted = batch.column("at")
-            for a, b in slices(np.diff(offsets)):
+            for a, b in slices(np.diff(offsets), SLICE):
                 part, bounds = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                places, _, first, last = anchors(part, bounds, length, k)
-                take = np.concatenate([wanted[i].values.to_numpy(zero_copy_only=False) + bounds[i - a] for i in range(a, b)])
-                ok = np.isin(places, take)
+                places = np.concatenate([wanted[i].values.to_numpy(zero_copy_only=False) + bounds[i - a] for i in range(a, b)])
+                first, last = windows_of(places, part, bounds, length, k)
+                ok = last >= first
                 places, first, last = places[ok], first[ok], last[ok]
                 rows = np.searchsorted(bounds, places, "right") - 1
                 data = part.tobytes()

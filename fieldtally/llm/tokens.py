@@ -26,6 +26,8 @@ LIMIT = 2048
 #: Distinct words whose counts a worker keeps; at more it starts over.
 MAX_WORDS = 2_000_000
 CHUNK = 256
+#: Text bytes counted at once: many words are looked up together.
+STEP_BYTES = 4 << 20
 
 #: States: between words, letters, number, punctuation, apostrophe that begins a word, that and r, v or l, contraction.
 S, L, N, P, A, AR, AV, AL, C = range(9)
@@ -160,7 +162,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT) -> Da
         for batch in batches:
             _, offsets = text_bytes(batch.column("text"))
             size = np.diff(offsets)
-            found = [counter.count([x or "" for x in batch.column("text").slice(a, b - a).to_pylist()]) for a, b in slices(size)]
+            found = [counter.count([x or "" for x in batch.column("text").slice(a, b - a).to_pylist()]) for a, b in slices(size, STEP_BYTES)]
             n = np.concatenate(found) if found else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
