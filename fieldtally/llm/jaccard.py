@@ -31,7 +31,11 @@ PERCENT = 80
 #: Cells of the table of shingle counts that orders shingles from rare to frequent.
 CELLS = 1 << 16
 #: Coordinates of a point.
-GROUPS = 64
+GROUPS = 256
+#: Coordinates of the coarse points that are looked at first: sums of neighbouring ones.
+COARSE = 64
+#: The greatest coordinate. Beyond sets so large that two may exceed it, the bound is left out.
+TOP = (1 << 15) - 1
 #: Points of an R-tree leaf, and children of a node.
 LEAF = 64
 
@@ -117,7 +121,8 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent
     """Pairs of points of different parts that may link: descends a bulk-loaded R-tree from pairs of nodes to pairs of
     points, and leaves out what the summed minima of coordinates exclude."""
     order = np.lexsort((points.argmax(1), sizes))
-    points, sizes, parts = points[order].astype(np.int64), sizes[order], parts[order]
+    fine, sizes, parts = points[order], sizes[order], parts[order]
+    points = fine.reshape(len(fine), COARSE, -1).sum(2, dtype=np.int32)
     n = len(sizes)
     # levels[0] are the leaves; of each node the largest coordinates, the range of sizes, and the one part if it is one
     levels, at = [], [(i, min(i + LEAF, n)) for i in range(0, n, LEAF)]
@@ -133,7 +138,7 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent
     def may_link(level: tuple, i: int, js: np.ndarray) -> np.ndarray:
         tops, lows, highs, one = level
         js = js[(percent * lows[js] <= 100 * highs[i]) & (percent * lows[i] <= 100 * highs[js]) & ~((one[i] >= 0) & (one[i] == one[js]))]
-        return js[np.minimum(tops[i], tops[js]).sum(1) >= needed(lows[i], lows[js], percent)]
+        return js[(np.minimum(tops[i], tops[js]).sum(1, dtype=np.int64) >= needed(lows[i], lows[js], percent)) | (highs[js] > TOP)]
 
     top = levels[-1]
     count = len(top[0])
@@ -152,21 +157,38 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent
         for k in range(a, b):
             js_ = theirs[theirs > k]
             js_ = js_[(parts[js_] != parts[k]) & (percent * sizes[js_] <= 100 * sizes[k]) & (percent * sizes[k] <= 100 * sizes[js_])]
-            js_ = js_[np.minimum(points[k], points[js_]).sum(1) >= needed(sizes[k], sizes[js_], percent)]
+            for x in (points, fine):
+                js_ = js_[(np.minimum(x[k], x[js_]).sum(1, dtype=np.int64) >= needed(sizes[k], sizes[js_], percent)) | (sizes[js_] > TOP)]
             if len(js_):
                 yield np.full(len(js_), order[k]), order[js_]
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets link: those that pass the bound on their points meet their whole sets."""
-    side = lambda x, what: sets.select(F.col("id").alias(x), *[F.col(c).alias(c + x) for c in what])
-    near = pairs.join(side("a", ("n", "point")), "a").join(side("b", ("n", "point")), "b")
+def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sizes and points leave a link possible, with both sizes."""
+    side = lambda x: points.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("point").alias("point" + x))
+    near = pairs.join(side("a"), "a").join(side("b"), "b")
     alike = (percent * F.col("na") <= 100 * F.col("nb")) & (percent * F.col("nb") <= 100 * F.col("na"))
     bound = F.aggregate(F.zip_with("pointa", "pointb", lambda x, y: F.least(x, y)), F.lit(0).cast("long"), lambda s, x: s + x)
-    near = near.where(alike & ((100 + percent) * bound >= percent * (F.col("na") + F.col("nb")))).select("a", "b", "na", "nb")
-    near = near.join(side("a", ("shingles",)), "a").join(side("b", ("shingles",)), "b")
-    same = F.size(F.array_intersect("shinglesa", "shinglesb"))
-    return near.where((100 + percent) * same >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    return near.where(alike & ((F.greatest("na", "nb") > TOP) | ((100 + percent) * bound >= percent * (F.col("na") + F.col("nb"))))).select("a", "b", "na", "nb")
+
+
+def _verify(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets link: those that pass the bound on their points meet their whole sets."""
+    near = materialize(_bounded(pairs, points, percent))
+    ids = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id"))).distinct()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in _each_set(batches, words):
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), _lists([unsigned_to_long(x) for x in sets], pa.int64())], ["id", "shingles"])
+
+    sets = only_ids(docs, ids).mapInArrow(gather, "id long, shingles array<long>")
+    # Each set goes to its pairs as a, then as b.
+    near = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+    return near.where((100 + percent) * F.size(F.array_intersect("sa", "sb")) >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _lists(xs: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate(xs), kind))
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -209,22 +231,22 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     blocks = materialize(met.join(classes, ["digest", "n"]).select("h", "id", "n"))
     wanted = blocks.select(F.col("id").alias("doc_id")).distinct()
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = lambda xs, kind: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate(xs), kind))
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sets in _each_set(batches, words):
-            points = [np.bincount((x & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS) for x in sets]
-            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array([len(x) for x in sets], pa.int64()), lists(points, pa.int64()), lists([unsigned_to_long(x) for x in sets], pa.int64())], ["id", "n", "point", "shingles"])
+            points = [np.minimum(np.bincount((x & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), TOP).astype(np.int16) for x in sets]
+            yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), pa.array([len(x) for x in sets], pa.int64()), _lists(points, pa.int16())], ["id", "n", "point"])
 
-    sets = materialize(only_ids(documents(docs), wanted).mapInArrow(gather, "id long, n long, point array<long>, shingles array<long>"))
+    texts = documents(docs).where("doc_id IS NOT NULL")
+    points = materialize(only_ids(texts, wanted).mapInArrow(count, "id long, n long, point array<short>"))
     first = blocks.groupBy("h").agg(F.min("id").alias("a"))
     stars = blocks.join(first, "h").where("a <> id").select("a", F.col("id").alias("b")).distinct()
-    links = materialize(_verify(stars, sets, percent))
+    links = materialize(_verify(stars, points, texts, words, percent))
     parts = materialize(components(links))
     named = blocks.join(parts, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("part"))
     # Blocks of one component are done; of blocks with the same members, one is enough.
     mixed = named.groupBy("h").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(F.xxhash64("id"), 20)).alias("s0"), F.bit_xor(F.xxhash64("id")).alias("s1")).where("p0 <> p1")
     once = mixed.groupBy("m", "s0", "s1").agg(F.min("h").alias("h")).select("h")
-    points = named.join(once, "h", "left_semi").join(sets.select("id", "point"), "id")
+    members = named.join(once, "h", "left_semi").join(points.select("id", "point"), "id")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by block; a block that goes on in the next batch waits for it."""
@@ -254,8 +276,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
         if rest is not None and len(rest):
             yield from solve(rest)
 
-    pairs = points.select("h", "id", "n", "part", "point").repartition("h").sortWithinPartitions("h").mapInArrow(search, "a long, b long").distinct()
-    more = materialize(_verify(pairs, sets, percent))
+    pairs = members.select("h", "id", "n", "part", "point").repartition("h").sortWithinPartitions("h").mapInArrow(search, "a long, b long").distinct()
+    more = materialize(_verify(pairs, points, texts, words, percent))
     merged = materialize(components(links.unionByName(more)))
     of_class = classes.join(merged, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component"))
     return each.join(of_class, ["digest", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
