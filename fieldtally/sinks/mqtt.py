@@ -1,0 +1,36 @@
+"""MQTT: one message for each record, published from the executors by a client that the caller provides."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fieldtally.functions.scalars import puback_class, topic
+from fieldtally.sources.wire import to_wire
+
+
+class Mqtt:
+    """`connect` is called once for each part on an executor, and gives publish(topic, payload) -> reason code, or None
+    where no acknowledgement came. A part whose connection fails is sent again."""
+
+    def __init__(self, connect: Callable[[], Callable[[str, bytes], int | None]], kind: str = "reading"):
+        self.connect, self.kind = connect, kind
+
+    def send(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        connect = self.connect
+
+        def publish(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            try:
+                send = connect()
+            except OSError:
+                return
+            for frame in frames:
+                codes = [send(t, line.encode()) for t, line in zip(frame["topic"], frame["line"], strict=True)]
+                yield pd.DataFrame({"seq": frame["seq"], "code": pd.array(codes, "Int64")})
+
+        messages = batch.select("seq", topic(F.col("device_id"), F.col("buffer_id"), F.lit(self.kind), F.col("sensor_id")).alias("topic"), to_wire(batch, self.kind, "device_id").alias("line"))
+        codes = messages.mapInPandas(publish, "seq long, code int").persist()
+        return codes.select("seq", puback_class(F.col("code")).alias("outcome")).where("outcome <> 'retry'")

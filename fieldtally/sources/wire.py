@@ -113,5 +113,5 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     number = F.coalesce(_kind(v, "value"), F.lit("VOID")).rlike("^(VOID|BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & F.coalesce(F.abs(_get(v, "value", "double")) < float("inf"), F.lit(True))
     unit = F.coalesce(_kind(v, "unit"), F.lit("VOID")).isin("VOID", "STRING")
     sensor = (F.coalesce(_kind(v, "sensor_id"), F.lit("")) == "STRING") & (_get(v, "sensor_id", "string") != "")
-    ok = F.coalesce(reduce(Column.__and__, [F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT"), sensor, number, unit, F.is_valid_utf8("value"), ~F.col("value").rlike(r"(?i)\\ud[89a-f][0-9a-f]{2}(?!\\ud[c-f])(?<!\\ud[89ab][0-9a-f]{2}\\ud[c-f][0-9a-f]{2})")]), F.lit(False))
-    return lines.select("value", ok.alias("good"), v.alias("v")).select(F.when(F.col("good"), _get(F.col("v"), "sensor_id", "string")).alias("sensor_id"), F.when(F.col("good"), _get(F.col("v"), "value", "double")).alias("reading"), F.when(F.col("good"), _get(F.col("v"), "unit", "string")).alias("unit"), ~F.col("good").alias("bad"), F.col("value").alias("line"))
+    ok = F.coalesce(reduce(Column.__and__, [F.coalesce(F.schema_of_variant(v), F.lit("")).startswith("OBJECT"), sensor, number, unit, F.is_valid_utf8("value")]), F.lit(False))
+    return lines.select("value", ok.alias("good"), v.alias("v")).select(F.when(F.col("good"), _get(F.col("v"), "sensor_id", "string")).alias("sensor_id"), F.when(F.col("good"), _get(F.col("v"), "value", "double")).alias("reading"), F.when(F.col("good"), _get(F.col("v"), "unit", "string")).alias("unit"), (~F.col("good")).alias("bad"), F.col("value").alias("line"))
