@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import documents
+from fieldtally.llm.common import documents, materialize
 
 #: Hash buckets of the multinomials; the model is one array of so many doubles, whatever the corpus.
 BUCKETS = 1 << 14
@@ -20,8 +20,9 @@ TRUSTED_ROWS = 50_000
 ENDING = 3
 #: Mean log ratio from which a document is kept.
 THRESHOLD = -0.1
-#: Added to every count.
-SMOOTHING = 1.0
+#: Added to a bucket's trusted count and to the count that it would have if trusted documents were like all: buckets
+#: that hold little evidence stay near a ratio of 1.
+SMOOTHING = 10.0
 #: Positions that fit beside a shortened hash in one long.
 PACKED = 1 << 20
 
@@ -87,10 +88,10 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
     counts = each.select("trusted", F.explode(_buckets(F.col("words"))).alias("bucket")).groupBy("bucket").agg(F.sum("trusted").alias("t"), F.count(F.lit(1)).alias("r"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     dense = every.join(counts, "bucket", "left").select("bucket", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r"))
-    share = lambda n, total: F.log((n + SMOOTHING) / (total + SMOOTHING * BUCKETS))
+    expected = lambda x: x["r"] * F.col("nt") / F.greatest(F.col("nr"), F.lit(1))
     return (
         dense.agg(F.sum("t").alias("nt"), F.sum("r").alias("nr"), F.sort_array(F.collect_list(F.struct("bucket", "t", "r"))).alias("all"))
-        .select(F.transform("all", lambda x: F.when(F.col("nt") == 0, F.lit(0.0)).otherwise(share(x["t"], F.col("nt")) - share(x["r"], F.col("nr")))).alias("ratios"))
+        .select(F.transform("all", lambda x: F.when(F.col("nt") == 0, F.lit(0.0)).otherwise(F.log((x["t"] + SMOOTHING) / (expected(x) + SMOOTHING)))).alias("ratios"))
     )
 
 
@@ -126,5 +127,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score_quality keeps, with their own columns."""
-    kept = score_quality(docs, labels, threshold).where("kept").select("doc_id").distinct()
+    # Written first: a filter pushed into the scoring would work out its arrays inside their own lambdas.
+    kept = materialize(score_quality(docs, labels, threshold).select("doc_id", "kept")).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
