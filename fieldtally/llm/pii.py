@@ -16,7 +16,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import BROADCAST_ROWS, documents, materialize, only_ids
@@ -139,19 +139,29 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, disclosure) of GENERALISE and more. Counts are of distinct texts, so that copies are one."""
     once = found.dropDuplicates(["key"])
     total = found.agg(F.count_distinct("key").alias("n")).first()["n"]
-    pairs = once.select(F.explode("terms").alias("x")).select("x.entity", "x.term").groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    pairs = materialize(pairs)
-    terms = pairs.select("term").distinct()
-    if not total or terms.isEmpty():
+    if not total:
         return docs.sparkSession.createDataFrame([], "entity string, term string, disclosure double")
+    near = once.select(F.explode("terms").alias("x")).select("x.entity", "x.term")
+    both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
     df_e = once.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("de"))
-    few = terms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    beside = once.select(F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("dn"))
+
+    def disclosure(dt: Column) -> Column:
+        ic = F.log(F.lit(float(total)) / F.col("de"))
+        pmi = F.log(F.col("both") * float(total) / (F.greatest(dt, F.col("both")) * F.col("de")))
+        return F.when(ic > 0, pmi / ic).otherwise(0.0)
+
+    # A term stands in at least as many texts as it stands near entities in. By that bound, common words are out before
+    # the corpus is searched for the rest.
+    pairs = materialize(both.join(df_e, "entity").join(beside, "term").where(disclosure(F.col("dn")) >= GENERALISE).select("entity", "term", "both", "de"))
+    terms = pairs.select("term").distinct()
+    n = terms.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return docs.sparkSession.createDataFrame([], "entity string, term string, disclosure double")
+    few = n <= BROADCAST_ROWS
     words = docs.select(F.xxhash64("text").alias("key"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+", -1))).alias("term"))
     df_t = words.join(F.broadcast(terms) if few else terms, "term").groupBy("term", "key").agg(F.lit(1)).groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
-    rated = pairs.join(df_e, "entity").join(df_t, "term")
-    ic = F.log(F.lit(float(total)) / F.col("de"))
-    pmi = F.log(F.col("both") * float(total) / (F.greatest("dt", "both") * F.col("de")))
-    return rated.select("entity", "term", F.when(ic > 0, pmi / ic).otherwise(0.0).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    return pairs.join(df_t, "term").select("entity", "term", disclosure(F.col("dt")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 
 def known_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
