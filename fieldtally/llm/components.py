@@ -31,7 +31,7 @@ def components(links: DataFrame) -> DataFrame:
     now = materialize(links.where(F.col("a") != F.col("b")).select("a", "b").distinct())
     seen = None
     for _ in range(MAX_ROUNDS):
-        sums = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.shiftright(F.xxhash64("a", "b"), 16)), F.lit(0))).first()
+        sums = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.shiftright(F.xxhash64("a", "b"), 24)), F.lit(0))).first()
         if sums == seen or not sums[0]:
             return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
         seen = sums

@@ -126,7 +126,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score_quality keeps, with their own columns."""
+    """The documents that score_quality keeps, with their own columns. Rows whose doc_id is null are dropped."""
     # Written first: a filter pushed into the scoring would work out its arrays inside their own lambdas.
     kept = materialize(score_quality(docs, labels, threshold).select("doc_id", "kept")).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)

@@ -419,3 +419,19 @@ def test_text_bytes_of_slices():
 
     raw, offsets = text_bytes(column)
     assert raw.tobytes().decode() == "éxyz" and offsets.tolist() == [0, 0, 2, 2, 5]
+
+
+def test_null_ids(spark):
+    """Rows without a doc_id: left out where results are about ids, kept where texts are filtered or rewritten, but for
+    quality rules, which drop them."""
+    text = " ".join(f"w{i}" for i in range(80))
+    table = spark.createDataFrame([(None, text), (None, None), (1, text), (2, text + " jo@x.example.com")], "doc_id long, text string")
+    labels, bench = spark.createDataFrame([(1, 1), (None, None)], "doc_id long, quality int"), spark.createDataFrame([(1, "a b c d e f g h"), (None, text), (2, None)], "item_id long, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = lambda df: sorted((r["doc_id"] for r in df.select("doc_id").collect()), key=str)
+    everyone, named = [1, 2, None, None], [1, 2]
+    for out in (quality.score_quality(table, labels), pii.span_report(table), tokens.count_tokens(table, path), licenses.scan_licenses(table), packing.pack_documents(table, path), language.predict_language(table, language.fit_language(table.selectExpr("text", "'en' AS lang"))), pii.sanitise(table), decontamination.clean_only(table, bench), chunks.remove_chunks(table)):
+        assert ids(out) == everyone
+    assert ids(quality.keep_good(table, labels)) == named and ids(jaccard.near_duplicates(table)) == named
+    assert ids(repeats.remove_repeats(table)) == named and ids(jaccard.one_of_each(table)) == [1, None, None]
+    assert ids(chunks.chunk_report(table)) == [2] and ids(decontamination.contaminated(table, bench)) == []
