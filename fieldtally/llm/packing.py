@@ -24,7 +24,7 @@ from fieldtally.llm.common import documents, materialize
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked together; more are ranked in so many parts.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 500
 #: Texts whose pieces a task remembers, for copies that follow.
 REMEMBERED = 4096
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import BYTE_VALUE, documents, materialize, only_ids, slices, span_hash, text_bytes
+from fieldtally.llm.common import BYTE_VALUE, documents, materialize, mix, only_ids, slices, span_hash, text_bytes
 
 LENGTH = 100
 #: Bytes of an anchor.
@@ -31,6 +31,10 @@ K = 40
 STEP = 1 << 20
 #: Text bytes that are hashed at once, few enough for a processor's cache.
 SLICE = 1 << 19
+#: Contexts, covered ones included, that a step of the group scan takes.
+MANY = 100_000
+#: Anchors that are looked through together for those that repeat.
+TOGETHER = 150_000
 
 
 def sliding(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -154,13 +158,31 @@ def text_key(text) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def known_twice(h: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows have an h that occurs twice here; and a salt, 0 for the first row of each h and spread out for others."""
+    _, first, back, n = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    salt = (mix(spread.view(np.uint64)) >> np.uint64(34)).astype(np.int32) + 1
+    salt[first] = 0
+    return (n > 1)[back], salt
+
+
 def repeated_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
     """(key, n, pos): anchors of distinct texts whose bytes occur elsewhere too, there or in another text."""
 
+    names = ["h", "salt", "sure", "key", "n", "pos"]
+
+    def rows_of(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        """An anchor that stands here twice is known to repeat: one of its rows goes where all tasks' rows of it meet, the
+        others need no witness and are dealt at random."""
+        h, key, n, pos = (np.concatenate(x) for x in out)
+        sure, salt = known_twice(h, key ^ pos)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, salt, sure, key, n, pos)], names)
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for a, b in slices(np.diff(offsets), SLICE):
                 part, bounds = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 places, hashes = anchors(part, bounds, length, k)
@@ -173,12 +195,18 @@ def repeated_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
                         fresh[i] = True
                 ok = fresh[rows]
                 rows = rows[ok]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes[ok].view(np.int64)), pa.array(keys[rows]), pa.array(np.diff(bounds)[rows].astype(np.int32)), pa.array((places[ok] - bounds[rows]).astype(np.int32))], ["h", "key", "n", "pos"])
-
-    found = docs.where(F.octet_length("text") >= length).mapInArrow(find, "h long, key long, n int, pos int")
-    same = Window.partitionBy("h")
+                for column, x in zip(out, (hashes[ok].view(np.int64), keys[rows], np.diff(bounds)[rows].astype(np.int32), (places[ok] - bounds[rows]).astype(np.int32)), strict=True):
+                    column.append(x)
+                if sum(map(len, out[0])) > TOGETHER:
+                    yield rows_of(out)
+                    out = [[], [], [], []]
+            if out[0]:
+                yield rows_of(out)
+
+    found = docs.where(F.octet_length("text") >= length).mapInArrow(find, "h long, salt int, sure boolean, key long, n int, pos int")
+    same = Window.partitionBy("h", "salt")
     place = F.struct("key", "n", "pos")
-    return found.select("key", "n", "pos", F.min(place).over(same).alias("lo"), F.max(place).over(same).alias("hi")).where("lo <> hi").select("key", "n", "pos").distinct()
+    return found.select("sure", "key", "n", "pos", F.min(place).over(same).alias("lo"), F.max(place).over(same).alias("hi")).where("sure OR lo <> hi").select("key", "n", "pos").distinct()
 
 
 def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -189,10 +217,20 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
     at = materialize(hit.join(first, ["key", "n"]).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("at")))
     texts = only_ids(docs, at.select("doc_id")).join(at, "doc_id")
 
+    def salted(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+        """A context that also stands earlier here is covered whole: it needs no group, and is dealt at random."""
+        earliest: dict[tuple[int, bytes], tuple[int, int]] = {}
+        for g, doc, start, context in rows:
+            earliest[g, context] = min(earliest.get((g, context), (doc, start)), (doc, start))
+        salts = [0 if earliest[g, context] == (doc, start) else 1 + hash((doc, start)) % (1 << 30) for g, doc, start, context in rows]
+        g, doc, start, context = zip(*rows, strict=True) if rows else ((), (), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(salts, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(context, pa.binary())], ["g", "salt", "doc_id", "start", "context"])
+
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, (raw, offsets) = batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))
             wanted = batch.column("at")
+            rows_out: list[tuple[int, int, int, bytes]] = []
             for a, b in slices(np.diff(offsets), SLICE):
                 part, bounds = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 places = np.concatenate([wanted[i].values.to_numpy(zero_copy_only=False) + bounds[i - a] for i in range(a, b)])
@@ -201,15 +239,12 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
                 places, first, last = places[ok], first[ok], last[ok]
                 rows = np.searchsorted(bounds, places, "right") - 1
                 data = part.tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([text_key(data[p : p + k]) for p in places.tolist()], pa.int64()),
-                        pa.array([ids[a + r] for r in rows.tolist()], pa.int64()),
-                        pa.array(first - bounds[rows]),
-                        pa.array([data[x : y + length] for x, y in zip(first.tolist(), last.tolist(), strict=True)], pa.binary()),
-                    ],
-                    ["g", "doc_id", "start", "context"],
-                )
+                for p, r, x, y in zip(places.tolist(), rows.tolist(), first.tolist(), last.tolist(), strict=True):
+                    rows_out.append((text_key(data[p : p + k]), ids[a + r], x - int(bounds[r]), data[x : y + length]))
+                if len(rows_out) > TOGETHER // 8:
+                    yield salted(rows_out)
+                    rows_out = []
+            yield salted(rows_out)
 
     def solve(groups: list[tuple]) -> Iterator[pa.RecordBatch]:
         """groups: (doc_id, start, bytes) of distinct contexts, and of equal ones where `again` is true."""
@@ -239,19 +274,19 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
         """Rows come sorted by group, context and place: equal contexts stand together, the earliest first."""
         groups, size, last = [], 0, (None, None)
         for batch in batches:
-            for g, doc, start, x in zip(*(batch.column(c).to_pylist() for c in ("g", "doc_id", "start", "context")), strict=True):
-                if g != last[0] and size > STEP:
+            for g, salt, doc, start, x in zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "doc_id", "start", "context")), strict=True):
+                if (salt or g != last[0]) and (size > STEP or len(groups) > MANY):
                     yield from solve(groups)
                     groups, size = [], 0
-                again = (g, x) == last
+                again = salt > 0 or (g, x) == last
                 groups.append((doc, start, x, again))
                 size += 0 if again else len(x)
-                last = (g, x)
+                last = (g, x) if not salt else last
         if groups:
             yield from solve(groups)
 
-    cut = texts.select("doc_id", "text", "at").mapInArrow(contexts, "g long, doc_id long, start long, context binary")
-    met = cut.repartition("g").sortWithinPartitions("g", "context", "doc_id", "start")
+    cut = texts.select("doc_id", "text", "at").mapInArrow(contexts, "g long, salt int, doc_id long, start long, context binary")
+    met = cut.repartition("g", "salt").sortWithinPartitions("g", "salt", "context", "doc_id", "start")
     found = met.mapInArrow(scan, "doc_id long, a long, b long")
     return found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
