@@ -6,8 +6,9 @@ not enough where a rare term keeps an entity's company: over all distinct texts,
     disclosure(t, e) = PMI(t; e) / IC(e),   PMI(t; e) = log(df(t, e) N / (df(t) df(e))),   IC(e) = log(N / df(e)),
 
 is 1 for a term that occurs with e only and 0 for one that doesn't care. Terms stand near the entity (WINDOW words).
-Those of GENERALISE and more are replaced by a class label in the texts that hold the entity, those of REMOVE and more
-are removed; terms of fewer than SUPPORT common texts tell nothing and stay.
+Those of GENERALISE and more are replaced by a class label and those of REMOVE and more are removed, in every text that
+holds them, for a term gives its entity away where that isn't named; terms of fewer than SUPPORT common texts tell
+nothing and stay.
 """
 
 from __future__ import annotations
@@ -135,12 +136,13 @@ def found_spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(find, kinds)
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of GENERALISE and more. Counts are of distinct texts, so that copies are one."""
+def term_rows(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(entity, term, disclosure) of GENERALISE and more, and (doc_id, key, term) of the documents that hold such a term
+    or one that came near; None if there are no candidates. Counts are of distinct texts, so that copies are one."""
     once = found.dropDuplicates(["key"])
     total = found.agg(F.count_distinct("key").alias("n")).first()["n"]
     if not total:
-        return docs.sparkSession.createDataFrame([], "entity string, term string, disclosure double")
+        return None
     near = once.select(F.explode("terms").alias("x")).select("x.entity", "x.term")
     both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
     df_e = once.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("de"))
@@ -157,18 +159,25 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     terms = pairs.select("term").distinct()
     n = terms.limit(BROADCAST_ROWS + 1).count()
     if not n:
-        return docs.sparkSession.createDataFrame([], "entity string, term string, disclosure double")
+        return None
     few = n <= BROADCAST_ROWS
-    words = docs.select(F.xxhash64("text").alias("key"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+", -1))).alias("term"))
-    df_t = words.join(F.broadcast(terms) if few else terms, "term").groupBy("term", "key").agg(F.lit(1)).groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
-    return pairs.join(df_t, "term").select("entity", "term", disclosure(F.col("dt")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    words = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+", -1))).alias("term"))
+    held = materialize(words.join(F.broadcast(terms) if few else terms, "term").select("doc_id", "key", "term"))
+    df_t = held.groupBy("term", "key").agg(F.lit(1)).groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
+    return pairs.join(df_t, "term").select("entity", "term", disclosure(F.col("dt")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE), held
 
 
 def known_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, key, known: the disclosing terms of each document that holds their entity, with whether to drop them."""
-    terms = materialize(disclosing_terms(docs, found))
-    of_doc = found.select("doc_id", "key", F.explode("entities").alias("entity")).join(terms, "entity")
-    return materialize(of_doc.groupBy("doc_id", "key").agg(F.collect_set(F.struct("term", (F.col("disclosure") >= REMOVE).alias("drop"))).alias("known")))
+    """doc_id, key, known: the disclosing terms of each document that holds one, beside their entity or without it, with
+    whether to drop them (by the entity that they disclose most)."""
+    rows = term_rows(docs, found)
+    if rows is None:
+        return docs.sparkSession.createDataFrame([], "doc_id long, key long, known array<struct<term:string,drop:boolean>>")
+    terms, held = rows
+    worst = materialize(terms.groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("drop")))
+    few = worst.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    of_doc = held.join(F.broadcast(worst) if few else worst, "term")
+    return materialize(of_doc.groupBy("doc_id", "key").agg(F.collect_set(F.struct("term", "drop")).alias("known")))
 
 
 def term_places(text: str, known: list[dict], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -137,6 +138,19 @@ def test_pii_terms_and_masking(spark):
     assert all(clean[i] == t for i, t in other) and clean[500] is None and clean[501] == ""
 
 
+def test_pii_terms_without_their_entity(spark):
+    rng = random.Random(31)
+    held = [(i, f"{prose(rng, 20)} write to secret@mail.example.com about Zanzibarquest {prose(rng, 20)}") for i in range(10)]
+    alone = [(50, f"{prose(rng, 20)} Zanzibarquest {prose(rng, 20)}")]
+    table = spark.createDataFrame(held + alone + [(100 + i, prose(rng, 40)) for i in range(400)], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in pii.span_report(table).collect()}
+    assert 1 + math.log(10 / 11) / math.log(411 / 10) >= pii.GENERALISE
+    at = alone[0][1].index("Zanzibarquest")
+    assert found[50] == f"term:{at}:{at + 13}"
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(table).collect()}
+    assert clean[50] == alone[0][1].replace("Zanzibarquest", "[TERM]") and all("Zanzibarquest" not in clean[i] for i, _ in held)
+
+
 def test_language(docs, rows, empty, spark):
     english, french = ["the and of to in that", "with this for which was"], ["le la les des une dans", "pour que qui avec sur"]
     table = spark.createDataFrame([(i, " ".join([(english if i % 2 else french)[i // 2 % 2]] * (1 + i % 5)), "en" if i % 2 else "fr") for i in range(80)] + [(900, None, "en"), (901, "123 !?", "en"), (902, "the and", None)], "doc_id long, text string, lang string")
