@@ -5,8 +5,8 @@ not enough where a rare term keeps an entity's company: over all distinct texts,
 
     disclosure(t, e) = PMI(t; e) / IC(e),   PMI(t; e) = log(df(t, e) N / (df(t) df(e))),   IC(e) = log(N / df(e)),
 
-is 1 for a term that occurs with e only and 0 for one that doesn't care. Terms stand near the entity (WINDOW words).
-Those of GENERALISE and more are replaced by a class label and those of REMOVE and more are removed, in every text that
+is 1 for a term that occurs with e only and 0 for one that doesn't care. Terms are the runs of letters of a text outside
+its patterns' matches, at any distance from the entity. Those of GENERALISE and more are replaced by a class label and those of REMOVE and more are removed, in every text that
 holds them, for a term gives its entity away where that isn't named; terms of fewer than SUPPORT common texts tell
 nothing and stay.
 """
@@ -21,14 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import BROADCAST_ROWS, documents, materialize, only_ids
+from fieldtally.llm.repeats import merge
 
-WINDOW = 8
 SUPPORT = 3
 GENERALISE = 0.95
 REMOVE = 0.99
-#: Letters that a term has at least.
-TERM_LETTERS = 4
-
 #: Documents that hold a disclosing term up to which their terms are broadcast.
 BROADCAST_TERMS = 100_000
 
@@ -40,8 +37,7 @@ NAME_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-TERM = re.compile(r"[^\W\d_]{%d,}" % TERM_LETTERS)
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+TERM = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -98,73 +94,91 @@ def entity(kind: str, value: str) -> str:
     return f"{kind}:{value.lower() if kind in ('email', 'ip') else re.sub('[^0-9]', '', value)}"
 
 
-def near_terms(text: str, spans: list[tuple[str, int, int]]) -> set[tuple[str, str]]:
-    """(entity, term) of the terms within WINDOW words before and after each span, outside all spans."""
-    out, taken = set(), sorted((a, b) for _, a, b in spans)
-    for kind, a, b in spans:
-        left, right, n = a, b, 0
-        while left and n < WINDOW:
-            left -= 1
-            n += text[left] in " \t\n\x0b\x0c\r"
-        n = 0
-        while right < len(text) and n <= WINDOW:
-            n += text[right] in " \t\n\x0b\x0c\r"
-            right += 1
-        for found in TERM.finditer(text, left, right):
-            if not any(x < found.end() and found.start() < y for x, y in taken):
-                out.add((entity(kind, text[a:b]), found[0].lower()))
-    return out
+def free_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Match]:
+    """The terms outside all spans, in order."""
+    taken = merge([(a, b) for _, a, b in spans])
+    at = 0
+    for found in TERM.finditer(text):
+        while at < len(taken) and taken[at][1] <= found.start():
+            at += 1
+        if at == len(taken) or found.end() <= taken[at][0]:
+            yield found
 
 
 def found_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key (of the text) and spans of every document."""
+    """doc_id, key (of the text), spans and entities of every document."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        near = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
         for batch in batches:
-            spans, terms, entities = [], [], []
+            spans, entities = [], []
             for text in batch.column("text"):
                 text = text.as_py() or ""
                 got = base_spans(text)
                 spans.append([{"kind": k, "start": a, "end": b} for k, a, b in got])
-                terms.append([{"entity": e, "term": t} for e, t in sorted(near_terms(text, got))] if got else [])
                 entities.append(sorted({entity(k, text[a:b]) for k, a, b in got}))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(spans, kind), pa.array(entities, pa.list_(pa.string())), pa.array(terms, near)], ["doc_id", "key", "spans", "entities", "terms"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(spans, kind), pa.array(entities, pa.list_(pa.string()))], ["doc_id", "key", "spans", "entities"])
 
-    kinds = "doc_id long, key long, spans array<struct<kind:string,start:long,end:long>>, entities array<string>, terms array<struct<entity:string,term:string>>"
+    kinds = "doc_id long, key long, spans array<struct<kind:string,start:long,end:long>>, entities array<string>"
     return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(find, kinds)
 
 
+def all_terms(docs: DataFrame) -> DataFrame:
+    """doc_id, key and the distinct terms of every document, in lower case."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms = []
+            for text in batch.column("text"):
+                text = text.as_py() or ""
+                got = base_spans(text)
+                terms.append(list({w.lower() for w in (TERM.findall(text) if not got else (x[0] for x in free_terms(text, got)))}))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(terms, pa.list_(pa.string()))], ["doc_id", "key", "terms"])
+
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(find, "doc_id long, key long, terms array<string>")
+
+
 def term_rows(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
     """(entity, term, disclosure) of GENERALISE and more, and (doc_id, key, term) of the documents that hold such a term
     or one that came near; None if there are no candidates. Counts are of distinct texts, so that copies are one."""
-    once = found.dropDuplicates(["key"])
     total = found.agg(F.count_distinct("key").alias("n")).first()["n"]
     if not total:
         return None
-    near = once.select(F.explode("terms").alias("x")).select("x.entity", "x.term")
-    both = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
-    df_e = once.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("de"))
-    beside = once.select(F.explode(F.array_distinct(F.transform("terms", lambda x: x["term"]))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("dn"))
+    texts = found.where(F.size("entities") > 0).select("key", F.explode("entities").alias("entity")).distinct()
+    df_e = materialize(texts.groupBy("entity").agg(F.count(F.lit(1)).alias("de")).where(F.col("de") >= SUPPORT))
 
-    def disclosure(dt: Column) -> Column:
+    def disclosure(both: Column, dt: Column) -> Column:
         ic = F.log(F.lit(float(total)) / F.col("de"))
-        pmi = F.log(F.col("both") * float(total) / (F.greatest(dt, F.col("both")) * F.col("de")))
+        pmi = F.log(both * float(total) / (F.greatest(dt, both) * F.col("de")))
         return F.when(ic > 0, pmi / ic).otherwise(0.0)
 
-    # A term stands in at least as many texts as it stands near entities in. By that bound, common words are out before
-    # the corpus is searched for the rest.
-    pairs = materialize(both.join(df_e, "entity").join(beside, "term").where(disclosure(F.col("dn")) >= GENERALISE).select("entity", "term", "both", "de"))
+    few = df_e.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    holders = materialize(texts.join(F.broadcast(df_e) if few else df_e, "entity").groupBy("key").agg(F.collect_list(F.struct("entity", "de")).alias("held")))
+    n = holders.limit(BROADCAST_ROWS + 1).count()
+    if not n:
+        return None
+    keyed, keys = docs.withColumn("_key", F.xxhash64("text")), holders.select(F.col("key").alias("_key"))
+    beside = materialize(all_terms(keyed.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "_key", "left_semi")).select("key", "terms").dropDuplicates(["key"]))
+    # dn, the entities' texts that hold a term, is at least `both` and at most dt, and de is at least `both`. By these
+    # bounds common words are out before they are paired, and more of them before the corpus is searched for the rest.
+    most = df_e.select(F.max("de").alias("de"))
+    dn = beside.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("dn")).where(F.col("dn") >= SUPPORT)
+    reach = lambda de: F.pow(de.cast("double"), GENERALISE) * F.pow(F.lit(float(total)), 1 - GENERALISE) * (1 + 1e-9)
+    dn = materialize(dn.crossJoin(F.broadcast(most)).where(F.col("dn") <= reach(F.col("de"))).select("term", "dn"))
+    few = dn.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rare = beside.select("key", F.explode("terms").alias("term")).join(F.broadcast(dn) if few else dn, "term").join(holders, "key")
+    rare = rare.select("term", "dn", F.explode(F.filter("held", lambda x: F.col("dn") <= reach(x["de"]))).alias("x"))
+    both = rare.groupBy("x.entity", "x.de", "term", "dn").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
+    pairs = materialize(both.where(disclosure(F.col("both"), F.col("dn")) >= GENERALISE).select("entity", "term", "both", "de"))
     terms = pairs.select("term").distinct()
     n = terms.limit(BROADCAST_ROWS + 1).count()
     if not n:
         return None
     few = n <= BROADCAST_ROWS
-    words = docs.select("doc_id", F.xxhash64("text").alias("key"), F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+", -1))).alias("term"))
+    words = all_terms(docs).select("doc_id", "key", F.explode("terms").alias("term"))
     held = materialize(words.join(F.broadcast(terms) if few else terms, "term").select("doc_id", "key", "term"))
     df_t = held.groupBy("term", "key").agg(F.lit(1)).groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
-    return pairs.join(df_t, "term").select("entity", "term", disclosure(F.col("dt")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE), held
+    return pairs.join(df_t, "term").select("entity", "term", disclosure(F.col("both"), F.col("dt")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE), held
 
 
 def known_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -185,7 +199,7 @@ def term_places(text: str, known: list[dict], spans: list[tuple[str, int, int]])
     worst: dict[str, bool] = {}
     for x in known:
         worst[x["term"]] = worst.get(x["term"], False) or x["drop"]
-    hit = [("drop" if worst[w] else "term", m.start(), m.end()) for m in TERM.finditer(text) if (w := m[0].lower()) in worst and not any(a < m.end() and m.start() < b for _, a, b in spans)]
+    hit = [("drop" if worst[w] else "term", m.start(), m.end()) for m in free_terms(text, spans) if (w := m[0].lower()) in worst]
     return sorted(hit, key=lambda x: (x[0] != "term", x[1]))
 
 

@@ -151,6 +151,16 @@ def test_pii_terms_without_their_entity(spark):
     assert clean[50] == alone[0][1].replace("Zanzibarquest", "[TERM]") and all("Zanzibarquest" not in clean[i] for i, _ in held)
 
 
+def test_pii_terms_far_from_their_entity(spark):
+    rng = random.Random(32)
+    held = [(i, f"Re Qi and Zanzibarquest. {prose(rng, 15 * (i % 2) + 1)} {prose(rng, 30 * (i % 3))} secret@mail.example.com {prose(rng, 20)}") for i in range(6)]
+    table = spark.createDataFrame(held + [(100 + i, prose(rng, 40) + " re and") for i in range(60)], "doc_id long, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(table).collect()}
+    assert all(clean[i].startswith("Re  and . ") and "secret@" not in clean[i] for i, _ in held)
+    text = "Ab a@b.cd é1x_yz 10.0.0.1"
+    assert [m[0] for m in pii.free_terms(text, pii.base_spans(text))] == ["Ab", "é", "x", "yz"]
+
+
 def test_language(docs, rows, empty, spark):
     english, french = ["the and of to in that", "with this for which was"], ["le la les des une dans", "pour que qui avec sur"]
     table = spark.createDataFrame([(i, " ".join([(english if i % 2 else french)[i // 2 % 2]] * (1 + i % 5)), "en" if i % 2 else "fr") for i in range(80)] + [(900, None, "en"), (901, "123 !?", "en"), (902, "the and", None)], "doc_id long, text string, lang string")
