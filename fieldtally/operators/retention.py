@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +17,8 @@ def gap_summary(discarded: DataFrame, reason: str, *keys: str) -> DataFrame:
     ).withColumn("reason", F.lit(reason))
 
 
-def with_rank(rows: DataFrame, by: str = "buffer_id", descending: bool = False, part_rows: int = 1_000_000) -> DataFrame:
-    """Adds `nth`, the place of each row in its buffer by seq, from 1.
+def with_rank(rows: DataFrame, by: str = "buffer_id", descending: bool = False, part_rows: int = 1_000_000, ties: str = "seq") -> DataFrame:
+    """Adds `nth`, the place of each row in its buffer by seq (then by `ties`), from 1.
 
     Ranks within parts of the seq range plus the rows of the parts before, so that one buffer of many rows is ranked by
     many tasks."""
@@ -24,7 +28,7 @@ def with_rank(rows: DataFrame, by: str = "buffer_id", descending: bool = False,
     sums = Window.partitionBy(by).orderBy(F.col("_part").desc() if descending else F.col("_part").asc())
     before = parts.select(by, "_part", (F.sum("_n").over(sums) - F.col("_n")).alias("_before"))
     marked = rows.withColumn("_part", part).join(before, [by, "_part"])
-    nth = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order)) + F.col("_before")
+    nth = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order, ties)) + F.col("_before")
     return marked.withColumn("nth", nth).drop("_part", "_before")
 
 
@@ -41,18 +45,25 @@ def halted_batches(batches: DataFrame, cap: int) -> DataFrame:
     """A buffer that halts takes a batch only if it fits whole; a small one may fit after a large one was refused.
     batches: buffer_id, batch, n (and acked, rows that are acknowledged before it; 0 if absent).
 
-    The fold needs a buffer's batches in order: one short struct for each, in an array of the buffer."""
+    The fold runs over a buffer's batches in order and gives out rows as it goes; it keeps one number of each buffer."""
     acked = F.col("acked") if "acked" in batches.columns else F.lit(0)
-    ordered = batches.groupBy("buffer_id").agg(F.sort_array(F.collect_list(F.struct("batch", F.col("n").cast("long").alias("n"), acked.cast("long").alias("acked")))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<struct<batch:bigint,n:bigint,accepted:boolean,used:bigint>>").alias("out"))
+    ordered = batches.select("buffer_id", F.col("batch").cast("long").alias("batch"), F.col("n").cast("long").alias("n"), acked.cast("long").alias("acked"))
+    kinds = ordered.select("buffer_id", "batch", "n", F.lit(None).cast("boolean").alias("accepted"), F.lit(None).cast("long").alias("used")).schema
 
-    def step(s, x):
-        free = F.greatest(F.lit(0).cast("long"), s["used"] - x["acked"])
-        fits = free + x["n"] <= cap
-        used = F.when(fits, free + x["n"]).otherwise(free)
-        return F.struct(used.alias("used"), F.concat(s["out"], F.array(F.struct(x["batch"].cast("long").alias("batch"), x["n"].alias("n"), fits.alias("accepted"), used.alias("used")))).alias("out"))
+    def fold(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used = (), 0
+        for some in rows:
+            accepted, after = [], []
+            for buffer, n, freed in zip(*(some.column(c).to_pylist() for c in ("buffer_id", "n", "acked")), strict=True):
+                at, used = (buffer,), used if at == (buffer,) else 0
+                used = 0 if freed is None else max(0, used - freed)
+                fits = None if n is None else used + n <= cap
+                used += n if fits else 0
+                accepted.append(fits)
+                after.append(used)
+            yield pa.RecordBatch.from_arrays([some.column("buffer_id"), some.column("batch"), some.column("n"), pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], ["buffer_id", "batch", "n", "accepted", "used"])
 
-    return ordered.select("buffer_id", F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("x")).select("buffer_id", "x.batch", "x.n", "x.accepted", "x.used")
+    return ordered.repartition("buffer_id").sortWithinPartitions("buffer_id", "batch", "n", "acked").mapInArrow(fold, kinds)
 
 
 def seal_epochs(discards: DataFrame, seals: DataFrame) -> DataFrame:
@@ -65,18 +76,75 @@ def seal_epochs(discards: DataFrame, seals: DataFrame) -> DataFrame:
     return epoch.groupBy(*keys, "epoch").agg(F.min("mono_ns").alias("from_mono_ns"), F.max("mono_ns").alias("to_mono_ns"), F.count(F.lit(1)).alias("count"))
 
 
-def flushes(writes: DataFrame, max_rows: int, max_delay: int) -> DataFrame:
-    """Commits of a batcher: after a write, when so many are pending or so long has passed since the last commit (the
-    first write commits alone). writes: buffer_id, pos, t. Rows: buffer_id, pos of the committing write, n."""
-    ordered = writes.groupBy("buffer_id").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("xs"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last"), F.array().cast("array<struct<pos:bigint,n:bigint>>").alias("out"))
+def next_commits(t: np.ndarray, known: np.ndarray, max_rows: int, max_delay: int) -> np.ndarray:
+    """For a commit at each row, the row of the next one; beyond the last row where it isn't among them."""
+    n = len(t)
+    out, open_ = np.arange(n) + max_rows, np.ones(n, bool)
+    for d in range(1, min(max_rows, n)):
+        hit = np.flatnonzero(open_[: n - d] & (~known[: n - d] | (known[d:] & (t[d:] - t[: n - d] >= max_delay))))
+        out[hit], open_[hit] = hit + d, False
+    return out
 
-    def step(s, x):
-        n = s["n"] + 1
-        due = (n >= max_rows) | s["last"].isNull() | (x["t"] - s["last"] >= max_delay)
-        return F.struct(F.when(due, F.lit(0).cast("long")).otherwise(n).alias("n"), F.when(due, x["t"]).otherwise(s["last"]).alias("last"), F.when(due, F.concat(s["out"], F.array(F.struct(x["pos"].alias("pos"), n.alias("n"))))).otherwise(s["out"]).alias("out"))
 
-    return ordered.select("buffer_id", F.explode(F.aggregate("xs", start, step, lambda s: s["out"])).alias("x")).select("buffer_id", "x.pos", "x.n")
+def flushes(writes: DataFrame, max_rows: int, max_delay: int, part_rows: int = 100_000) -> DataFrame:
+    """Commits of a batcher: after a write, when so many are pending or so long has passed since the last commit (the
+    first write commits alone). writes: buffer_id, pos (neither null), t. Rows: buffer_id, pos of the committing write, n.
+
+    A buffer is cut into parts of its ranks. The last commit before a part is one of the max_rows writes before it, so a
+    part is a map from these to its own last commit. The maps are composed in order, then each part lists its commits."""
+    max_rows = max(max_rows, 1)
+    part_rows = max(part_rows, max_rows)
+    ranked = with_rank(writes.select("buffer_id", F.col("pos").cast("long").alias("seq"), F.col("t").cast("long").alias("t")), ties="t")
+    at = F.col("nth") - 1
+    part = F.call_function("div", at, F.lit(part_rows))
+    both = F.when(at % part_rows >= part_rows - max_rows, F.array(part, part + 1)).otherwise(F.array(part))
+    parts = ranked.select("buffer_id", F.col("seq").alias("pos"), "t", F.col("nth").cast("long").alias("nth"), F.explode(both).alias("part"))
+    buffer = writes.schema["buffer_id"].dataType.simpleString()
+
+    def load(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+        """Rank of the first row, positions, next commits, and how many rows stand before the part. Ahead of a buffer's
+        first write comes a commit of no time."""
+        table = table.sort_by("nth")
+        first, k = table.column("nth")[0].as_py(), table.column("part")[0].as_py()
+        pos, t = table.column("pos").to_numpy(), table.column("t").fill_null(0).to_numpy()
+        known = table.column("t").is_valid().to_numpy()
+        if k == 0:
+            first, pos, t, known = 0, np.append(0, pos), np.append(0, t), np.append(False, known)
+        return first, pos, next_commits(t, known, max_rows, max_delay), k * part_rows - first + 1
+
+    def ends(table: pa.Table) -> pa.Table:
+        first, pos, after, before = load(table)
+        last = list(range(len(pos)))
+        for j in range(len(pos) - 1, -1, -1):
+            if after[j] < len(pos):
+                last[j] = last[after[j]]
+        n = before if before < len(pos) else 0
+        return pa.table({"buffer_id": table.column("buffer_id").combine_chunks().slice(0, 1).take(pa.array([0] * n, pa.int64())), "part": pa.array([table.column("part")[0].as_py()] * n, pa.int64()), "came": pa.array([first + j for j in range(n)], pa.int64()), "left": pa.array([first + j for j in last[:n]], pa.int64())})
+
+    def compose(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, k, came = (), 0, 0
+        for some in rows:
+            hit = []
+            for i, (b, p, x, y) in enumerate(zip(*(some.column(c).to_pylist() for c in ("buffer_id", "part", "came", "left")), strict=True)):
+                if at != (b,):
+                    at, k, came = (b,), 0, 0
+                if p == k and x == came:
+                    hit.append(i)
+                    k, came = k + 1, y
+            yield some.take(pa.array(hit, pa.int64())).select(["buffer_id", "part", "came"])
+
+    def commits(table: pa.Table) -> pa.Table:
+        first, pos, after, _ = load(table)
+        j, found, n = table.column("came")[0].as_py() - first, [], []
+        while after[j] < len(pos):
+            n.append(int(after[j]) - j)
+            j = int(after[j])
+            found.append(j)
+        return pa.table({"buffer_id": table.column("buffer_id").combine_chunks().take(pa.array([0] * len(n), pa.int64())), "pos": pa.array(pos[found].astype(np.int64)), "n": pa.array(n, pa.int64())})
+
+    maps = parts.groupBy("buffer_id", "part").applyInArrow(ends, f"buffer_id {buffer}, part long, came long, left long")
+    entries = maps.repartition("buffer_id").sortWithinPartitions("buffer_id", "part", "came").mapInArrow(compose, f"buffer_id {buffer}, part long, came long")
+    return parts.join(entries, ["buffer_id", "part"]).groupBy("buffer_id", "part").applyInArrow(commits, f"buffer_id {buffer}, pos long, n long")
 
 
 def seq_blocks(runs: DataFrame, block: int) -> DataFrame:
