@@ -83,10 +83,3 @@ def http_class(status: Column, accepted: Column, rejected: Column, seq: Column)
 def timestamp_of(ns: Column) -> Column:
     """Exact to the microsecond, rounded down."""
     return F.timestamp_micros(F.call_function("div", ns - F.pmod(ns, F.lit(1000)), F.lit(1000)))
-
-
-def nearest_rank(values: Column, q: float) -> Column:
-    """The sorted value at index min(n - 1, int(q n)): an aggregate."""
-    ordered = F.sort_array(F.collect_list(values))
-    n = F.count(values)
-    return F.element_at(ordered, F.least(n, F.floor(n * F.lit(q)) + 1).cast("int"))

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtally.functions.scalars import nearest_rank
-
 
 def lost(committed: DataFrame, delivered: DataFrame, key: str) -> DataFrame:
     """Committed keys that were never delivered."""
@@ -33,9 +31,51 @@ def holes(rows: DataFrame, run: str, step: str) -> DataFrame:
     return got.withColumn("holes", F.col("last_step") + 1 - F.col("steps"))
 
 
-def percentiles(samples: DataFrame, value: str, *keys: str) -> DataFrame:
-    """p50 is the interpolated median; p90 and p99 are sorted[min(n - 1, int(q n))]."""
-    return samples.groupBy(*keys).agg(F.count(value).alias("n"), F.median(value).alias("p50"), nearest_rank(F.col(value), 0.9).alias("p90"), nearest_rank(F.col(value), 0.99).alias("p99"), F.max(value).alias("max"))
+def percentiles(samples: DataFrame, value: str, *keys: str, ranges: int = 65_536) -> DataFrame:
+    """p50 is the interpolated median; p90 and p99 are sorted[min(n - 1, int(q n))].
+
+    Equal values of a group are counted before the shuffle. A group's values are cut into ranges of about equal width;
+    ranks are taken within a range plus the rows of the ranges before, so that one large group is ranked by many tasks.
+    A range's share of the rows doesn't matter, its distinct values do. NaN is the greatest value; nulls don't count."""
+    same = lambda a, b: F.equal_null(a, b)
+    ks = [f"_k{i}" for i in range(len(keys))]
+    rows = samples.select(*[F.col(k).alias(n) for k, n in zip(keys, ks, strict=True)], F.col(value).alias("_v"))
+    counts = rows.groupBy(*ks, "_v").agg(F.count("_v").alias("_c"))
+    finite = F.col("_v").cast("double")
+    finite = F.when(~F.isnan(finite) & (F.abs(finite) < float("inf")), finite)
+    groups = counts.groupBy(*ks).agg(F.sum("_c").alias("n"), F.max("_v").alias("max"), F.min(finite).alias("_low"), F.max(finite).alias("_high"))
+
+    def beside(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+        right = right.select(*[F.col(c).alias(f"r{c}") if c in on else F.col(c) for c in right.columns])
+        joined = left
+        cond = F.lit(True)
+        for c in on:
+            cond = cond & same(left[c], right[f"r{c}"])
+        return joined.join(right, cond).drop(*[f"r{c}" for c in on])
+
+    x = F.col("_v").cast("double")
+    # halved before they are subtracted, so that no difference overflows; monotone in the value
+    width = F.col("_high") / 2 - F.col("_low") / 2
+    cell = F.least(F.floor((x / 2 - F.col("_low") / 2) / width * ranges), F.lit(ranges - 1))
+    cell = F.when(F.isnan(x) | (x == float("inf")), ranges).when(x == -float("inf"), -1).when(width > 0, cell).otherwise(0).cast("int")
+    parts = beside(counts.where("_c > 0"), groups.select(*ks, "n", "_low", "_high"), ks).withColumn("_part", cell)
+    sums = parts.groupBy(*ks, "_part").agg(F.sum("_c").alias("_s"))
+    before = sums.select(*ks, "_part", (F.sum("_s").over(Window.partitionBy(*ks).orderBy("_part")) - F.col("_s")).alias("_before"))
+    ranked = beside(parts, before, [*ks, "_part"])
+    ranked = ranked.withColumn("_to", F.sum("_c").over(Window.partitionBy(*ks, "_part").orderBy("_v")) + F.col("_before"))
+    n, to = F.col("n"), F.col("_to")
+
+    def at(index):
+        return F.max(F.when((index < to) & (index >= to - F.col("_c")), F.col("_v")))
+
+    nearest = lambda q: at(F.least(n - 1, F.floor(n * F.lit(q))))
+    low, high = at(F.floor((n - 1) / 2)).cast("double"), at(F.floor(n / 2)).cast("double")
+    got = ranked.groupBy(*ks).agg(F.when(low == high, low).otherwise(low * 0.5 + high * 0.5).alias("p50"), nearest(0.9).alias("p90"), nearest(0.99).alias("p99"))
+    got = got.select(*[F.col(k).alias(f"r{k}") for k in ks], "p50", "p90", "p99")
+    cond = F.lit(True)
+    for k in ks:
+        cond = cond & same(groups[k], got[f"r{k}"])
+    return groups.join(got, cond, "left").select(*[F.col(n).alias(k) for k, n in zip(keys, ks, strict=True)], "n", "p50", "p90", "p99", "max")
 
 
 def counter_deltas(samples: DataFrame, counter: str) -> DataFrame:
