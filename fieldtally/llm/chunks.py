@@ -4,7 +4,9 @@ A gear hash rolls over a text's bytes (each step shifts the hash by one bit and
 bits hold the last 16 bytes). A chunk ends where the hash is the greatest within REACH bytes on either side. That
 depends on nearby bytes alone, so an insertion moves the boundaries near it and no others, and chunks are longer than
 REACH bytes but the last. Chunks are deduplicated by digest: the earliest of each stays. A phrase that happens to fill a
-chunk tells little, so only runs of adjoining repeated chunks of RUN bytes or more are removed.
+chunk tells little, so only runs of adjoining repeated chunks of RUN bytes or more are removed, and whole texts of any
+length that equal an earlier one. A last chunk of less than LEAST bytes goes with the chunk before it: it is repeated
+where both end an earlier text.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from fieldtally.llm.common import documents, materialize, mix, only_ids, slices,
 from fieldtally.llm.repeats import merge, sliding
 
 REACH = 19
-#: Bytes from which a chunk is deduplicated; only a text's last one can be shorter.
+#: Bytes from which a chunk is deduplicated for itself; a shorter last one is taken together with the chunk before it.
 LEAST = 20
 #: Bytes from which a run of repeated chunks is removed.
 RUN = 100
@@ -58,8 +60,12 @@ def boundaries(raw: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> np.n
     return np.unique(np.concatenate([cut, offsets[1:]]))
 
 
+def digest(data: bytes, kind: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16, person=kind).digest()
+
+
 def chunk_table(docs: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:
-    """doc_id, start, length and digest (two longs) of every chunk that may be deduplicated."""
+    """doc_id, start, length and digest (two longs) of every chunk that may be deduplicated, and of every whole text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,22 +75,29 @@ def chunk_table(docs: DataFrame, reach: int = REACH, least: int = LEAST) -> Data
                 part, bounds = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 ends = boundaries(part, bounds, reach)
                 starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)]
+                rows, data = np.searchsorted(bounds, starts, "right") - 1, part.tobytes()
                 ok = ends - starts >= least
-                starts, ends, data = starts[ok], ends[ok], part.tobytes()
-                rows = np.searchsorted(bounds, starts, "right") - 1
-                digests = np.frombuffer(b"".join(hashlib.blake2b(data[x:y], digest_size=16).digest() for x, y in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][rows].astype(np.int64)), pa.array(starts - bounds[rows]), pa.array((ends - starts).astype(np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy())], ["doc_id", "start", "length", "d0", "d1"])
+                tail = ~ok & (ends == bounds[rows + 1]) & (starts > bounds[rows])
+                reach_back = np.where(tail, np.concatenate([[0], starts[:-1]])[: len(starts)], starts)
+                full = np.flatnonzero(np.diff(bounds))
+                take = np.flatnonzero(ok | tail)
+                found = [digest(data[x:y], b"tail" if t else b"") for x, y, t in zip(reach_back[take].tolist(), ends[take].tolist(), tail[take].tolist(), strict=True)]
+                found += [digest(data[x:y], b"whole") for x, y in zip(bounds[full].tolist(), bounds[full + 1].tolist(), strict=True)]
+                digests = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
+                starts, ends = np.concatenate([starts[take], bounds[full]]), np.concatenate([ends[take], bounds[full + 1]])
+                rows, whole = np.concatenate([rows[take], full]), np.arange(len(starts)) >= len(take)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][rows].astype(np.int64)), pa.array(starts - bounds[rows]), pa.array((ends - starts).astype(np.int32)), pa.array(digests[:, 0].copy()), pa.array(digests[:, 1].copy()), pa.array(whole)], ["doc_id", "start", "length", "d0", "d1", "whole"])
 
-    return docs.mapInArrow(cut, "doc_id long, start long, length int, d0 long, d1 long")
+    return docs.mapInArrow(cut, "doc_id long, start long, length int, d0 long, d1 long, whole boolean")
 
 
 def repeated_chunks(docs: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:
-    """doc_id, start, length, first_doc: every chunk whose digest an earlier one has (smaller doc_id, or earlier in the
-    document), with the document of the earliest. Minima are aggregated before the shuffle, and the join back may be
+    """doc_id, start, length, whole, first_doc: every chunk (or whole text) whose digest an earlier one has (smaller doc_id,
+    or earlier in the document), with the document of the earliest. Minima are aggregated before the shuffle, and the join back may be
     split, so that a digest of a third of the rows is no hot group."""
     found = chunk_table(docs, reach, least)
     first = found.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d0", "d1", "first")
-    return found.join(first, ["d0", "d1"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", "length", F.col("first.doc_id").alias("first_doc"))
+    return found.join(first, ["d0", "d1"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", "length", "whole", F.col("first.doc_id").alias("first_doc"))
 
 
 def chunk_report(docs: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:
@@ -92,7 +105,9 @@ def chunk_report(docs: DataFrame, reach: int = REACH, least: int = LEAST) -> Dat
     sorted and apart), first_docs (sorted ids of the documents that keep the bytes). Null and empty texts have no chunks;
     rows of equal doc_id and text are one document; rows whose doc_id is null are left out."""
     docs = documents(docs).where("doc_id IS NOT NULL AND text <> ''")
-    gone = repeated_chunks(docs, reach, least).groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "length"))).alias("chunks"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
+    gone = repeated_chunks(docs, reach, least).groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.when(~F.col("whole"), F.struct("start", "length")))).alias("chunks"), F.max(F.when(F.col("whole"), F.col("length").cast("long"))).alias("all"), F.sort_array(F.collect_set("first_doc")).alias("first_docs")
+    )
     end = lambda x: (x["start"] + x["length"]).cast("long")
     span = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
     runs = F.aggregate(
@@ -100,10 +115,10 @@ def chunk_report(docs: DataFrame, reach: int = REACH, least: int = LEAST) -> Dat
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda s, x: F.when(F.try_element_at(s, F.lit(-1))["end"] == x["start"], F.concat(F.slice(s, F.lit(1), F.size(s) - 1), span(F.try_element_at(s, F.lit(-1))["start"], end(x)))).otherwise(F.concat(s, span(x["start"], end(x)))),
     )
-    kept = gone.select("doc_id", "chunks", "first_docs", F.filter(runs, lambda x: x["end"] - x["start"] >= RUN).alias("spans")).where(F.size("spans") > 0)
+    kept = gone.select("doc_id", "chunks", "first_docs", F.when(F.col("all").isNotNull(), span(F.lit(0).cast("long"), F.col("all"))).otherwise(F.filter(runs, lambda x: x["end"] - x["start"] >= RUN)).alias("spans")).where(F.size("spans") > 0)
     inside = F.filter("chunks", lambda x: F.exists("spans", lambda s: (s["start"] <= x["start"]) & (x["start"] < s["end"])))
     n_bytes = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return kept.select("doc_id", F.size(inside).cast("long").alias("n_chunks"), n_bytes.alias("n_bytes"), F.size("spans").cast("long").alias("n_spans"), "spans", "first_docs")
+    return kept.select("doc_id", F.greatest(F.size(inside), F.lit(1)).cast("long").alias("n_chunks"), n_bytes.alias("n_bytes"), F.size("spans").cast("long").alias("n_spans"), "spans", "first_docs")
 
 
 def remove_chunks(docs: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:

@@ -219,6 +219,24 @@ def test_chunks_resist_shifts(spark):
             assert len(before[r["doc_id"]].encode()) - len(r["text"].encode()) == report[r["doc_id"]]["n_bytes"]
 
 
+def test_chunks_of_whole_copies(spark):
+    rng = random.Random(61)
+    short = ["a", "no", "日本語", *(prose(rng, n)[:90] for n in (2, 4, 8, 16))]
+    long = [prose(rng, 60)[:n] for n in range(100, 180, 5)]
+    texts = short + long
+    last = lambda x: int(np.diff(chunks.boundaries(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())])))[-1])
+    passage = next(x for x in (prose(rng, 80) for _ in range(200)) if 10 <= last(x) < chunks.LEAST)
+    table = spark.createDataFrame(list(enumerate(texts)) + [(100 + i, t) for i, t in enumerate(texts)] + [(300, passage), (301, prose(rng, 50) + passage)], "doc_id long, text string").repartition(3)
+    report = {r["doc_id"]: r for r in chunks.chunk_report(table).collect()}
+    assert set(report) == {100 + i for i in range(len(texts))} | {301}
+    for i, t in enumerate(texts):
+        r = report[100 + i]
+        assert [tuple(x) for x in r["spans"]] == [(0, len(t.encode()))] and i in r["first_docs"] and r["n_chunks"] >= 1 and r["n_bytes"] == len(t.encode())
+    left = {r["doc_id"]: r["text"] for r in chunks.remove_chunks(table).collect()}
+    assert all(left[i] == t and left[100 + i] == "" for i, t in enumerate(texts))
+    assert left[300] == passage and not left[301].endswith(passage[-10:])
+
+
 def test_gear_hash_rolls():
     raw = np.frombuffer(random.Random(1).randbytes(200), np.uint8)
     h, expected = 0, []
