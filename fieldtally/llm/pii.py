@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import BROADCAST_ROWS, documents, materialize, only_ids
+from fieldtally.llm.common import BROADCAST_ROWS, documents, materialize
 from fieldtally.llm.repeats import merge
 
 SUPPORT = 3
@@ -67,7 +67,8 @@ def ips(text: str) -> list[tuple[int, int]]:
     out, at = [], 0
     while found := IP.search(text, at):
         at = found.end()
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in found[0].split(".")):
+        parts = [x.lstrip("0") or "0" for x in found[0].split(".")]
+        if all(len(x) <= 3 and int(x) <= 255 for x in parts):
             out.append(found.span())
     return out
 
@@ -207,7 +208,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     """For every document: doc_id, key, base (the patterns' spans) and spans as arrays of (kind, start, end): base kinds
     first, then `term` (generalised) and `drop` (removed), each by start; the term spans overlap no base span.
 
-    A null text is empty. Rows of equal doc_id and text are one document and give equal results."""
+    A null text is empty and an empty table gives no rows. Rows of equal doc_id and text are one document and give equal
+    results; a null doc_id is an id like any other."""
     docs = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = materialize(found_spans(docs))
     of_doc = known_terms(docs, found)
@@ -220,9 +222,14 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                 out.append([{"kind": k, "start": a, "end": b} for k, a, b in term_places(text, known, base_spans(text))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(out, kind)], ["doc_id", "key", "more"])
 
-    touched = only_ids(docs, of_doc.select("doc_id").distinct()).select("doc_id", "text", F.xxhash64("text").alias("key")).join(of_doc, ["doc_id", "key"])
-    more = touched.select("doc_id", "key", "text", "known").mapInArrow(places, "doc_id long, key long, more array<struct<kind:string,start:long,end:long>>").dropDuplicates(["doc_id", "key"])
-    joined = found.join(more, ["doc_id", "key"], "left")
+    of_doc = of_doc.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "known")
+    of_doc = F.broadcast(of_doc) if of_doc.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else of_doc
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["key"] == F.col("_key"))
+    touched = keyed.join(of_doc, same).select("doc_id", "key", "text", "known")
+    more = touched.mapInArrow(places, "doc_id long, key long, more array<struct<kind:string,start:long,end:long>>").dropDuplicates(["doc_id", "key"])
+    more = more.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "more")
+    joined = found.join(more, found["doc_id"].eqNullSafe(F.col("_id")) & (found["key"] == F.col("_key")), "left")
     return joined.select("doc_id", "key", F.col("spans").alias("base"), F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more")).alias("spans"))
 
 

@@ -119,6 +119,36 @@ def test_pii_patterns():
             text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50)))
             assert pii.base_spans(text) == reference_spans(text), text
     assert pii.base_spans("a" * 200_000 + "1" * 200_000) == []
+    assert pii.base_spans("0" * 5000 + "1.1.1.1 " + "9" * 5000 + ".1.1.1") == [("ip", 0, 5007)]
+    assert len(pii.base_spans("jo@x.example.com or " * 20_000)) == 20_000
+
+
+def test_pii_disclosure_matches_a_plain_version(spark):
+    """Disclosure counted over whole distinct texts by hand, for every pair of an entity and a term."""
+    rng = random.Random(33)
+    mails, terms = [f"m{i}@x.example.com" for i in range(4)], ["Quell", "Zorro", "vim", "ok", "Élan"]
+    texts = []
+    for i in range(300):
+        who = rng.randrange(12)
+        beside = [terms[who]] * (rng.random() < 0.95) if who < 4 else [rng.choice(terms)] * (rng.random() < 0.01)
+        texts.append(" ".join(["and", *(["mail " + mails[who]] if who < 4 else []), *beside, *(str(rng.randrange(9)) for _ in range(8)), prose(rng, 5)]))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (5, texts[5]), (400, None), (401, "")]
+    distinct = {t or "" for _, t in rows}
+    words = {t: {m[0].lower() for m in pii.free_terms(t, pii.base_spans(t))} for t in distinct}
+    held = {t: {pii.entity(k, t[a:b]) for k, a, b in pii.base_spans(t)} for t in distinct}
+    worst, n = {}, len(distinct)
+    for e in set().union(*held.values()):
+        de = sum(e in x for x in held.values())
+        for t in set().union(*words.values()):
+            both, dt = sum(e in held[x] and t in words[x] for x in distinct), sum(t in words[x] for x in distinct)
+            if both >= pii.SUPPORT and (d := 1 + math.log(both / dt) / math.log(n / de)) >= pii.GENERALISE:
+                worst[t] = max(worst.get(t, 0), d)
+    assert {"drop" if d >= pii.REMOVE else "term" for d in worst.values()} == {"drop", "term"} and "and" not in worst
+    found = {(r["doc_id"], r["spans"]) for r in pii.span_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for doc_id, text in rows:
+        spans = pii.base_spans(text or "")
+        more = [("drop" if worst[m[0].lower()] >= pii.REMOVE else "term", m.start(), m.end()) for m in pii.free_terms(text or "", spans) if m[0].lower() in worst]
+        assert (doc_id, ",".join(f"{k}:{a}:{b}" for k, a, b in [*spans, *sorted(more, key=lambda x: (x[0] == "drop", x[1]))])) in found
 
 
 def test_pii_terms_and_masking(spark):
@@ -173,6 +203,43 @@ def test_language(docs, rows, empty, spark):
     assert language.identify_language(docs).count() == len(rows)
 
 
+def test_language_matches_plain_naive_bayes(spark):
+    """Whole predictions against a dictionary version, in one block and in blocks of three languages; ties and letters
+    beyond the basic plane."""
+    rng = random.Random(41)
+    langs = [f"l{i:02d}" for i in range(8)]
+    letters = {x: [chr(97 + rng.randrange(26)) for _ in range(6)] for x in langs}
+    letters["l07"] = [chr(0x10330 + i) for i in range(6)]  # Gothic
+    texts = [(i, " ".join("".join(rng.choice(letters[x]) for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 20))), x) for i, x in enumerate(langs * 20)]
+    texts += [(900, chr(0x10330) * 3 + "\U00020000", None), (901, "\U0001f600 1", None), (None, "abc", "l00")]
+    folded = lambda t: re.sub(" +", " ", "".join(c.lower() if c.isalpha() else " " for c in t))
+
+    def buckets(t):
+        raw = np.frombuffer(t.encode(), np.uint8)
+        found, _ = language.grams(raw, np.array([0, len(raw)]))
+        return [int(b) for bucket, _ in found for b in bucket]
+    train = [(t, x) for i, t, x in texts if i is not None and x and zlib.crc32(str(i).encode()) % 4 != 2]
+    counts = {x: {} for x in langs}
+    for t, x in train:
+        for b in buckets(t):
+            counts[x][b] = counts[x].get(b, 0) + 1
+    table = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    one, many = ({r["doc_id"]: r for r in language.identify_language(table, block).collect()} for block in (256, 3))
+    for i, t, _ in texts:
+        own = buckets(t)
+        sums = {x: math.log(sum(y == x for _, y in train) / len(train)) + sum(math.log(counts[x].get(b, 0) + language.SMOOTHING) - math.log(sum(counts[x].values()) + language.SMOOTHING * language.BUCKETS) for b in own) for x in langs}
+        best = max(langs, key=lambda x: sums[x])
+        soft = {x: math.exp((sums[x] - sums[best]) / math.sqrt(len(own) or 1)) for x in langs}
+        for found in (one, many):
+            if i == 901:
+                assert (found[i]["lang_pred"], found[i]["score"]) == ("und", 0)
+            else:
+                assert found[i]["lang_pred"] == best and abs(found[i]["score"] - 1 / sum(soft.values())) < 1e-3, (i, folded(t))
+    assert one[900]["lang_pred"] == "l07"
+    equal = spark.createDataFrame([(0, "ab", "y"), (1, "ab", "x"), (2, "ab", None)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in language.predict_language(equal, language.fit_language(equal)).collect()} == {"x"}
+
+
 def test_language_ngrams_match_a_plain_version():
     texts = ["Ab c", "", "é日!x", "a"]
     found, has = language.grams(*(lambda d: (np.frombuffer("".join(d).encode(), np.uint8), np.cumsum([0, *(len(x.encode()) for x in d)])))(texts))
