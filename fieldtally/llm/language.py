@@ -1,7 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of every training document's n-grams are summed by Spark; the log-probability matrix (languages by BUCKETS
-floats, at most MAX_LANGUAGES rows) is broadcast, and batches are scored in numpy by gathering rows of it.
+floats) is broadcast in blocks of BLOCK languages at most, and batches are scored in numpy by gathering rows of it. With
+more languages than a block holds, documents pass block after block and carry their best language so far along.
 """
 
 from __future__ import annotations
@@ -13,22 +14,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import documents, mix, slices, text_bytes
+from fieldtally.llm.common import documents, materialize, mix, slices, text_bytes
 
 BUCKETS = 1 << 16
 #: n-gram lengths, in characters.
 ORDERS = (1, 2, 3)
-#: Languages that a model may have; more are refused, as the matrix goes to every executor.
-MAX_LANGUAGES = 256
+#: Languages of one broadcast matrix.
+BLOCK = 256
 SMOOTHING = 0.5
 #: Characters that count_and_score takes at once.
 STEP_BYTES = 2 << 20
+POINTS = 0x110000
 
 
 def letters_and_folded() -> tuple[np.ndarray, np.ndarray]:
-    """For every code point of the basic plane: whether it is a letter, and its lower-case form where that is one character (blank for all that is no letter)."""
-    alpha, fold = np.zeros(0x10000, bool), np.full(0x10000, 32, np.uint32)
-    for c in range(0x10000):
+    """For every code point: whether it is a letter, and its lower-case form where that is one character (blank for all that is no letter)."""
+    alpha, fold = np.zeros(POINTS, bool), np.full(POINTS, 32, np.uint32)
+    for c in range(POINTS):
         if (ch := chr(c)).isalpha():
             alpha[c] = True
             low = ch.lower()
@@ -51,10 +53,7 @@ def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray,
     points = np.frombuffer(raw.tobytes().decode("utf-8", "replace").encode("utf-32-le", "replace"), np.uint32)
     first = np.cumsum((raw & 0xC0) != 0x80)
     rows = np.searchsorted(np.concatenate([[0], first])[offsets], np.arange(len(points)), "right") - 1
-    big = points >= 0x10000
-    small = np.where(big, 0, points)
-    letter = alpha[small]
-    values = np.where(big, points, fold[small]).astype(np.uint64)
+    letter, values = alpha[points], fold[points].astype(np.uint64)
     has = np.zeros(n, bool)
     has[rows[letter]] = True
     keep = np.ones(len(points), bool)
@@ -92,59 +91,85 @@ def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(total[at])], ["lang", "bucket", "n"])
 
 
-def fit_language(train: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and the matrix of log probabilities: its last column is the log prior. train: text, lang."""
+def languages(train: DataFrame) -> tuple[list[str], dict[str, int]]:
+    """The names of all languages in order, and the documents of each: a row for each language comes to the driver."""
+    docs = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    return sorted(docs), docs
+
+
+def fit_language(train: DataFrame, block: int = BLOCK) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Blocks of languages in order, each with its matrix of log probabilities: the last column is the log prior. train:
+    text, lang; rows where one is null don't count. Without languages there is no block."""
     rows = train.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    docs = rows.groupBy("lang").count().toPandas().set_index("lang")["count"]
-    counts = rows.mapInArrow(count_grams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()  # languages x buckets rows at most
-    table = np.zeros((len(langs), BUCKETS))
-    table[[langs.index(x) for x in counts["lang"]], counts["bucket"].to_numpy(int)] = counts["n"]
-    table = np.log(table + SMOOTHING) - np.log(table.sum(1, keepdims=True) + SMOOTHING * BUCKETS)
-    prior = np.log(np.array([docs[x] for x in langs], float) / max(1, docs.sum())) if langs else np.zeros(0)
-    return langs, np.hstack([table, prior.reshape(-1, 1)])
-
-
-def predict_language(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """For every document: doc_id, lang_pred, score. Null texts and texts without a letter, or a model without
-    languages, give `und` and 0; ties go to the language that sorts first. score is the prediction's posterior, from the
-    mean log-probability of an n-gram times the square root of their number, so that long texts don't all give 1."""
-    langs, matrix = model
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast((langs, np.ascontiguousarray(matrix.astype(np.float32))))
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, table = held.value
+    langs, docs = languages(rows)
+    counts = rows.mapInArrow(count_grams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counts = counts if len(langs) <= block else materialize(counts)
+    for i in range(0, len(langs), block):
+        names = langs[i : i + block]
+        some = counts if len(langs) <= block else counts.where(F.col("lang").between(names[0], names[-1]))
+        some = some.toPandas()  # block x buckets rows at most
+        table, at = np.zeros((len(names), BUCKETS)), {x: j for j, x in enumerate(names)}
+        table[[at[x] for x in some["lang"]], some["bucket"].to_numpy(int)] = some["n"]
+        table = np.log(table + SMOOTHING) - np.log(table.sum(1, keepdims=True) + SMOOTHING * BUCKETS)
+        prior = np.log(np.array([docs[x] for x in names], float) / sum(docs.values()))
+        yield names, np.hstack([table, prior.reshape(-1, 1)]).astype(np.float32)
+
+
+SCORED = "best double, lang string, low double, mass double, letters boolean"
+
+
+def _score(docs: DataFrame, names: list[str], matrix: np.ndarray) -> DataFrame:
+    """docs with their best language so far (best: its log posterior over the square root of the n-grams' number; the
+    first of equals), and the sum of exp(score - low) over languages. Columns doc_id, text and SCORED."""
+    held = docs.sparkSession.sparkContext.broadcast((names, np.ascontiguousarray(matrix)))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, table = held.value
         prior = table[:, -1].astype(float)
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
-            names, scores = [], []
+            best, low, mass = (batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("best", "low", "mass"))
+            lang, letters = batch.column("lang").to_pylist(), np.zeros(len(best), bool)
             for a, b in slices(np.diff(offsets), STEP_BYTES):
-                found, has = grams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                total, number = np.zeros((b - a, len(langs))), np.zeros(b - a)
-                for bucket, rows in found if langs else []:
+                found, letters[a:b] = grams(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                total, number = np.zeros((b - a, len(names))), np.zeros(b - a)
+                for bucket, rows in found:
                     number += np.bincount(rows, minlength=b - a)
-                    for j in range(len(langs)):
+                    for j in range(len(names)):
                         total[:, j] += np.bincount(rows, table[j][bucket], minlength=b - a)
-                if not langs:
-                    names += ["und"] * (b - a)
-                    scores += [0.0] * (b - a)
-                    continue
-                best = np.argmax(total + prior, 1)
                 soft = (total + prior) / np.sqrt(np.maximum(number, 1))[:, None]
-                soft = np.exp(soft - soft.max(1, keepdims=True))
-                sure = soft[np.arange(b - a), best] / soft.sum(1)
-                names += [langs[k] if ok else "und" for k, ok in zip(best, has)]
-                scores += np.where(has, sure, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "lang_pred", "score"])
+                k = np.argmax(soft, 1)
+                top = soft[np.arange(b - a), k]
+                now = np.maximum(low[a:b], top)
+                mass[a:b] = mass[a:b] * np.exp(low[a:b] - now) + np.exp(soft - now[:, None]).sum(1)
+                low[a:b] = now
+                for i in np.flatnonzero(top > best[a:b]):
+                    lang[a + i], best[a + i] = names[k[i]], top[i]
+            columns = [pa.array(best), pa.array(lang, pa.string()), pa.array(low), pa.array(mass), pa.array(letters)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), *columns], ["doc_id", "text", "best", "lang", "low", "mass", "letters"])
 
-    return documents(docs).mapInArrow(predict, "doc_id long, lang_pred string, score double")
+    return docs.mapInArrow(look, f"doc_id long, text string, {SCORED}")
 
 
-def identify_language(docs: DataFrame) -> DataFrame:
-    """Learns from the documents whose crc32(doc_id) mod 4 is not 2, and predicts all: doc_id, held_out, lang_pred, score."""
+def predict_language(docs: DataFrame, blocks: Iterator[tuple[list[str], np.ndarray]]) -> DataFrame:
+    """For every document: doc_id, lang_pred, score. Null texts and texts without a letter, or a model without
+    languages, give `und` and 0; ties go to the language that sorts first; repeated rows are scored each for itself. score
+    is the prediction's posterior, from the mean log-probability of an n-gram times the square root of their number, so
+    that long texts don't all give 1. An empty table gives no rows."""
+    least = F.lit(float(np.finfo(float).min))
+    scored = documents(docs).select("doc_id", "text", least.alias("best"), F.lit(None).cast("string").alias("lang"), least.alias("low"), F.lit(0.0).alias("mass"), F.lit(False).alias("letters"))
+    done = 0
+    for names, matrix in blocks:
+        scored = _score(materialize(scored) if done else scored, names, matrix)  # one matrix in a worker at a time
+        done += 1
+    sure = F.col("letters") & F.col("lang").isNotNull()
+    score = F.exp(F.col("best") - F.col("low")) / F.col("mass")
+    return scored.select("doc_id", F.when(sure, F.col("lang")).otherwise("und").alias("lang_pred"), F.when(sure, F.least(score, F.lit(1.0))).otherwise(0.0).alias("score"))
+
+
+def identify_language(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Learns from the documents whose crc32(doc_id) mod 4 is not 2, and predicts all: doc_id, held_out, lang_pred, score.
+    A document without a doc_id is neither learned from nor held out."""
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    model = fit_language(docs.where(~held_out).select("text", "lang"))
-    return predict_language(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+    blocks = fit_language(docs.where(~held_out).select("text", "lang"), block)
+    return predict_language(docs, blocks).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
