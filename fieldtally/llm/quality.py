@@ -1,7 +1,7 @@
 """Quality rules: counts of a document's words, lines and repeats, and a log-likelihood ratio of hashed n-grams.
 
-The ratio compares two multinomials over hashed pairs of neighbouring word endings: one of trusted documents and one
-of the whole corpus. A document's score is the mean ratio of its pairs, so long and short documents compare; it is kept
+The ratio compares two multinomials over hashed words and pairs of neighbouring words: one of trusted documents and one
+of the whole corpus. A document's score is the mean ratio of its n-grams, so long and short documents compare; it is kept
 when the score reaches a fixed threshold. Everything is DataFrame functions: no Python runs on the executors.
 """
 
@@ -13,18 +13,16 @@ from pyspark.sql import functions as F
 from fieldtally.llm.common import documents, materialize
 
 #: Hash buckets of the multinomials; the model is one array of so many doubles, whatever the corpus.
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 #: Trusted documents that the target multinomial is fitted on at most (those of the smallest id hashes).
 TRUSTED_ROWS = 50_000
-#: Letters of a word's end that a pair holds.
-ENDING = 3
 #: Mean log ratio from which a document is kept.
-THRESHOLD = -0.1
+THRESHOLD = -0.05
 #: Added to a bucket's trusted count and to the count that it would have if trusted documents were like all: buckets
 #: that hold little evidence stay near a ratio of 1.
 SMOOTHING = 10.0
-#: Positions that fit beside a shortened hash in one long.
-PACKED = 1 << 20
+#: Bits of a position beside a shortened hash in one long.
+BITS = 20
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -36,9 +34,9 @@ def words_of(text: Column) -> Column:
 
 
 def _buckets(words: Column) -> Column:
-    """One bucket for each word: the hash of its ending and the next word's."""
-    end = lambda w: F.right(w, F.lit(ENDING))
-    return F.transform(words, lambda w, i: F.pmod(F.hash(end(w), F.coalesce(end(F.get(words, i + 1)), F.lit(""))), F.lit(BUCKETS)))
+    """The buckets of all words, then of all pairs of neighbours."""
+    pairs = F.zip_with(F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, F.lit(2), F.size(words)), lambda v, w: F.pmod(F.hash(v, w), F.lit(BUCKETS)))
+    return F.concat(F.transform(words, lambda w: F.pmod(F.hash(w), F.lit(BUCKETS))), pairs)
 
 
 def _windows(words: Column) -> Column:
@@ -56,7 +54,7 @@ def _neighbours_agree(xs: Column, same) -> Column:
     return F.filter(xs, lambda x, i: F.coalesce(same(x, F.get(xs, i + 1)) | same(x, F.get(xs, i - 1)), F.lit(False)))
 
 
-def with_repeated_words(df: DataFrame) -> DataFrame:
+def with_repeated_words(df: DataFrame, bits: int = BITS) -> DataFrame:
     """Adds n_repeat_words: words in windows that occur twice or more. Drops windows.
 
     Windows are sorted with their positions, a shortened hash and a position in one long. Documents where shortened
@@ -64,13 +62,13 @@ def with_repeated_words(df: DataFrame) -> DataFrame:
     would otherwise make it again for every element.
     """
     rest = [c for c in df.columns if c != "windows"]
-    none, at, high = F.array().cast("array<bigint>"), lambda x: x.bitwiseAND(F.lit(PACKED - 1)).cast("int"), lambda x: F.shiftright(x, 20)
+    none, at, high = F.array().cast("array<bigint>"), lambda x: x.bitwiseAND(F.lit((1 << bits) - 1)).cast("int"), lambda x: F.shiftright(x, bits)
     same = lambda x, y: F.coalesce(high(x) == high(y), F.lit(False))
     repeats = F.size(F.array_distinct("windows")) < F.size("windows")
-    packed = F.when(repeats, F.sort_array(F.transform("windows", lambda h, i: h.bitwiseAND(F.lit(-PACKED)).bitwiseOR(i.cast("long"))))).otherwise(none)
+    packed = F.when(repeats, F.sort_array(F.transform("windows", lambda h, i: h.bitwiseAND(F.lit(-1 << bits)).bitwiseOR(i.cast("long"))))).otherwise(none)
     df = df.select(*rest, "windows", packed.alias("packed"))
     clash = F.exists(F.sequence(F.lit(0), F.size("packed") - 1), lambda i: same(F.get("packed", i), F.get("packed", i + 1)) & (F.get("windows", at(F.get("packed", i))) != F.get("windows", at(F.get("packed", i + 1)))))
-    hard = (F.size("packed") > 0) & ((F.size("packed") > PACKED) | clash)
+    hard = (F.size("packed") > 0) & ((F.size("packed") > 1 << bits) | clash)
     df = df.select(*rest, "packed", F.when(hard, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("p"))))).alias("pairs"))
     exact = F.transform(_neighbours_agree(F.col("pairs"), lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))), lambda x: x["p"])
     usual = F.transform(_neighbours_agree(F.col("packed"), same), lambda x: at(x).cast("long"))
@@ -98,8 +96,9 @@ def log_ratios(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """For every document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, score.
 
-    Null and empty texts have no words, a score of 0, and fail the base rules. A document of one word has one pair, of
-    its ending and nothing. Repeated rows are scored each for itself. Labels' rows of null doc_id or quality don't count.
+    Null and empty texts have no words, a score of 0, and fail the base rules. Repeated rows are scored each for itself.
+    Labels' rows of null doc_id or quality don't count. An empty table gives no rows. The result is written to the
+    shared folder: a filter pushed into the scoring would work out its arrays inside their own lambdas.
     """
     # BUCKETS numbers come to the driver, and go out as a constant that the optimiser folds.
     model = ",".join(f"{x:.6f}" for x in log_ratios(docs, labels).first()["ratios"])
@@ -119,14 +118,13 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     counted = with_repeated_words(counted)
     rated = counted.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        F.when(F.col("n_words") > 0, F.col("total") / F.col("n_words")).otherwise(0.0).alias("score"),
+        F.when(F.col("n_words") > 0, F.col("total") / (2 * F.col("n_words") - 1)).otherwise(0.0).alias("score"),
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rated.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold))
+    return materialize(rated.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("score") >= threshold)))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that score_quality keeps, with their own columns. Rows whose doc_id is null are dropped."""
-    # Written first: a filter pushed into the scoring would work out its arrays inside their own lambdas.
-    kept = materialize(score_quality(docs, labels, threshold).select("doc_id", "kept")).where("kept").select("doc_id").distinct()
+    kept = score_quality(docs, labels, threshold).where("kept").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
