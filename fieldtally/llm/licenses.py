@@ -2,193 +2,141 @@
 
 A rule is a keyword, a regex over the lower-cased words joined by single blanks, a label, and a priority. Only texts
 that hold some rule's keyword are scanned, each only by the rules whose keyword it holds. Of overlapping detections,
-one that lies inside another of the same or a better priority is suppressed. Everything is DataFrame functions: the
-rules are a constant array, and each document's detections stay in its own row, so nothing is shuffled.
+one that lies inside another of the same or a better priority is suppressed. Everything is DataFrame functions: each
+rule is a constant expression, and a document's detections stay in its own row, so nothing is shuffled.
+
+A rule's places come from one pass: its matches are set between two control characters, which no word holds, and the
+words that begin or end with one are where matches begin and end.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.llm.common import documents
+from fieldtally.llm.license_rules import SIGNATURES
 
 #: Phrases that count as base places, and their labels.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 
-#: License families as (label, name as words, short identifier as words).
-FAMILIES = [
-    ("0bsd", "(?:zero clause bsd|bsd zero clause|free public)(?: license)?", "0bsd"),
-    ("afl", "academic free license", "afl(?: 3 0| 2 1| 2 0)?"),
-    ("agpl", "(?:gnu )?affero general public license", "agpl(?: 3 0| v3| 1 0)?"),
-    ("apache", "apache (?:software )?license", "apache(?: 2 0| 1 1| 1 0)"),
-    ("apsl", "apple public source license", "apsl(?: 2 0)?"),
-    ("artistic", "(?:perl )?artistic license", "artistic(?: 2 0| 1 0)"),
-    ("blueoak", "blue oak model license", "blueoak 1 0 0"),
-    ("bsd", "(?:(?:new|modified|simplified|revised|[234] clause) )?bsd license", "bsd [234] clause"),
-    ("bsl", "boost software license", "bsl 1 0"),
-    ("busl", "business source license", "busl 1 1"),
-    ("cc-by", "creative commons attribution(?: [1-4] [05])?(?: international| unported)?(?: public)? license", "cc by(?: [1-4] [05])?"),
-    ("cc-by-nc", "creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported)?(?: public)? license", "cc by nc(?: [1-4] [05])?"),
-    ("cc-by-nc-nd", "creative commons attribution non ?commercial no ?deriv(?:ative)?s?(?: [1-4] [05])?(?: international| unported)?(?: public)? license", "cc by nc nd(?: [1-4] [05])?"),
-    ("cc-by-nc-sa", "creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported)?(?: public)? license", "cc by nc sa(?: [1-4] [05])?"),
-    ("cc-by-nd", "creative commons attribution no ?deriv(?:ative)?s?(?: [1-4] [05])?(?: international| unported)?(?: public)? license", "cc by nd(?: [1-4] [05])?"),
-    ("cc-by-sa", "creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported)?(?: public)? license", "cc by sa(?: [1-4] [05])?"),
-    ("cc0", "(?:creative commons )?(?:cc0|cc zero)(?: 1 0)?(?: universal)?(?: public domain dedication| license)?", "cc0(?: 1 0)?"),
-    ("cddl", "common development and distribution license", "cddl(?: 1 0| 1 1)?"),
-    ("cecill", "cecill(?: [abc])? (?:free software )?license(?: agreement)?", "cecill(?: [abc]| 2 1)?"),
-    ("cpal", "common public attribution license", "cpal 1 0"),
-    ("cpl", "common public license", "cpl 1 0"),
-    ("ecl", "educational community license", "ecl 2 0"),
-    ("elastic", "elastic license", "elastic 2 0"),
-    ("epl", "eclipse public license", "epl(?: 1 0| 2 0)"),
-    ("eupl", "european union public licen[cs]e", "eupl(?: 1 1| 1 2)?"),
-    ("gfdl", "(?:gnu )?free documentation license", "gfdl(?: 1 [123])?"),
-    ("gpl", "(?:gnu )?general public license", "gpl(?: [23] 0| v[23])"),
-    ("hpnd", "historical permission notice and disclaimer", "hpnd"),
-    ("isc", "isc license", "isc"),
-    ("lgpl", "(?:gnu )?(?:lesser|library) general public license", "lgpl(?: [23] [01]| v[23])?"),
-    ("lppl", "latex project public license", "lppl(?: 1 3c)?"),
-    ("mit", "(?:mit|expat|x11) license", "mit"),
-    ("mit-0", "mit no attribution(?: license)?", "mit 0"),
-    ("mpl", "mozilla public license", "mpl(?: 1 1| 2 0)"),
-    ("ms-pl", "microsoft public license", "ms pl"),
-    ("ms-rl", "microsoft reciprocal license", "ms rl"),
-    ("mulan", "mulan permissive software license", "mulanpsl 2 0"),
-    ("ncsa", "(?:university of illinois )?ncsa open source license", "ncsa"),
-    ("odbl", "open (?:data commons open )?database license", "odbl(?: 1 0)?"),
-    ("odc-by", "open data commons attribution license", "odc by(?: 1 0)?"),
-    ("ofl", "(?:sil )?open font license", "ofl(?: 1 1)?"),
-    ("openssl", "openssl license", "openssl"),
-    ("osl", "open software license", "osl(?: 3 0)?"),
-    ("php", "php license", "php 3 01"),
-    ("postgresql", "postgresql licen[cs]e", "postgresql"),
-    ("psf", "python software foundation license", "(?:psf|python)(?: 2 0)"),
-    ("ruby", "ruby license", "ruby"),
-    ("sspl", "server side public license", "sspl(?: 1 0)?"),
-    ("unlicense", "unlicense", "unlicense"),
-    ("upl", "universal permissive license", "upl 1 0"),
-    ("vim", "vim license", "vim"),
-    ("w3c", "w3c software (?:notice and )?license", "w3c"),
-    ("wtfpl", "do what the fuck you want to public license", "wtfpl"),
-    ("zlib", "(?:zlib|zlib libpng) license", "zlib"),
-]
-#: How a text names a license, as (priority, keyword, words before, words after, what stands for the
-#: license). A smaller priority is better.
-NOTICES = [
-    (1, "spdx license identifier", "spdx license identifier ", "", "id"),
-    (1, "licen", "licen[cs]ed under (?:the terms of )?(?:the |an? )?", "(?: v(?:ersion)? ?[0-9]+(?: [0-9]+)?| version [0-9]+(?: [0-9]+)?)?", "name"),
-    (1, "licen", "licen[cs]ed under (?:the terms of )?(?:the |an? )?", "", "id"),
-    *[(2, f"{verb} under", f"{verb} under (?:the terms of )?(?:the |an? )?", "(?: version [0-9]+(?: [0-9]+)?)?", "name") for verb in ("released", "distributed", "available", "published", "provided")],
-    *[(2, f"{verb} under", f"{verb} under (?:the terms of )?(?:the |an? )?", "", "id") for verb in ("released", "distributed", "available", "published", "provided")],
-    (3, "licen", "", "(?: version [0-9]+(?: [0-9]+)?)?", "name"),
-]
-#: Signatures of license bodies, as (label, keyword, regex).
-BODIES = [
-    ("mit", "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "permission", "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification"),
-    ("apache", "apache", "unless required by applicable law or agreed to in writing software distributed under the license"),
-    ("gpl", "free software foundation", "under the terms of the gnu general public license as published by the free software foundation"),
-    ("lgpl", "free software foundation", "under the terms of the gnu lesser general public license as published by the free software foundation"),
-    ("agpl", "free software foundation", "under the terms of the gnu affero general public license as published by the free software foundation"),
-    ("mpl", "mozilla", "this source code form is subject to the terms of the mozilla public license"),
-    ("zlib", "warranty", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("unlicense", "public domain", "free and unencumbered software released into the public domain"),
-    ("wtfpl", "you just do", "you just do what the fuck you want to"),
-    ("proprietary", "rights", "all rights reserved"),
-]
 #: How sure a detection of each priority is.
 CONFIDENCE = {1: 1.0, 2: 0.9, 3: 0.7, 4: 0.6}
-#: A word of each keyword and each base phrase: a text without any of them is not scanned.
-GATES = ("licen", "released", "distributed", "available", "published", "provided", "permission", "redistribution", "apache", "foundation", "mozilla", "warranty", "domain", "just", "rights", "cc0")
-NOT_WORDS_RAW = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 NOT_WORDS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PRIORITIES = (1, 2, 3, 4)
+#: Words too common to gate by, where a keyword has another.
+COMMON = frozenset("common developed development free general network open project public service software source standard style terms version young".split())
+BEGIN, END = "\x01", "\x02"
+#: Detections that are folded together; results of so many are copied at a step, not those of a whole text.
+TOGETHER = 128
+PLACES = "array<struct<start:int,neg_end:int,rank:int,label:string>>"
 
 
 def rules() -> list[tuple[str, str, str, int]]:
     """(keyword, regex, label, priority), the best priority first."""
-    out = [(word, before + "(?:" + (name if kind == "name" else short) + ")" + after, label, rank) for rank, word, before, after, kind in NOTICES for label, name, short in FAMILIES]
-    out += [(word, regex, label, 4 if label == "proprietary" else 1) for label, word, regex in BODIES]
-    out += [("unlicense", "unlicense", "unlicense", 3), ("cc0", "cc0(?: 1 0)?(?: universal)?", "cc0", 3)]
-    return sorted(((word, f"(?<= )(?:{regex})(?= )", label, rank) for word, regex, label, rank in out), key=lambda x: x[3])
-
-
-def _rules_column() -> Column:
-    """All rules as a constant that the optimiser folds: one string, split into lines and fields."""
-    lines = "\n".join("\t".join(map(str, r)) for r in rules())
-    return F.split(F.lit(lines), "\n")
-
-
-def _places(line: Column, regex: Column, label: Column, rank: Column) -> Column:
-    """Places of a regex's matches in a line, as structs; matches are never empty."""
-    found = F.struct(F.regexp_extract_all(line, regex, F.lit(0)).alias("m"), F.split(line, regex, -1).alias("gaps"))
-    start = F.struct(F.array().cast("array<struct<start:int,neg_end:int,rank:int,label:string>>").alias("out"), F.lit(0).alias("at"))
-    step = lambda m, gap: F.struct(m.alias("m"), gap.alias("gap"))
-    return F.transform(
-        F.array(found),
-        lambda f: F.aggregate(
-            F.zip_with(f["m"], F.slice(f["gaps"], F.lit(1), F.size(f["m"])), step),
+    fields = [line.split(" :: ") for line in SIGNATURES.strip().split("\n")]
+    return sorted(((word, regex, label, int(rank)) for rank, label, word, regex in fields), key=lambda x: x[3])
+
+
+def gates() -> list[str]:
+    """A word of each keyword and each base phrase, the longest that is not common: a text that holds none of them is not
+    scanned."""
+    return sorted({gate(word) for word in [*(x[0] for x in rules()), *(x[0] for x in BASE)]})
+
+
+def gate(keyword: str) -> str:
+    return max(keyword.split(), key=lambda w: (w not in COMMON, len(w)))
+
+
+def _marked(line: Column, regex: str, label: str, rank: int) -> Column:
+    """A matching rule with the line's blanks and the marks of its matches: what else the words hold is left out. Null
+    where the regex doesn't match."""
+    pattern = F.lit(f" ((?:{regex}))(?= )")
+    marks = F.regexp_replace(F.regexp_replace(line, pattern, F.lit(f" {BEGIN}$1{END}")), F.lit(f"[^ {BEGIN}{END}]+"), F.lit(""))
+    return F.when(F.rlike(line, pattern), F.struct(F.lit(rank).alias("rank"), F.lit(label).alias("label"), marks.alias("marks")))
+
+
+def _places(rule: Column) -> Column:
+    """A marked rule's matches, as structs of word positions."""
+
+    def of(words: Column) -> Column:
+        starts = F.filter(F.transform(words, lambda w, i: F.when(F.startswith(w, F.lit(BEGIN)), i)), lambda i: i.isNotNull())
+        ends = F.filter(F.transform(words, lambda w, i: F.when(F.endswith(w, F.lit(END)), i)), lambda i: i.isNotNull())
+        return F.zip_with(starts, ends, lambda a, b: F.struct((a - 1).alias("start"), (-b).alias("neg_end"), rule["rank"].alias("rank"), rule["label"].alias("label")))
+
+    return F.transform(F.array(F.split(rule["marks"], " ", -1)), of)[0]
+
+
+def _matching(found: list[Column]) -> Column:
+    return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+
+def _kept(found: Column) -> Column:
+    """The detections that lie inside no other of the same or a better priority. Sorted by start, then the longest: what
+    holds a detection stands before it, so the farthest ends so far decide. These are first taken over groups of
+    detections, so that the fold over each group knows what came before it."""
+    farthest = lambda xs, p: F.coalesce(F.array_max(F.transform(F.filter(xs, lambda x: x["rank"] == p), lambda x: -x["neg_end"])), F.lit(0)).alias(f"e{p}")
+    more = lambda s, x, p: F.when(x["rank"] == p, F.greatest(s[f"e{p}"], -x["neg_end"])).otherwise(s[f"e{p}"]).alias(f"e{p}")
+    inside = lambda s, x: (-x["neg_end"]) <= F.greatest(*[F.when(F.lit(p) <= x["rank"], s[f"e{p}"]).otherwise(0) for p in PRIORITIES])
+    ends = ",".join(f"e{p}:int" for p in PRIORITIES)
+
+    def of(xs: Column) -> Column:
+        groups = F.transform(F.sequence(F.lit(0), F.call_function("div", F.size(xs) - 1, F.lit(TOGETHER)).cast("int")), lambda k: F.slice(xs, k * TOGETHER + 1, F.lit(TOGETHER)))
+        start = F.struct(F.array().cast(f"array<struct<{ends}>>").alias("out"), *[F.lit(0).alias(f"e{p}") for p in PRIORITIES])
+        before = F.aggregate(
+            F.transform(groups, lambda g: F.struct(*[farthest(g, p) for p in PRIORITIES])),
             start,
-            lambda s, x: F.struct(
-                F.concat(s["out"], F.array(F.struct((s["at"] + F.length(x["gap"])).alias("start"), (-(s["at"] + F.length(x["gap"]) + F.length(x["m"]))).alias("neg_end"), rank.alias("rank"), label.alias("label")))).alias("out"),
-                (s["at"] + F.length(x["gap"]) + F.length(x["m"])).alias("at"),
-            ),
+            lambda s, g: F.struct(F.concat(s["out"], F.array(F.struct(*[s[f"e{p}"].alias(f"e{p}") for p in PRIORITIES]))).alias("out"), *[F.greatest(s[f"e{p}"], g[f"e{p}"]).alias(f"e{p}") for p in PRIORITIES]),
             lambda s: s["out"],
-        ),
-    )[0]
+        )
+        fold = lambda g, e: F.aggregate(
+            g,
+            F.struct(F.array().cast(PLACES).alias("kept"), *[e[f"e{p}"].alias(f"e{p}") for p in PRIORITIES]),
+            lambda s, x: F.struct(F.when(inside(s, x), s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"), *[more(s, x, p) for p in PRIORITIES]),
+            lambda s: s["kept"],
+        )
+        return F.flatten(F.zip_with(groups, before, fold))
+
+    return F.when(F.size(found) > 0, F.transform(F.array(F.sort_array(found)), of)[0]).otherwise(F.array().cast(PLACES))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """For every document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, detections.
 
-    detections are the rules' surviving matches (label, priority, start and end in the words joined by single blanks).
-    score is the best confidence among base places and detections, 0 where there are none. Null and empty texts have no
-    words. Repeated rows are scanned each for itself.
+    detections are the rules' surviving matches (label, priority, first word and the one behind the last). score is the
+    best confidence among base places and detections, 0 where there are none. Null and empty texts have no words. Repeated
+    rows are scanned each for itself. An empty table gives no rows.
     """
     text = F.coalesce("text", F.lit(""))
-    # Words don't depend on case, so they are counted on the text as it is. Lower-casing more than A-Z lets no keyword
-    # slip, so the quick gate may do it; texts that pass are lower-cased and joined exactly.
-    low = F.lower("text")
-    gate = reduce(Column.__or__, [F.contains(low, F.lit(x)) for x in GATES])
-    parts = documents(docs).select("doc_id", text.alias("text")).select("doc_id", F.split("text", NOT_WORDS_RAW, -1).alias("parts"), F.when(gate, F.col("text")).alias("gated"))
-    exact = F.translate("gated", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    # Lower-casing more than A-Z changes no word's bounds and lets no keyword slip, so the count of words and the quick
+    # gate may do it; texts that pass are lower-cased and joined exactly.
+    parts = documents(docs).select("doc_id", text.alias("text")).select("doc_id", "text", F.split(F.lower("text"), NOT_WORDS, -1).alias("parts"))
+    scanned = F.arrays_overlap("parts", F.array(*[F.lit(x) for x in gates()]))
+    exact = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     gated = parts.select(
         "doc_id",
         (F.size("parts") - (F.element_at("parts", 1) == "").cast("int") - ((F.size("parts") > 1) & (F.element_at("parts", -1) == "")).cast("int")).cast("long").alias("n_words"),
-        F.when(F.col("gated").isNotNull(), F.concat(F.lit(" "), F.btrim(F.array_join(F.split(exact, NOT_WORDS, -1), " ")), F.lit(" "))).alias("line"),
-    )
-    held = F.filter(_rules_column(), lambda r: F.contains(F.col("line"), F.substring_index(r, "\t", 1)))
-    field = lambda r, i: F.element_at(F.split(r, "\t"), i)
-    found = F.when(F.col("line").isNotNull(), F.flatten(F.transform(held, lambda r: _places(F.col("line"), field(r, 2), field(r, 3), field(r, 4).cast("int")))))
-    base = F.when(F.col("line").isNotNull(), F.flatten(F.array(*[_places(F.col("line"), F.lit(f"(?<= )(?:{phrase})(?= )"), F.lit(label), F.lit(0)) for phrase, label in BASE])))
-    seen = gated.select("doc_id", "n_words", "line", F.sort_array(found).alias("found"), F.sort_array(base).alias("base"))
-    none = F.array().cast("array<struct<start:int,neg_end:int,rank:int,label:string>>")
-    # Sorted by start, then the longest: what holds a detection stands before it, so the farthest ends so far decide.
-    ends = F.struct(none.alias("kept"), *[F.lit(0).alias(f"e{p}") for p in PRIORITIES])
-    inside = lambda s, x: (-x["neg_end"]) <= F.greatest(*[F.when(F.lit(p) <= x["rank"], s[f"e{p}"]).otherwise(0) for p in PRIORITIES])
-    kept = F.aggregate(
-        F.coalesce("found", none),
-        ends,
-        lambda s, x: F.struct(F.when(inside(s, x), s["kept"]).otherwise(F.concat(s["kept"], F.array(x))).alias("kept"), *[F.when(x["rank"] == p, F.greatest(s[f"e{p}"], -x["neg_end"])).otherwise(s[f"e{p}"]).alias(f"e{p}") for p in PRIORITIES]),
-        lambda s: s["kept"],
+        F.when(scanned, F.concat(F.lit(" "), F.btrim(F.array_join(F.split(exact, NOT_WORDS, -1), " ")), F.lit(" "))).alias("line"),
     )
-    blanks = lambda x: (F.length(F.regexp_replace(F.substring(F.col("line"), F.lit(1), x["start"]), "[^ ]+", "")) - 1).cast("long")
-    out = seen.select("doc_id", "n_words", "line", F.coalesce("base", none).alias("base"), kept.alias("kept"))
-    starts = F.transform("base", blanks)
+    line, by_word = F.col("line"), {}
+    for word, regex, label, rank in rules():
+        by_word.setdefault(word, []).append(_marked(line, regex, label, rank))
+    found = F.flatten(_matching([F.when(F.contains(line, F.lit(word)), F.array(*of_word)) for word, of_word in by_word.items()]))
+    base = _matching([F.when(F.contains(line, F.lit(phrase)), _marked(line, phrase, label, 0)) for phrase, label in BASE])
+    places = lambda xs: F.flatten(F.transform(F.filter(xs, lambda x: x.isNotNull()), _places))
+    seen = gated.select("doc_id", "n_words", places(found).alias("found"), places(base).alias("base"))
+    out = seen.select("doc_id", "n_words", "base", F.transform("base", lambda x: x["start"].cast("long")).alias("starts"), _kept(F.col("found")).alias("kept"))
     labels = lambda xs: F.array_join(F.array_sort(F.array_distinct(xs)), ",")
-    sure = F.aggregate("kept", F.when(F.size("base") > 0, F.lit(0.7)).otherwise(F.lit(0.0)), lambda s, x: F.greatest(s, F.when(x["rank"] == 1, CONFIDENCE[1]).when(x["rank"] == 2, CONFIDENCE[2]).when(x["rank"] == 3, CONFIDENCE[3]).otherwise(CONFIDENCE[4])))
+    best = F.array_min(F.transform("kept", lambda x: x["rank"]))
+    sure = F.greatest(F.when(F.size("base") > 0, F.lit(CONFIDENCE[3])).otherwise(0.0), *[F.when(best == p, F.lit(CONFIDENCE[p])).otherwise(0.0) for p in PRIORITIES])
     return out.select(
         "doc_id",
         "n_words",
         F.size("base").cast("long").alias("n_base"),
-        F.array_min(starts).alias("first_word"),
-        F.array_max(starts).alias("last_word"),
+        F.array_min("starts").alias("first_word"),
+        F.array_max("starts").alias("last_word"),
         labels(F.transform("base", lambda x: x["label"])).alias("base_labels"),
         labels(F.concat(F.transform("base", lambda x: x["label"]), F.transform("kept", lambda x: x["label"]))).alias("labels"),
         sure.alias("score"),
-        F.transform("kept", lambda x: F.struct(x["label"].alias("label"), x["rank"].alias("priority"), x["start"].alias("start"), (-x["neg_end"]).alias("end"))).alias("detections"),
+        F.transform("kept", lambda x: F.struct(x["label"].alias("label"), x["rank"].alias("priority"), x["start"].alias("first_word"), (-x["neg_end"]).alias("end_word"))).alias("detections"),
     )
