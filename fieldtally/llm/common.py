@@ -5,14 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a list of 64-bit ids is broadcast; longer lists are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
+#: Groups of more than this part of all rows are hot: they are broadcast, being fewer than so many.
+HOT = 1000
 #: Text bytes that a numpy step takes at once; a longer document makes a step of its own.
 SLICE_BYTES = 1 << 20
 
@@ -46,6 +49,26 @@ def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
+def beside_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, spread: Column) -> DataFrame:
+    """rows with the columns of their group (all but `count`, null where there is none), as a left join on keys. groups: a
+    row for each key, with the number of rows of it in `count`; read twice, so written before.
+
+    Groups of more than a HOT part of all counted rows are broadcast: there are fewer than HOT of them. The rest are
+    joined by shuffling, where rows of hot groups are spread out by `spread`."""
+    most = groups.agg(F.sum(count).alias("n")).first()["n"] or 0
+    rest = [c for c in groups.columns if c not in (*keys, count)]
+    hot = groups.where(F.col(count) * HOT > most).select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.struct(*rest).alias("_hot"))
+    other = groups.where(F.col(count) * HOT <= most).select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.struct(*rest).alias("_other"))
+    marked = rows.join(F.broadcast(hot), reduce(Column.__and__, [F.col(k) == F.col(f"_hot_{k}") for k in keys]), "left")
+    is_hot = F.col(f"_hot_{keys[0]}").isNotNull()
+    # the first key of a hot row becomes a hash of `spread`, and one more condition sees that it meets nothing
+    first = F.when(is_hot, F.xxhash64(spread)).otherwise(F.col(keys[0])) == F.col(f"_of_{keys[0]}")
+    cold = F.when(is_hot, 1).otherwise(0) == F.lit(0)
+    joined = marked.join(other, reduce(Column.__and__, [first, cold, *[F.col(k) == F.col(f"_of_{k}") for k in keys[1:]]]), "left")
+    both = F.when(is_hot, F.col("_hot")).otherwise(F.col("_other"))
+    return joined.select(*rows.columns, *[both[c].alias(c) for c in rest])
+
+
 def slices(lengths: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch that hold about `most` bytes each."""
     ends = np.cumsum(lengths)

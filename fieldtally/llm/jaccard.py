@@ -6,7 +6,8 @@
 3. First each member is compared with its block's first one; the links found join most copies into components.
 4. In blocks that still hold several components, members are points: shingles hashed into GROUPS groups, counted. An
    R-tree over the points bounds the overlap of two nodes, and of two points, by the summed minima of their
-   coordinates; only pairs of different components that pass the bound are left.
+   coordinates; only pairs of different components that pass the bound are left. The upper nodes of a large block's tree
+   hold CELL points or so, cut along the sets' sizes and their leading coordinates; pairs of such nodes are dealt to tasks.
 5. Every pair left is verified on the whole sets. Links between classes give the components.
 
 A tree over the whole corpus would compare nearly all its leaves: the vectors of unrelated texts of like length lie
@@ -22,8 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import SPACE, documents, materialize, mix, only_ids, slices, text_bytes, unsigned_to_long, word_hashes
+from fieldtally.llm.common import SPACE, beside_counted, documents, materialize, mix, only_ids, slices, text_bytes, unsigned_to_long, word_hashes
 from fieldtally.llm.components import components
+from fieldtally.llm.repeats import known_twice
 
 WORDS = 5
 #: Similarity from which two sets link, in hundredths.
@@ -38,6 +40,10 @@ COARSE = 64
 TOP = (1 << 15) - 1
 #: Points of an R-tree leaf, and children of a node.
 LEAF = 64
+#: Points of a node that a task takes whole: larger blocks are dealt out by pairs of nodes.
+CELL = 512
+#: Rows of prefixes that are looked through together for shingles that repeat.
+TOGETHER = 150_000
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
@@ -117,27 +123,30 @@ def needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def tree_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of points of different parts that may link: descends a bulk-loaded R-tree from pairs of nodes to pairs of
-    points, and leaves out what the summed minima of coordinates exclude."""
-    order = np.lexsort((points.argmax(1), sizes))
-    fine, sizes, parts = points[order], sizes[order], parts[order]
+def tree_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent: int, sides: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of points of different parts (and of different sides, where there are two) that may link: descends a
+    bulk-loaded R-tree from pairs of nodes to pairs of points, and leaves out what the summed minima of coordinates
+    exclude."""
+    two = sides is not None
+    sides = sides if two else np.arange(len(sizes))
+    order = np.lexsort((points.argmax(1), sizes, sides) if two else (points.argmax(1), sizes))
+    fine, sizes, parts, sides = points[order], sizes[order], parts[order], sides[order]
     points = fine.reshape(len(fine), COARSE, -1).sum(2, dtype=np.int32)
     n = len(sizes)
-    # levels[0] are the leaves; of each node the largest coordinates, the range of sizes, and the one part if it is one
+    only = lambda xs, a, b: xs[a] if (xs[a:b] == xs[a]).all() else -1
+    # levels[0] are the leaves; of each node the largest coordinates, the range of sizes, and the one part and side if it is one
     levels, at = [], [(i, min(i + LEAF, n)) for i in range(0, n, LEAF)]
     tops = np.array([points[a:b].max(0) for a, b in at])
     lows, highs = np.array([sizes[a:b].min() for a, b in at]), np.array([sizes[a:b].max() for a, b in at])
-    one = np.array([parts[a] if (parts[a:b] == parts[a]).all() else -1 for a, b in at])
-    levels.append((tops, lows, highs, one))
+    levels.append((tops, lows, highs, np.array([only(parts, a, b) for a, b in at]), np.array([only(sides, a, b) for a, b in at])))
     while len(levels[-1][0]) > LEAF:
-        tops, lows, highs, one = levels[-1]
+        tops, lows, highs, part, side = levels[-1]
         cuts = range(0, len(tops), LEAF)
-        levels.append((np.maximum.reduceat(tops, cuts), np.minimum.reduceat(lows, cuts), np.maximum.reduceat(highs, cuts), np.array([one[c] if (one[c : c + LEAF] == one[c]).all() else -1 for c in cuts])))
+        levels.append((np.maximum.reduceat(tops, cuts), np.minimum.reduceat(lows, cuts), np.maximum.reduceat(highs, cuts), *(np.array([only(xs, c, c + LEAF) for c in cuts]) for xs in (part, side))))
 
     def may_link(level: tuple, i: int, js: np.ndarray) -> np.ndarray:
-        tops, lows, highs, one = level
-        js = js[(percent * lows[js] <= 100 * highs[i]) & (percent * lows[i] <= 100 * highs[js]) & ~((one[i] >= 0) & (one[i] == one[js]))]
+        tops, lows, highs, part, side = level
+        js = js[(percent * lows[js] <= 100 * highs[i]) & (percent * lows[i] <= 100 * highs[js]) & ~((part[i] >= 0) & (part[i] == part[js])) & ~((side[i] >= 0) & (side[i] == side[js]))]
         return js[(np.minimum(tops[i], tops[js]).sum(1, dtype=np.int64) >= needed(lows[i], lows[js], percent)) | (highs[js] > TOP)]
 
     top = levels[-1]
@@ -156,13 +165,39 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent
         (a, b), theirs = at[i], np.concatenate([np.arange(*at[j]) for j in js])
         for k in range(a, b):
             js_ = theirs[theirs > k]
-            js_ = js_[(parts[js_] != parts[k]) & (percent * sizes[js_] <= 100 * sizes[k]) & (percent * sizes[k] <= 100 * sizes[js_])]
+            js_ = js_[(parts[js_] != parts[k]) & (sides[js_] != sides[k]) & (percent * sizes[js_] <= 100 * sizes[k]) & (percent * sizes[k] <= 100 * sizes[js_])]
             for x in (points, fine):
                 js_ = js_[(np.minimum(x[k], x[js_]).sum(1, dtype=np.int64) >= needed(sizes[k], sizes[js_], percent)) | (sizes[js_] > TOP)]
             if len(js_):
                 yield np.full(len(js_), order[k]), order[js_]
 
 
+def node_pairs(members: DataFrame, percent: int, cell: int) -> DataFrame:
+    """The members of blocks (h, id, n, part, point), each as often as its node has a partner: with the pair of nodes (i,
+    j) and the side of the member in it. Blocks of up to `cell` points are one node. The nodes of a larger one are cut along
+    size and leading coordinate: points of equal ones are spread by a hash of their id, so no rank is needed and no block
+    is gathered. A node that can't link by its sizes, or is of the partner's one part, has no pair."""
+    keys = ["h", "n", "lead"]
+    members = members.withColumn("lead", F.array_position("point", F.array_max("point")).cast("int"))
+    large = members.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > cell)
+    along = Window.partitionBy("h").orderBy("n", "lead")
+    groups = members.join(large, "h").groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    groups = materialize(groups.select(*keys, "c", (F.sum("c").over(along) - F.col("c")).alias("before")))
+    placed = members.join(groups, keys, "left")
+    at = F.floor((F.col("before") + F.pmod(F.xxhash64("id"), F.col("c"))) / cell).cast("int")
+    columns = ["h", "id", "n", "part", "point"]
+    zero = F.lit(0)
+    alone = placed.where("c IS NULL").select(*columns, zero.alias("i"), zero.alias("j"), zero.alias("side"))
+    dealt = placed.where("c IS NOT NULL").select(*columns, at.alias("node"))
+    nodes = materialize(dealt.groupBy("h", "node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("part").alias("p0"), F.max("part").alias("p1")))
+    a, b = (nodes.select("h", *[F.col(c).alias(x + c) for c in ("node", "low", "high", "p0", "p1")]) for x in ("a", "b"))
+    may = (F.col("anode") <= F.col("bnode")) & (percent * F.col("alow") <= 100 * F.col("bhigh")) & (percent * F.col("blow") <= 100 * F.col("ahigh"))
+    several = (F.col("ap0") != F.col("ap1")) | (F.col("bp0") != F.col("bp1")) | (F.col("ap0") != F.col("bp0"))
+    pairs = materialize(a.join(b, "h").where(may & several).select("h", F.col("anode").alias("i"), F.col("bnode").alias("j")))
+    ends = pairs.select("h", F.col("i").alias("node"), "i", "j", zero.alias("side")).unionByName(pairs.where("i <> j").select("h", F.col("j").alias("node"), "i", "j", F.lit(1).alias("side")))
+    return alone.unionByName(dealt.join(ends, ["h", "node"]).select(*columns, "i", "j", "side"))
+
+
 def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sizes and points leave a link possible, with both sizes."""
     side = lambda x: points.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("point").alias("point" + x))
@@ -191,7 +226,7 @@ def _lists(xs: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, xs)]), pa.int32()), pa.array(np.concatenate(xs), kind))
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell: int = CELL) -> DataFrame:
     """For every document: doc_id, n_shingles, component_id (the smallest doc_id that links reach, itself included).
 
     Null texts and texts without words have no shingles and link with nothing. Equal texts, equal sets and repeated rows
@@ -206,12 +241,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     rank[np.argsort(cells, kind="stable")] = np.arange(CELLS, dtype=np.uint64)
     held = spark.sparkContext.broadcast(rank)
     each = seen.where("doc_id IS NOT NULL")
-    classes = each.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("id"))
+    classes = each.where("n > 0").groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies"))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
+        out: list[list[np.ndarray]] = [[], [], []]
+
+        def rows_of() -> pa.RecordBatch:
+            """A shingle that stands here twice is known to be shared: one of its rows goes where all tasks' rows of it
+            meet, the others need no witness and are dealt at random."""
+            h, digest, n = (np.concatenate(c) for c in out)
+            sure, salt = known_twice(h, digest ^ unsigned_to_long(mix(h)))
+            return pa.RecordBatch.from_arrays([pa.array(unsigned_to_long(h)), pa.array(salt), pa.array(sure), pa.array(digest), pa.array(n)], ["h", "salt", "sure", "digest", "n"])
+
         for _, sets in _each_set(batches, words):
-            out = [[], [], []]
             for x in sets:
                 digest = set_digest(x)
                 if not len(x) or digest in done:
@@ -221,13 +264,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
                 out[0].append(head)
                 out[1].append(np.full(len(head), digest))
                 out[2].append(np.full(len(head), len(x), np.int32))
-            if out[0]:
-                h, digest, n = (np.concatenate(c) for c in out)
-                yield pa.RecordBatch.from_arrays([pa.array(unsigned_to_long(h)), pa.array(digest), pa.array(n)], ["h", "digest", "n"])
-
-    heads = documents(docs).where("doc_id IS NOT NULL").mapInArrow(prefixes, "h long, digest long, n int")
-    block = Window.partitionBy("h")
-    met = heads.select("h", "digest", "n", F.min("digest").over(block).alias("lo"), F.max("digest").over(block).alias("hi")).where("lo <> hi").select("h", "digest", "n").distinct()
+            if sum(map(len, out[0])) > TOGETHER:
+                yield rows_of()
+                out = [[], [], []]
+        if out[0]:
+            yield rows_of()
+
+    heads = documents(docs).where("doc_id IS NOT NULL").mapInArrow(prefixes, "h long, salt int, sure boolean, digest long, n int")
+    block = Window.partitionBy("h", "salt")
+    met = heads.select("h", "sure", "digest", "n", F.min("digest").over(block).alias("lo"), F.max("digest").over(block).alias("hi")).where("sure OR lo <> hi").select("h", "digest", "n").distinct()
     blocks = materialize(met.join(classes, ["digest", "n"]).select("h", "id", "n"))
     wanted = blocks.select(F.col("id").alias("doc_id")).distinct()
 
@@ -246,19 +291,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     # Blocks of one component are done; of blocks with the same members, one is enough.
     mixed = named.groupBy("h").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(F.xxhash64("id"), 20)).alias("s0"), F.bit_xor(F.xxhash64("id")).alias("s1")).where("p0 <> p1")
     once = mixed.groupBy("m", "s0", "s1").agg(F.min("h").alias("h")).select("h")
-    members = named.join(once, "h", "left_semi").join(points.select("id", "point"), "id")
+    members = materialize(named.join(once, "h", "left_semi").join(points.select("id", "point"), "id"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by block; a block that goes on in the next batch waits for it."""
+        """Rows come sorted by pair of nodes; a pair that goes on in the next batch waits for it."""
         rest: pa.Table | None = None
 
-        def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            h, ids, n, parts = (table.column(c).to_numpy() for c in ("h", "id", "n", "part"))
+        def bounds(table: pa.Table) -> np.ndarray:
+            h, i, j = (table.column(c).to_numpy() for c in ("h", "i", "j"))
+            new = (h[1:] != h[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+            return np.flatnonzero(np.concatenate([[True], new, [True]]))
+
+        def solve(table: pa.Table, cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            ids, n, parts, sides = (table.column(c).to_numpy() for c in ("id", "n", "part", "side"))
             vectors = table.column("point").combine_chunks().flatten().to_numpy().reshape(-1, GROUPS)
-            cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
             found: list = [[], []]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                for x, y in tree_pairs(vectors[a:b], n[a:b].astype(np.int64), parts[a:b], percent):
+                two = sides[a:b] if sides[a:b].any() else None
+                for x, y in tree_pairs(vectors[a:b], n[a:b].astype(np.int64), parts[a:b], percent, two):
                     found[0].append(ids[a:b][x])
                     found[1].append(ids[a:b][y])
             if found[0]:
@@ -267,20 +317,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
+            if not len(batch):
+                continue
             table = pa.Table.from_batches([batch])
             table = pa.concat_tables([rest, table]) if rest is not None else table
-            h = table.column("h").to_numpy()
-            whole = int(np.searchsorted(h, h[-1])) if len(h) else 0
-            yield from solve(table.slice(0, whole)) if whole else ()
-            rest = table.slice(whole)
-        if rest is not None and len(rest):
-            yield from solve(rest)
-
-    pairs = members.select("h", "id", "n", "part", "point").repartition("h").sortWithinPartitions("h").mapInArrow(search, "a long, b long").distinct()
+            cuts = bounds(table)
+            if len(cuts) > 2:
+                yield from solve(table.slice(0, int(cuts[-2])), cuts[:-1])
+            rest = table.slice(int(cuts[-2]))
+        if rest is not None:
+            yield from solve(rest, np.array([0, len(rest)]))
+
+    dealt = node_pairs(members, percent, cell).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    pairs = dealt.mapInArrow(search, "a long, b long").distinct()
     more = materialize(_verify(pairs, points, texts, words, percent))
     merged = materialize(components(links.unionByName(more)))
-    of_class = classes.join(merged, "id", "left").select("digest", "n", F.coalesce("component", "id").alias("component"))
-    return each.join(of_class, ["digest", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_class = materialize(classes.join(merged, "id", "left").select("digest", "n", "copies", F.coalesce("component", "id").alias("component")))
+    named = beside_counted(each, of_class, ["digest", "n"], "copies", F.col("doc_id"))
+    return named.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

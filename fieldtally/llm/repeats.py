@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import BYTE_VALUE, documents, materialize, mix, only_ids, slices, span_hash, text_bytes
+from fieldtally.llm.common import BYTE_VALUE, beside_counted, documents, materialize, mix, only_ids, slices, span_hash, text_bytes
 
 LENGTH = 100
 #: Bytes of an anchor.
@@ -322,10 +322,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
 
     touched = only_ids(docs, spans.select("doc_id")).join(spans, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("key"), "spans")
     cut = touched.mapInArrow(cut_out, "doc_id long, key long, removed long, number long, cut_sha string, kept binary").dropDuplicates(["doc_id", "key"])
-    first = each.groupBy("key", "n_bytes").agg(F.min("doc_id").alias("first"))
+    first = materialize(each.groupBy("key", "n_bytes").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
     copy = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= length)
     return (
-        each.join(first, ["key", "n_bytes"])
+        beside_counted(each, first, ["key", "n_bytes"], "copies", F.col("doc_id"))
         .join(cut, ["doc_id", "key"], "left")
         .select(
             "doc_id",

@@ -7,11 +7,13 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from fieldtally.llm import chunks, components, decontamination, jaccard, language, licenses, packing, pii, quality, repeats, tokens
@@ -71,12 +73,12 @@ def test_quality_counts(docs, rows, labels, empty):
     for doc_id, text, *_ in rows:
         words, r = words_of(text), found[doc_id]
         windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
-        covered = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)} if len(windows) < 2000 else None
+        times = Counter(windows)
+        covered = {i + j for i, w in enumerate(windows) if times[w] > 1 for j in range(3)}
         lines = [x for x in (text or "").split("\n") if words_of(x)]
         assert (r["n_words"], r["word_chars"], r["n_dup_lines"]) == (len(words), sum(map(len, words)), len(lines) - len(set(lines)))
         assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in text or "")
-        if covered is not None:
-            assert r["n_repeat_words"] == len(covered)
+        assert r["n_repeat_words"] == len(covered)
         assert r["base_failed"] == (len(words) < 50 or 100 * r["n_repeat_words"] > 50 * len(words))
         assert not (r["kept"] and r["base_failed"])
     assert quality.score_quality(empty, labels).count() == 0
@@ -92,14 +94,32 @@ def test_quality_tells_junk_from_prose(spark):
     assert kept == {i for i, _ in good}
 
 
-def test_long_windows_take_the_exact_path(spark, monkeypatch):
-    monkeypatch.setattr(quality, "PACKED", 1 << 20)
+def test_quality_scores_match_a_plain_version(spark, docs, rows, labels):
+    """Score and verdict of every document from n-gram counts by hand; only the hash is Spark's."""
+    trusted = {r["doc_id"] for r in labels.collect() if r["quality"] == 1}
+    grams = {i: [(w,) for w in ws] + list(zip(ws, ws[1:], strict=False)) for i, (_, t, *_) in enumerate(rows) for ws in [words_of(t)]}
+    every = sorted({g for x in grams.values() for g in x})
+    table = spark.createDataFrame([(k, *g, *[None] * (2 - len(g))) for k, g in enumerate(every)], "k long, a string, b string")
+    bucket = {every[r["k"]]: r["h"] for r in table.selectExpr("k", f"pmod(IF(b IS NULL, hash(a), hash(a, b)), {quality.BUCKETS}) AS h").collect()}
+    raw = Counter(bucket[g] for x in grams.values() for g in x)
+    good = Counter(bucket[g] for i, x in grams.items() if rows[i][0] in trusted for g in x)
+    share = good.total() / raw.total()
+    found = {r["doc_id"]: r for r in quality.score_quality(docs, labels).where("score > -1e9").collect()}
+    for i, x in grams.items():
+        ratios = [math.log((good[bucket[g]] + quality.SMOOTHING) / (raw[bucket[g]] * share + quality.SMOOTHING)) for g in x]
+        r, score = found[rows[i][0]], sum(ratios) / len(ratios) if ratios else 0
+        assert abs(r["score"] - score) < 1e-5 and r["kept"] == (not r["base_failed"] and r["score"] >= quality.THRESHOLD)
+
+
+@pytest.mark.parametrize("bits", [2, 5, 20, 60])
+def test_long_windows_take_the_exact_path(spark, bits):
+    """Few bits for positions send a text the way of long texts, many the way of colliding hashes."""
     text = " ".join(["a", "b", "c"] * 20 + [f"w{i}" for i in range(60)] + ["q", "r", "s", "x", "q", "r", "s"])
     words = text.split()
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
     expected = len({i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)})
-    table = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    assert quality.score_quality(table, spark.createDataFrame([], "doc_id long, quality int")).first()["n_repeat_words"] == expected
+    table = spark.createDataFrame([(1, words)], "doc_id long, words array<string>").select("doc_id", quality._windows(F.col("words")).alias("windows"))
+    assert quality.with_repeated_words(table, bits).first()["n_repeat_words"] == expected
 
 
 def reference_spans(text):
@@ -350,8 +370,75 @@ def test_licenses(spark, docs, rows):
         assert r["base_labels"] == ",".join(sorted({x for _, x in places})) and 0 <= r["score"] <= 1
     assert [found[i]["labels"] for i in (0, 1, 3, 4, 9)] == ["mit", "apache,mit", "apache", "", "proprietary"]
     assert [d["label"] for d in found[8]["detections"]] == ["lgpl"]  # what lies inside is suppressed
-    assert licenses.scan_licenses(docs).count() == len(rows)
-    assert len(licenses.rules()) > 200
+    assert licenses.scan_licenses(docs.unionByName(docs.limit(0))).count() == len(rows) and licenses.scan_licenses(docs.limit(0)).count() == 0
+
+
+def matches_of(regex, rng, n):
+    """Words that a rule's regex matches, made at random; they only hold what such a rule may be written with."""
+    parse = re._parser.parse
+
+    def made(items):
+        out = []
+        for op, av in items:
+            name = str(op)
+            if name == "LITERAL":
+                out.append(chr(av))
+            elif name == "IN":
+                kind, x = av[0]
+                if str(kind) == "NEGATE":
+                    out.append("w")
+                else:
+                    kind, x = rng.choice(av)
+                    out.append(chr(x if str(kind) == "LITERAL" else rng.randint(*x)))
+            elif name == "MAX_REPEAT":
+                low, high, inner = av
+                out += [made(inner) for _ in range(rng.randint(max(low, 0), min(int(high), 3)))]
+            elif name == "SUBPATTERN":
+                out.append(made(av[3]))
+            elif name == "BRANCH":
+                out.append(made(rng.choice(av[1])))
+            elif name == "NOT_LITERAL":
+                out.append("w")
+            elif name != "ASSERT_NOT":
+                raise AssertionError(name)
+        return "".join(out)
+
+    found = [made(parse(regex)) for _ in range(n)]
+    return [x for x in found if re.fullmatch(regex, x)]
+
+
+def test_every_license_match_holds_its_keyword():
+    rng = random.Random(9)
+    assert len(licenses.rules()) >= 250 and len({x[2] for x in licenses.rules()}) > 50
+    for word, regex, label, _ in licenses.rules():
+        made = matches_of(regex, rng, 60)
+        assert made and all(word in x and licenses.gate(word) in x.split() for x in made), (label, regex)
+
+
+def plain_scan(text):
+    """Labels and detections without any gate: every rule over the line, then each against all others."""
+    line = " " + " ".join(w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER)) if w) + " "
+    found = sorted((line[: m.start() + 1].count(" ") - 1, -(line[: m.end() + 1].count(" ") - 1), rank, label) for _, regex, label, rank in licenses.rules() for m in re.finditer(f" (?:{regex})(?= )", line))
+    return [(x[3], x[2], x[0], -x[1]) for i, x in enumerate(found) if not any(y[0] <= x[0] and y[1] <= x[1] and y[2] <= x[2] for y in found[:i])]
+
+
+def test_licenses_match_a_plain_scanner(spark, monkeypatch):
+    rng = random.Random(10)
+    snippets = [x for _, regex, _, _ in licenses.rules() for x in matches_of(regex, rng, 2)]
+    texts = [" ".join(rng.choice([rng.choice(snippets), rng.choice(snippets).title().replace(" ", "-"), prose(rng, 3), "the", "license", "gnu", "under"]) for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    texts += [" ".join(rng.choice(snippets) for _ in range(400)), None, "", "x" * 1000, texts[0]]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = {r["doc_id"]: r for r in licenses.scan_licenses(table).collect()}
+    for i, text in enumerate(texts):
+        r, expected = found[i], plain_scan(text)
+        assert [tuple(d) for d in r["detections"]] == expected, text
+        assert r["labels"] == ",".join(sorted({x[0] for x in expected} | set(filter(None, r["base_labels"].split(",")))))
+
+
+def test_many_licenses_in_one_text(spark):
+    table = spark.createDataFrame([(1, "Apache License, " * 16_000)], "doc_id long, text string")
+    r = licenses.scan_licenses(table).drop("detections").first()
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"]) == (32_000, 16_000, 0, 31_998, "apache")
 
 
 def test_repeats(docs, rows, empty):
@@ -483,6 +570,45 @@ def test_jaccard(docs, rows, empty):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == expected
     assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == sorted({c for _, c in expected.values()})
     assert jaccard.near_duplicates(empty).count() == 0
+    by_nodes = jaccard.near_duplicates(docs, cell=3).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in by_nodes} == expected
+
+
+def test_large_blocks_are_dealt_by_pairs_of_nodes(spark):
+    """A block of near copies that don't all link, cut into nodes of a few points: the components of brute force, and no
+    pair of nodes with more points than two nodes hold, or nearly."""
+    rng = random.Random(51)
+    base = prose(rng, 60).split(" ")
+    rows = []
+    for i in range(120):
+        copy = list(base)
+        for _ in range(i % 5):
+            copy[rng.randrange(8, len(copy))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(copy[: len(copy) - i % 3])))
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    expected = brute_components(rows)
+    assert 1 < len({c for _, c in expected.values()}) < 120
+    for cell in (5, 512):
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table, cell=cell).collect()} == expected
+    members = spark.range(400).selectExpr("7L AS h", "id", "CAST(40 + id % 60 AS INT) AS n", "id AS part", "transform(sequence(1, 256), k -> CAST(k % (2 + id % 9) AS SHORT)) AS point")
+    dealt = jaccard.node_pairs(members.unionByName(members.where("id < 9").withColumn("h", F.lit(8).cast("long"))), 80, 20)
+    counts = {(r["h"], r["i"], r["j"]): r["count"] for r in dealt.groupBy("h", "i", "j").count().collect()}
+    assert counts[8, 0, 0] == 9 and max(counts.values()) < 100
+    ids = {}
+    for r in dealt.where("h = 7").collect():
+        ids.setdefault((r["i"], r["j"]), []).append((r["id"], r["n"]))
+    met = {frozenset((a, b)) for x in ids.values() for a, _ in x for b, _ in x if a != b}
+    assert all(frozenset((a, b)) in met for a in range(400) for b in range(a) if 80 * max(40 + a % 60, 40 + b % 60) <= 100 * min(40 + a % 60, 40 + b % 60))
+
+
+def test_hot_groups_are_joined_like_others(spark):
+    from fieldtally.llm.common import beside_counted, materialize
+
+    rows = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 5L, id) AS k", "1 AS n", "'x' AS first")
+    rows = rows.unionByName(spark.createDataFrame([(9999, None, 1, "x")], rows.schema))
+    groups = materialize(rows.where("k IS NOT NULL AND k % 7 <> 1").groupBy("k", "n").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
+    found = {r["id"]: r["least"] for r in beside_counted(rows, groups, ["k", "n"], "copies", F.col("id")).collect()}
+    assert found == {i: 0 if i % 3 == 0 or i == 5 else None if i % 7 == 1 else i for i in range(3000)} | {9999: None}
 
 
 def test_tree_loses_no_pair():
