@@ -38,7 +38,11 @@ class Shipping:
     path: str = ""
     url: str = ""
     token_file: str = ""
-    batch_rows: int = 500
+    device_id: str = ""
+    batch_rows: int = 1_000_000
+    hold_s: float = 120.0
+    purge_every: int = 10
+    most_failures: int = 10
     initial_backoff_s: float = 0.5
     max_backoff_s: float = 60.0
     immediate_retries: int = 2
@@ -81,7 +85,7 @@ def parse(text: str, source: str = "config") -> Config:
                 raise ConfigError(f"{where} must be of type {known[key].__name__}")
             if key in CHOICES and value not in CHOICES[key]:
                 raise ConfigError(f"{where} must be one of {', '.join(CHOICES[key])}")
-            if known[key] in (int, float) and value < (0 if key in ("immediate_retries", "initial_backoff_s") else 1):
+            if known[key] in (int, float) and value < (0 if key in ("immediate_retries", "initial_backoff_s", "hold_s", "most_failures") else 1):
                 raise ConfigError(f"{where} is too small")
         out[name] = sections[name](**values)
     config = Config(**out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.operators.retention import with_rank
+from fieldtally.operators.retention import beyond, top
 from fieldtally.schemas import ACKED, INFLIGHT, PENDING, REJECTED
 
 #: State changes that count, by the state before.
@@ -33,21 +33,21 @@ def state_histogram(rows: DataFrame) -> DataFrame:
 
 def claim_oldest(pending: DataFrame, n: int) -> DataFrame:
     """The oldest n rows of each buffer."""
-    return with_rank(pending).where(F.col("nth") <= n)
+    return top(pending, n)
 
 
 def kth_oldest(pending: DataFrame, k: int) -> DataFrame:
-    return with_rank(pending).where(F.col("nth") == k)
+    return top(pending, k).where(F.col("nth") == k)
 
 
 def keep_newest(rows: DataFrame, k: int) -> DataFrame:
     """Quarantine keeps the newest k rows of each buffer."""
-    return with_rank(rows, descending=True).where(F.col("nth") <= k).drop("nth")
+    return top(rows, k, descending=True).drop("nth")
 
 
 def purge_oldest(acked: DataFrame, n: int) -> DataFrame:
     """What a purge of the oldest n acknowledged rows of each buffer leaves."""
-    return with_rank(acked).where(F.col("nth") > n).drop("nth")
+    return beyond(acked, n)
 
 
 def outcomes(sent: DataFrame, answers: DataFrame) -> DataFrame:

@@ -17,28 +17,70 @@ def gap_summary(discarded: DataFrame, reason: str, *keys: str) -> DataFrame:
     ).withColumn("reason", F.lit(reason))
 
 
+def _parts(rows: DataFrame, by: str, descending: bool, part_rows: int) -> tuple[DataFrame, DataFrame]:
+    """rows with the part (`_part`) of the seq range that each is in, and of each buffer's parts how many rows they have
+    (`_n`) and how many come before them (`_before`): one row for each part."""
+    marked = rows.withColumn("_part", F.floor(F.col("seq") / part_rows))
+    parts = marked.groupBy(by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    sums = Window.partitionBy(by).orderBy(F.col("_part").desc() if descending else F.col("_part").asc())
+    return marked, parts.select(by, "_part", "_n", (F.sum("_n").over(sums) - F.col("_n")).alias("_before"))
+
+
+def _ranked(marked: DataFrame, by: str, descending: bool, ties: str) -> DataFrame:
+    order = F.col("seq").desc() if descending else F.col("seq").asc()
+    return marked.withColumn("nth", F.row_number().over(Window.partitionBy(by, "_part").orderBy(order, ties)) + F.col("_before"))
+
+
 def with_rank(rows: DataFrame, by: str = "buffer_id", descending: bool = False, part_rows: int = 1_000_000, ties: str = "seq") -> DataFrame:
     """Adds `nth`, the place of each row in its buffer by seq (then by `ties`), from 1.
 
     Ranks within parts of the seq range plus the rows of the parts before, so that one buffer of many rows is ranked by
     many tasks."""
-    part = F.floor(F.col("seq") / part_rows)
-    order = F.col("seq").desc() if descending else F.col("seq").asc()
-    parts = rows.groupBy(by, part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    sums = Window.partitionBy(by).orderBy(F.col("_part").desc() if descending else F.col("_part").asc())
-    before = parts.select(by, "_part", (F.sum("_n").over(sums) - F.col("_n")).alias("_before"))
-    marked = rows.withColumn("_part", part).join(before, [by, "_part"])
-    nth = F.row_number().over(Window.partitionBy(by, "_part").orderBy(order, ties)) + F.col("_before")
-    return marked.withColumn("nth", nth).drop("_part", "_before")
+    marked, parts = _parts(rows, by, descending, part_rows)
+    return _ranked(marked.join(parts.drop("_n"), [by, "_part"]), by, descending, ties).drop("_part", "_before")
+
+
+def _limits(parts: DataFrame, k: int | DataFrame, by: str) -> DataFrame:
+    """The parts with how many rows of their buffer are wanted (`_k`): k, or by buffer the column `over` of k (0 where absent)."""
+    if isinstance(k, int):
+        return parts.withColumn("_k", F.lit(k).cast("long"))
+    return parts.join(k.select(by, F.col("over").alias("_k")), by, "left").na.fill(0, ["_k"])
+
+
+def top(rows: DataFrame, k: int | DataFrame, by: str = "buffer_id", descending: bool = False, part_rows: int = 1_000_000, ties: str = "seq") -> DataFrame:
+    """The first k rows of each buffer by seq, with their place `nth`. The counts of parts tell which parts can hold them:
+    only those are ranked."""
+    marked, parts = _parts(rows, by, descending, part_rows)
+    wanted = _limits(parts, k, by).where("_before < _k").drop("_n")
+    return _ranked(marked.join(wanted, [by, "_part"]), by, descending, ties).where("nth <= _k").drop("_part", "_before", "_k")
+
+
+def beyond(rows: DataFrame, k: int | DataFrame, by: str = "buffer_id", descending: bool = False, part_rows: int = 1_000_000, ties: str = "seq") -> DataFrame:
+    """All but the first k rows of each buffer by seq. Parts behind the k-th row pass as they are: only the one that holds
+    it is ranked."""
+    marked, parts = _parts(rows, by, descending, part_rows)
+    limits = _limits(parts, k, by).where("_before + _n > _k")
+    whole = marked.join(limits.where("_before >= _k").select(by, "_part"), [by, "_part"], "left_semi").select(rows.columns)
+    cut = _ranked(marked.join(limits.where("_before < _k").drop("_n"), [by, "_part"]), by, descending, ties).where("nth > _k").select(rows.columns)
+    return whole.unionByName(cut)
 
 
 def survivors(readings: DataFrame, cap: int) -> DataFrame:
     """What a buffer that drops its oldest holds after appends only: the newest `cap` rows."""
-    return with_rank(readings, descending=True).where(F.col("nth") <= cap).drop("nth")
+    return top(readings, cap, descending=True).drop("nth")
 
 
 def evicted(readings: DataFrame, cap: int) -> DataFrame:
-    return with_rank(readings, descending=True).where(F.col("nth") > cap).drop("nth")
+    return beyond(readings, cap, descending=True)
+
+
+def total_order(rows: DataFrame, by: str = "buffer_id") -> DataFrame:
+    """Rows sorted by buffer and seq with their place from 1: the place in the buffer plus the rows of the buffers before,
+    of which one row each is windowed."""
+    counts = rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(by, (F.sum("_n").over(Window.orderBy(by)) - F.col("_n")).alias("_ahead"))
+    placed = with_rank(rows, by).join(before, by).withColumn("place", F.col("nth") + F.col("_ahead"))
+    return placed.drop("nth", "_ahead").orderBy(by, "seq")
 
 
 def halted_batches(batches: DataFrame, cap: int) -> DataFrame:

@@ -17,7 +17,7 @@ from fieldtally.operators.delivery import outcomes, progress
 
 class Sink(Protocol):
     def send(self, batch: DataFrame, batch_id: int) -> DataFrame:
-        """Rows (seq, outcome) for the records of the batch; outcome is accepted or rejected."""
+        """Rows (buffer_id, seq, outcome) for the records of the batch; outcome is accepted or rejected."""
 
 
 class SendFailed(Exception):
@@ -38,9 +38,9 @@ def shipping(sink: Sink, record: Callable[[DataFrame, int], None], attempts: int
         left, failures, attempt = batch, 0, 0
         while not left.isEmpty():
             try:
-                answers = sink.send(left, batch_id).withColumn("batch", F.lit(batch_id))
-                resolved = outcomes(left.withColumn("batch", F.lit(batch_id)), answers).persist()
-                moved = progress(resolved).first()["result"] == "progress"
+                answers = sink.send(left, batch_id).withColumnRenamed("buffer_id", "batch")
+                resolved = outcomes(left.withColumn("batch", F.col("buffer_id")), answers).checkpoint()
+                moved = not progress(resolved).where("result = 'progress'").isEmpty()
                 record(resolved.where("outcome <> 'released'").withColumn("attempt", F.lit(attempt)), batch_id)
                 left = resolved.where("outcome = 'released'").select(batch.columns)
             except SendFailed:

@@ -10,7 +10,9 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from fieldtally.functions.scalars import http_class
 from fieldtally.sources.wire import to_wire
 
 Post = Callable[[str, bytes, dict], tuple[int, bytes]]
@@ -30,29 +32,22 @@ def post(url: str, body: bytes, headers: dict, timeout_s: float = 30.0) -> tuple
         return e.code, e.read()
 
 
-def answered(status: int, body: bytes, sent: list[int]) -> dict[int, str] | None:
-    """Outcomes of the sent records by a response, or None where the whole part must be sent again."""
-    ok = 200 <= status < 300
-    if not ok and status not in (400, 422):
-        return None
+def named_in(body: bytes, sent: list[int]) -> tuple[list[int] | None, list[int] | None] | None:
+    """The records that a response's lists name as accepted and as rejected; no lists where it has none. None where the
+    lists are malformed or contradict each other."""
     try:
         detail = json.loads(body) if body.strip() else None
     except ValueError:
         detail = None
-    named = isinstance(detail, dict) and bool({"accepted", "rejected"} & detail.keys())
-    if not named:
-        return dict.fromkeys(sent, "accepted") if ok else None
-    out: dict[int, str] = {}
-    for outcome in ("accepted", "rejected"):
-        seqs = detail.get(outcome, [])
+    if not (isinstance(detail, dict) and {"accepted", "rejected"} & detail.keys()):
+        return None, None
+    out = []
+    for name in ("accepted", "rejected"):
+        seqs = detail.get(name, [])
         if not isinstance(seqs, list) or any(isinstance(x, bool) or not isinstance(x, int) for x in seqs):
             return None
-        for x in seqs:
-            if x in sent:
-                if out.get(x, outcome) != outcome:
-                    return None
-                out[x] = outcome
-    return out
+        out.append(sorted(set(seqs) & set(sent)))
+    return None if set(out[0]) & set(out[1]) else (out[0], out[1])
 
 
 class Http:
@@ -66,16 +61,21 @@ class Http:
 
         def ship(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for i in range(0, len(frame), rows):
-                    part = frame.iloc[i : i + rows]
+                # a part holds one buffer's records, as answers name them by seq alone
+                for part in (f.iloc[i : i + rows] for _, f in frame.groupby("buffer_id") for i in range(0, len(f), rows)):
                     body = ('{"device_id":%s,"records":[%s]}' % (json.dumps(device), ",".join(part["line"]))).encode()
                     headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {token}"} if token else {}) | ({"Content-Encoding": "gzip"} if compress else {})
+                    sent = part["seq"].tolist()
                     try:
-                        got = answered(*call(url, gzip.compress(body) if compress else body, headers), part["seq"].tolist())
+                        status, answer = call(url, gzip.compress(body) if compress else body, headers)
+                        lists = named_in(answer, sent)
                     except OSError:
-                        got = None
-                    yield pd.DataFrame({"seq": list(got or {}), "outcome": list((got or {}).values())}).astype({"seq": "int64", "outcome": "object"})
-
-        lines = batch.select("seq", to_wire(batch, self.kind).alias("line"))
-        # Kept, so that reading the answers twice does not send twice.
-        return lines.mapInPandas(ship, "seq long, outcome string").persist()
+                        status, lists = None, None
+                    accepted, rejected = lists or (None, None)
+                    yield pd.DataFrame({"buffer_id": [part["buffer_id"].iloc[0]], "sent": [sent], "status": pd.array([status if lists else None], "Int64"), "accepted": [accepted], "rejected": [rejected]})
+
+        lines = batch.select("buffer_id", "seq", to_wire(batch, self.kind).alias("line"))
+        answers = lines.mapInPandas(ship, "buffer_id string, sent array<long>, status int, accepted array<long>, rejected array<long>")
+        # Written, so that neither reading the answers twice nor a lost executor sends twice.
+        each = answers.checkpoint().select("buffer_id", F.explode("sent").alias("seq"), "status", "accepted", "rejected")
+        return each.select("buffer_id", "seq", http_class(F.col("status"), F.col("accepted"), F.col("rejected"), F.col("seq")).alias("outcome")).where("outcome <> 'retry'")

@@ -15,4 +15,4 @@ class JsonLines:
     def send(self, batch: DataFrame, batch_id: int) -> DataFrame:
         lines = batch.select(to_wire(batch, self.kind).alias("value"))
         lines.write.mode("overwrite").option("compression", self.compression).text(f"{self.path}/batch={batch_id}")
-        return batch.select("seq", F.lit("accepted").alias("outcome"))
+        return batch.select("buffer_id", "seq", F.lit("accepted").alias("outcome"))

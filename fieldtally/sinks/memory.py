@@ -19,4 +19,4 @@ class Scripted:
         self.calls += 1
         if how is None:
             raise SendFailed("scripted")
-        return batch.select("seq", F.expr(how).alias("outcome")).where("outcome IS NOT NULL")
+        return batch.select("buffer_id", "seq", F.expr(how).alias("outcome")).where("outcome IS NOT NULL")

@@ -29,8 +29,8 @@ class Mqtt:
                 return
             for frame in frames:
                 codes = [send(t, line.encode()) for t, line in zip(frame["topic"], frame["line"], strict=True)]
-                yield pd.DataFrame({"seq": frame["seq"], "code": pd.array(codes, "Int64")})
+                yield pd.DataFrame({"buffer_id": frame["buffer_id"], "seq": frame["seq"], "code": pd.array(codes, "Int64")})
 
-        messages = batch.select("seq", topic(F.col("device_id"), F.col("buffer_id"), F.lit(self.kind), F.col("sensor_id")).alias("topic"), to_wire(batch, self.kind, "device_id").alias("line"))
-        codes = messages.mapInPandas(publish, "seq long, code int").persist()
-        return codes.select("seq", puback_class(F.col("code")).alias("outcome")).where("outcome <> 'retry'")
+        messages = batch.select("buffer_id", "seq", topic(F.col("device_id"), F.col("buffer_id"), F.lit(self.kind), F.col("sensor_id")).alias("topic"), to_wire(batch, self.kind, "device_id").alias("line"))
+        codes = messages.mapInPandas(publish, "buffer_id string, seq long, code int").checkpoint()
+        return codes.select("buffer_id", "seq", puback_class(F.col("code")).alias("outcome")).where("outcome <> 'retry'")

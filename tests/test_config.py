@@ -33,6 +33,6 @@ def test_commands(spark, tmp_path, capsys):
     assert main(["check", str(config)]) == 0
     assert main(["receive", str(config), "--json"]) == 0
     found = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
-    assert found == {"readings": 2, "unsynced": 1, "buffers": 1, "gaps": 0, "discarded": 0, "dead_letters": 1}
+    assert found == {"readings": 2, "unsynced": 0, "corrected": 1, "buffers": 1, "gaps": 0, "discarded": 0, "dead_letters": 1}
     config.write_text("")
     assert main(["check", str(config)]) == 2

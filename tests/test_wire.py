@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtally.functions import scalars
-from fieldtally.sinks.http import answered
+from fieldtally.sinks.http import Http
 from fieldtally.sources import wire
 
 UUID = "12345678-1234-1234-1234-123456789abc"
@@ -59,8 +59,10 @@ def test_lines(spark):
         (200, b'{"accepted":"all"}', None), (200, b'{"accepted":[1],"rejected":[1]}', None),
     ],
 )
-def test_http_answers(status, body, expected):
-    assert answered(status, body, [1, 2]) == expected
+def test_http_answers(spark, status, body, expected):
+    rows = spark.createDataFrame([(i, UUID, "d", "s") for i in (1, 2)], "seq long, buffer_id string, device_id string, sensor_id string").coalesce(1)
+    got = Http("http://x", "d", send_part=lambda *_: (status, body)).send(rows, 0).collect()
+    assert {r["seq"]: r["outcome"] for r in got} == (expected or {})
 
 
 def test_scalars(spark):
