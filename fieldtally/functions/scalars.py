@@ -48,8 +48,9 @@ def backoff_delay(failures: Column, seed: int = 0, **settings) -> Column:
 
 
 def canonical_uuid(text: Column) -> Column:
-    """Lower-case UUID with hyphens, from any usual spelling; null where the text is none."""
-    bare = F.regexp_replace(F.lower(text), r"urn:|uuid:|[{}-]", "")
+    """Lower-case UUID with hyphens, from the spellings that Python's uuid module takes (prefixes in lower case, braces
+    around the digits, hyphens anywhere); null where the text is none."""
+    bare = F.lower(F.replace(F.btrim(F.replace(F.replace(text, F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit("")), F.lit("{}")), F.lit("-"), F.lit("")))
     parts = F.concat_ws("-", F.substring(bare, 1, 8), F.substring(bare, 9, 4), F.substring(bare, 13, 4), F.substring(bare, 17, 4), F.substring(bare, 21, 12))
     return F.when(bare.rlike("^[0-9a-f]{32}$"), parts)
 

@@ -16,6 +16,13 @@ def redeliveries(delivered: DataFrame, *keys: str) -> DataFrame:
     return delivered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumn("extra", F.col("n") - 1)
 
 
+def duplicate_rates(delivered: DataFrame, *keys: str) -> DataFrame:
+    """One row: rows delivered, distinct keys, keys that came again, rows too much, and their share of all rows."""
+    each = delivered.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    sums = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("delivered"), F.count(F.lit(1)).alias("distinct_keys"), F.count_if(F.col("n") > 1).alias("duplicated"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("extra"))
+    return sums.withColumn("rate", F.when(F.col("delivered") > 0, F.col("extra") / F.col("delivered")).otherwise(0.0))
+
+
 def loss_report(committed: DataFrame, delivered: DataFrame) -> DataFrame:
     """One row: committed, delivered, redelivered, lost, and steps with more than one key. committed: step; delivered:
     step, buffer_id, seq."""
@@ -31,6 +38,21 @@ def holes(rows: DataFrame, run: str, step: str) -> DataFrame:
     return got.withColumn("holes", F.col("last_step") + 1 - F.col("steps"))
 
 
+def run_report(log: DataFrame, received: DataFrame, tail_ok: int = 0) -> DataFrame:
+    """The producer's log beside what came, by run: written, received, holes below the last step that came, and the tail
+    behind it. A run of which nothing came has its whole as a tail; a run that still goes on (the greatest, not ended) has
+    none yet. log: run, written, ended; received: run, step. A run that only came and was never logged is unknown."""
+    got = received.groupBy("run").agg(F.max("step").alias("last_step"), F.count_distinct("step").alias("received"))
+    live = log.agg(F.max("run").alias("_last"))
+    both = log.join(F.broadcast(live)).join(got, "run", "full_outer")
+    high, written = F.coalesce(F.col("last_step"), F.lit(-1)), F.coalesce(F.col("written"), F.lit(0))
+    going = (F.col("run") == F.col("_last")) & ~F.col("ended")
+    tail = F.when(going, 0).otherwise(F.greatest(F.lit(0), written - (high + 1))).cast("long")
+    n = F.coalesce(F.col("received"), F.lit(0).cast("long"))
+    how = F.when(F.col("written").isNull(), "unknown").when(going, "live").when(F.col("ended"), "stopped").otherwise("cut")
+    return both.select("run", how.alias("how"), written.cast("long").alias("written"), n.alias("received"), (high + 1 - n).alias("holes"), tail.alias("tail"), ((high + 1 == n) & (tail <= tail_ok)).alias("ok"))
+
+
 def percentiles(samples: DataFrame, value: str, *keys: str, ranges: int = 65_536) -> DataFrame:
     """p50 is the interpolated median; p90 and p99 are sorted[min(n - 1, int(q n))].
 
@@ -78,11 +100,33 @@ def percentiles(samples: DataFrame, value: str, *keys: str, ranges: int = 65_536
     return groups.join(got, cond, "left").select(*[F.col(n).alias(k) for k, n in zip(keys, ks, strict=True)], "n", "p50", "p90", "p99", "max")
 
 
+def throughput(samples: DataFrame, ms: str, batch: str) -> DataFrame:
+    """Rows a second by batch size: the batch over the median of its commits, and all rows over all time."""
+    p = percentiles(samples, ms, batch)
+    total = samples.groupBy(F.col(batch).alias("_b")).agg(F.sum(ms).alias("_ms"))
+    joined = p.join(total, F.equal_null(F.col(batch), F.col("_b")))
+    per_s = lambda rows, t: F.when(t > 0, rows * 1000.0 / t)
+    return joined.select(batch, "n", "p50", "p90", "p99", "max", per_s(F.col(batch), F.col("p50")).alias("rows_per_s"), per_s(F.col(batch) * F.col("n"), F.col("_ms")).alias("overall_rows_per_s"))
+
+
+def cut_summary(cuts: DataFrame) -> DataFrame:
+    """One row over power cuts: how many, the most and the mean lost, cuts with any loss, failures of integrity. cuts: lost,
+    intact."""
+    return cuts.agg(F.count(F.lit(1)).alias("cuts"), F.max("lost").alias("most_lost"), F.avg("lost").alias("mean_lost"), F.count_if(F.col("lost") > 0).alias("cuts_with_loss"), F.count_if(~F.col("intact")).alias("integrity_failures"))
+
+
 def counter_deltas(samples: DataFrame, counter: str) -> DataFrame:
-    """The sum over boots of what a counter gained in each."""
+    """What a counter gained in each boot."""
     return samples.groupBy("boot_id").agg((F.max(counter) - F.min(counter)).alias("gained"))
 
 
+def written_bytes(samples: DataFrame, sectors: str, t: str, sector: int = 512) -> DataFrame:
+    """One row: bytes written over all boots, and a day of the span from the first sample to the last. t in seconds."""
+    span = samples.agg((F.max(t) - F.min(t)).alias("s"))
+    total = counter_deltas(samples, sectors).agg((F.sum("gained") * sector).alias("bytes"))
+    return total.join(F.broadcast(span)).select("bytes", F.when(F.col("s") > 0, F.col("bytes") * 86400.0 / F.col("s")).alias("bytes_per_day"))
+
+
 def trend(samples: DataFrame, value: str, t: str, *keys: str) -> DataFrame:
     """First, last and greatest value, growth, and distinct boots, by time (ties: by value)."""
     at = F.struct(t, value)
@@ -90,9 +134,31 @@ def trend(samples: DataFrame, value: str, t: str, *keys: str) -> DataFrame:
     return got.withColumn("growth", F.col("last") - F.col("first"))
 
 
+def resource_report(samples: DataFrame, t: str = "t", *keys: str) -> DataFrame:
+    """First, last and greatest resident and virtual size, most threads, distinct boots, most and last pending rows. samples:
+    t, rss, vm, threads, pending, boot_id."""
+    ends = [f(c, F.struct(t, c)).alias(f"{name}_{c}") for c in ("rss", "vm") for name, f in (("first", F.min_by), ("last", F.max_by))]
+    return samples.groupBy(*keys).agg(
+        *ends, F.max("rss").alias("most_rss"), F.max("vm").alias("most_vm"), F.max("threads").alias("most_threads"), F.count_distinct("boot_id").alias("boots"),
+        F.max("pending").alias("most_pending"), F.max_by("pending", F.struct(t, "pending")).alias("last_pending"),
+    )
+
+
+def growth_after(samples: DataFrame, value: str, t: str, warm_up: int, *keys: str) -> DataFrame:
+    """What a value gained from the sample after `warm_up` others to the last, by time (ties: by value); null where there
+    are no more samples. A window that is filtered by its row number keeps the first rows of each partition only."""
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(t, value))
+    warm = samples.select(*keys, F.col(value).alias("warm"), nth.alias("_n")).where(F.col("_n") <= warm_up + 1).where(F.col("_n") == warm_up + 1).drop("_n")
+    last = samples.groupBy(*keys).agg(F.max_by(value, F.struct(t, value)).alias("last"))
+    return last.join(warm, [*keys], "left").withColumn("growth", F.col("last") - F.col("warm"))
+
+
 def spans(rows: DataFrame, value: str, size: int) -> DataFrame:
-    """Of each span of `size` values: rows, distinct values, least and greatest."""
-    return rows.groupBy(F.floor(F.col(value) / size).alias("span")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(value).alias("n_distinct"), F.min(value).alias("low"), F.max(value).alias("high"))
+    """Of each span of `size` values: rows, distinct values, least and greatest, and whether the values of its run of
+    numbers, from the span's first to the greatest, are all there."""
+    span = F.floor(F.col(value) / size)
+    got = rows.groupBy(span.alias("span")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(value).alias("n_distinct"), F.min(value).alias("low"), F.max(value).alias("high"))
+    return got.withColumn("complete", F.col("high") + 1 - F.col("span") * size == F.col("n_distinct"))
 
 
 def conservation(written: DataFrame, kept: DataFrame, gaps: DataFrame) -> DataFrame:
@@ -106,3 +172,56 @@ def conservation(written: DataFrame, kept: DataFrame, gaps: DataFrame) -> DataFr
 def key_conflicts(delivered: DataFrame) -> DataFrame:
     """Keys that stand for several readings; a ledger that holds has none."""
     return delivered.groupBy("buffer_id", "seq").agg(F.count_distinct("sensor_id", "boot_id", "mono_ns").alias("readings")).where("readings > 1")
+
+
+def invariants(readings: DataFrame, gaps: DataFrame, written: DataFrame) -> DataFrame:
+    """(invariant, broken): how many keys or readings break each rule of the ledger; all 0 where it holds.
+
+    readings: buffer_id, seq, step (what was read), gaps: buffer_id, seq, sensor_id, boot_id, reason, count, as sent, copies
+    included; written: step. A key names one reading; a reading has one key; a key names a reading or a gap; a gap is sent
+    again as it was; only what was written is delivered; and what is delivered and what is in gaps add up to it."""
+    spark = readings.sparkSession
+    key = ["buffer_id", "seq"]
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias("broken")).select(F.lit(name).alias("invariant"), "broken")
+    per_key = readings.groupBy(*key).agg(F.min("step").alias("a"), F.max("step").alias("b"))
+    at = F.struct(*key)
+    per_step = readings.groupBy("step").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    body = F.struct("sensor_id", "boot_id", "reason", "count")
+    per_gap = gaps.groupBy(*key).agg(F.min(body).alias("a"), F.max(body).alias("b"))
+    names = written.select("step").distinct()
+    sums = [per_step.agg(F.count(F.lit(1)).alias("x")), per_gap.agg(F.coalesce(F.sum("a.count"), F.lit(0)).alias("x")), names.agg((-F.count(F.lit(1))).alias("x"))]
+    off = sums[0].unionByName(sums[1]).unionByName(sums[2]).agg(F.abs(F.sum("x")).alias("broken")).select(F.lit("delivered and gaps add up").alias("invariant"), "broken")
+    parts = [
+        n(per_key.where("a <> b"), "a key names one reading"), n(per_step.where("a <> b"), "a reading has one key"), n(per_key.join(per_gap.select(*key), key, "left_semi"), "a key names a reading or a gap"),
+        n(per_gap.where("a <> b"), "a gap is sent again as it was"), n(per_step.join(names, "step", "left_anti"), "only what was written is delivered"), off,
+    ]
+    out = spark.createDataFrame([], "invariant string, broken long")
+    for part in parts:
+        out = out.unionByName(part)
+    return out
+
+
+def batch_results(messages: DataFrame) -> DataFrame:
+    """Of each batch what its messages became: readings, gaps, duplicates, dead letters, corrected readings. messages:
+    arrival_batch, arrival_pos, kind (reading, gap, or null for a dead letter), buffer_id, seq, ts_quality, boot_id, and has_clock
+    (whether the reading's boot has one by then)."""
+    place = F.struct("arrival_batch", "arrival_pos")
+    first = messages.where("kind IS NOT NULL").groupBy("kind", "buffer_id", "seq").agg(F.min_by(F.struct("arrival_batch", "ts_quality", "has_clock"), place).alias("r"))
+    new = first.groupBy(F.col("r.arrival_batch").alias("arrival_batch")).agg(
+        F.count_if(F.col("kind") == "reading").alias("readings"), F.count_if(F.col("kind") == "gap").alias("gaps"),
+        F.count_if((F.col("kind") == "reading") & (F.col("r.ts_quality") == 0) & F.col("r.has_clock")).alias("corrected"),
+    )
+    every = messages.groupBy("arrival_batch").agg(F.count("kind").alias("_good"), F.count_if(F.col("kind").isNull()).alias("dead_letters"))
+    both = every.join(new, "arrival_batch", "left").na.fill(0)
+    return both.select("arrival_batch", "readings", "gaps", (F.col("_good") - F.col("readings") - F.col("gaps")).alias("duplicates"), "dead_letters", "corrected")
+
+
+def running_totals(results: DataFrame) -> DataFrame:
+    """batch_results summed from the first batch on: one row for each batch is windowed."""
+    so_far = Window.orderBy("arrival_batch").rowsBetween(Window.unboundedPreceding, 0)
+    return results.select("arrival_batch", *[F.sum(c).over(so_far).alias(c) for c in results.columns if c != "arrival_batch"])
+
+
+def received_counts(records: DataFrame) -> DataFrame:
+    """By type and state of buffered or received records: how many, and the sum of what gaps count."""
+    return records.groupBy("type", "state").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("count"), F.lit(0)).alias("counted"))

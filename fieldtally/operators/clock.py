@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions.scalars import corrected_quality, corrected_wall, trusted
+from fieldtally.operators.audit import percentiles
 
 
 def first_arrivals(arrivals: DataFrame) -> DataFrame:
@@ -69,7 +70,9 @@ def clock_steps(samples: DataFrame, tolerance_ns: int = 20_000_000) -> DataFrame
 
 def measured_offsets(brackets: DataFrame, *keys: str) -> DataFrame:
     """Of repeated measurements (mono before, wall, mono after), the offset of the tightest; ties: the first (n)."""
-    width, offset = F.col("m1") - F.col("m0"), F.col("w") - F.floor((F.col("m0") + F.col("m1")) / 2)
+    width = F.col("m1") - F.col("m0")
+    # in whole numbers: clocks are far beyond what a double holds exactly
+    offset = F.col("w") - F.shiftright(F.col("m0") + F.col("m1"), 1)
     return brackets.groupBy(*keys).agg(F.min_by(offset, F.struct(width.alias("width"), F.col("n"))).alias("offset_ns"))
 
 
@@ -77,6 +80,6 @@ def wall_errors(readings: DataFrame) -> DataFrame:
     """By quality: readings, and the median and greatest distance of the wall time from the boot's true one, which is the
     median offset of its synced readings."""
     offset = F.col("wall_ns") - F.col("mono_ns")
-    true = readings.where("ts_quality = 2").groupBy("boot_id").agg(F.median(offset).cast("long").alias("true_ns"))
+    true = percentiles(readings.where("ts_quality = 2").select("boot_id", offset.alias("o")), "o", "boot_id").select("boot_id", F.floor("p50").cast("long").alias("true_ns"))
     errors = readings.join(true, "boot_id").select("ts_quality", F.abs(offset - F.col("true_ns")).alias("e"))
-    return errors.groupBy("ts_quality").agg(F.count(F.lit(1)).alias("n"), F.median("e").cast("long").alias("median_ns"), F.max("e").alias("max_ns"))
+    return percentiles(errors, "e", "ts_quality").select("ts_quality", "n", F.floor("p50").cast("long").alias("median_ns"), F.col("max").alias("max_ns"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions import scalars
-from fieldtally.operators import audit, clock, delivery, retention
+from fieldtally.operators import audit, buffer, clock, delivery, retention
 from fieldtally.sources import wire
 from fieldtally.sources.tables import arrivals, readings
 
@@ -63,11 +63,6 @@ def receiver_summary(spark, sf_dir):
     return sums.select("boot_id", "stored", corrected.alias("corrected"), (F.col("zero") - corrected).alias("uncorrected"), (F.col("arrived") - F.col("stored")).alias("duplicates"))
 
 
-@query("SELECT sensor_id, boot_id, min(mono_ns) AS from_mono_ns, max(mono_ns) AS to_mono_ns, count(*) AS count, min(seq) AS first_id, 'rejected:sink' AS reason FROM readings WHERE seq % 10 = 0 GROUP BY sensor_id, boot_id")
-def gap_summary(spark, sf_dir):
-    return retention.gap_summary(readings(spark, sf_dir).where("seq % 10 = 0"), "rejected:sink")
-
-
 @query("SELECT * FROM clocks")
 def boot_clock_argmin(spark, sf_dir):
     return clock.boot_clocks(readings(spark, sf_dir), "seq")
@@ -128,70 +123,17 @@ def dedupe_first_arrival(spark, sf_dir):
     return clock.first_arrivals(arrivals(spark, sf_dir)).select("buffer_id", "seq", "value", "arrival_batch")
 
 
-@query("SELECT (SELECT count(DISTINCT seq) FROM readings) AS committed, (SELECT count(*) FROM arrivals WHERE seq % 31 <> 0) AS delivered, (SELECT count(*) - count(DISTINCT seq) FROM arrivals WHERE seq % 31 <> 0) AS redelivered, (SELECT count(*) FROM readings WHERE seq % 31 = 0) AS lost, CAST(0 AS BIGINT) AS duplicates_after_dedupe, CAST(0 AS BIGINT) AS unknown")
-def redelivery_report(spark, sf_dir):
-    step = F.col("seq").alias("step")
-    return audit.loss_report(readings(spark, sf_dir).select(step), arrivals(spark, sf_dir).where("seq % 31 <> 0").select(step, "buffer_id", "seq"))
-
-
 @query("SELECT seq, count(*) AS n, count(*) - 1 AS extra FROM arrivals GROUP BY seq HAVING count(*) > 1")
 def naive_duplicates(spark, sf_dir):
     return audit.redeliveries(arrivals(spark, sf_dir), "seq")
 
 
-@query("SELECT seq FROM readings WHERE seq NOT IN (SELECT seq FROM arrivals WHERE seq % 31 <> 0)")
-def lost_steps(spark, sf_dir):
-    return audit.lost(readings(spark, sf_dir), arrivals(spark, sf_dir).where("seq % 31 <> 0"), "seq")
-
-
-@query("SELECT g.sensor_id, g.boot_id, g.count, g.lo + c.offset_ns AS from_wall_ns, g.hi + c.offset_ns AS to_wall_ns FROM (SELECT sensor_id, boot_id, count(*) AS count, min(mono_ns) AS lo, max(mono_ns) AS hi FROM readings WHERE seq % 10 = 0 GROUP BY sensor_id, boot_id) g JOIN clocks c USING (boot_id)")
-def gap_wall_time(spark, sf_dir):
-    rows = readings(spark, sf_dir)
-    gaps = retention.gap_summary(rows.where("seq % 10 = 0"), "rejected:sink")
-    return clock.gap_wall_times(gaps, clock.boot_clocks(rows, "seq")).select("sensor_id", "boot_id", "count", "from_wall_ns", "to_wall_ns")
-
-
-@query("SELECT CASE WHEN seq % 3 = 0 THEN 'backpressure' ELSE 'rejected:sink' END AS reason, count(DISTINCT (sensor_id, boot_id)) AS gaps, count(*) AS discarded FROM readings WHERE seq % 10 = 0 GROUP BY reason")
-def gap_totals_by_reason(spark, sf_dir):
-    rows = readings(spark, sf_dir).where("seq % 10 = 0")
-    gaps = retention.gap_summary(rows.where("seq % 3 = 0"), "backpressure").unionByName(retention.gap_summary(rows.where("seq % 3 <> 0"), "rejected:sink"))
-    return gaps.groupBy("reason").agg(F.count(F.lit(1)).alias("gaps"), F.sum("count").alias("discarded"))
-
-
-@query("SELECT buffer_id, seq, nth FROM (SELECT *, row_number() OVER (PARTITION BY buffer_id ORDER BY seq) AS nth FROM readings WHERE seq % 3 = 0) WHERE nth <= 100")
-def claim_oldest(spark, sf_dir):
-    return delivery.claim_oldest(readings(spark, sf_dir).where("seq % 3 = 0").select("buffer_id", "seq"), 100)
-
-
-@query("SELECT buffer_id, seq, nth FROM (SELECT *, row_number() OVER (PARTITION BY buffer_id ORDER BY seq) AS nth FROM readings WHERE seq % 3 = 0) WHERE nth = 25")
-def kth_pending(spark, sf_dir):
-    return delivery.kth_oldest(readings(spark, sf_dir).where("seq % 3 = 0").select("buffer_id", "seq"), 25)
-
-
-@query("SELECT buffer_id, seq FROM readings WHERE seq % 6 = 1 QUALIFY row_number() OVER (PARTITION BY buffer_id ORDER BY seq DESC) <= 50")
-def quarantine_trim(spark, sf_dir):
-    return delivery.keep_newest(readings(spark, sf_dir).where("seq % 6 = 1").select("buffer_id", "seq"), 50)
-
-
-@query("SELECT buffer_id, seq FROM readings WHERE seq % 6 = 2 QUALIFY row_number() OVER (PARTITION BY buffer_id ORDER BY seq) > 20")
-def purge_oldest_acked(spark, sf_dir):
-    return delivery.purge_oldest(readings(spark, sf_dir).where("seq % 6 = 2").select("buffer_id", "seq"), 20)
-
-
 @query(""", runs AS (SELECT buffer_id, boot_id AS run, count(*) AS n FROM readings GROUP BY buffer_id, boot_id), f AS (SELECT *, CAST(sum((n + 99) // 100 * 100) OVER (PARTITION BY buffer_id ORDER BY run) - (n + 99) // 100 * 100 AS BIGINT) AS first_seq FROM runs)
 SELECT buffer_id, run, first_seq, first_seq + n - 1 AS last_seq, first_seq + (n + 99) // 100 * 100 AS next_block FROM f""")
 def seq_blocks(spark, sf_dir):
     return retention.seq_blocks(readings(spark, sf_dir).groupBy("buffer_id", F.col("boot_id").alias("run")).agg(F.count(F.lit(1)).alias("n")), 100)
 
 
-@query(""", d AS (SELECT buffer_id, sensor_id, boot_id, 'backpressure' AS reason, seq AS pos, mono_ns, 0 AS seal FROM readings WHERE seq % 4 = 0), s AS (SELECT buffer_id, sensor_id, boot_id, 'backpressure', seq, NULL, 1 FROM readings WHERE seq % 40 = 2),
-u AS (SELECT *, coalesce(sum(seal) OVER (PARTITION BY buffer_id, sensor_id, boot_id, reason ORDER BY pos, seal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM (SELECT * FROM d UNION ALL SELECT * FROM s))
-SELECT buffer_id, sensor_id, boot_id, reason, CAST(epoch AS BIGINT) AS epoch, min(mono_ns) AS from_mono_ns, max(mono_ns) AS to_mono_ns, count(*) AS count FROM u WHERE seal = 0 GROUP BY ALL""")
-def seal_epochs(spark, sf_dir):
-    rows = readings(spark, sf_dir).select("buffer_id", "sensor_id", "boot_id", F.lit("backpressure").alias("reason"), F.col("seq").alias("pos"), "mono_ns")
-    return retention.seal_epochs(rows.where("pos % 4 = 0"), rows.where("pos % 40 = 2"))
-
-
 ANSWERS = "CASE WHEN (seq // 10) % 13 = 0 THEN 'rejected' WHEN seq % 9 = 0 THEN 'rejected' WHEN seq % 4 = 1 THEN 'retry' ELSE 'accepted' END"
 
 
@@ -256,20 +198,15 @@ def resource_trend(spark, sf_dir):
     return audit.trend(readings(spark, sf_dir).withColumn("rss", F.col("seq") * 7919 % 10007), "rss", "seq", "buffer_id")
 
 
-@query("SELECT seq // 1000 AS span, count(*) AS n, count(DISTINCT seq) AS n_distinct, min(seq) AS low, max(seq) AS high FROM readings GROUP BY span")
-def whole_table_audit(spark, sf_dir):
-    return audit.spans(readings(spark, sf_dir), "seq", 1000)
-
-
 @query("SELECT seq, CASE WHEN k <= 2 THEN 0.0::DOUBLE ELSE least(60.0::DOUBLE, 0.5 * pow(2.0, least(k - 3, 64))) END AS delay_s FROM (SELECT seq, 1 + seq % 100 AS k FROM readings)")
 def backoff_base(spark, sf_dir):
     return readings(spark, sf_dir).select("seq", scalars.backoff_base(1 + F.col("seq") % 100).alias("delay_s"))
 
 
-@query(BASE.replace("WITH readings", "WITH RECURSIVE readings") + """, w AS (SELECT buffer_id, seq AS pos, mono_ns AS t, row_number() OVER (PARTITION BY buffer_id ORDER BY seq) AS i FROM (SELECT * FROM readings WHERE seq < 2000)),
+@query(BASE.replace("WITH readings", "WITH RECURSIVE readings") + """, w AS (SELECT buffer_id, seq AS pos, mono_ns AS t, row_number() OVER (PARTITION BY buffer_id ORDER BY seq) AS i FROM readings),
 f AS (SELECT buffer_id, i, pos, CAST(1 AS BIGINT) AS n, true AS due, t AS last FROM w WHERE i = 1
  UNION ALL SELECT w.buffer_id, w.i, w.pos, CASE WHEN f.due THEN 1 ELSE f.n + 1 END, (CASE WHEN f.due THEN 1 ELSE f.n + 1 END) >= 8 OR w.t - f.last >= 7200000000000, CASE WHEN (CASE WHEN f.due THEN 1 ELSE f.n + 1 END) >= 8 OR w.t - f.last >= 7200000000000 THEN w.t ELSE f.last END FROM f JOIN w ON w.buffer_id = f.buffer_id AND w.i = f.i + 1)
-SELECT buffer_id, pos, n FROM f WHERE due""".replace("(SELECT * FROM readings WHERE seq < 2000)", "readings"))
+SELECT buffer_id, pos, n FROM f WHERE due""")
 def batcher_flushes(spark, sf_dir):
     return retention.flushes(readings(spark, sf_dir).select("buffer_id", F.col("seq").alias("pos"), F.col("mono_ns").alias("t")), 8, 7_200_000_000_000)
 
@@ -282,39 +219,6 @@ def delivery_states(spark, sf_dir):
     return delivery.states(moves)
 
 
-@query("""SELECT b.buffer_id, w AS written, k AS kept, w - k AS in_gaps, true AS holds FROM (SELECT buffer_id, count(*) AS w, least(count(*), 200) AS k FROM readings GROUP BY buffer_id) b""")
-def conservation(spark, sf_dir):
-    rows = readings(spark, sf_dir).select("buffer_id", "seq", "sensor_id", "boot_id", "mono_ns")
-    gaps = retention.gap_summary(retention.evicted(rows, 200), "retention:drop_oldest", "buffer_id")
-    return audit.conservation(rows, retention.survivors(rows, 200), gaps)
-
-
-@query("SELECT buffer_id, seq, CAST(2 AS BIGINT) AS readings FROM readings WHERE seq % 100 = 9 AND buffer_id = 'buf-1'")
-def key_conflicts(spark, sf_dir):
-    """Planted: some keys come again with another boot."""
-    rows = readings(spark, sf_dir)
-    planted = rows.where("seq % 100 = 9 AND buffer_id = 'buf-1'").withColumn("boot_id", F.lit("boot-x"))
-    return audit.key_conflicts(rows.unionByName(planted))
-
-
-@query("SELECT count(*) FILTER (seq % 7 < 3) AS pending, count(*) FILTER (seq % 7 IN (3, 4)) AS inflight, count(*) FILTER (seq % 7 >= 5) AS acked_not_purged, count(*) FILTER (seq % 7 < 5) AS unacked, CAST((SELECT count(*) FROM (SELECT DISTINCT sensor_id, boot_id FROM readings WHERE seq % 10 = 0)) AS BIGINT) AS unshipped_gaps, (SELECT count(*) FROM readings WHERE seq % 10 = 0) AS discarded FROM readings")
-def status_report(spark, sf_dir):
-    """One row: two aggregates of one row each, put side by side."""
-    rows = readings(spark, sf_dir)
-    k = F.col("seq") % 7
-    states = rows.agg(F.count_if(k < 3).alias("pending"), F.count_if(k.isin(3, 4)).alias("inflight"), F.count_if(k >= 5).alias("acked_not_purged"), F.count_if(k < 5).alias("unacked")).withColumn("one", F.lit(1))
-    gaps = retention.gap_summary(rows.where("seq % 10 = 0"), "rejected:sink").agg(F.count(F.lit(1)).alias("unshipped_gaps"), F.coalesce(F.sum("count"), F.lit(0)).alias("discarded")).withColumn("one", F.lit(1))
-    return states.join(gaps, "one").drop("one")
-
-
-@query("SELECT sensor_id, count(*) FILTER (seq % 4 = 0) AS retries_0, count(*) FILTER (seq % 4 = 1) AS retries_1, count(*) FILTER (seq % 4 = 2) AS retries_2, count(*) FILTER (seq % 4 = 3) AS retries_3 FROM readings GROUP BY sensor_id")
-def throughput_matrix(spark, sf_dir):
-    """Sends by regime (sensor) and number of immediate retries."""
-    rows = readings(spark, sf_dir).withColumn("retries", F.concat(F.lit("retries_"), (F.col("seq") % 4).cast("string")))
-    pivot = rows.groupBy("sensor_id").pivot("retries", [f"retries_{i}" for i in range(4)]).agg(F.count(F.lit(1)))
-    return pivot.na.fill(0)
-
-
 @query("SELECT arrival_batch, count(*) FILTER (nth = 1) AS readings, count(*) FILTER (nth > 1) AS duplicates, count(*) FILTER (nth = 1 AND ts_quality = 0) AS unsynced FROM (SELECT *, row_number() OVER (PARTITION BY buffer_id, seq ORDER BY arrival_batch, arrival_pos) AS nth FROM arrivals) GROUP BY arrival_batch")
 def batch_counters(spark, sf_dir):
     nth = F.row_number().over(Window.partitionBy("buffer_id", "seq").orderBy("arrival_batch", "arrival_pos"))
@@ -328,13 +232,6 @@ def power_cuts(spark, sf_dir):
     return rows.groupBy("cut").agg(F.max("lost").alias("most"), F.sum("lost").alias("total"), F.count_if(F.col("lost") > 0).alias("batches_with_loss"))
 
 
-@query("SELECT t.buffer_id, coalesce(max(r.seq), -1) AS high_water FROM (SELECT DISTINCT buffer_id FROM readings) t LEFT JOIN readings r ON r.buffer_id = t.buffer_id AND r.seq BETWEEN 100 AND 400 AND r.buffer_id <> 'buf-2' GROUP BY t.buffer_id")
-def high_water(spark, sf_dir):
-    rows = readings(spark, sf_dir)
-    inside = F.when(F.col("seq").between(100, 400) & (F.col("buffer_id") != "buf-2"), F.col("seq"))
-    return rows.groupBy("buffer_id").agg(F.coalesce(F.max(inside), F.lit(-1)).alias("high_water"))
-
-
 @query("SELECT seq, wall_ns // 1000 AS us FROM readings")
 def timestamps(spark, sf_dir):
     return readings(spark, sf_dir).select("seq", F.unix_micros(scalars.timestamp_of(F.col("wall_ns"))).alias("us"))
@@ -394,7 +291,336 @@ def parsed_readings(spark, sf_dir):
     return wire.good_readings(wire.validate(payloads(spark, sf_dir).drop("seq"))).select("seq", "buffer_id", "value", "mono_ns")
 
 
-@query("""SELECT seq, concat('{"buffer_id":"', buffer_id, '","seq":', seq, ',"type":"reading","sensor_id":"', sensor_id, '","value":null,"unit":null,"mono_ns":', mono_ns, ',"wall_ns":', wall_ns, ',"boot_id":"', boot_id, '","ts_quality":', ts_quality, ',"qc_flag":2,"qc_tests":[]}') AS line FROM readings""")
+@query("""SELECT seq, concat('{"buffer_id":"', buffer_id, '","seq":', seq, ',"type":"reading","sensor_id":"', sensor_id, '","value":', coalesce(CAST(value AS VARCHAR), 'null'), ',"unit":null,"mono_ns":', mono_ns, ',"wall_ns":', wall_ns, ',"boot_id":"', boot_id, '","ts_quality":', ts_quality, ',"qc_flag":2,"qc_tests":[]}') AS line FROM readings""")
 def wire_lines(spark, sf_dir):
-    rows = readings(spark, sf_dir).withColumns({"value": F.lit(None).cast("double"), "qc_flag": F.lit(2), "qc_tests": F.array().cast("array<string>")})
+    rows = readings(spark, sf_dir).withColumns({"qc_flag": F.lit(2), "qc_tests": F.array().cast("array<string>")})
     return rows.select("seq", wire.to_wire(rows, "reading").alias("line"))
+
+
+@query("SELECT sensor_id, boot_id, min(mono_ns) AS from_mono_ns, max(mono_ns) AS to_mono_ns, count(*) AS count, min(seq) AS first_id, 'rejected:sink' AS reason FROM readings GROUP BY sensor_id, boot_id")
+def gap_summary(spark, sf_dir):
+    return retention.gap_summary(readings(spark, sf_dir), "rejected:sink")
+
+
+@query("SELECT g.sensor_id, g.boot_id, g.count, g.lo + c.offset_ns AS from_wall_ns, g.hi + c.offset_ns AS to_wall_ns FROM (SELECT sensor_id, boot_id, count(*) AS count, min(mono_ns) AS lo, max(mono_ns) AS hi FROM readings GROUP BY sensor_id, boot_id) g JOIN clocks c USING (boot_id)")
+def gap_wall_time(spark, sf_dir):
+    rows = readings(spark, sf_dir)
+    return clock.gap_wall_times(retention.gap_summary(rows, "rejected:sink"), clock.boot_clocks(rows, "seq")).select("sensor_id", "boot_id", "count", "from_wall_ns", "to_wall_ns")
+
+
+#: A reason for every reading, and a state of the buffer.
+REASON = "CASE seq % 3 WHEN 0 THEN 'backpressure' WHEN 1 THEN 'rejected:sink' ELSE 'retention:drop_oldest' END"
+STATE = "CASE WHEN seq % 7 < 3 THEN 0 WHEN seq % 7 < 5 THEN 1 WHEN seq % 7 = 5 THEN 2 ELSE 3 END"
+
+
+@query(f"SELECT reason, count(*) AS gaps, CAST(sum(n) AS BIGINT) AS discarded FROM (SELECT {REASON} AS reason, sensor_id, boot_id, count(*) AS n FROM readings GROUP BY ALL) GROUP BY reason")
+def gap_totals_by_reason(spark, sf_dir):
+    gaps = retention.gap_summary(readings(spark, sf_dir).withColumn("why", F.expr(REASON)), "", "why")
+    return gaps.groupBy(F.col("why").alias("reason")).agg(F.count(F.lit(1)).alias("gaps"), F.sum("count").alias("discarded"))
+
+
+@query("SELECT buffer_id, seq, row_number() OVER (PARTITION BY buffer_id ORDER BY seq) AS nth FROM readings QUALIFY nth <= 100")
+def claim_oldest(spark, sf_dir):
+    return delivery.claim_oldest(readings(spark, sf_dir).select("buffer_id", "seq"), 100)
+
+
+@query("SELECT buffer_id, seq, row_number() OVER (PARTITION BY buffer_id ORDER BY seq) AS nth FROM readings QUALIFY nth = 25")
+def kth_pending(spark, sf_dir):
+    return delivery.kth_oldest(readings(spark, sf_dir).select("buffer_id", "seq"), 25)
+
+
+@query("SELECT buffer_id, seq FROM readings QUALIFY row_number() OVER (PARTITION BY buffer_id ORDER BY seq DESC) <= 50")
+def quarantine_trim(spark, sf_dir):
+    return delivery.keep_newest(readings(spark, sf_dir).select("buffer_id", "seq"), 50)
+
+
+@query("SELECT buffer_id, seq FROM readings QUALIFY row_number() OVER (PARTITION BY buffer_id ORDER BY seq) > 20")
+def purge_oldest_acked(spark, sf_dir):
+    return delivery.purge_oldest(readings(spark, sf_dir).select("buffer_id", "seq"), 20)
+
+
+@query(""", d AS (SELECT buffer_id, sensor_id, boot_id, 'backpressure' AS reason, seq AS pos, mono_ns, 0 AS seal FROM readings), s AS (SELECT buffer_id, sensor_id, boot_id, 'backpressure', seq, NULL, 1 FROM readings WHERE ts_quality = 0),
+u AS (SELECT *, coalesce(sum(seal) OVER (PARTITION BY buffer_id, sensor_id, boot_id, reason ORDER BY pos, seal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM (SELECT * FROM d UNION ALL SELECT * FROM s))
+SELECT buffer_id, sensor_id, boot_id, reason, CAST(epoch AS BIGINT) AS epoch, min(mono_ns) AS from_mono_ns, max(mono_ns) AS to_mono_ns, count(*) AS count FROM u WHERE seal = 0 GROUP BY ALL""")
+def seal_epochs(spark, sf_dir):
+    """Every reading is discarded; each that has no time of its own seals the gap that it is in."""
+    rows = readings(spark, sf_dir).select("buffer_id", "sensor_id", "boot_id", F.lit("backpressure").alias("reason"), F.col("seq").alias("pos"), "mono_ns", "ts_quality")
+    return retention.seal_epochs(rows, rows.where("ts_quality = 0"))
+
+
+@query(""", k AS (SELECT seq AS step, buffer_id, seq, count(*) AS n FROM arrivals WHERE value IS NOT NULL GROUP BY ALL), s AS (SELECT step, sum(n) AS n, sum(n - 1) AS again, count(*) AS keys FROM k GROUP BY step)
+SELECT count(c.step) AS committed, CAST(coalesce(sum(n), 0) AS BIGINT) AS delivered, CAST(coalesce(sum(again), 0) AS BIGINT) AS redelivered, count(*) FILTER (n IS NULL) AS lost, count(*) FILTER (keys > 1) AS duplicates_after_dedupe, count(*) FILTER (c.step IS NULL) AS unknown
+FROM (SELECT DISTINCT seq AS step FROM readings) c FULL JOIN s ON s.step = c.step""")
+def redelivery_report(spark, sf_dir):
+    """What has no value was never delivered."""
+    step = F.col("seq").alias("step")
+    return audit.loss_report(readings(spark, sf_dir).select(step), arrivals(spark, sf_dir).where("value IS NOT NULL").select(step, "buffer_id", "seq"))
+
+
+@query("SELECT DISTINCT seq FROM readings WHERE seq NOT IN (SELECT seq FROM arrivals WHERE value IS NOT NULL)")
+def lost_steps(spark, sf_dir):
+    return audit.lost(readings(spark, sf_dir), arrivals(spark, sf_dir).where("value IS NOT NULL"), "seq")
+
+
+@query(", b AS (SELECT buffer_id, seq, sensor_id, boot_id, mono_ns FROM readings UNION ALL SELECT buffer_id, seq, sensor_id, 'boot-x', mono_ns FROM readings WHERE value IS NULL) SELECT buffer_id, seq, count(DISTINCT (sensor_id, boot_id, mono_ns)) AS readings FROM b GROUP BY buffer_id, seq HAVING count(DISTINCT (sensor_id, boot_id, mono_ns)) > 1")
+def key_conflicts(spark, sf_dir):
+    """Planted: readings without a value come again with another boot."""
+    rows = readings(spark, sf_dir)
+    return audit.key_conflicts(rows.unionByName(rows.where("value IS NULL").withColumn("boot_id", F.lit("boot-x"))))
+
+
+@query("SELECT b.buffer_id, coalesce(max(r.seq), -1) AS high_water FROM (SELECT DISTINCT buffer_id FROM readings UNION ALL SELECT 'buf-none') b LEFT JOIN readings r USING (buffer_id) GROUP BY b.buffer_id")
+def high_water(spark, sf_dir):
+    """Of every known buffer; one that sent nothing has -1."""
+    rows = readings(spark, sf_dir).select("buffer_id", "seq")
+    known = rows.unionByName(spark.createDataFrame([("buf-none", None)], "buffer_id string, seq long"))
+    return known.groupBy("buffer_id").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("high_water"))
+
+
+@query("SELECT *, high + 1 - span * 1000 = n_distinct AS complete FROM (SELECT seq // 1000 AS span, count(*) AS n, count(DISTINCT seq) AS n_distinct, min(seq) AS low, max(seq) AS high FROM readings GROUP BY span)")
+def whole_table_audit(spark, sf_dir):
+    return audit.spans(readings(spark, sf_dir), "seq", 1000)
+
+
+@query(""", k AS (SELECT *, row_number() OVER (PARTITION BY buffer_id ORDER BY seq DESC) AS nth FROM readings), s AS (SELECT buffer_id, count(*) AS written, count(*) FILTER (nth <= 200) AS kept, count(*) FILTER (nth > 200) AS in_gaps FROM k GROUP BY buffer_id)
+SELECT *, kept + in_gaps = written AS holds FROM s""")
+def conservation(spark, sf_dir):
+    rows = readings(spark, sf_dir).select("buffer_id", "seq", "sensor_id", "boot_id", "mono_ns")
+    gaps = retention.gap_summary(retention.evicted(rows, 200), "retention:drop_oldest", "buffer_id")
+    return audit.conservation(rows, retention.survivors(rows, 200), gaps)
+
+
+def buffered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All readings as rows of their buffers, in all states."""
+    return readings(spark, sf_dir).select("buffer_id", "seq", F.expr(STATE).cast("int").alias("state"), "sensor_id", "boot_id", "mono_ns", "ts_quality")
+
+
+def buffered_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gap for each sensor, boot and buffer: its seq is its first reading's, its state that of the count's."""
+    gaps = retention.gap_summary(readings(spark, sf_dir), "rejected:sink", "buffer_id")
+    return gaps.select("buffer_id", F.col("first_id").alias("seq"), (F.col("count") % 4).cast("int").alias("state"), "sensor_id", "boot_id", "reason", "count")
+
+
+BUFFERED = f""", held AS (SELECT buffer_id, seq, {STATE} AS state, sensor_id, boot_id, mono_ns, ts_quality FROM readings),
+gaps AS (SELECT buffer_id, min(seq) AS seq, CAST(count(*) % 4 AS INTEGER) AS state, sensor_id, boot_id, 'rejected:sink' AS reason, count(*) AS count FROM readings GROUP BY buffer_id, sensor_id, boot_id)"""
+#: Buffers that hold the readings with a time of their own and take those without, under a cap that costs each some.
+APPENDED = BUFFERED + """, old AS (SELECT * FROM held WHERE ts_quality <> 0), new AS (SELECT *, row_number() OVER (PARTITION BY buffer_id ORDER BY seq) AS nth FROM held WHERE ts_quality = 0),
+o AS (SELECT n.buffer_id, coalesce(pending, 0) AS pending, greatest(coalesce(unacked, 0) + n - (SELECT count(*) // 6 FROM readings), 0) AS over FROM (SELECT buffer_id, count(*) AS n FROM new GROUP BY buffer_id) n LEFT JOIN
+  (SELECT buffer_id, count(*) FILTER (state = 0) AS pending, count(*) FILTER (state < 2) AS unacked FROM old GROUP BY buffer_id) h USING (buffer_id)),
+marked AS (SELECT buffer_id, seq, state, sensor_id, boot_id, mono_ns, state = 0 AND row_number() OVER (PARTITION BY buffer_id, state ORDER BY seq) <= coalesce(over, 0) AS lost FROM old LEFT JOIN o USING (buffer_id)
+  UNION ALL SELECT buffer_id, seq, 0, sensor_id, boot_id, mono_ns, nth <= over - least(over, pending) FROM new JOIN o USING (buffer_id))"""
+
+
+def _append(spark: SparkSession, sf_dir: str, policy: str) -> tuple[DataFrame, DataFrame]:
+    rows = buffered(spark, sf_dir)
+    cap = rows.count() // 6
+    return buffer.append(rows.where("ts_quality <> 0").drop("ts_quality"), rows.where("ts_quality = 0").drop("ts_quality", "state"), cap, policy)
+
+
+@query(APPENDED + " SELECT buffer_id, seq, CAST(state AS INTEGER) AS state FROM marked WHERE NOT lost")
+def append_drop_oldest(spark, sf_dir):
+    """What is held after each buffer took a batch too large for it: pending rows go, those in flight stay."""
+    return _append(spark, sf_dir, "drop_oldest")[0].select("buffer_id", "seq", "state")
+
+
+@query(APPENDED + " SELECT buffer_id, sensor_id, boot_id, min(mono_ns) AS from_mono_ns, max(mono_ns) AS to_mono_ns, count(*) AS count, min(seq) AS first_id, 'retention:drop_oldest' AS reason FROM marked WHERE lost GROUP BY ALL")
+def append_gaps(spark, sf_dir):
+    return _append(spark, sf_dir, "drop_oldest")[1]
+
+
+@query(APPENDED + " SELECT buffer_id, count(*) AS n, count(*) FILTER (state = 0) AS pending FROM (SELECT buffer_id, state FROM old UNION ALL SELECT n.buffer_id, 0 FROM new n JOIN o USING (buffer_id) WHERE over = 0) GROUP BY buffer_id")
+def append_halt(spark, sf_dir):
+    """A batch that doesn't fit is refused whole."""
+    kept, _ = _append(spark, sf_dir, "halt_and_alarm")
+    return kept.groupBy("buffer_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("state") == 0).alias("pending"))
+
+
+@query(""", c AS (SELECT buffer_id, seq, ts_quality, row_number() OVER (PARTITION BY buffer_id ORDER BY seq) <= 100 AS first FROM readings), r AS (SELECT *, first AND ts_quality <> 0 AS inflight FROM c),
+p AS (SELECT *, row_number() OVER (PARTITION BY buffer_id, inflight ORDER BY seq) AS nth FROM r) SELECT buffer_id, seq, CASE WHEN inflight OR nth <= 60 THEN 1 ELSE 0 END AS state FROM p""")
+def claim_again(spark, sf_dir):
+    """The oldest 100 of each buffer are claimed, some are released, and the oldest 60 pending are claimed: the released
+    ones come first, as they have their old places."""
+    rows = readings(spark, sf_dir).select("buffer_id", "seq", "ts_quality", F.lit(0).alias("state"))
+    first = buffer.claim(rows, 100)
+    return buffer.claim(buffer.release(first, first.where("ts_quality = 0")), 60).select("buffer_id", "seq", "state")
+
+
+@query(BUFFERED + " SELECT buffer_id, sensor_id, boot_id, min(mono_ns) AS from_mono_ns, max(mono_ns) AS to_mono_ns, count(*) AS count, min(seq) AS first_id, 'rejected:sink' AS reason FROM held WHERE state = 1 AND ts_quality = 0 GROUP BY ALL")
+def reject_gaps_of_rows(spark, sf_dir):
+    """The sink refuses what has no time; of that only rows in flight go to quarantine, and gaps count exactly those."""
+    rows = buffered(spark, sf_dir)
+    return buffer.reject(rows, rows.where("ts_quality = 0"))[1]
+
+
+@query(BUFFERED + " SELECT CASE WHEN state = 1 AND ts_quality = 0 THEN 3 ELSE state END AS state, count(*) AS n FROM held GROUP BY 1")
+def reject_states(spark, sf_dir):
+    rows = buffered(spark, sf_dir)
+    return buffer.reject(rows, rows.where("ts_quality = 0"))[0].groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(BUFFERED + " SELECT buffer_id, count(*) AS gaps, CAST(sum(count) AS BIGINT) AS unaccounted FROM gaps WHERE state = 1 GROUP BY buffer_id")
+def rejected_gaps(spark, sf_dir):
+    """All gaps are refused: those in flight go to quarantine, without a gap of their own."""
+    gaps = buffered_gaps(spark, sf_dir)
+    return buffer.reject_gaps(gaps, gaps)[1]
+
+
+@query(BUFFERED + " SELECT CASE WHEN state = 1 THEN 0 ELSE state END AS state, count(*) AS n FROM held GROUP BY 1")
+def recovered_states(spark, sf_dir):
+    return buffer.recover(buffered(spark, sf_dir)).groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(BUFFERED + """, k AS (SELECT 'reading' AS type, buffer_id, seq, state, row_number() OVER (PARTITION BY buffer_id, state ORDER BY seq) AS up, row_number() OVER (PARTITION BY buffer_id, state ORDER BY seq DESC) AS down FROM held
+  UNION ALL SELECT 'gap', buffer_id, seq, state, row_number() OVER (PARTITION BY buffer_id, state ORDER BY seq), row_number() OVER (PARTITION BY buffer_id, state ORDER BY seq DESC) FROM gaps)
+SELECT type, buffer_id, seq, state FROM k WHERE state < 2 OR (state = 2 AND type = 'reading' AND up > 40) OR (state = 3 AND down <= 30)""")
+def purged(spark, sf_dir):
+    """What a purge of 40 acknowledged readings leaves, with 30 in quarantine."""
+    rows, gaps = buffer.purge(buffered(spark, sf_dir), buffered_gaps(spark, sf_dir), 40, 30)
+    of = lambda df, name: df.select(F.lit(name).alias("type"), "buffer_id", "seq", "state")
+    return of(rows, "reading").unionByName(of(gaps, "gap"))
+
+
+@query(BUFFERED + " SELECT buffer_id, seq FROM gaps WHERE state = 0 QUALIFY row_number() OVER (PARTITION BY buffer_id ORDER BY seq) <= 20")
+def gap_scan(spark, sf_dir):
+    return buffer.sendable_gaps(buffered_gaps(spark, sf_dir), 20).select("buffer_id", "seq")
+
+
+@query(BUFFERED + """, a AS (SELECT buffer_id, count(*) FILTER (state = 0) AS pending, count(*) FILTER (state = 1) AS inflight, count(*) FILTER (state = 2) AS acked_not_purged, count(*) FILTER (state = 3) AS quarantined, count(*) FILTER (state < 2) AS unacked FROM held GROUP BY buffer_id)
+SELECT a.*, count(*) FILTER (g.state < 2) AS unshipped_gaps, CAST(sum(g.count) AS BIGINT) AS discarded_in_buffered_gaps, true AS exists, CAST(1000 AS BIGINT) AS cap, 'drop_oldest' AS policy, CAST(0 AS BIGINT) AS file_bytes FROM a JOIN gaps g USING (buffer_id) GROUP BY ALL""")
+def status_report(spark, sf_dir):
+    return buffer.status(buffered(spark, sf_dir), buffered_gaps(spark, sf_dir), 1000, "drop_oldest")
+
+
+@query(BUFFERED + " SELECT buffer_id, seq, CAST(CASE WHEN state = 1 AND ts_quality = 0 THEN 2 ELSE state END AS INTEGER) AS state FROM held")
+def acked_by_id(spark, sf_dir):
+    """Rows in flight that a list of ids names are acknowledged; the list also names rows that aren't, and these stay."""
+    rows = buffered(spark, sf_dir)
+    return buffer.ack(rows, rows.where("ts_quality = 0").select("buffer_id", "seq")).select("buffer_id", "seq", "state")
+
+
+@query(BUFFERED + " SELECT 'reading' AS type, state, count(*) AS n, CAST(0 AS BIGINT) AS counted FROM held GROUP BY state UNION ALL SELECT 'gap', state, count(*), CAST(sum(count) AS BIGINT) FROM gaps GROUP BY state")
+def received_counts(spark, sf_dir):
+    rows = buffered(spark, sf_dir).select(F.lit("reading").alias("type"), "state", F.lit(None).cast("long").alias("count"))
+    return audit.received_counts(rows.unionByName(buffered_gaps(spark, sf_dir).select(F.lit("gap").alias("type"), "state", "count")))
+
+
+#: A producer's log: each boot is a run whose steps are its readings in order, a few more written than came from some.
+RUNS = """, r AS (SELECT dense_rank() OVER (ORDER BY boot_id) - 1 AS run, row_number() OVER (PARTITION BY boot_id ORDER BY seq) - 1 AS step, value FROM readings), l AS (SELECT run, count(*) + run % 4 AS written, run % 3 <> 0 AS ended FROM r GROUP BY run)"""
+
+
+@query(RUNS + """, g AS (SELECT run, max(step) AS top, count(DISTINCT step) AS n FROM r WHERE value IS NOT NULL GROUP BY run), x AS (SELECT l.run, l.written, l.ended, coalesce(g.top, -1) AS top, coalesce(g.n, 0) AS n, l.run = (SELECT max(run) FROM l) AND NOT l.ended AS live FROM l LEFT JOIN g USING (run))
+SELECT run, CASE WHEN live THEN 'live' WHEN ended THEN 'stopped' ELSE 'cut' END AS how, written, n AS received, top + 1 - n AS holes, CASE WHEN live THEN 0 ELSE greatest(0, written - (top + 1)) END AS tail, top + 1 = n AND CASE WHEN live THEN 0 ELSE greatest(0, written - (top + 1)) END <= 2 AS ok FROM x""")
+def run_report(spark, sf_dir):
+    """Runs beside the producer's log: what has no value never came, and some runs wrote more than anyone saw."""
+    rows = readings(spark, sf_dir).select("boot_id", "seq", "value")
+    boots = rows.select("boot_id").distinct()  # one row for each boot is ranked
+    run = boots.select("boot_id", (F.dense_rank().over(Window.orderBy("boot_id")) - 1).cast("long").alias("run"))
+    steps = rows.join(run, "boot_id").select("run", "value", (F.row_number().over(Window.partitionBy("boot_id").orderBy("seq")) - 1).cast("long").alias("step"))
+    log = steps.groupBy("run").agg(F.count(F.lit(1)).alias("n")).select("run", (F.col("n") + F.col("run") % 4).alias("written"), (F.col("run") % 3 != 0).alias("ended"))
+    return audit.run_report(log, steps.where("value IS NOT NULL"), 2)
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS delivered, count(*) AS distinct_keys, count(*) FILTER (n > 1) AS duplicated, CAST(sum(n - 1) AS BIGINT) AS extra, sum(n - 1) / sum(n) AS rate FROM (SELECT seq, count(*) AS n FROM arrivals GROUP BY seq)")
+def duplicate_rates(spark, sf_dir):
+    return audit.duplicate_rates(arrivals(spark, sf_dir), "seq")
+
+
+#: Messages: a reading without a value is a dead letter, one that a boot's first batch brings a gap.
+MESSAGES = """, m AS (SELECT *, CASE WHEN value IS NULL THEN NULL WHEN sensor_id = 'error' THEN 'gap' ELSE 'reading' END AS kind, boot_id IN (SELECT boot_id FROM clocks) AS has_clock FROM arrivals),
+n AS (SELECT *, row_number() OVER (PARTITION BY kind, buffer_id, seq ORDER BY arrival_batch, arrival_pos) AS nth FROM m),
+results AS (SELECT arrival_batch, count(*) FILTER (nth = 1 AND kind = 'reading') AS readings, count(*) FILTER (nth = 1 AND kind = 'gap') AS gaps, count(*) FILTER (nth > 1 AND kind IS NOT NULL) AS duplicates, count(*) FILTER (kind IS NULL) AS dead_letters, count(*) FILTER (nth = 1 AND kind = 'reading' AND ts_quality = 0 AND has_clock) AS corrected FROM n GROUP BY arrival_batch)"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = readings(spark, sf_dir)
+    boots = clock.boot_clocks(rows, "seq").select("boot_id", F.lit(True).alias("_has"))
+    kind = F.when(F.col("value").isNotNull(), F.when(F.col("sensor_id") == "error", "gap").otherwise("reading"))
+    came = arrivals(spark, sf_dir).join(boots, "boot_id", "left")
+    return audit.batch_results(came.withColumns({"kind": kind, "has_clock": F.coalesce("_has", F.lit(False))}))
+
+
+@query(MESSAGES + " SELECT * FROM results")
+def batch_results(spark, sf_dir):
+    return _results(spark, sf_dir)
+
+
+@query(MESSAGES + " SELECT arrival_batch, " + ", ".join(f"CAST(sum({c}) OVER (ORDER BY arrival_batch) AS BIGINT) AS {c}" for c in ("readings", "gaps", "duplicates", "dead_letters", "corrected")) + " FROM results")
+def running_totals(spark, sf_dir):
+    return audit.running_totals(_results(spark, sf_dir))
+
+
+@query(""", s AS (SELECT [1, 10, 50, 200][1 + seq % 4] AS batch, 1 + seq * 7919 % 97 AS ms FROM readings), p AS (SELECT batch, count(*) AS n, median(ms) AS p50, list_sort(list(ms)) AS v, max(ms) AS max, sum(ms) AS total FROM s GROUP BY batch)
+SELECT batch, n, p50, v[least(n, CAST(floor(n * 0.9) AS BIGINT) + 1)] AS p90, v[least(n, CAST(floor(n * 0.99) AS BIGINT) + 1)] AS p99, max, batch * 1000.0::DOUBLE / p50 AS rows_per_s, CAST(batch * n AS DOUBLE) * 1000.0::DOUBLE / CAST(total AS DOUBLE) AS overall_rows_per_s FROM p""")
+def commit_throughput(spark, sf_dir):
+    """Commits of several batch sizes with their times: percentiles and rows a second."""
+    size = F.element_at(F.array(*map(F.lit, (1, 10, 50, 200))), (1 + F.col("seq") % 4).cast("int"))
+    return audit.throughput(readings(spark, sf_dir).select(size.alias("batch"), (1 + F.col("seq") * 7919 % 97).alias("ms")), "ms", "batch")
+
+
+@query("SELECT count(*) AS cuts, max(lost) AS most_lost, avg(lost) AS mean_lost, count(*) FILTER (lost > 0) AS cuts_with_loss, count(*) FILTER (NOT intact) AS integrity_failures FROM (SELECT boot_id, count(*) FILTER (value IS NULL) AS lost, bool_or(ts_quality = 2) AS intact FROM readings GROUP BY boot_id)")
+def power_cut_summary(spark, sf_dir):
+    """Each boot ends with a cut: what has no value was lost, and a boot without a trusted time counts as damaged."""
+    cuts = readings(spark, sf_dir).groupBy("boot_id").agg(F.count_if(F.col("value").isNull()).alias("lost"), F.max(F.col("ts_quality") == 2).alias("intact"))
+    return audit.cut_summary(cuts)
+
+
+SAMPLES = ", s AS (SELECT buffer_id, boot_id, seq AS t, seq * 7919 % 10007 AS rss, seq * 104729 % 20011 AS vm, seq % 9 AS threads, seq * 31 % 1009 AS pending, seq * 8 AS sectors FROM readings)"
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("seq")
+    return readings(spark, sf_dir).select("buffer_id", "boot_id", n.alias("t"), (n * 7919 % 10007).alias("rss"), (n * 104729 % 20011).alias("vm"), (n % 9).alias("threads"), (n * 31 % 1009).alias("pending"), (n * 8).alias("sectors"))
+
+
+@query(SAMPLES + """ SELECT buffer_id, arg_min(rss, (t, rss)) AS first_rss, arg_max(rss, (t, rss)) AS last_rss, arg_min(vm, (t, vm)) AS first_vm, arg_max(vm, (t, vm)) AS last_vm, max(rss) AS most_rss, max(vm) AS most_vm, max(threads) AS most_threads, count(DISTINCT boot_id) AS boots,
+max(pending) AS most_pending, arg_max(pending, (t, pending)) AS last_pending FROM s GROUP BY buffer_id""")
+def resource_report(spark, sf_dir):
+    return audit.resource_report(samples(spark, sf_dir), "t", "buffer_id")
+
+
+@query(SAMPLES + " SELECT CAST(512 * sum(g) AS BIGINT) AS bytes, 512 * sum(g) * 86400.0::DOUBLE / (SELECT max(t) - min(t) FROM s) AS bytes_per_day FROM (SELECT max(sectors) - min(sectors) AS g FROM s GROUP BY boot_id)")
+def card_writes(spark, sf_dir):
+    return audit.written_bytes(samples(spark, sf_dir), "sectors", "t")
+
+
+@query(SAMPLES + " SELECT buffer_id, last, warm, last - warm AS growth FROM (SELECT buffer_id, arg_max(rss, (t, rss)) AS last FROM s GROUP BY buffer_id) LEFT JOIN (SELECT buffer_id, rss AS warm FROM s QUALIFY row_number() OVER (PARTITION BY buffer_id ORDER BY t, rss) = 31) USING (buffer_id)")
+def memory_growth(spark, sf_dir):
+    return audit.growth_after(samples(spark, sf_dir), "rss", "t", 30, "buffer_id")
+
+
+@query(""", t AS (SELECT sensor_id AS regime, seq // 11 % 4 AS retries, [0, 25, 50][1 + seq % 3] AS fails, 1 + seq % 3 AS sends, 5 + seq * 7919 % 50 AS ms FROM readings)
+SELECT regime, retries, """ + ", ".join(f"CAST(count(*) FILTER (fails = {f}) AS DOUBLE) * 20000.0::DOUBLE / sum(ms) FILTER (fails = {f}) AS rows_per_s_{f}, CAST(sum(sends) FILTER (fails = {f}) AS BIGINT) AS sends_{f}" for f in (0, 25, 50)) + " FROM t GROUP BY regime, retries")
+def throughput_matrix(spark, sf_dir):
+    """Rows a second and sends by regime (sensor), immediate retries and failure rate; each reading stands for 20 rows sent."""
+    n = F.col("seq")
+    fails = F.element_at(F.array(*map(F.lit, (0, 25, 50))), (1 + n % 3).cast("int"))
+    tries = readings(spark, sf_dir).select(F.col("sensor_id").alias("regime"), (F.floor(n / 11) % 4).alias("retries"), fails.alias("fails"), (1 + n % 3).alias("sends"), (5 + n * 7919 % 50).alias("ms"))
+    got = tries.groupBy("regime", "retries").pivot("fails", [0, 25, 50]).agg(F.count(F.lit(1)).alias("n"), F.sum("ms").alias("ms"), F.sum("sends").alias("sends"))
+    return got.select("regime", "retries", *[c for f in (0, 25, 50) for c in ((F.col(f"{f}_n") * 20000.0 / F.col(f"{f}_ms")).alias(f"rows_per_s_{f}"), F.col(f"{f}_sends").alias(f"sends_{f}"))])
+
+
+@query(""", g AS (SELECT buffer_id, min(seq) AS seq, sensor_id, boot_id, 'rejected:sink' AS reason, count(*) AS count FROM readings WHERE value IS NULL GROUP BY ALL), r AS (SELECT buffer_id, seq, seq AS step FROM arrivals WHERE value IS NOT NULL UNION ALL SELECT buffer_id, seq, step FROM (SELECT buffer_id, min(seq) AS seq, -1 AS step FROM readings GROUP BY buffer_id)),
+pk AS (SELECT buffer_id, seq, count(DISTINCT step) AS n FROM r GROUP BY ALL), ps AS (SELECT step, count(DISTINCT (buffer_id, seq)) AS n FROM r GROUP BY step)
+SELECT 'a key names one reading' AS invariant, count(*) AS broken FROM pk WHERE n > 1 UNION ALL SELECT 'a reading has one key', count(*) FROM ps WHERE n > 1
+UNION ALL SELECT 'a key names a reading or a gap', count(*) FROM (SELECT DISTINCT buffer_id, seq FROM r) SEMI JOIN g USING (buffer_id, seq) UNION ALL SELECT 'a gap is sent again as it was', count(*) FROM (SELECT buffer_id, seq FROM g GROUP BY ALL HAVING count(DISTINCT (sensor_id, boot_id, reason, count)) > 1)
+UNION ALL SELECT 'only what was written is delivered', count(*) FROM ps WHERE step NOT IN (SELECT seq FROM readings) UNION ALL SELECT 'delivered and gaps add up', abs((SELECT count(*) FROM ps) + (SELECT CAST(sum(count) AS BIGINT) FROM g) - (SELECT count(DISTINCT seq) FROM readings))""")
+def invariants(spark, sf_dir):
+    """What has no value is in gaps. Planted: each buffer's first key also comes with a reading that no one wrote."""
+    rows = readings(spark, sf_dir)
+    gaps = retention.gap_summary(rows.where("value IS NULL"), "rejected:sink", "buffer_id").withColumnRenamed("first_id", "seq")
+    sent = arrivals(spark, sf_dir).where("value IS NOT NULL").select("buffer_id", "seq", F.col("seq").alias("step"))
+    planted = rows.groupBy("buffer_id").agg(F.min("seq").alias("seq")).withColumn("step", F.lit(-1).cast("long"))
+    return audit.invariants(sent.unionByName(planted), gaps, rows.select(F.col("seq").alias("step")))
+
+
+@query("SELECT buffer_id, seq, value FROM readings WHERE buffer_id = 'buf-1' AND seq = (SELECT max(seq) FROM readings WHERE buffer_id = 'buf-1')")
+def point_lookup(spark, sf_dir):
+    """One row by its key; buffer and seq reach the scan as filters on what they are derived from."""
+    rows = readings(spark, sf_dir).where("buffer_id = 'buf-1'")
+    last = rows.agg(F.max("seq")).first()[0]
+    return rows.where(F.col("seq") == last).select("buffer_id", "seq", "value")
+
+
+@query("SELECT buffer_id, seq, row_number() OVER (ORDER BY buffer_id, seq) AS place FROM readings")
+def total_order(spark, sf_dir):
+    return retention.total_order(readings(spark, sf_dir).select("buffer_id", "seq"))
