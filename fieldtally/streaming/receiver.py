@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -42,17 +42,26 @@ class Store:
         known = self._table(name)
         if known is None:
             return first
-        return first.join(known.where(F.col("arrival_batch") < batch).select("buffer_id", "seq"), ["buffer_id", "seq"], "left_anti")
+        # Only what the batch's range of numbers may hold is read of the history: the range reaches the scan.
+        low, high = first.agg(F.min("seq"), F.max("seq")).first()
+        if low is None:
+            return first
+        known = known.where((F.col("arrival_batch") < batch) & F.col("seq").between(low, high))
+        return first.join(known.select("buffer_id", "seq"), ["buffer_id", "seq"], "left_anti")
 
     def store(self, messages: DataFrame, batch: int) -> None:
-        """foreachBatch function. messages: source, payload, and optionally arrival_pos."""
-        at = F.col("arrival_pos") if "arrival_pos" in messages.columns else F.monotonically_increasing_id()
+        """foreachBatch function. messages: source, payload, and optionally arrival_pos; without it, first is the message
+        of the smallest hash, which a replay finds again."""
+        at = F.col("arrival_pos") if "arrival_pos" in messages.columns else F.xxhash64("source", "payload")
         checked = wire.validate(messages.select("source", "payload", F.lit(batch).cast("long").alias("arrival_batch"), at.alias("arrival_pos"))).persist()
         try:
             self._write(self._new(wire.good_readings(checked), "readings", batch), "readings", batch)
             self._write(self._new(wire.good_gaps(checked), "gaps", batch), "gaps", batch)
             self._write(wire.dead_letters(checked), "dead_letters", batch)
             counts = checked.agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("error").isNotNull()).alias("dead_letters"))
+            new = {name: self.spark.read.parquet(f"{self.path}/{name}/arrival_batch={batch}").count() for name in ("readings", "gaps")}
+            counts = counts.withColumns({name: F.lit(n).cast("long") for name, n in new.items()})
+            counts = counts.withColumn("duplicates", F.col("messages") - F.col("dead_letters") - F.col("readings") - F.col("gaps"))
             self._write(counts, "batches", batch)
         finally:
             checked.unpersist()
@@ -65,6 +74,12 @@ class Store:
             return clock.correct_by_arrival(rows)
         return clock.correct(rows, clock.boot_clocks(rows, "arrival_batch", "arrival_pos"))
 
+    def totals(self) -> DataFrame:
+        """The counters of all batches, summed from the first on."""
+        so_far = Window.orderBy("arrival_batch").rowsBetween(Window.unboundedPreceding, 0)  # one row for each batch
+        names = ("messages", "readings", "gaps", "duplicates", "dead_letters")
+        return self._table("batches").select("arrival_batch", *[F.sum(c).over(so_far).alias(c) for c in names])
+
     def compact(self, files: int) -> None:
         """Rewrites the readings of all batches into few files under batch 0 of a new table, `readings_compact`."""
         self._table("readings").withColumnRenamed("arrival_batch", "batch").repartition(files, "device_id").sortWithinPartitions("sensor_id", "wall_ns").write.mode("overwrite").parquet(f"{self.path}/readings_compact")

@@ -160,3 +160,86 @@ def test_audits_find_what_is_planted(spark):
     row = audit.loss_report(committed, delivered).first()
     assert (row["committed"], row["delivered"], row["redelivered"], row["lost"], row["duplicates_after_dedupe"], row["unknown"]) == (10, 12, 1, 1, 1, 1)
     assert [r["step"] for r in audit.lost(committed, delivered, "step").collect()] == [4]
+
+
+class Log:
+    """A receive log in a file, one message a line."""
+
+    def __init__(self, options):
+        self.path = options["log"]
+
+    def lines(self):
+        with open(self.path) as f:
+            return f.read().splitlines()
+
+    def end(self):
+        return len(self.lines())
+
+    def read(self, a, b):
+        return [("topic", x) for x in self.lines()[a:b]]
+
+
+def test_broker_subscription(spark, tmp_path):
+    from fieldtally.sources.broker import BrokerSource
+
+    spark.dataSource.register(BrokerSource)
+    log, store = tmp_path / "log", Store(spark, str(tmp_path / "store"))
+    log.write_text("\n".join([message(i, i, 1000 + i, 2) for i in range(25)] + ["bad"]) + "\n")
+    subscribe = lambda: spark.readStream.format("broker").option("client", "test_receiver:Log").option("log", str(log)).option("part_rows", 10).load()
+    for expected in (25, 27):
+        run_receiver(subscribe(), store, str(tmp_path / "checkpoint")).awaitTermination()
+        assert store.table("readings").count() == expected
+        with log.open("a") as f:  # one again and two new ones
+            f.write("\n".join(message(i, i, 1000 + i, 2) for i in (3, 25, 26)) + "\n")
+    last = store.totals().orderBy(F.col("arrival_batch").desc()).first()
+    assert (last["messages"], last["readings"], last["duplicates"], last["dead_letters"]) == (29, 27, 1, 1)
+
+
+def test_mqtt_publishes_each_record(spark, tmp_path):
+    from fieldtally.sinks.mqtt import Mqtt
+
+    path = str(tmp_path / "sent")
+
+    def connect():
+        def publish(topic, payload):
+            with open(path, "a") as f:
+                f.write(topic + " " + payload.decode() + "\n")
+            seq = json.loads(payload)["seq"]
+            return [0x00, 0x10, 0x99, 0x80, None][seq % 5]
+
+        return publish
+
+    rows = spark.createDataFrame([("b", i, "d", "s/1") for i in range(10)], "buffer_id string, seq long, device_id string, sensor_id string")
+    found = {r["seq"]: r["outcome"] for r in Mqtt(connect).send(rows, 0).collect()}
+    assert found == {i: "rejected" if i % 5 == 2 else "accepted" for i in range(10) if i % 5 < 3}
+    lines = open(path).read().splitlines()
+    assert len(lines) == 10 and all(x.startswith("d/b/reading/s%2F1 {\"device_id\":\"d\"") for x in lines)
+
+
+def test_uuids_are_read_as_python_reads_them(spark):
+    import uuid
+
+    from fieldtally.functions.scalars import canonical_uuid
+
+    texts = [UUID, UUID.upper(), UUID.replace("-", ""), "{" + UUID + "}", "urn:uuid:" + UUID, "URN:UUID:" + UUID, "{" + UUID[:8] + "}" + UUID[8:], "1-" * 31 + "1", "x", ""]
+
+    def own(t):
+        try:
+            return str(uuid.UUID(t))
+        except ValueError:
+            return None
+
+    found = spark.createDataFrame([(t,) for t in texts], "t string").select("t", canonical_uuid(F.col("t")).alias("u")).collect()
+    assert {r["t"]: r["u"] for r in found} == {t: own(t) for t in texts}
+
+
+def test_lines_and_fakes(spark, tmp_path):
+    from fieldtally.sources.tables import fake_readings, lines
+    from fieldtally.sources.wire import parse_lines
+
+    path = tmp_path / "in.jsonl"
+    path.write_bytes(b'{"sensor_id":"s","value":1.5}\n\n  \n{"sensor_id":"s","value":null,"unit":"C"}\nnope\n{"sensor_id":"s","value":1' + b"0" * 400 + b'}\n{"sensor_id":"s\xed\xa0\x80","value":1}\n{"sensor_id":"t","value":2}')
+    found = parse_lines(lines(spark, str(path)))
+    assert sorted((r["sensor_id"], r["reading"]) for r in found.where("NOT bad").collect() if r["reading"]) == [("s", 1.5), ("t", 2.0)]
+    assert found.where("NOT bad").count() == 3 and found.where("bad").count() == 3
+    assert [r["value"] for r in fake_readings(spark, 1, streaming=False, rows=3).orderBy("value").collect()] == [0.0, 1.0, 2.0]
