@@ -24,8 +24,10 @@ PENALTY = 1
 #: Score of the best run from which a document is contaminated; a passage of fewer words needs SHORT of its words.
 MIN_SCORE = 12
 SHORT = 0.8
-#: Passages of fewer words are left out: so few words are no evidence.
+#: Passages of fewer words are left out by default: so few words are no evidence. Where they count, they must stand whole.
 MIN_WORDS = 6
+#: Seed hits that are expanded at once.
+EXPANDED = 1 << 20
 #: Seeds of the benchmark up to which they are broadcast (16 bytes each); more are joined by shuffling.
 BROADCAST_SEEDS = 4_000_000
 #: Cells of the bit table that most documents' seeds are turned away by.
@@ -55,39 +57,62 @@ def best_run(equal: np.ndarray) -> tuple[int, int, int]:
     return int(gain[end]), start, end
 
 
+def masks_of(min_words: int) -> tuple[str, ...]:
+    """The spaced masks, and those of whole passages that are too short for them."""
+    return MASKS + tuple("1" * k for k in range(min_words, MIN_WORDS))
+
+
+def item_seeds(hashes: np.ndarray, rows: np.ndarray, mask: str, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of passages: a mask of a short passage fits those of just its length."""
+    at, h = seeds(hashes, rows, mask)
+    if len(mask) >= MIN_WORDS:
+        return at, h
+    exact = np.bincount(rows, minlength=n_rows)[rows[at]] == len(mask)
+    return at[exact], h[exact]
+
+
 class Bench:
     """A benchmark's words and seeds, as arrays."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], min_words: int = MIN_WORDS):
         raw, offsets = text_bytes(pa.array([t for _, t in items], pa.string()))
         self.ids = np.array([i for i, _ in items], np.int64)
+        self.min_words = min_words
         self.words, _, _, rows = word_hashes(raw, offsets, PLAIN)
         self.first = np.searchsorted(rows, np.arange(len(items) + 1))
         self.item_of = rows
         self.seeds = {}
-        for mask in MASKS:
-            at, h = seeds(self.words, rows, mask)
+        for mask in masks_of(min_words):
+            at, h = item_seeds(self.words, rows, mask, len(items))
             order = np.argsort(h, kind="stable")
             bits = np.zeros(1 << FILTER_BITS, bool)
             bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
             self.seeds[mask] = (h[order], at[order], bits)
 
     def hits(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Distinct (row, item, shift) of all seed hits: shift is the place of the item's first word in all words."""
-        out = [np.zeros((0, 3), np.int64)]
+        """Distinct (row, item, shift) of all seed hits: shift is the place of the item's first word in all words. A word
+        that fills both sides hits with everything, so hits are expanded and made distinct a part at a time."""
+        out = np.zeros((0, 3), np.int64)
         for mask, (known, places, bits) in self.seeds.items():
             if not len(known):
                 continue
             at, h = seeds(words, rows, mask)
             near = bits[(h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)]
             at, h = at[near], h[near]
-            lo, hi = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-            n = hi - lo
-            at = np.repeat(at, n)
-            place = places[np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            item = self.item_of[place]
-            out.append(np.stack([rows[at], item, at - (place - self.first[item])], 1))
-        return np.unique(np.concatenate(out), axis=0)
+            lo = np.searchsorted(known, h, "left")
+            n = np.searchsorted(known, h, "right") - lo
+            at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+            for a, b in slices(n, EXPANDED):
+                m = n[a:b]
+                ahead = np.repeat(lo[a:b] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+                place, here = places[ahead], np.repeat(at[a:b], m)
+                item = self.item_of[place]
+                out = np.unique(np.concatenate([out, np.stack([rows[here], item, here - (place - self.first[item])], 1)]), axis=0)
+        return out
+
+    def needed(self, n: int) -> int:
+        """The score that a passage of n words must reach."""
+        return n if n < MIN_WORDS else min(MIN_SCORE, max(MIN_WORDS - 1, int(np.ceil(SHORT * n))))
 
     def verify(self, words: np.ndarray, first: np.ndarray, found: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int, int]]:
         """(row, item) -> score, matched words, first and end word in the row, of the best verified alignment. first:
@@ -95,10 +120,13 @@ class Bench:
         out: dict[tuple[int, int], tuple[int, int, int, int]] = {}
         for row, item, shift in found.tolist():
             a, b = int(self.first[item]), int(self.first[item + 1])
+            best = out.get((row, item), (0,))[0]
+            if b - a < self.min_words or best == b - a:  # nothing is better than the whole passage
+                continue
             lo, hi = max(shift, int(first[row])), min(shift + b - a, int(first[row + 1]))
             equal = words[lo:hi] == self.words[a + lo - shift : a + hi - shift]
             score, x, y = best_run(equal)
-            if b - a >= MIN_WORDS and score >= min(MIN_SCORE, max(MIN_WORDS - 1, int(np.ceil(SHORT * (b - a))))) and score > out.get((row, item), (0,))[0]:
+            if score >= self.needed(b - a) and score > best:
                 out[row, item] = (score, int(equal[x:y].sum()), lo + x - int(first[row]), lo + y - int(first[row]))
         return out
 
@@ -112,20 +140,22 @@ def _rows(ids: np.ndarray, bench: Bench, found: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(table[:, i].astype(np.int64 if i < 2 else np.int32)) for i in range(6)], names)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = BROADCAST_SEEDS, min_words: int = MIN_WORDS) -> DataFrame:
     """A row for each document and benchmark item that share a passage: doc_id, item_id, score, matched words, first and
     end word of the passage in the document. Words are runs of letters, digits and all that is not ASCII, lower-cased.
 
     Null and empty texts on either side hit nothing; rows whose doc_id or item_id is null are left out; repeated rows give
-    one row. A benchmark of more than broadcast_seeds seeds is joined by shuffling instead of being broadcast."""
+    one row; empty tables give none. Passages of fewer than min_words words hit nothing (1 counts them all; those under
+    MIN_WORDS words must stand whole). A benchmark of more than broadcast_seeds seeds is joined by shuffling instead of
+    being broadcast."""
     spark = docs.sparkSession
     docs = documents(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
     # A word takes two bytes at least, so the bytes bound the number of seeds before anything is collected.
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // 2 * len(MASKS)
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"] // 2 * len(masks_of(min_words))
     if size > broadcast_seeds:
-        return _by_shuffle(docs, items)
-    bench = Bench([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()])
+        return _by_shuffle(docs, items, min_words)
+    bench = Bench([(r["item_id"], r["text"]) for r in items.orderBy("item_id", "text").collect()], min_words)
     held = spark.sparkContext.broadcast(bench)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,17 +177,17 @@ def _best(rows: DataFrame) -> DataFrame:
     return best.select("doc_id", "item_id", "x.score", "x.matched", (-F.col("x.p")).alias("first_word"), "x.end_word")
 
 
-def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _by_shuffle(docs: DataFrame, items: DataFrame, min_words: int) -> DataFrame:
     """The same for a benchmark of any size: seeds of both sides are joined, then the texts of the pairs that meet."""
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch], of_items: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
             raw, offsets = text_bytes(batch.column(1))
             for a, b in slices(np.diff(offsets)):
                 words, _, _, rows = word_hashes(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], PLAIN)
-                for mask in MASKS:
-                    at, h = seeds(words, rows, mask)
+                for mask in masks_of(min_words):
+                    at, h = item_seeds(words, rows, mask, b - a) if of_items else seeds(words, rows, mask)
                     pairs = np.unique(np.stack([h.view(np.int64), ids[a:b][rows[at]]], 1), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["h", "id"])
 
@@ -165,14 +195,15 @@ def _by_shuffle(docs: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             out = []
             for doc_id, text, item_id, passage in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "item_id", "passage")), strict=True):
-                bench = Bench([(item_id, passage)])
+                bench = Bench([(item_id, passage)], min_words)
                 raw, offsets = text_bytes(pa.array([text]))
                 words, _, _, rows = word_hashes(raw, offsets, PLAIN)
                 out.append(_rows(np.array([doc_id]), bench, bench.verify(words, np.array([0, len(words)]), bench.hits(words, rows))))
             yield from out
 
-    of_docs = docs.select("doc_id", "text").mapInArrow(each, "h long, id long").select("h", F.col("id").alias("doc_id"))
-    of_items = items.select("item_id", "text").mapInArrow(each, "h long, id long").select("h", F.col("id").alias("item_id")).distinct()
+    # Of a seed that a third of the documents hold, both joins' sides may be split: distinct pairs are made behind them.
+    of_docs = docs.select("doc_id", "text").mapInArrow(lambda x: each(x, False), "h long, id long").select("h", F.col("id").alias("doc_id"))
+    of_items = items.select("item_id", "text").mapInArrow(lambda x: each(x, True), "h long, id long").select("h", F.col("id").alias("item_id")).distinct()
     pairs = of_docs.join(of_items, "h").select("doc_id", "item_id").distinct()
     texts = pairs.join(docs, "doc_id").join(items.withColumnRenamed("text", "passage"), "item_id")
     return _best(texts.select("doc_id", "text", "item_id", "passage").mapInArrow(check, COLUMNS))
