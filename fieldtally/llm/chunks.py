@@ -95,35 +95,35 @@ def repeated_chunks(docs: DataFrame, reach: int = REACH, least: int = LEAST) ->
     """doc_id, start, length, whole, first_doc: every chunk (or whole text) whose digest an earlier one has (smaller doc_id,
     or earlier in the document), with the document of the earliest. Minima are aggregated before the shuffle, and the join back may be
     split, so that a digest of a third of the rows is no hot group."""
-    found = chunk_table(docs, reach, least)
+    found = materialize(chunk_table(docs, reach, least))
     first = found.groupBy("d0", "d1").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("d0", "d1", "first")
     return found.join(first, ["d0", "d1"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start"))).select("doc_id", "start", "length", "whole", F.col("first.doc_id").alias("first_doc"))
 
 
-def chunk_report(docs: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:
+def chunk_report(docs: DataFrame, reach: int = REACH, least: int = LEAST, run: int = RUN) -> DataFrame:
     """For each document that loses chunks: doc_id, n_chunks and n_bytes removed, n_spans, spans (start, end in bytes,
-    sorted and apart), first_docs (sorted ids of the documents that keep the bytes). Null and empty texts have no chunks;
-    rows of equal doc_id and text are one document; rows whose doc_id is null are left out."""
+    sorted and apart), first_docs (sorted ids of the documents that keep the bytes). Runs of repeated chunks under `run`
+    bytes stay (1 removes them all). Null and empty texts have no chunks; rows of equal doc_id and text are one document;
+    rows whose doc_id is null are left out; an empty table gives no rows."""
     docs = documents(docs).where("doc_id IS NOT NULL AND text <> ''")
     gone = repeated_chunks(docs, reach, least).groupBy("doc_id").agg(
         F.sort_array(F.collect_set(F.when(~F.col("whole"), F.struct("start", "length")))).alias("chunks"), F.max(F.when(F.col("whole"), F.col("length").cast("long"))).alias("all"), F.sort_array(F.collect_set("first_doc")).alias("first_docs")
     )
     end = lambda x: (x["start"] + x["length"]).cast("long")
-    span = lambda a, b: F.array(F.struct(a.alias("start"), b.alias("end")))
-    runs = F.aggregate(
-        "chunks",
-        F.array().cast("array<struct<start:bigint,end:bigint>>"),
-        lambda s, x: F.when(F.try_element_at(s, F.lit(-1))["end"] == x["start"], F.concat(F.slice(s, F.lit(1), F.size(s) - 1), span(F.try_element_at(s, F.lit(-1))["start"], end(x)))).otherwise(F.concat(s, span(x["start"], end(x)))),
-    )
-    kept = gone.select("doc_id", "chunks", "first_docs", F.when(F.col("all").isNotNull(), span(F.lit(0).cast("long"), F.col("all"))).otherwise(F.filter(runs, lambda x: x["end"] - x["start"] >= RUN)).alias("spans")).where(F.size("spans") > 0)
-    inside = F.filter("chunks", lambda x: F.exists("spans", lambda s: (s["start"] <= x["start"]) & (x["start"] < s["end"])))
-    n_bytes = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return kept.select("doc_id", F.greatest(F.size(inside), F.lit(1)).cast("long").alias("n_chunks"), n_bytes.alias("n_bytes"), F.size("spans").cast("long").alias("n_spans"), "spans", "first_docs")
-
-
-def remove_chunks(docs: DataFrame, reach: int = REACH, least: int = LEAST) -> DataFrame:
+    # Runs are cut where a chunk doesn't begin at the end of the one before; each cut is a chunk's place in the array.
+    places = F.filter(F.sequence(F.lit(0), F.size("chunks")), lambda i: (i == 0) | (i == F.size("chunks")) | (end(F.get("chunks", i - 1)) != F.get("chunks", i)["start"]))
+    cuts = gone.select("doc_id", "chunks", "first_docs", "all", F.array_distinct(places).alias("cuts"))
+    runs = F.zip_with(F.slice("cuts", F.lit(1), F.size("cuts") - 1), F.slice("cuts", F.lit(2), F.size("cuts")), lambda a, b: F.struct(F.get("chunks", a)["start"].alias("start"), end(F.get("chunks", b - 1)).alias("end"), (b - a).cast("long").alias("n")))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("all").alias("end"), F.greatest(F.size("chunks"), F.lit(1)).cast("long").alias("n")))
+    kept = cuts.select("doc_id", "first_docs", F.when(F.col("all").isNotNull(), whole).otherwise(F.filter(runs, lambda x: x["end"] - x["start"] >= run)).alias("runs")).where(F.size("runs") > 0)
+    total = lambda f: F.aggregate("runs", F.lit(0).cast("long"), lambda s, x: s + f(x))
+    spans = F.transform("runs", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
+    return kept.select("doc_id", total(lambda x: x["n"]).alias("n_chunks"), total(lambda x: x["end"] - x["start"]).alias("n_bytes"), F.size("runs").cast("long").alias("n_spans"), spans.alias("spans"), "first_docs")
+
+
+def remove_chunks(docs: DataFrame, reach: int = REACH, least: int = LEAST, run: int = RUN) -> DataFrame:
     """The documents with their own columns, without the bytes of repeated chunks. A null text stays null."""
-    report = materialize(chunk_report(docs, reach, least).select("doc_id", "spans"))
+    report = materialize(chunk_report(docs, reach, least, run).select("doc_id", "spans"))
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

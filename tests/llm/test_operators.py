@@ -287,6 +287,51 @@ def test_decontamination(spark):
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("min_words", [1, 6])
+def test_decontamination_matches_brute_force(spark, min_words):
+    """Every alignment of every passage with every document that some mask hits, by plain loops, over few words, so that
+    many hit; both ways of joining."""
+    rng = random.Random(52)
+    said = lambda n: [rng.choice("abcdefghij") + rng.choice("xyz") for _ in range(n)]
+    items = [(i, said(n)) for i, n in enumerate([1, 2, 4, 5, 6, 7, 9, 12, 15, 20, 30, 30])] + [(50, ["ww"] * 9), (51, [])]
+    docs = []
+    for i in range(60):
+        words = said(rng.randint(0, 40))
+        if i % 2:
+            passage = list(rng.choice(items)[1])
+            for _ in range(rng.randint(0, 4)):
+                if passage:
+                    passage[rng.randrange(len(passage))] = rng.choice(["q", "r"])
+            words = words + passage + said(rng.randint(0, 20))
+        docs.append((i, words))
+    docs += [(90, ["ww"] * 300), (91, ["aa", "ww"] * 100)]
+    masks = [*decontamination.MASKS, *("1" * k for k in range(min_words, 6))]
+    expected = set()
+    for doc_id, words in docs:
+        for item_id, passage in items:
+            best = None
+            for shift in range(-len(passage) + 1, len(words)):
+                hit = any(shift + p >= 0 and p + len(m) <= len(passage) and shift + p + len(m) <= len(words) and all(c == "0" or passage[p + k] == words[shift + p + k] for k, c in enumerate(m)) for m in masks if len(m) >= 6 or len(m) == len(passage) for p in range(len(passage)))
+                if not hit or len(passage) < min_words:
+                    continue
+                lo, hi = max(shift, 0), min(shift + len(passage), len(words))
+                equal = [words[k] == passage[k - shift] for k in range(lo, hi)]
+                runs = [(sum(1 if e else -decontamination.PENALTY for e in equal[x:y]), x, y) for x in range(len(equal)) for y in range(x + 1, len(equal) + 1)]
+                score = max(r[0] for r in runs)
+                y = min(y for s, _, y in runs if s == score)
+                x = max(x for s, x, z in runs if s == score and z == y)
+                need = len(passage) if len(passage) < 6 else min(decontamination.MIN_SCORE, max(5, math.ceil(decontamination.SHORT * len(passage))))
+                if score >= need and (best is None or score > best[0]):
+                    best = (score, sum(equal[x:y]), lo + x, lo + y)
+            if best:
+                expected.add((doc_id, item_id, *best))
+    tables = (spark.createDataFrame([(i, " ".join(w)) for i, w in x], f"{name} long, text string").repartition(3) for x, name in ((docs, "doc_id"), (items, "item_id")))
+    docs, bench = tables
+    for most in (decontamination.BROADCAST_SEEDS, 0):
+        assert set(map(tuple, decontamination.contaminated(docs, bench, most, min_words).collect())) == expected
+    assert len(expected) > 10 and decontamination.contaminated(docs.limit(0), bench).count() == 0
+
+
 def test_best_run():
     assert decontamination.best_run(np.array([0, 1, 1, 0, 1, 0, 0, 0, 1], bool)) == (2, 1, 3)
     assert decontamination.best_run(np.zeros(4, bool))[0] == 0
@@ -324,6 +369,60 @@ def test_chunks_of_whole_copies(spark):
     assert left[300] == passage and not left[301].endswith(passage[-10:])
 
 
+@pytest.mark.parametrize("run", [1, 100])
+def test_chunks_match_brute_force(spark, run):
+    """Boundaries, repeats, runs and spans by plain loops over every byte."""
+    rng = random.Random(62)
+    shared = [prose(rng, n) for n in (2, 6, 15, 40, 90)]
+    texts = [" ".join(rng.choice([prose(rng, 8), rng.choice(shared)]) for _ in range(rng.randint(1, 8))) for _ in range(40)]
+    texts += [texts[0], texts[1], "日本語のテキスト" * 20, "日本語のテキスト" * 20 + "x", "a" * 500, "ab" * 300, "", shared[4], shared[4] + "!"]
+
+    def chunks_of(data):
+        h, hashes = 0, []
+        for i, b in enumerate(data):
+            h = (h * 2 + int(chunks.GEAR[b])) % (1 << 16)
+            inside = i + 1 < len(data) and (data[i + 1] & 0xC0) == 0x80
+            hashes.append(-1 if inside or i < chunks.WINDOW else h)
+        ends = [i + 1 for i, x in enumerate(hashes) if x >= 0 and all(x > y for j, y in enumerate(hashes[max(0, i - chunks.REACH) : i + chunks.REACH + 1], max(0, i - chunks.REACH)) if j != i)]
+        ends = sorted({*ends, len(data)})
+        return list(zip([0, *ends[:-1]], ends, strict=True)) if data else []
+
+    seen, found = {}, {}
+    every = []
+    for i, t in enumerate(texts):
+        data, cut = t.encode(), chunks_of(t.encode())
+        for k, (a, b) in enumerate(cut):
+            if b - a >= chunks.LEAST:
+                every.append((i, a, b - a, ("chunk", data[a:b]), False))
+            elif b == len(data) and a > 0:
+                every.append((i, a, b - a, ("tail", data[cut[k - 1][0] : b]), False))
+        if data:
+            every.append((i, 0, len(data), ("whole", data), True))
+    for i, a, _, key, _ in every:
+        seen[key] = min(seen.get(key, (i, a)), (i, a))
+    for i, a, n, key, whole in every:
+        if seen[key] != (i, a):
+            found.setdefault(i, []).append((a, n, whole, seen[key][0]))
+    expected = {}
+    for i, gone in found.items():
+        runs = []
+        for a, n, whole, _ in sorted(gone):
+            if not whole:
+                if runs and runs[-1][1] == a:
+                    runs[-1][1:] = [a + n, runs[-1][2] + 1]
+                else:
+                    runs.append([a, a + n, 1])
+        n_parts = sum(not w for *_, w, _ in gone)
+        all_ = [n for _, n, w, _ in gone if w]
+        runs = [[0, all_[0], max(n_parts, 1)]] if all_ else [r for r in runs if r[1] - r[0] >= run]
+        if runs:
+            expected[i] = (sum(r[2] for r in runs), sum(r[1] - r[0] for r in runs), len(runs), [(r[0], r[1]) for r in runs], sorted({f for *_, f in gone}))
+    table = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").repartition(3)
+    report = {r["doc_id"]: (r["n_chunks"], r["n_bytes"], r["n_spans"], [tuple(x) for x in r["spans"]], r["first_docs"]) for r in chunks.chunk_report(table, run=run).collect()}
+    assert report == expected and len(expected) > 10
+    assert chunks.chunk_report(table.limit(0)).count() == 0
+
+
 def test_gear_hash_rolls():
     raw = np.frombuffer(random.Random(1).randbytes(200), np.uint8)
     h, expected = 0, []
@@ -605,7 +704,7 @@ def test_hot_groups_are_joined_like_others(spark):
     from fieldtally.llm.common import beside_counted, materialize
 
     rows = spark.range(3000).selectExpr("id", "IF(id % 3 = 0, 5L, id) AS k", "1 AS n", "'x' AS first")
-    rows = rows.unionByName(spark.createDataFrame([(9999, None, 1, "x")], rows.schema))
+    rows = rows.unionByName(spark.createDataFrame([(9999, None, 1, "x")], "id long, k long, n int, first string"))
     groups = materialize(rows.where("k IS NOT NULL AND k % 7 <> 1").groupBy("k", "n").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies")))
     found = {r["id"]: r["least"] for r in beside_counted(rows, groups, ["k", "n"], "copies", F.col("id")).collect()}
     assert found == {i: 0 if i % 3 == 0 or i == 5 else None if i % 7 == 1 else i for i in range(3000)} | {9999: None}
