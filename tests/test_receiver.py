@@ -162,30 +162,13 @@ def test_audits_find_what_is_planted(spark):
     assert [r["step"] for r in audit.lost(committed, delivered, "step").collect()] == [4]
 
 
-class Log:
-    """A receive log in a file, one message a line."""
-
-    def __init__(self, options):
-        self.path = options["log"]
-
-    def lines(self):
-        with open(self.path) as f:
-            return f.read().splitlines()
-
-    def end(self):
-        return len(self.lines())
-
-    def read(self, a, b):
-        return [("topic", x) for x in self.lines()[a:b]]
-
-
 def test_broker_subscription(spark, tmp_path):
     from fieldtally.sources.broker import BrokerSource
 
     spark.dataSource.register(BrokerSource)
     log, store = tmp_path / "log", Store(spark, str(tmp_path / "store"))
     log.write_text("\n".join([message(i, i, 1000 + i, 2) for i in range(25)] + ["bad"]) + "\n")
-    subscribe = lambda: spark.readStream.format("broker").option("client", "test_receiver:Log").option("log", str(log)).option("part_rows", 10).load()
+    subscribe = lambda: spark.readStream.format("broker").option("client", "fieldtally.sources.broker:FileLog").option("log", str(log)).option("part_rows", 10).load()
     for expected in (25, 27):
         run_receiver(subscribe(), store, str(tmp_path / "checkpoint")).awaitTermination()
         assert store.table("readings").count() == expected
