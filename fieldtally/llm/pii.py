@@ -8,7 +8,7 @@ not enough where a rare term keeps an entity's company: over all distinct texts,
 is 1 for a term that occurs with e only and 0 for one that doesn't care. Terms are the runs of letters of a text outside
 its patterns' matches, at any distance from the entity. Those of GENERALISE and more are replaced by a class label and those of REMOVE and more are removed, in every text that
 holds them, for a term gives its entity away where that isn't named; terms of fewer than SUPPORT common texts tell
-nothing and stay.
+nothing and stay (a parameter: with 1, every word that stands in one text only would disclose its entity).
 """
 
 from __future__ import annotations
@@ -139,14 +139,14 @@ def all_terms(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(find, "doc_id long, key long, terms array<string>")
 
 
-def term_rows(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """(entity, term, disclosure) of GENERALISE and more, and (doc_id, key, term) of the documents that hold such a term
-    or one that came near; None if there are no candidates. Counts are of distinct texts, so that copies are one."""
+def term_rows(docs: DataFrame, found: DataFrame, support: int) -> tuple[DataFrame, DataFrame] | None:
+    """(entity, term, disclosure) of GENERALISE and more, and (key, term) of the texts that hold such a term or one that
+    came near; None if there are no candidates. Counts are of distinct texts, so that copies are one."""
     total = found.agg(F.count_distinct("key").alias("n")).first()["n"]
     if not total:
         return None
     texts = found.where(F.size("entities") > 0).select("key", F.explode("entities").alias("entity")).distinct()
-    df_e = materialize(texts.groupBy("entity").agg(F.count(F.lit(1)).alias("de")).where(F.col("de") >= SUPPORT))
+    df_e = materialize(texts.groupBy("entity").agg(F.count(F.lit(1)).alias("de")).where(F.col("de") >= support))
 
     def disclosure(both: Column, dt: Column) -> Column:
         ic = F.log(F.lit(float(total)) / F.col("de"))
@@ -159,40 +159,42 @@ def term_rows(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]
     if not n:
         return None
     keyed, keys = docs.withColumn("_key", F.xxhash64("text")), holders.select(F.col("key").alias("_key"))
-    beside = materialize(all_terms(keyed.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "_key", "left_semi")).select("key", "terms").dropDuplicates(["key"]))
+    beside = all_terms(keyed.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "_key", "left_semi")).select("key", "terms").dropDuplicates(["key"])
+    beside = materialize(beside.join(holders, "key"))  # dealt by key already: only the holders move
     # dn, the entities' texts that hold a term, is at least `both` and at most dt, and de is at least `both`. By these
     # bounds common words are out before they are paired, and more of them before the corpus is searched for the rest.
     most = df_e.select(F.max("de").alias("de"))
-    dn = beside.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("dn")).where(F.col("dn") >= SUPPORT)
+    dn = beside.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("dn")).where(F.col("dn") >= support)
     reach = lambda de: F.pow(de.cast("double"), GENERALISE) * F.pow(F.lit(float(total)), 1 - GENERALISE) * (1 + 1e-9)
     dn = materialize(dn.crossJoin(F.broadcast(most)).where(F.col("dn") <= reach(F.col("de"))).select("term", "dn"))
     few = dn.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    rare = beside.select("key", F.explode("terms").alias("term")).join(F.broadcast(dn) if few else dn, "term").join(holders, "key")
+    rare = beside.select("key", "held", F.explode("terms").alias("term"))
+    rare = rare.join(F.broadcast(dn), "term") if few else rare.drop("held").join(dn, "term").join(holders, "key")
     rare = rare.select("term", "dn", F.explode(F.filter("held", lambda x: F.col("dn") <= reach(x["de"]))).alias("x"))
-    both = rare.groupBy("x.entity", "x.de", "term", "dn").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
+    both = rare.groupBy("x.entity", "x.de", "term", "dn").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
     pairs = materialize(both.where(disclosure(F.col("both"), F.col("dn")) >= GENERALISE).select("entity", "term", "both", "de"))
     terms = pairs.select("term").distinct()
     n = terms.limit(BROADCAST_ROWS + 1).count()
     if not n:
         return None
     few = n <= BROADCAST_ROWS
-    words = all_terms(docs).select("doc_id", "key", F.explode("terms").alias("term"))
-    held = materialize(words.join(F.broadcast(terms) if few else terms, "term").select("doc_id", "key", "term"))
-    df_t = held.groupBy("term", "key").agg(F.lit(1)).groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
+    words = all_terms(docs).select("key", F.explode("terms").alias("term"))
+    held = materialize(words.join(F.broadcast(terms) if few else terms, "term").select("key", "term").distinct())
+    df_t = held.groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
     return pairs.join(df_t, "term").select("entity", "term", disclosure(F.col("both"), F.col("dt")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE), held
 
 
-def known_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """doc_id, key, known: the disclosing terms of each document that holds one, beside their entity or without it, with
-    whether to drop them (by the entity that they disclose most)."""
-    rows = term_rows(docs, found)
+def known_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """key, known: the disclosing terms of each text that holds one, beside their entity or without it, with whether to
+    drop them (by the entity that they disclose most)."""
+    rows = term_rows(docs, found, support)
     if rows is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, key long, known array<struct<term:string,drop:boolean>>")
+        return docs.sparkSession.createDataFrame([], "key long, known array<struct<term:string,drop:boolean>>")
     terms, held = rows
     worst = materialize(terms.groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("drop")))
     few = worst.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    of_doc = held.join(F.broadcast(worst) if few else worst, "term")
-    return materialize(of_doc.groupBy("doc_id", "key").agg(F.collect_set(F.struct("term", "drop")).alias("known")))
+    of_text = held.join(F.broadcast(worst) if few else worst, "term")
+    return materialize(of_text.groupBy("key").agg(F.collect_set(F.struct("term", "drop")).alias("known")))
 
 
 def term_places(text: str, known: list[dict], spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -204,7 +206,7 @@ def term_places(text: str, known: list[dict], spans: list[tuple[str, int, int]])
     return sorted(hit, key=lambda x: (x[0] != "term", x[1]))
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
+def find_personal_data(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """For every document: doc_id, key, base (the patterns' spans) and spans as arrays of (kind, start, end): base kinds
     first, then `term` (generalised) and `drop` (removed), each by start; the term spans overlap no base span.
 
@@ -212,7 +214,7 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     results; a null doc_id is an id like any other."""
     docs = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     found = materialize(found_spans(docs))
-    of_doc = known_terms(docs, found)
+    of_text = known_terms(docs, found, support).select(F.col("key").alias("_key"), "known")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -222,20 +224,18 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                 out.append([{"kind": k, "start": a, "end": b} for k, a, b in term_places(text, known, base_spans(text))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(out, kind)], ["doc_id", "key", "more"])
 
-    of_doc = of_doc.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "known")
-    of_doc = F.broadcast(of_doc) if of_doc.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else of_doc
+    of_text = F.broadcast(of_text) if of_text.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else of_text
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
-    same = keyed["doc_id"].eqNullSafe(F.col("_id")) & (keyed["key"] == F.col("_key"))
-    touched = keyed.join(of_doc, same).select("doc_id", "key", "text", "known")
+    touched = keyed.join(of_text, F.col("key") == F.col("_key")).select("doc_id", "key", "text", "known")
     more = touched.mapInArrow(places, "doc_id long, key long, more array<struct<kind:string,start:long,end:long>>").dropDuplicates(["doc_id", "key"])
     more = more.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "more")
     joined = found.join(more, found["doc_id"].eqNullSafe(F.col("_id")) & (found["key"] == F.col("_key")), "left")
     return joined.select("doc_id", "key", F.col("spans").alias("base"), F.when(F.col("more").isNull(), F.col("spans")).otherwise(F.concat("spans", "more")).alias("spans"))
 
 
-def span_report(docs: DataFrame) -> DataFrame:
+def span_report(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (kind:start:end, comma-joined), n_terms."""
-    found = find_personal_data(docs)
+    found = find_personal_data(docs, support)
     line = lambda xs: F.array_join(F.transform(xs, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(line("base").cast("binary"), 256).alias("base_sha256"), line("spans").alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_terms"))
@@ -250,14 +250,14 @@ def masked(text: str, known: list[dict]) -> str:
     return "".join([*rest, text[at:]])
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
+def sanitise(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     """The documents with their own columns, personal data and generalised terms as [KIND], removed terms gone. A null
     text stays null. Only the few documents that hold a disclosing term are looked up; patterns need no join."""
     texts = documents(docs).where("text IS NOT NULL")
-    known = known_terms(texts, materialize(found_spans(texts))).select(F.col("doc_id").alias("known_id"), F.col("key").alias("known_key"), F.col("known").alias("known_terms"))
+    known = known_terms(texts, materialize(found_spans(texts)), support).select(F.col("key").alias("known_key"), F.col("known").alias("known_terms"))
     known = F.broadcast(known) if known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else known
     kinds, names = docs.schema, docs.columns
-    joined = docs.join(known, docs["doc_id"].eqNullSafe(F.col("known_id")) & (F.xxhash64(docs["text"]) == F.col("known_key")), "left")
+    joined = docs.join(known, F.xxhash64(docs["text"]) == F.col("known_key"), "left")
 
     def mask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
