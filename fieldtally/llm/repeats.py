@@ -5,7 +5,7 @@
    their anchor at the same place, so only anchors whose K bytes occur twice can lie in a repeat. Spark finds them.
 3. Around those anchors, contexts are cut: the bytes of the windows that belong to the anchor. Spark groups them by the
    anchor's bytes; strings that repeat meet in one group.
-4. In a group: the suffixes that share LENGTH bytes with another are sorted (hash of the first LENGTH bytes, then the
+4. In a group (one of more than LARGE bytes is taken apart into its windows instead, see windows_again): the suffixes that share LENGTH bytes with another are sorted (hash of the first LENGTH bytes, then the
    bytes behind), with their common prefixes. A stack scan walks the intervals of common prefixes; those whose
    occurrences are preceded by different bytes are maximal repeats, with all their occurrences. All occurrences but the
    earliest are removed.
@@ -33,6 +33,8 @@ STEP = 1 << 20
 SLICE = 1 << 19
 #: Contexts, covered ones included, that a step of the group scan takes.
 MANY = 100_000
+#: Bytes of distinct contexts of one anchor that a task holds; a larger group is taken apart into its windows.
+LARGE = 32 << 20
 #: Anchors that are looked through together for those that repeat.
 TOGETHER = 150_000
 
@@ -209,7 +211,7 @@ def repeated_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
     return found.select("sure", "key", "n", "pos", F.min(place).over(same).alias("lo"), F.max(place).over(same).alias("hi")).where("sure OR lo <> hi").select("key", "n", "pos").distinct()
 
 
-def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, large: int = LARGE) -> DataFrame:
     """(doc_id, spans): of each document, the byte spans to remove, sorted and apart; documents without any are left
     out, and so are those that have the text of an earlier document. docs: doc_id, text, each doc_id once."""
     hit = repeated_anchors(docs, length, k)
@@ -246,17 +248,21 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
                     rows_out = []
             yield salted(rows_out)
 
-    def solve(groups: list[tuple]) -> Iterator[pa.RecordBatch]:
-        """groups: (doc_id, start, bytes) of distinct contexts, and of equal ones where `again` is true."""
-        ids, starts, data, again = zip(*groups, strict=True)
+    def spans_of(rows: list[tuple[int, int, int]], rest: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        """Spans to remove, and contexts (with their start as a) of groups that are too large."""
+        doc, a, b = (list(x) for x in zip(*rows, strict=True)) if rows else ([], [], [])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(doc + [x[0] for x in rest], pa.int64()), pa.array(a + [x[1] for x in rest], pa.int64()), pa.array(b + [None] * len(rest), pa.int64()), pa.array([None] * len(doc) + [x[2] for x in rest], pa.binary())],
+            ["doc_id", "a", "b", "context"],
+        )
+
+    def solve(groups: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+        """groups: (doc_id, start, bytes) of distinct contexts."""
+        ids, starts, data = zip(*groups, strict=True)
         out: dict[int, list[tuple[int, int]]] = {}
-        for doc, start, x, copy in zip(ids, starts, data, again, strict=True):
-            if copy:
-                out.setdefault(doc, []).append((start, start + len(x)))
-        own = [i for i, copy in enumerate(again) if not copy]
-        bounds = np.cumsum([0, *(len(data[i]) for i in own)])
-        text = np.frombuffer(b"".join(data[i] for i in own), np.uint8)
-        doc, base = np.array([ids[i] for i in own]), np.array([starts[i] for i in own])
+        bounds = np.cumsum([0, *map(len, data)])
+        text = np.frombuffer(b"".join(data), np.uint8)
+        doc, base = np.array(ids), np.array(starts)
         for depth, occurrences in maximal_repeats(text, bounds, length):
             rows = np.searchsorted(bounds, occurrences, "right") - 1
             place = base[rows] + occurrences - bounds[rows]
@@ -266,32 +272,73 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame
             for d, p in zip(here[1:].tolist(), place[order[1:]].tolist(), strict=True):
                 if (d, p) != (d0, p0):
                     out.setdefault(d, []).append((p, p + depth))
-        rows = [(d, x, y) for d, spans in out.items() for x, y in merge(spans)]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["doc_id", "a", "b"])
+        return spans_of([(d, x, y) for d, spans in out.items() for x, y in merge(spans)], [])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by group, context and place: equal contexts stand together, the earliest first."""
-        groups, size, last = [], 0, (None, None)
+        """Rows come sorted by group, context and place: equal contexts stand together, the earliest first. The others of
+        them are covered whole; the earliest of each are gathered until their group ends or grows too large."""
+        groups: list[tuple[int, int, bytes]] = []
+        covered: list[tuple[int, int, int]] = []
+        rest: list[tuple[int, int, bytes]] = []
+        size, own, begin, last = 0, 0, 0, (None, None)
         for batch in batches:
             for g, salt, doc, start, x in zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "doc_id", "start", "context")), strict=True):
-                if (salt or g != last[0]) and (size > STEP or len(groups) > MANY):
-                    yield from solve(groups)
-                    groups, size = [], 0
-                again = salt > 0 or (g, x) == last
-                groups.append((doc, start, x, again))
-                size += 0 if again else len(x)
+                if not salt and g != last[0]:
+                    if size > STEP or len(groups) > MANY:
+                        yield solve(groups)
+                        groups, size = [], 0
+                    own, begin = 0, len(groups)
+                if salt or (g, x) == last:
+                    covered.append((doc, start, start + len(x)))
+                elif own > large:
+                    rest.append((doc, start, x))
+                else:
+                    groups.append((doc, start, x))
+                    size, own = size + len(x), own + len(x)
+                    if own > large:
+                        rest += groups[begin:]
+                        del groups[begin:]
+                        size -= own
                 last = (g, x) if not salt else last
+                if len(covered) + len(rest) > MANY:
+                    yield spans_of(covered, rest)
+                    covered, rest = [], []
         if groups:
-            yield from solve(groups)
+            yield solve(groups)
+        yield spans_of(covered, rest)
 
     cut = texts.select("doc_id", "text", "at").mapInArrow(contexts, "g long, salt int, doc_id long, start long, context binary")
     met = cut.repartition("g", "salt").sortWithinPartitions("g", "salt", "context", "doc_id", "start")
-    found = met.mapInArrow(scan, "doc_id long, a long, b long")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    found = materialize(met.mapInArrow(scan, "doc_id long, a long, b long, context binary"))
+    spans, rest = found.where("context IS NULL").select("doc_id", "a", "b"), found.where("context IS NOT NULL")
+    if not rest.isEmpty():
+        spans = spans.unionByName(windows_again(rest.select("doc_id", F.col("a").alias("start"), "context"), length))
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+
+
+def windows_again(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc_id, a, b): the windows of `length` bytes that also stand earlier in these contexts, one by one. Minima are
+    aggregated before the shuffle, so no task holds a group. contexts: doc_id, start, context."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, starts = (batch.column(c).to_numpy() for c in ("doc_id", "start"))
+            raw, offsets = text_bytes(batch.column("context"))
+            for a, b in slices(np.diff(offsets), SLICE // 8):
+                part, bounds = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                at = np.flatnonzero(np.arange(len(part)) + length <= np.repeat(bounds[1:], np.diff(bounds)))
+                row = np.searchsorted(bounds, at, "right") - 1
+                h = [span_hash(values[part], at, at + length).view(np.int64) for values in (BYTE_VALUE, mix(BYTE_VALUE))]
+                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(ids[a:b][row]), pa.array(starts[a:b][row] + at - bounds[row])], ["h0", "h1", "doc_id", "pos"])
+
+    rows = contexts.mapInArrow(each, "h0 long, h1 long, doc_id long, pos long")
+    place = F.struct("doc_id", "pos")
+    first = rows.groupBy("h0", "h1").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h0", "h1", "first")
+    again = rows.join(first, ["h0", "h1"]).where(place != F.col("first"))
+    return again.select("doc_id", F.col("pos").alias("a"), (F.col("pos") + length).alias("b"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, large: int = LARGE) -> DataFrame:
     """For every document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and kept, the remaining bytes, where any
     were removed (else null: the text as it is; empty for the whole copy of an earlier text).
 
@@ -301,7 +348,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K) -> DataFra
     """
     docs = documents(docs).where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     each = materialize(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("key"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
-    spans = materialize(repeat_spans(docs, length, k))
+    spans = materialize(repeat_spans(docs, length, k, large))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
