@@ -26,8 +26,8 @@ MIN_SCORE = 12
 SHORT = 0.8
 #: Passages of fewer words are left out by default: so few words are no evidence. Where they count, they must stand whole.
 MIN_WORDS = 6
-#: Seed hits that are expanded at once.
-EXPANDED = 1 << 20
+#: Seed hits that are expanded at once, and those of one seed in a row from which only their shifts are marked.
+EXPANDED, MARKED = 1 << 20, 1 << 16
 #: Seeds of the benchmark up to which they are broadcast (16 bytes each); more are joined by shuffling.
 BROADCAST_SEEDS = 4_000_000
 #: Cells of the bit table that most documents' seeds are turned away by.
@@ -91,8 +91,9 @@ class Bench:
 
     def hits(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
         """Distinct (row, item, shift) of all seed hits: shift is the place of the item's first word in all words. A word
-        that fills both sides hits with everything, so hits are expanded and made distinct a part at a time."""
-        out = np.zeros((0, 3), np.int64)
+        that fills both sides hits with everything: of such a seed only the shifts are marked, and the hits of others are
+        expanded and made distinct a part at a time."""
+        out = [np.zeros((0, 3), np.int64)]
         for mask, (known, places, bits) in self.seeds.items():
             if not len(known):
                 continue
@@ -102,12 +103,39 @@ class Bench:
             lo = np.searchsorted(known, h, "left")
             n = np.searchsorted(known, h, "right") - lo
             at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+            if not len(at):
+                continue
+            # one group for each row and seed; lo names the seed
+            order = np.lexsort((at, lo, rows[at]))
+            at, lo, n = at[order], lo[order], n[order]
+            new = np.concatenate([[True], (lo[1:] != lo[:-1]) | (rows[at[1:]] != rows[at[:-1]])])
+            size = np.bincount(np.cumsum(new) - 1)
+            first, many = np.flatnonzero(new), size * n[new] > MARKED
+            for a, k in zip(first[many].tolist(), size[many].tolist(), strict=True):
+                out += self._marked(at[a : a + k], places[lo[a] : lo[a] + n[a]], int(rows[at[a]]))
+            usual = ~np.repeat(many, size)
+            at, lo, n = at[usual], lo[usual], n[usual]
             for a, b in slices(n, EXPANDED):
                 m = n[a:b]
                 ahead = np.repeat(lo[a:b] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
                 place, here = places[ahead], np.repeat(at[a:b], m)
                 item = self.item_of[place]
-                out = np.unique(np.concatenate([out, np.stack([rows[here], item, here - (place - self.first[item])], 1)]), axis=0)
+                out = [np.unique(np.concatenate([*out, np.stack([rows[here], item, here - (place - self.first[item])], 1)]), axis=0)]
+        return np.unique(np.concatenate(out), axis=0)
+
+    def _marked(self, at: np.ndarray, places: np.ndarray, row: int) -> list[np.ndarray]:
+        """The shifts of one seed's places in a row against its places in each item, without a row for each pair."""
+        out = []
+        items = self.item_of[places]
+        for item in np.unique(items).tolist():
+            inside = places[items == item] - self.first[item]
+            low = int(at.min() - inside.max())
+            hit = np.zeros(int(at.max() - inside.min()) - low + 1, bool)
+            few, lots, sign = (inside, at, -1) if len(inside) <= len(at) else (at, inside, 1)
+            for x in few.tolist():
+                hit[(lots - x if sign < 0 else x - lots) - low] = True
+            shifts = np.flatnonzero(hit) + low
+            out.append(np.stack([np.full(len(shifts), row), np.full(len(shifts), item), shifts], 1))
         return out
 
     def needed(self, n: int) -> int:
