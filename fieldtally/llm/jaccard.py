@@ -179,10 +179,10 @@ def node_pairs(members: DataFrame, percent: int, cell: int) -> DataFrame:
     is gathered. A node that can't link by its sizes, or is of the partner's one part, has no pair."""
     keys = ["h", "n", "lead"]
     members = members.withColumn("lead", F.array_position("point", F.array_max("point")).cast("int"))
-    large = members.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > cell)
-    along = Window.partitionBy("h").orderBy("n", "lead")
-    groups = members.join(large, "h").groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
-    groups = materialize(groups.select(*keys, "c", (F.sum("c").over(along) - F.col("c")).alias("before")))
+    block = Window.partitionBy("h")
+    groups = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
+    groups = groups.select(*keys, "c", F.sum("c").over(block).alias("m"), (F.sum("c").over(block.orderBy("n", "lead")) - F.col("c")).alias("before"))
+    groups = materialize(groups.where(F.col("m") > cell).drop("m"))
     placed = members.join(groups, keys, "left")
     at = F.floor((F.col("before") + F.pmod(F.xxhash64("id"), F.col("c"))) / cell).cast("int")
     columns = ["h", "id", "n", "part", "point"]
