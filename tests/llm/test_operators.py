@@ -332,6 +332,21 @@ def test_decontamination_matches_brute_force(spark, min_words):
     assert len(expected) > 10 and decontamination.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_marked_hits_are_the_expanded_ones(monkeypatch):
+    rng = random.Random(53)
+    bench = decontamination.Bench([(i, " ".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(8)] + [(9, "a " * 50)], 1)
+    texts = pa.array([" ".join(rng.choice("abc") for _ in range(rng.randint(0, 200))) for _ in range(10)] + ["a " * 300, ""])
+    from fieldtally.llm.common import PLAIN, text_bytes, word_hashes
+
+    words, _, _, rows = word_hashes(*text_bytes(texts), PLAIN)
+    found = []
+    for marked, expanded in ((0, 1 << 20), (50, 7), (1 << 40, 1 << 20)):
+        monkeypatch.setattr(decontamination, "MARKED", marked)
+        monkeypatch.setattr(decontamination, "EXPANDED", expanded)
+        found.append(bench.hits(words, rows).tolist())
+    assert found[0] == found[1] == found[2] and len(found[0]) > 100
+
+
 def test_best_run():
     assert decontamination.best_run(np.array([0, 1, 1, 0, 1, 0, 0, 0, 1], bool)) == (2, 1, 3)
     assert decontamination.best_run(np.zeros(4, bool))[0] == 0
@@ -540,8 +555,10 @@ def test_many_licenses_in_one_text(spark):
     assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"]) == (32_000, 16_000, 0, 31_998, "apache")
 
 
-def test_repeats(docs, rows, empty):
-    found = {r["doc_id"]: r for r in repeats.remove_repeats(docs).collect()}
+@pytest.mark.parametrize("large", [repeats.LARGE, 300, 0])
+def test_repeats(docs, rows, empty, large):
+    """Windows by brute force; groups are also taken apart into windows, those of several contexts or all."""
+    found = {r["doc_id"]: r for r in repeats.remove_repeats(docs, large=large).collect()}
     seen = set()
     for doc_id, text in sorted({(r[0], r[1] or "") for r in rows}):
         data, covered = text.encode(), set()
@@ -755,6 +772,20 @@ def test_text_bytes_of_slices():
     assert raw.tobytes().decode() == "éxyz" and offsets.tolist() == [0, 0, 2, 2, 5]
 
 
+def test_long_texts_dense_in_matches(spark):
+    """A text of nothing but matches, for each operator that looks for them."""
+    texts = ["jo@x.example.com 10.0.0.1 +1 (555) 123-4567 " * 6000, "0" * 5000 + "1.1.1.1", "ww " * 40_000, "ab" * 300_000, "mit license " * 8000, "ww " * 900]
+    table = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r for r in pii.span_report(table).collect()}
+    assert (found[0]["n_email"], found[0]["n_ip"], found[0]["n_phone"], found[1]["n_ip"]) == (6000, 6000, 6000, 1)
+    assert pii.masked(texts[0], []).count("[EMAIL]") == 6000
+    bench = spark.createDataFrame([(1, "ww " * 1500)], "item_id long, text string")
+    assert {(r["doc_id"], r["score"]) for r in decontamination.contaminated(table, bench).collect()} == {(2, 1500), (5, 900)}
+    report = {r["doc_id"]: r for r in chunks.chunk_report(table).collect()}
+    assert {r["n_base"] for r in licenses.scan_licenses(table.where("doc_id = 4")).collect()} == {8000}
+    assert all(0 < r["n_bytes"] <= len(texts[i]) for i, r in report.items())
+
+
 def test_null_ids(spark):
     """Rows without a doc_id: left out where results are about ids, kept where texts are filtered or rewritten, but for
     quality rules, which drop them."""

@@ -53,3 +53,9 @@ def test_queries_are_registered(spark):
 
     names = entry.queries()
     assert all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11)) and "pipeline" in names
+
+
+def test_empty_tables(spark, corpus, tmp_path):
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{corpus}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
