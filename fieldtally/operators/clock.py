@@ -60,11 +60,17 @@ def gap_wall_times(gaps: DataFrame, clocks: DataFrame) -> DataFrame:
     return gaps.join(clocks.select("boot_id", "offset_ns"), "boot_id").withColumns({"from_wall_ns": F.try_add("from_mono_ns", "offset_ns"), "to_wall_ns": F.try_add("to_mono_ns", "offset_ns")})
 
 
-def clock_steps(samples: DataFrame, tolerance_ns: int = 20_000_000) -> DataFrame:
-    """Trusted samples whose offset differs from the boot's last by more than the tolerance."""
-    at = Window.partitionBy("boot_id").orderBy("mono_ns", "seq")
+def clock_steps(samples: DataFrame, tolerance_ns: int = 20_000_000, part_ns: int = 3_600_000_000_000) -> DataFrame:
+    """Trusted samples whose offset differs from the boot's last by more than the tolerance.
+
+    A boot is cut into parts of its time; the first sample of a part is held against the last of the part before, of
+    which one row each is windowed."""
     offset = F.col("wall_ns") - F.col("mono_ns")
-    moved = samples.where(F.col("ts_quality") != 0).select("boot_id", "seq", "mono_ns", (offset - F.lag(offset).over(at)).alias("step_ns"))
+    good = samples.where(F.col("ts_quality") != 0).select("boot_id", "seq", "mono_ns", offset.alias("offset_ns"), F.floor(F.col("mono_ns") / part_ns).alias("_part"))
+    ends = good.groupBy("boot_id", "_part").agg(F.max_by("offset_ns", F.struct("mono_ns", "seq")).alias("_last"))
+    ends = ends.select("boot_id", "_part", F.lag("_last").over(Window.partitionBy("boot_id").orderBy("_part")).alias("_came"))
+    at = Window.partitionBy("boot_id", "_part").orderBy("mono_ns", "seq")
+    moved = good.join(ends, ["boot_id", "_part"]).select("boot_id", "seq", "mono_ns", (F.col("offset_ns") - F.coalesce(F.lag("offset_ns").over(at), "_came")).alias("step_ns"))
     return moved.where(F.abs("step_ns") > tolerance_ns)
 
 
