@@ -6,10 +6,10 @@ results of one are written together by the caller."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.operators.retention import beyond, gap_summary, top
+from fieldtally.operators.retention import gap_summary, top
 from fieldtally.schemas import ACKED, BACKPRESSURE, DROP_OLDEST, INFLIGHT, PENDING, REJECTED, REJECTED_BY_SINK
 
 KEYS = ("buffer_id", "seq")
@@ -35,18 +35,31 @@ def append(held: DataFrame, incoming: DataFrame, cap: int, policy: str = "drop_o
         full = over.where("over > 0").select("buffer_id")
         gaps = gap_summary(added.join(full, "buffer_id", "left_semi"), BACKPRESSURE, "buffer_id")
         return held.unionByName(added.join(full, "buffer_id", "left_anti")), gaps
-    pending, rest = held.where(F.col("state") == PENDING), held.where(F.col("state") != PENDING)
     short = over.withColumn("over", F.col("over") - F.least("over", "pending"))
-    lost = top(pending, over).select(held.columns).unionByName(top(added, short).select(held.columns))
-    kept = rest.unionByName(beyond(pending, over).select(held.columns)).unionByName(beyond(added, short).select(held.columns))
-    return kept, gap_summary(lost, DROP_OLDEST, "buffer_id")
+    pending = held.where(F.col("state") == PENDING)
+    old = marked(held, cutoff(pending, over), F.col("state") == PENDING)
+    both = old.unionByName(marked(added, cutoff(added, short), F.lit(True)))
+    return both.where("NOT _hit").drop("_hit"), gap_summary(both.where("_hit"), DROP_OLDEST, "buffer_id")
+
+
+def cutoff(rows: DataFrame, k: int | DataFrame, descending: bool = False) -> DataFrame:
+    """Of each buffer the number (`_cut`) of the k-th of these rows, the last if there are fewer: one row for each buffer,
+    so that what is on one side of it is told without ranking all."""
+    last = F.min("seq") if descending else F.max("seq")
+    return top(rows, k, descending=descending).groupBy("buffer_id").agg(last.alias("_cut"))
+
+
+def marked(rows: DataFrame, cuts: DataFrame, which: Column, descending: bool = False) -> DataFrame:
+    """rows with `_hit`: those of `which` up to the cut of their buffer."""
+    near = F.col("seq") >= F.col("_cut") if descending else F.col("seq") <= F.col("_cut")
+    return rows.join(cuts, "buffer_id", "left").withColumn("_hit", F.coalesce(which & near, F.lit(False))).select(*rows.columns, "_hit")
 
 
 def claim(rows: DataFrame, n: int) -> DataFrame:
     """All rows, the oldest n pending ones of each buffer in flight. A released row has its old seq, so it comes first again."""
-    pending = rows.where(F.col("state") == PENDING)
-    taken = top(pending, n).select(rows.columns).withColumn("state", F.lit(INFLIGHT))
-    return rows.where(F.col("state") != PENDING).unionByName(taken).unionByName(beyond(pending, n).select(rows.columns))
+    is_pending = F.col("state") == PENDING
+    taken = marked(rows, cutoff(rows.where(is_pending), n), is_pending)
+    return taken.withColumn("state", F.when(F.col("_hit"), INFLIGHT).otherwise(F.col("state"))).drop("_hit")
 
 
 def moved(rows: DataFrame, ids: DataFrame, to_state: int) -> DataFrame:
@@ -86,17 +99,17 @@ def sendable_gaps(gaps: DataFrame, n: int) -> DataFrame:
     return top(gaps.where((F.col("state") == PENDING) & F.col("seq").isNotNull()), n).drop("nth")
 
 
-def purge(rows: DataFrame, gaps: DataFrame, limit: int = 10_000, keep: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Readings and gaps without the oldest `limit` acknowledged readings of each buffer, all acknowledged gaps, and all
-    but the newest `keep` of each in quarantine."""
+def purge(rows: DataFrame, gaps: DataFrame, limit: int | None = 10_000, keep: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Readings and gaps without the oldest `limit` acknowledged readings of each buffer (None: all), all acknowledged
+    gaps, and all but the newest `keep` of each in quarantine."""
+    is_acked, is_rejected = F.col("state") == ACKED, F.col("state") == REJECTED
 
     def trimmed(table: DataFrame) -> DataFrame:
-        rejected = table.where(F.col("state") == REJECTED)
-        return top(rejected, keep, descending=True).select(table.columns)
+        newest = marked(table, cutoff(table.where(is_rejected), keep, descending=True), is_rejected, descending=True)
+        return newest.where(~is_rejected | F.col("_hit")).drop("_hit")
 
-    others = rows.where(~F.col("state").isin(ACKED, REJECTED))
-    acked = beyond(rows.where(F.col("state") == ACKED), limit).select(rows.columns)
-    return others.unionByName(acked).unionByName(trimmed(rows)), gaps.where(~F.col("state").isin(ACKED, REJECTED)).unionByName(trimmed(gaps))
+    left = rows.where(~is_acked) if limit is None else marked(rows, cutoff(rows.where(is_acked), limit), is_acked).where("NOT _hit").drop("_hit")
+    return trimmed(left), trimmed(gaps.where(~is_acked))
 
 
 def status(rows: DataFrame, gaps: DataFrame, cap: int, policy: str, file_bytes: int = 0) -> DataFrame:

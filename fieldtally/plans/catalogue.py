@@ -143,7 +143,7 @@ SELECT batch, count(*) FILTER (outcome = 'accepted') AS accepted, count(*) FILTE
 def outcome_resolution(spark, sf_dir):
     sent = readings(spark, sf_dir).select(F.floor(F.col("seq") / 10).alias("batch"), "seq")
     outcome = F.when((F.col("batch") % 13 == 0) | (F.col("seq") % 9 == 0), "rejected").when(F.col("seq") % 4 == 1, "retry").otherwise("accepted")
-    unsent = sent.where("seq % 100 = 7").select("batch", (F.col("seq") + 1_000_000).alias("seq"), F.lit("accepted").alias("outcome"))
+    unsent = sent.select("batch", (-1 - F.col("seq")).alias("seq"), F.lit("accepted").alias("outcome"))
     return delivery.progress(delivery.outcomes(sent, sent.withColumn("outcome", outcome).unionByName(unsent)))
 
 

@@ -81,8 +81,20 @@ class Store:
         return self._table("batches").select("arrival_batch", *[F.sum(c).over(so_far).alias(c) for c in names])
 
     def compact(self, files: int) -> None:
-        """Rewrites the readings of all batches into few files under batch 0 of a new table, `readings_compact`."""
-        self._table("readings").withColumnRenamed("arrival_batch", "batch").repartition(files, "device_id").sortWithinPartitions("sensor_id", "wall_ns").write.mode("overwrite").parquet(f"{self.path}/readings_compact")
+        """Lays the readings of all batches out for reads by device and time, in few files of a table of its own."""
+        rows = self._table("readings").withColumnRenamed("arrival_batch", "batch")
+        rows.repartition(files, "device_id").sortWithinPartitions("device_id", "wall_ns").write.mode("overwrite").parquet(f"{self.path}/readings_compact")
+
+    def of_device(self, device_id: str, low_ns: int, high_ns: int) -> DataFrame:
+        """Readings of a device by the time it gave them: from the layout for such reads, whose files are skipped by
+        their ranges, and from the batches that came after it was made."""
+        wanted = (F.col("device_id") == device_id) & F.col("wall_ns").between(low_ns, high_ns)
+        rows, laid_out = self._table("readings").withColumnRenamed("arrival_batch", "batch"), self._table("readings_compact")
+        if laid_out is None:
+            return rows.where(wanted)
+        last = laid_out.agg(F.max("batch")).first()[0]
+        newer = rows if last is None else rows.where(F.col("batch") > last)
+        return laid_out.where(wanted).unionByName(newer.where(wanted))
 
 
 def messages_from_files(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:

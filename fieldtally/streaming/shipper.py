@@ -152,7 +152,7 @@ class Shipper:
             rows, lost = buffer.reject(buffer.ack(flying(rows), of("accepted")), of("rejected"))
             gaps, rows = merged(gaps, lost, rows), buffer.release(rows, of("released"))
         if self.rounds % self.purge_every == 0:
-            rows, gaps = buffer.purge(rows, gaps, (1 << 62), self.spool.quarantine_rows)
+            rows, gaps = buffer.purge(rows, gaps, None, self.spool.quarantine_rows)
         self.spool.save(rows, gaps, following)
         return "failed" if of("accepted").isEmpty() and of("rejected").isEmpty() else "progress"
 

@@ -55,7 +55,7 @@ def test_append_matches_a_plain_model(spark, policy):
 def test_moves(spark):
     rows = table(spark, [("a", i, PENDING) for i in range(10)])
     claimed = buffer.claim(rows, 4)
-    assert [i for (_, i), s in states(claimed).items() if s == INFLIGHT] == [0, 1, 2, 3]
+    assert {i for (_, i), s in states(claimed).items() if s == INFLIGHT} == {0, 1, 2, 3}
     ids = table(spark, [("a", 1, 0), ("a", 2, 0), ("a", 7, 0), ("b", 3, 0)])
     assert {i for (_, i), s in states(buffer.release(claimed, ids)).items() if s == INFLIGHT} == {0, 3}
     refused, gaps = buffer.reject(claimed, ids)

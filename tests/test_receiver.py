@@ -226,3 +226,15 @@ def test_lines_and_fakes(spark, tmp_path):
     assert sorted((r["sensor_id"], r["reading"]) for r in found.where("NOT bad").collect() if r["reading"]) == [("s", 1.5), ("t", 2.0)]
     assert found.where("NOT bad").count() == 3 and found.where("bad").count() == 3
     assert [r["value"] for r in fake_readings(spark, 1, streaming=False, rows=3).orderBy("value").collect()] == [0.0, 1.0, 2.0]
+
+
+def test_reads_by_device(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    frame = lambda seqs: spark.createDataFrame([("topic", message(i, i, 1000 + i, 2), i) for i in seqs], "source string, payload string, arrival_pos long")
+    store.store(frame(range(5)), 0)
+    store.store(frame(range(5, 8)), 1)
+    seen = lambda: sorted(r["seq"] for r in store.of_device("d", 1003, 1009).collect())
+    assert seen() == [3, 4, 5, 6, 7]
+    store.compact(2)
+    store.store(frame(range(8, 12)), 2)
+    assert seen() == [3, 4, 5, 6, 7, 8, 9] and store.of_device("x", 0, 1 << 60).count() == 0
