@@ -555,9 +555,9 @@ def test_many_licenses_in_one_text(spark):
     assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"]) == (32_000, 16_000, 0, 31_998, "apache")
 
 
-@pytest.mark.parametrize("large", [repeats.LARGE, 300, 0])
+@pytest.mark.parametrize("large", [repeats.LARGE, 300])
 def test_repeats(docs, rows, empty, large):
-    """Windows by brute force; groups are also taken apart into windows, those of several contexts or all."""
+    """Windows by brute force; groups of several contexts are also taken apart into windows."""
     found = {r["doc_id"]: r for r in repeats.remove_repeats(docs, large=large).collect()}
     seen = set()
     for doc_id, text in sorted({(r[0], r[1] or "") for r in rows}):
@@ -686,8 +686,6 @@ def test_jaccard(docs, rows, empty):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == expected
     assert sorted(r["doc_id"] for r in jaccard.one_of_each(docs).collect()) == sorted({c for _, c in expected.values()})
     assert jaccard.near_duplicates(empty).count() == 0
-    by_nodes = jaccard.near_duplicates(docs, cell=3).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in by_nodes} == expected
 
 
 def test_large_blocks_are_dealt_by_pairs_of_nodes(spark):
@@ -704,8 +702,7 @@ def test_large_blocks_are_dealt_by_pairs_of_nodes(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     expected = brute_components(rows)
     assert 1 < len({c for _, c in expected.values()}) < 120
-    for cell in (5, 512):
-        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table, cell=cell).collect()} == expected
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table, cell=5).collect()} == expected
     members = spark.range(400).selectExpr("7L AS h", "id", "CAST(40 + id % 60 AS INT) AS n", "id AS part", "transform(sequence(1, 256), k -> CAST(k % (2 + id % 9) AS SHORT)) AS point")
     dealt = jaccard.node_pairs(members.unionByName(members.where("id < 9").withColumn("h", F.lit(8).cast("long"))), 80, 20)
     counts = {(r["h"], r["i"], r["j"]): r["count"] for r in dealt.groupBy("h", "i", "j").count().collect()}
