@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import PLAIN, documents, mix, slices, text_bytes, unsigned_to_long, word_hashes
+from fieldtally.llm.common import PLAIN, documents, mix, slices, text_bytes, word_hashes
 
 #: Fixed masks: 1 is looked at, 0 ignored.
 MASKS = ("111111", "1101100111", "110100110101", "111010010111")
