@@ -91,4 +91,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_jaccard_join": op10_jaccard_join,
     "pipeline": pipeline,
 }
-ORACLES: dict[str, str] = {}
+
+#: Links by joining the classes of equal sets on their shingles, components by reaching along links.
+JACCARD_SQL = r"""WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')))) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS shingles FROM w),
+c AS (SELECT shingles, min(doc_id) AS id, len(shingles) AS n FROM s WHERE len(shingles) > 0 GROUP BY shingles),
+e AS (SELECT id, unnest(shingles) AS h FROM c),
+pairs AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM e a JOIN e b ON a.h = b.h AND a.id < b.id GROUP BY a.id, b.id),
+links AS (SELECT a, b FROM pairs JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT id, id AS r FROM c UNION SELECT reach.id, edges.b FROM reach JOIN edges ON edges.a = reach.r),
+least AS (SELECT id, min(r) AS component_id FROM reach GROUP BY id)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, CAST(coalesce(least.component_id, s.doc_id) AS BIGINT) AS component_id FROM s LEFT JOIN c ON c.shingles = s.shingles LEFT JOIN least ON least.id = c.id"""
+
+#: Every window of 100 bytes by its digest; those that also start earlier cover bytes, and runs of them are islands.
+REPEATS_SQL = """WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+win AS (SELECT doc_id, i, md5_number(substr(hx, 2 * i + 1, 200)) AS h FROM (SELECT doc_id, hx, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+again AS (SELECT doc_id, i FROM win QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1),
+cut AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM again)),
+span AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM cut GROUP BY doc_id, k),
+piece AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS came FROM span),
+left_over AS (SELECT doc_id, string_agg(substr(hx, 2 * came + 1, 2 * (a - came)), '' ORDER BY a) || substr(any_value(hx), 2 * max(b) + 1) AS hx, sum(b - a) AS gone, count(*) AS k FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(l.hx, d.hx))) AS kept_sha256 FROM d LEFT JOIN left_over l USING (doc_id)"""
+
+ORACLES: dict[str, str] = {"op8_suffix_dedup": REPEATS_SQL, "op10_jaccard_join": JACCARD_SQL}
