@@ -173,19 +173,18 @@ def tree_pairs(points: np.ndarray, sizes: np.ndarray, parts: np.ndarray, percent
 
 
 def node_pairs(members: DataFrame, percent: int, cell: int) -> DataFrame:
-    """The members of blocks (h, id, n, part, point), each as often as its node has a partner: with the pair of nodes (i,
-    j) and the side of the member in it. Blocks of up to `cell` points are one node. The nodes of a larger one are cut along
+    """The members of blocks (h, id, n, part, and lead, their leading coordinate), each as often as its node has a partner:
+    with the pair of nodes (i, j) and the side of the member in it. Blocks of up to `cell` points are one node. The nodes of a larger one are cut along
     size and leading coordinate: points of equal ones are spread by a hash of their id, so no rank is needed and no block
     is gathered. A node that can't link by its sizes, or is of the partner's one part, has no pair."""
     keys = ["h", "n", "lead"]
-    members = members.withColumn("lead", F.array_position("point", F.array_max("point")).cast("int"))
     block = Window.partitionBy("h")
     groups = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("c"))
     groups = groups.select(*keys, "c", F.sum("c").over(block).alias("m"), (F.sum("c").over(block.orderBy("n", "lead")) - F.col("c")).alias("before"))
     groups = materialize(groups.where(F.col("m") > cell).drop("m"))
     placed = members.join(groups, keys, "left")
     at = F.floor((F.col("before") + F.pmod(F.xxhash64("id"), F.col("c"))) / cell).cast("int")
-    columns = ["h", "id", "n", "part", "point"]
+    columns = ["h", "id", "n", "part"]
     zero = F.lit(0)
     alone = placed.where("c IS NULL").select(*columns, zero.alias("i"), zero.alias("j"), zero.alias("side"))
     dealt = placed.where("c IS NOT NULL").select(*columns, at.alias("node"))
@@ -291,7 +290,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # Blocks of one component are done; of blocks with the same members, one is enough.
     mixed = named.groupBy("h").agg(F.min("part").alias("p0"), F.max("part").alias("p1"), F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(F.xxhash64("id"), 20)).alias("s0"), F.bit_xor(F.xxhash64("id")).alias("s1")).where("p0 <> p1")
     once = mixed.groupBy("m", "s0", "s1").agg(F.min("h").alias("h")).select("h")
-    members = materialize(named.join(once, "h", "left_semi").join(points.select("id", "point"), "id"))
+    lead = points.select("id", F.array_position("point", F.array_max("point")).cast("int").alias("lead"))
+    members = materialize(named.join(once, "h", "left_semi").join(lead, "id"))  # without their points, which are long
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by pair of nodes; a pair that goes on in the next batch waits for it."""
@@ -328,7 +328,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
         if rest is not None:
             yield from solve(rest, np.array([0, len(rest)]))
 
-    dealt = node_pairs(members, percent, cell).repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
+    dealt = node_pairs(members, percent, cell).join(points.select("id", "point"), "id").repartition("h", "i", "j").sortWithinPartitions("h", "i", "j")
     pairs = dealt.mapInArrow(search, "a long, b long").distinct()
     more = materialize(_verify(pairs, points, texts, words, percent))
     merged = materialize(components(links.unionByName(more)))

@@ -703,7 +703,7 @@ def test_large_blocks_are_dealt_by_pairs_of_nodes(spark):
     expected = brute_components(rows)
     assert 1 < len({c for _, c in expected.values()}) < 120
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(table, cell=5).collect()} == expected
-    members = spark.range(400).selectExpr("7L AS h", "id", "CAST(40 + id % 60 AS INT) AS n", "id AS part", "transform(sequence(1, 256), k -> CAST(k % (2 + id % 9) AS SHORT)) AS point")
+    members = spark.range(400).selectExpr("7L AS h", "id", "CAST(40 + id % 60 AS INT) AS n", "id AS part", "CAST(1 + id % 9 AS INT) AS lead")
     dealt = jaccard.node_pairs(members.unionByName(members.where("id < 9").withColumn("h", F.lit(8).cast("long"))), 80, 20)
     counts = {(r["h"], r["i"], r["j"]): r["count"] for r in dealt.groupBy("h", "i", "j").count().collect()}
     assert counts[8, 0, 0] == 9 and max(counts.values()) < 100
