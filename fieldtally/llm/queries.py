@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from fieldtally.llm.quality import score_quality
 
@@ -72,6 +73,44 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def periodic_text() -> Column:
+    """The text of op11: where crc32(doc_id) % 10 = 0, the words from place g % n on repeat those of one period."""
+    n, g, a, p = (F.col(c) for c in ("_n", "_g", "_a", "_p"))
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_words", a + 1, p), F.floor((n - a) / p).cast("int") + 1)), 1, n - a)
+    return F.when(n > 0, F.array_join(F.concat(F.slice("_words", 1, a), tail), " ")).otherwise(F.col("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtally.llm.periodic import periodic_runs
+
+    h = F.crc32(F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text"), F.floor(h / 10).alias("_g"), F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("_words"))
+    docs = docs.select("*", F.size("_words").alias("_n"))
+    docs = docs.select("*", F.when(F.col("_n") > 0, F.col("_g") % F.col("_n")).cast("int").alias("_a"))
+    docs = docs.select("*", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + F.col("_g") % 8))).cast("int").alias("_p"))
+    found = periodic_runs(docs.select("doc_id", periodic_text().alias("text")))
+    best = F.reduce("runs", F.lit(None).cast("struct<start: long, length: long, period: long>"), lambda b, r: F.when(b.isNull() | (r["length"] * b["period"] > b["length"] * r["period"]), r).otherwise(b))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), "")
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.expr("1000 * best.length div best.period")
+    return out.select("doc_id", "n_runs", "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtally.llm.bytepairs import decode_ids, encode_texts
+
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    done = decode_ids(encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from fieldtally.llm.centroids import cluster_vectors, digest
+
+    return cluster_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest("centroid").alias("centroid_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_byte_pairs": op12_byte_pairs,
+    "op13_centroids": op13_centroids,
     "pipeline": pipeline,
 }
 
@@ -115,4 +157,19 @@ piece AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a
 left_over AS (SELECT doc_id, string_agg(substr(hx, 2 * came + 1, 2 * (a - came)), '' ORDER BY a) || substr(any_value(hx), 2 * max(b) + 1) AS hx, sum(b - a) AS gone, count(*) AS k FROM piece JOIN d USING (doc_id) GROUP BY doc_id)
 SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(l.hx, d.hx))) AS kept_sha256 FROM d LEFT JOIN left_over l USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op8_suffix_dedup": REPEATS_SQL, "op10_jaccard_join": JACCARD_SQL}
+#: Lloyd's rounds on single components; the first centroids by the hash of their id.
+CENTROIDS_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+n AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, q) AS r, vec_id, q FROM v),
+x AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(q) AS c FROM n),
+s AS (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS k, q FROM n QUALIFY k < 40),
+c0 AS MATERIALIZED (SELECT k, unnest(range(64)) AS i, unnest(q) AS m FROM s),
+""" + ",\n".join(
+    f"d{t} AS MATERIALIZED (SELECT r, k, d FROM (SELECT r, k, sum((c - m) * (c - m)) AS d FROM x JOIN c{t} USING (i) GROUP BY r, k) QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)"
+    + (f",\nc{t + 1} AS MATERIALIZED (SELECT k, i, coalesce(CAST(g.m AS HUGEINT), c{t}.m) AS m FROM c{t} LEFT JOIN (SELECT k, i, CASE WHEN s < 0 THEN -((-s + n - 1) // n) ELSE s // n END AS m FROM (SELECT k, i, sum(c) AS s, count(*) AS n FROM x JOIN d{t} USING (r) GROUP BY k, i)) g USING (k, i))" if t < 5 else "")
+    for t in range(6)
+) + """
+SELECT n.vec_id, CAST(k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY k) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, h AS centroid_sha256
+FROM d5 JOIN n USING (r) JOIN (SELECT k, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY i)) AS h FROM c5 GROUP BY k) USING (k)"""
+
+ORACLES: dict[str, str] = {"op13_centroids": CENTROIDS_SQL, "op8_suffix_dedup": REPEATS_SQL, "op10_jaccard_join": JACCARD_SQL}

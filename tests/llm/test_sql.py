@@ -11,7 +11,8 @@ from fieldtally.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query(spark, sf, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     found = con.execute(queries.ORACLES[name])
     columns = [d[0] for d in found.description]
     df = queries.QUERIES[name](spark, sf)
@@ -26,7 +27,7 @@ def test_awkward_texts(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(path)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
-    for name, sql in queries.ORACLES.items():
-        found = con.execute(sql)
+    for name in ("op8_suffix_dedup", "op10_jaccard_join"):
+        found = con.execute(queries.ORACLES[name])
         columns = [d[0] for d in found.description]
         assert sorted(map(tuple, queries.QUERIES[name](spark, str(tmp_path)).select(*columns).collect())) == sorted(found.fetchall())
