@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,7 +66,7 @@ def beside_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: s
     marked = rows.join(F.broadcast(hot), reduce(Column.__and__, [F.col(k) == F.col(f"_hot_{k}") for k in keys]), "left")
     is_hot = F.col(f"_hot_{keys[0]}").isNotNull()
     # the first key of a hot row becomes a hash of `spread`, and one more condition sees that it meets nothing
-    first = F.when(is_hot, F.xxhash64(spread)).otherwise(F.col(keys[0])) == F.col(f"_of_{keys[0]}")
+    first = F.when(is_hot, F.xxhash64(spread).cast(rows.schema[keys[0]].dataType)).otherwise(F.col(keys[0])) == F.col(f"_of_{keys[0]}")
     cold = F.when(is_hot, 1).otherwise(0) == F.lit(0)
     joined = marked.join(other, reduce(Column.__and__, [first, cold, *[F.col(k) == F.col(f"_of_{k}") for k in keys[1:]]]), "left")
     both = F.when(is_hot, F.col("_hot")).otherwise(F.col("_other"))
@@ -104,36 +105,56 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-BASE = 0x9E3779B97F4A7C15 | 5
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64))
+#: Multipliers of joined hashes, by family; and masks of the first bytes of eight.
+JOIN = ((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
+FIRST_BYTES = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Bytes from which a span is hashed by itself rather than beside others.
+LONG_SPAN = 1024
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse modulo 2 ** 64, for i below n at least."""
-    size = 1 << max(16, int(n).bit_length())
-    if size not in _POWERS:
-        if size > 1 << 23:
-            return _grow(size)
-        _POWERS[size] = _grow(size)
-    return _POWERS[size]
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place as one integer; zeros behind the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded.data, 0, 1)
 
 
-def _grow(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (BASE, pow(BASE, -1, 1 << 64)):
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        out.append(np.cumprod(steps, dtype=np.uint64))
-    return out[0], out[1]
+def join(a: np.ndarray, b: np.ndarray, family: int = 0) -> np.ndarray:
+    """A hash of two hashes in order. Shifts stand between the multiplications: a sum of multiples alone has texts (of the
+    Thue-Morse kind) that collide modulo 2 ** 64 whatever the multiplier."""
+    first, second = (np.uint64(x) for x in JOIN[family])
+    x = a * first
+    x ^= x >> np.uint64(32)
+    x += b
+    x *= second
+    x ^= x >> np.uint64(29)
+    return x
 
 
-def span_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[start:end], equal for equal spans wherever they stand; values are 64-bit symbols."""
-    up, down = powers(len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the bytes raw[start:end], equal for equal spans wherever they stand: joined eight by eight."""
+    left = np.asarray(ends - starts, np.int64)
+    h, row, at, eight = mix(left.astype(np.uint64) + np.uint64(1)), np.arange(len(left)), np.asarray(starts, np.int64), eights(raw)
+    long = left > LONG_SPAN
+    for i in np.flatnonzero(long).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[at[i] : at[i] + left[i]].tobytes(), seed=int(h[i]))
+    row, at, left = row[~long], at[~long], left[~long]
+    while len(row):
+        h[row] = join(h[row], eight[at] & FIRST_BYTES[np.minimum(left, 8)])
+        on = left > 8
+        row, at, left = row[on], at[on] + 8, left[on] - 8
+    return mix(h)
+
+
+def window_hash(raw: np.ndarray, width: int, family: int = 0) -> np.ndarray:
+    """Hashes of the `width` bytes from every place that has so many: those of 8, 16, 32 bytes and so on, joined."""
+    if len(raw) < width:
+        return np.zeros(0, np.uint64)
+    h, size = (eights(raw)[: len(raw) - 7].copy(), 8) if width >= 8 else (raw.astype(np.uint64), 1)
+    while 2 * size <= width:
+        h, size = join(h[:-size], h[size:], family), 2 * size
+    if size < width:
+        h = join(h[: size - width], h[width - size :], family)
+    return mix(h)
 
 
 SPACE = np.zeros(256, bool)
@@ -159,7 +180,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tup
     after[-1:] = False
     after[:-1] = ok[1:]
     ends = np.flatnonzero(ok & (~after | cut[1:])) + 1
-    hashes = span_hash(BYTE_VALUE[LOWER[raw]], starts, ends) if n else np.zeros(0, np.uint64)
+    hashes = span_hash(LOWER[raw], starts, ends)
     return hashes, starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 
 from fieldtally.llm.common import materialize
 
-#: Rounds after which something is wrong: each at least halves the longest path to a smaller id.
-MAX_ROUNDS = 60
-
-
 def _star(links: DataFrame, large: bool) -> DataFrame:
     """One star step. Each id's neighbours are linked to the smallest of them and itself: the larger ones (large), or
     the smaller ones and itself. Minima are aggregated before the shuffle, so that an id with many links is no hot group."""
@@ -29,11 +25,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large and small stars until nothing changes; each round is written to the shared folder."""
     now = materialize(links.where(F.col("a") != F.col("b")).select("a", "b").distinct())
-    seen = None
-    for _ in range(MAX_ROUNDS):
-        sums = now.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.shiftright(F.xxhash64("a", "b"), 24)), F.lit(0))).first()
-        if sums == seen or not sums[0]:
+    while True:
+        after = materialize(_star(_star(now, True), False))
+        # both are sets: of equal size, and nothing in one that the other lacks
+        if after.count() == now.count() and after.join(now, ["a", "b"], "left_anti").isEmpty():
             return now.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")).unionByName(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
-        seen = sums
-        now = materialize(_star(_star(now, True), False))
-    raise RuntimeError("the links' components didn't settle")
+        now = after

@@ -24,8 +24,9 @@ PENALTY = 1
 #: Score of the best run from which a document is contaminated; a passage of fewer words needs SHORT of its words.
 MIN_SCORE = 12
 SHORT = 0.8
-#: Passages of fewer words are left out by default: so few words are no evidence. Where they count, they must stand whole.
-MIN_WORDS = 6
+#: Passages of fewer words must stand whole; those of fewer than a parameter's hit nothing.
+WHOLE = 6
+MIN_WORDS = 1
 #: Seed hits that are expanded at once, and those of one seed in a row from which only their shifts are marked.
 EXPANDED, MARKED = 1 << 20, 1 << 16
 #: Seeds of the benchmark up to which they are broadcast (16 bytes each); more are joined by shuffling.
@@ -59,13 +60,13 @@ def best_run(equal: np.ndarray) -> tuple[int, int, int]:
 
 def masks_of(min_words: int) -> tuple[str, ...]:
     """The spaced masks, and those of whole passages that are too short for them."""
-    return MASKS + tuple("1" * k for k in range(min_words, MIN_WORDS))
+    return MASKS + tuple("1" * k for k in range(min_words, WHOLE))
 
 
 def item_seeds(hashes: np.ndarray, rows: np.ndarray, mask: str, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Seeds of passages: a mask of a short passage fits those of just its length."""
     at, h = seeds(hashes, rows, mask)
-    if len(mask) >= MIN_WORDS:
+    if len(mask) >= WHOLE:
         return at, h
     exact = np.bincount(rows, minlength=n_rows)[rows[at]] == len(mask)
     return at[exact], h[exact]
@@ -140,7 +141,7 @@ class Bench:
 
     def needed(self, n: int) -> int:
         """The score that a passage of n words must reach."""
-        return n if n < MIN_WORDS else min(MIN_SCORE, max(MIN_WORDS - 1, int(np.ceil(SHORT * n))))
+        return n if n < WHOLE else min(MIN_SCORE, max(WHOLE - 1, int(np.ceil(SHORT * n))))
 
     def verify(self, words: np.ndarray, first: np.ndarray, found: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int, int]]:
         """(row, item) -> score, matched words, first and end word in the row, of the best verified alignment. first:
@@ -173,8 +174,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, broadcast_seeds: int = B
     end word of the passage in the document. Words are runs of letters, digits and all that is not ASCII, lower-cased.
 
     Null and empty texts on either side hit nothing; rows whose doc_id or item_id is null are left out; repeated rows give
-    one row; empty tables give none. Passages of fewer than min_words words hit nothing (1 counts them all; those under
-    MIN_WORDS words must stand whole). A benchmark of more than broadcast_seeds seeds is joined by shuffling instead of
+    one row; empty tables give none. Passages of fewer than min_words words hit nothing (1, the default, counts them all); those under
+    WHOLE words must stand whole. A benchmark of more than broadcast_seeds seeds is joined by shuffling instead of
     being broadcast."""
     spark = docs.sparkSession
     docs = documents(docs).where("doc_id IS NOT NULL AND text IS NOT NULL")

@@ -19,22 +19,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import BYTE_VALUE, beside_counted, documents, materialize, mix, only_ids, slices, span_hash, text_bytes
+from fieldtally.llm.common import beside_counted, documents, materialize, mix, only_ids, slices, text_bytes, window_hash
 
 LENGTH = 100
 #: Bytes of an anchor.
 K = 40
 #: Context bytes that a step of the group scan takes; a larger group makes a step of its own.
 STEP = 1 << 20
-#: Text bytes that are hashed at once, few enough for a processor's cache.
-SLICE = 1 << 19
+#: Text bytes that are hashed at once, few enough for a processor's cache; and those of a long text whose contexts are cut
+#: at once.
+SLICE, CUT = 1 << 19, 1 << 16
+#: Places whose neighbours are looked at together.
+NEAR = 1 << 14
 #: Contexts, covered ones included, that a step of the group scan takes.
 MANY = 100_000
 #: Bytes of distinct contexts of one anchor that a task holds; a larger group is taken apart into its windows.
-LARGE = 32 << 20
+LARGE = 4 << 20
 #: Anchors that are looked through together for those that repeat.
 TOGETHER = 150_000
 
@@ -54,8 +57,7 @@ def place_hashes(raw: np.ndarray, length: int, k: int) -> tuple[np.ndarray, np.n
     """Hash of the k bytes from each place, and its upper half, by which the smallest is chosen; the last k - 1 places
     have the greatest."""
     full = np.full(len(raw), np.iinfo(np.uint64).max, np.uint64)
-    at = np.arange(max(0, len(raw) - k + 1))
-    full[: len(at)] = span_hash(BYTE_VALUE[raw], at, at + k)
+    full[: max(0, len(raw) - k + 1)] = window_hash(raw, k)
     return full, (full >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
@@ -82,17 +84,34 @@ def windows_of(places: np.ndarray, raw: np.ndarray, offsets: np.ndarray, length:
     width = length - k + 1
     _, order = place_hashes(raw, length, k)
     order = np.concatenate([np.zeros(width, np.uint32), order, np.zeros(width, np.uint32)])
+    step = np.arange(1, width)
+    back, ahead = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
+    for at in range(0, len(places), NEAR):
+        here = places[at : at + NEAR] + width
+        own = order[here][:, None]
+        before, after = order[here[:, None] - step] <= own, order[here[:, None] + step] < own
+        back[at : at + NEAR] = np.where(before.any(1), before.argmax(1), width - 1)
+        ahead[at : at + NEAR] = np.where(after.any(1), after.argmax(1), width - 1)
     row = np.searchsorted(offsets, places, "right") - 1
-    own, step = order[places + width][:, None], np.arange(1, width)
-    before = order[places[:, None] + width - step] <= own
-    after = order[places[:, None] + width + step] < own
-    back = np.where(before.any(1), before.argmax(1), width - 1)
-    ahead = np.where(after.any(1), after.argmax(1), width - 1)
     first = np.maximum(places - back, offsets[row])
     last = np.minimum(np.minimum(places, places + ahead + 1 - width), offsets[row + 1] - length)
     return first, last
 
 
+def parts_of(offsets: np.ndarray, most: int, before: int, behind: int, long: int | None = None) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """Parts of a batch's texts: rows a to b, the bytes from x to y that are looked at, and of these the bytes from p to q
+    that are this part's own. Several short rows are one part; a row of more than `most` bytes is taken in parts of `long`
+    (`most` by default) that see so many bytes before and behind their own."""
+    for a, b in slices(np.diff(offsets), most):
+        start, end = int(offsets[a]), int(offsets[b])
+        if end - start <= most:
+            yield a, b, start, end, start, end
+            continue
+        for p in range(start, end, long or most):
+            q = min(p + (long or most), end)
+            yield a, b, max(start, p - before), min(end, q + behind), p, q
+
+
 def maximal_repeats(text: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
     """(length, starts) of the maximal repeats of at least `length` bytes in rows text[bounds[i]:bounds[i + 1]], with
     all their starts. What precedes a row's first byte counts as different from everything."""
@@ -100,7 +119,7 @@ def maximal_repeats(text: np.ndarray, bounds: np.ndarray, length: int = LENGTH)
     starts = np.flatnonzero(np.arange(len(text)) + length <= ends)
     if len(starts) < 2:
         return
-    hashes = span_hash(BYTE_VALUE[text], starts, starts + length)
+    hashes = window_hash(text, length)[starts]
     order = np.argsort(hashes, kind="stable")
     starts, hashes = starts[order], hashes[order]
     new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
@@ -119,7 +138,7 @@ def maximal_repeats(text: np.ndarray, bounds: np.ndarray, length: int = LENGTH)
     tail = ends[starts] - starts - length
     wide = -(-int(tail.max() + 1) // 8) * 8
     padded = np.concatenate([text, np.zeros(wide + length, np.uint8)])
-    behind = padded[starts[:, None] + length + np.arange(wide)]
+    behind = np.lib.stride_tricks.sliding_window_view(padded, wide)[starts + length]
     behind[np.arange(wide) >= tail[:, None]] = 0
     keys = behind.view(">u8").astype(np.uint64)
     order = np.lexsort((starts, tail, *keys.T[::-1], group))
@@ -154,10 +173,13 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def text_key(text) -> int:
-    """What xxhash64() gives for the text in Spark."""
-    x = xxhash.xxh64_intdigest(text, 42)
-    return x - (1 << 64) if x >> 63 else x
+def text_key(text: bytes) -> int:
+    """The first 64 bits of the text's sha256, as key_of has them in Spark."""
+    return int.from_bytes(hashlib.sha256(text).digest()[:8], "big", signed=True)
+
+
+def key_of(text: str) -> Column:
+    return F.conv(F.substring(F.sha2(F.col(text).cast("binary"), 256), 1, 16), 16, -10).cast("long")
 
 
 def known_twice(h: np.ndarray, spread: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,20 +207,20 @@ def repeated_anchors(docs: DataFrame, length: int, k: int) -> DataFrame:
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
             out: list[list[np.ndarray]] = [[], [], [], []]
-            for a, b in slices(np.diff(offsets), SLICE):
-                part, bounds = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                places, hashes = anchors(part, bounds, length, k)
-                rows = np.searchsorted(bounds, places, "right") - 1
-                keys = np.array([text_key(part[x:y].tobytes()) for x, y in zip(bounds[:-1], bounds[1:], strict=True)], np.int64)
-                fresh = np.zeros(b - a, bool)
-                for i, (key, n) in enumerate(zip(keys.tolist(), np.diff(bounds).tolist(), strict=True)):
-                    if (key, n) not in done:
-                        done.add((key, n))
-                        fresh[i] = True
+            last, fresh = None, None
+            for a, b, x, y, p, q in parts_of(offsets, SLICE, 0, length - 1):
+                if (a, b) != last:
+                    last = (a, b)
+                    keys = np.array([text_key(raw[i:j].tobytes()) for i, j in zip(offsets[a:b], offsets[a + 1 : b + 1], strict=True)], np.int64)
+                    named = list(zip(keys.tolist(), np.diff(offsets[a : b + 1]).tolist(), strict=True))
+                    fresh = np.array([name not in done and not done.add(name) for name in named], bool)
+                bounds = np.clip(offsets[a : b + 1], x, y)
+                places, hashes = anchors(raw[x:y], bounds - x, length, k)
+                rows = np.searchsorted(bounds - x, places, "right") - 1
                 ok = fresh[rows]
                 rows = rows[ok]
-                for column, x in zip(out, (hashes[ok].view(np.int64), keys[rows], np.diff(bounds)[rows].astype(np.int32), (places[ok] - bounds[rows]).astype(np.int32)), strict=True):
-                    column.append(x)
+                for column, found in zip(out, (hashes[ok].view(np.int64), keys[rows], np.diff(offsets[a : b + 1])[rows].astype(np.int32), (places[ok] + x - offsets[a:b][rows]).astype(np.int32)), strict=True):
+                    column.append(found)
                 if sum(map(len, out[0])) > TOGETHER:
                     yield rows_of(out)
                     out = [[], [], [], []]
@@ -215,34 +237,46 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, large: int =
     """(doc_id, spans): of each document, the byte spans to remove, sorted and apart; documents without any are left
     out, and so are those that have the text of an earlier document. docs: doc_id, text, each doc_id once."""
     hit = repeated_anchors(docs, length, k)
-    first = docs.groupBy(F.xxhash64("text").alias("key"), F.octet_length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"))
+    first = docs.groupBy(key_of("text").alias("key"), F.octet_length("text").alias("n")).agg(F.min("doc_id").alias("doc_id"))
     at = materialize(hit.join(first, ["key", "n"]).groupBy("doc_id").agg(F.sort_array(F.collect_list("pos")).alias("at")))
     texts = only_ids(docs, at.select("doc_id")).join(at, "doc_id")
 
+    names = ["g", "salt", "doc_id", "start", "stop", "context"]
+
     def salted(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-        """A context that also stands earlier here is covered whole: it needs no group, and is dealt at random."""
+        """A context that also stands earlier here is covered whole: it needs no group, and only its place goes on, in one
+        span with those that it touches."""
         earliest: dict[tuple[int, bytes], tuple[int, int]] = {}
         for g, doc, start, context in rows:
             earliest[g, context] = min(earliest.get((g, context), (doc, start)), (doc, start))
-        salts = [0 if earliest[g, context] == (doc, start) else 1 + hash((doc, start)) % (1 << 30) for g, doc, start, context in rows]
-        g, doc, start, context = zip(*rows, strict=True) if rows else ((), (), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(salts, pa.int32()), pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(context, pa.binary())], ["g", "salt", "doc_id", "start", "context"])
+        kept, covered = [], {}
+        for g, doc, start, context in rows:
+            if earliest[g, context] == (doc, start):
+                kept.append((g, 0, doc, start, start + len(context), context))
+            else:
+                covered.setdefault(doc, []).append((start, start + len(context)))
+        kept += [(0, 1 + hash((doc, a)) % (1 << 30), doc, a, b, None) for doc, spans in covered.items() for a, b in merge(spans)]
+        columns = list(zip(*kept, strict=True)) or [()] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names)
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        margin = length + k
         for batch in batches:
             ids, (raw, offsets) = batch.column("doc_id").to_pylist(), text_bytes(batch.column("text"))
             wanted = batch.column("at")
             rows_out: list[tuple[int, int, int, bytes]] = []
-            for a, b in slices(np.diff(offsets), SLICE):
-                part, bounds = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                places = np.concatenate([wanted[i].values.to_numpy(zero_copy_only=False) + bounds[i - a] for i in range(a, b)])
-                first, last = windows_of(places, part, bounds, length, k)
+            for a, b, x, y, p, q in parts_of(offsets, SLICE, margin, 2 * margin, CUT):
+                at = np.concatenate([wanted[i].values.to_numpy(zero_copy_only=False) + offsets[i] for i in range(a, b)])
+                at = at[(at >= p) & (at < q)]
+                part, bounds = raw[x:y], np.clip(offsets[a : b + 1], x, y) - x
+                first, last = windows_of(at - x, part, bounds, length, k)
                 ok = last >= first
-                places, first, last = places[ok], first[ok], last[ok]
-                rows = np.searchsorted(bounds, places, "right") - 1
+                at, first, last = at[ok] - x, first[ok], last[ok]
+                rows = np.searchsorted(bounds, at, "right") - 1
                 data = part.tobytes()
-                for p, r, x, y in zip(places.tolist(), rows.tolist(), first.tolist(), last.tolist(), strict=True):
-                    rows_out.append((text_key(data[p : p + k]), ids[a + r], x - int(bounds[r]), data[x : y + length]))
+                for c, r, i, j in zip(at.tolist(), rows.tolist(), first.tolist(), last.tolist(), strict=True):
+                    rows_out.append((xxhash.xxh3_64_intdigest(data[c : c + k]) >> 1, ids[a + r], x + i - int(offsets[a + r]), data[i : j + length]))
                 if len(rows_out) > TOGETHER // 8:
                     yield salted(rows_out)
                     rows_out = []
@@ -282,14 +316,14 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, large: int =
         rest: list[tuple[int, int, bytes]] = []
         size, own, begin, last = 0, 0, 0, (None, None)
         for batch in batches:
-            for g, salt, doc, start, x in zip(*(batch.column(c).to_pylist() for c in ("g", "salt", "doc_id", "start", "context")), strict=True):
+            for g, salt, doc, start, stop, x in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if not salt and g != last[0]:
                     if size > STEP or len(groups) > MANY:
                         yield solve(groups)
                         groups, size = [], 0
                     own, begin = 0, len(groups)
                 if salt or (g, x) == last:
-                    covered.append((doc, start, start + len(x)))
+                    covered.append((doc, start, stop))
                 elif own > large:
                     rest.append((doc, start, x))
                 else:
@@ -307,7 +341,7 @@ def repeat_spans(docs: DataFrame, length: int = LENGTH, k: int = K, large: int =
             yield solve(groups)
         yield spans_of(covered, rest)
 
-    cut = texts.select("doc_id", "text", "at").mapInArrow(contexts, "g long, salt int, doc_id long, start long, context binary")
+    cut = texts.select("doc_id", "text", "at").mapInArrow(contexts, "g long, salt int, doc_id long, start long, stop long, context binary")
     met = cut.repartition("g", "salt").sortWithinPartitions("g", "salt", "context", "doc_id", "start")
     found = materialize(met.mapInArrow(scan, "doc_id long, a long, b long, context binary"))
     spans, rest = found.where("context IS NULL").select("doc_id", "a", "b"), found.where("context IS NOT NULL")
@@ -328,7 +362,7 @@ def windows_again(contexts: DataFrame, length: int) -> DataFrame:
                 part, bounds = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 at = np.flatnonzero(np.arange(len(part)) + length <= np.repeat(bounds[1:], np.diff(bounds)))
                 row = np.searchsorted(bounds, at, "right") - 1
-                h = [span_hash(values[part], at, at + length).view(np.int64) for values in (BYTE_VALUE, mix(BYTE_VALUE))]
+                h = [window_hash(part, length, family)[at].view(np.int64) for family in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(ids[a:b][row]), pa.array(starts[a:b][row] + at - bounds[row])], ["h0", "h1", "doc_id", "pos"])
 
     rows = contexts.mapInArrow(each, "h0 long, h1 long, doc_id long, pos long")
@@ -347,15 +381,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, large: int
     character leaves bytes that are no valid UTF-8, so kept is binary.
     """
     docs = documents(docs).where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    each = materialize(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.xxhash64("text").alias("key"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
+    each = materialize(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")))
     spans = materialize(repeat_spans(docs, length, k, large))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = text_bytes(batch.column("text"))
-            removed, number, shas, kept = [], [], [], []
+            removed, number, shas, kept, whole = [], [], [], [], []
             for i, spans in enumerate(batch.column("spans").to_pylist()):
                 data, out, at = raw[offsets[i] : offsets[i + 1]].tobytes(), [], 0
+                whole.append(hashlib.sha256(data).hexdigest())
                 gone = merge([(x["a"], x["b"]) for x in spans])
                 for a, b in gone:
                     out.append(data[at:a])
@@ -365,15 +400,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, large: int
                 number.append(len(gone))
                 shas.append(hashlib.sha256(rest).hexdigest())
                 kept.append(rest)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "key", "removed", "number", "cut_sha", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(whole, pa.string()), pa.array(removed, pa.int64()), pa.array(number, pa.int64()), pa.array(shas, pa.string()), pa.array(kept, pa.binary())], ["doc_id", "sha", "removed", "number", "cut_sha", "kept"])
 
-    touched = only_ids(docs, spans.select("doc_id")).join(spans, "doc_id").select("doc_id", "text", F.xxhash64("text").alias("key"), "spans")
-    cut = touched.mapInArrow(cut_out, "doc_id long, key long, removed long, number long, cut_sha string, kept binary").dropDuplicates(["doc_id", "key"])
-    first = materialize(each.groupBy("key", "n_bytes").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
+    touched = only_ids(docs, spans.select("doc_id")).join(spans, "doc_id").select("doc_id", "text", "spans")
+    cut = touched.mapInArrow(cut_out, "doc_id long, sha string, removed long, number long, cut_sha string, kept binary").dropDuplicates(["doc_id", "sha"])
+    first = materialize(each.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("copies")))
     copy = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= length)
     return (
-        beside_counted(each, first, ["key", "n_bytes"], "copies", F.col("doc_id"))
-        .join(cut, ["doc_id", "key"], "left")
+        beside_counted(each, first, ["sha"], "copies", F.col("doc_id"))
+        .join(cut, ["doc_id", "sha"], "left")
         .select(
             "doc_id",
             "n_bytes",

@@ -10,7 +10,8 @@ anew at every word, so a word is its chunk, and words are run side by side. Its
 as their full number is that of all word prefixes that the vocabulary tells apart.
 
 Texts with characters outside the compiled alphabet (where lower-casing or normalising is not one character for one),
-or with a special token's string, are given to the tokenizer whole.
+or with a special token's string, are given to the tokenizer whole; and so are all texts where a tokenizer file has other
+rules than COMPILED.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fieldtally.llm.common import documents, mix, slices, span_hash, text_bytes
+from fieldtally.llm.common import documents, slices, text_bytes
 
 LIMIT = 2048
 #: Transitions of the counting transducer that a worker keeps; at more it starts over.
@@ -34,9 +35,23 @@ SYMBOLS = 512
 #: Bytes from which a word is run by itself rather than beside others.
 LONG = 256
 CHUNK = 256
+#: Words that a worker remembers, and their bytes (four a character); at more it starts over.
+REMEMBERED, REMEMBERED_BYTES = 500_000, 64 << 20
 #: Text bytes counted at once: many words are looked up together.
 STEP_BYTES = 4 << 20
 
+#: The rules of tokenizer files that are compiled here. Their vocabularies mark the ends of words.
+COMPILED = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False},
+}
 #: States: between words, letters, number, punctuation, apostrophe that begins a word, that and r, v or l, contraction.
 S, L, N, P, A, AR, AV, AL, C = range(9)
 STATES = 9
@@ -244,7 +259,12 @@ class Counter:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
-        self.merges = Merges(json.loads(self.tokenizer.to_str())["model"])
+        rules = json.loads(self.tokenizer.to_str())
+        self.compiled = all(rules[part] == COMPILED[part] for part in ("normalizer", "pre_tokenizer")) and all(rules["model"].get(k) == v for k, v in COMPILED["model"].items()) and bool(rules["model"]["end_of_word_suffix"])
+        self.known, self.held = {}, 0
+        if not self.compiled:
+            return
+        self.merges = Merges(rules["model"])
         self.table, (self.classes, self.lower) = transitions(), alphabet()
 
     def whole(self, texts: list[str]) -> list[int]:
@@ -256,6 +276,8 @@ class Counter:
         return sorted(found | {i for i, x in enumerate(texts) if any(s in x for s in self.special)})
 
     def count(self, texts: list[str]) -> np.ndarray:
+        if not self.compiled:
+            return np.array(self.whole(texts), np.int64)
         points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
         offsets = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])[:-1]
         points = np.minimum(points, POINTS)
@@ -274,12 +296,18 @@ class Counter:
         return total
 
     def of_words(self, lower: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Tokens of every word; equal words are run once."""
-        if not len(starts):
-            return np.zeros(0, np.int64)
-        _, first, back = np.unique(span_hash(mix(lower + np.uint32(1)), starts, ends), return_index=True, return_inverse=True)
-        words = [lower[a:b].tobytes().decode("utf-32-le").encode() for a, b in zip(starts[first], ends[first], strict=True)]
-        return self.merges.count(words)[back]
+        """Tokens of every word; a word that the worker remembers isn't run again."""
+        data = lower.astype("<u4").tobytes()
+        words = [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
+        fresh = {w for w in words if w not in self.known}
+        size = sum(map(len, fresh))
+        if len(self.known) + len(fresh) > REMEMBERED or self.held + size > REMEMBERED_BYTES:
+            self.known, self.held, fresh = {}, 0, set(words)
+            size = sum(map(len, fresh))
+        if fresh:
+            self.held += size
+            self.known.update(zip(fresh, self.merges.count([w.decode("utf-32-le").encode() for w in fresh]).tolist(), strict=True))
+        return np.array([self.known[w] for w in words], np.int64)
 
 
 _COUNTERS: dict[str, Counter] = {}
