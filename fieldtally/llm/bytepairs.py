@@ -50,14 +50,14 @@ class Splitter:
         import tiktoken
 
         single = {bytes([i]): i for i in range(256)}
-        points = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-        kind: dict[str, str] = dict.fromkeys(points, "#")
-        known = dict(kind)
+        codes = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)]).astype("<u4")
+        points = codes.tobytes().decode("utf-32-le")
+        kind, known = np.full(0x110000, ord("#"), np.uint8), np.full(0x110000, ord("#"), np.uint8)
         for each, sign in ((r"\p{L}", "x"), (r"\p{N}", "0"), (r"\s", "\t")):
             theirs = bytes(tiktoken.Encoding("class", pat_str=each, mergeable_ranks=single, special_tokens={}).encode_ordinary(points)).decode()
-            kind.update(dict.fromkeys(theirs, sign))
-            known.update(dict.fromkeys(regex.findall(each, points), sign))
-        self.plain = {ord(c): sign for c, sign in kind.items() if known[c] != sign}
+            for table, found in ((kind, theirs), (known, "".join(regex.findall(each, points)))):
+                table[np.frombuffer(found.encode("utf-32-le"), "<u4")] = ord(sign)
+        self.plain = {c: chr(kind[c]) for c in np.flatnonzero(kind != known).tolist()}
         self.strange = {chr(c) for c in self.plain}
         self.pattern = regex.compile(pattern)
 
@@ -77,9 +77,6 @@ class BytePairs:
 
     def __init__(self, ranks_path: str, pattern: str):
         self.ids = read_ranks(ranks_path)
-        self.tokens: list[bytes | None] = [None] * (max(self.ids.values()) + 1)
-        for token, i in self.ids.items():
-            self.tokens[i] = token
         self.of_byte = np.array([self.ids[bytes([i])] for i in range(256)], np.int32)
         pairs = {(a, b): i for token, i in self.ids.items() for at in range(1, len(token)) if (a := self.ids.get(token[:at])) is not None and (b := self.ids.get(token[at:])) is not None}
         self.pairs = pairs
@@ -211,9 +208,6 @@ class BytePairs:
         self.held += size
         self.known |= self.encode_words(fresh)
 
-    def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join([self.tokens[i] for i in ids.tolist()])
-
 
 _LOADED: dict[tuple[str, str], BytePairs] = {}
 
@@ -241,13 +235,13 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return texts.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
 
 
-def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+def decode_ids(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded (doc_id, n_tokens, ids) with data, the bytes that the ids stand for; null where ids is null."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = loaded(ranks_path, pattern)
+        token = {i: x for x, i in read_ranks(ranks_path).items()}
         for batch in batches:
-            data = [None if x is None else pairs.decode(np.frombuffer(x, "<u4")) for x in batch.column("ids").to_pylist()]
+            data = [None if x is None else b"".join([token[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "ids", "data"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(decode, "doc_id long, n_tokens long, ids binary, data binary")

@@ -101,7 +101,7 @@ def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from fieldtally.llm.bytepairs import decode_ids, encode_texts
 
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    done = decode_ids(encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
+    done = decode_ids(encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 
