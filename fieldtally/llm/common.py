@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Rows up to which a list of 64-bit ids is broadcast; longer lists are joined by shuffling.
 BROADCAST_ROWS = 1_000_000
+#: Bytes (written as JSON) up to which such a list, or another small table, is broadcast.
+BROADCAST_BYTES = 64 << 20
 #: Groups of more than this part of all rows are hot: they are broadcast, being fewer than so many.
 HOT = 1000
 #: Text bytes that a numpy step takes at once; a longer document makes a step of its own.
@@ -53,6 +55,12 @@ def only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df may be broadcast, by its rows and by their bytes. Read for it, so written before."""
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0))).first()
+    return n <= rows and held <= size
+
+
 def beside_counted(rows: DataFrame, groups: DataFrame, keys: list[str], count: str, spread: Column) -> DataFrame:
     """rows with the columns of their group (all but `count`, null where there is none), as a left join on keys. groups: a
     row for each key, with the number of rows of it in `count`; read twice, so written before.

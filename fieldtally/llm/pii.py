@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldtally.llm.common import BROADCAST_ROWS, documents, materialize
+from fieldtally.llm.common import documents, is_small, materialize
 from fieldtally.llm.repeats import merge
 
 SUPPORT = 3
@@ -153,13 +153,12 @@ def term_rows(docs: DataFrame, found: DataFrame, support: int) -> tuple[DataFram
         pmi = F.log(both * float(total) / (F.greatest(dt, both) * F.col("de")))
         return F.when(ic > 0, pmi / ic).otherwise(0.0)
 
-    few = df_e.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = is_small(df_e)
     holders = materialize(texts.join(F.broadcast(df_e) if few else df_e, "entity").groupBy("key").agg(F.collect_list(F.struct("entity", "de")).alias("held")))
-    n = holders.limit(BROADCAST_ROWS + 1).count()
-    if not n:
+    if holders.isEmpty():
         return None
     keyed, keys = docs.withColumn("_key", F.xxhash64("text")), holders.select(F.col("key").alias("_key"))
-    beside = all_terms(keyed.join(F.broadcast(keys) if n <= BROADCAST_ROWS else keys, "_key", "left_semi")).select("key", "terms").dropDuplicates(["key"])
+    beside = all_terms(keyed.join(F.broadcast(keys) if is_small(keys) else keys, "_key", "left_semi")).select("key", "terms").dropDuplicates(["key"])
     beside = materialize(beside.join(holders, "key"))  # dealt by key already: only the holders move
     # dn, the entities' texts that hold a term, is at least `both` and at most dt, and de is at least `both`. By these
     # bounds common words are out before they are paired, and more of them before the corpus is searched for the rest.
@@ -167,17 +166,16 @@ def term_rows(docs: DataFrame, found: DataFrame, support: int) -> tuple[DataFram
     dn = beside.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("dn")).where(F.col("dn") >= support)
     reach = lambda de: F.pow(de.cast("double"), GENERALISE) * F.pow(F.lit(float(total)), 1 - GENERALISE) * (1 + 1e-9)
     dn = materialize(dn.crossJoin(F.broadcast(most)).where(F.col("dn") <= reach(F.col("de"))).select("term", "dn"))
-    few = dn.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = is_small(dn)
     rare = beside.select("key", "held", F.explode("terms").alias("term"))
     rare = rare.join(F.broadcast(dn), "term") if few else rare.drop("held").join(dn, "term").join(holders, "key")
     rare = rare.select("term", "dn", F.explode(F.filter("held", lambda x: F.col("dn") <= reach(x["de"]))).alias("x"))
     both = rare.groupBy("x.entity", "x.de", "term", "dn").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
     pairs = materialize(both.where(disclosure(F.col("both"), F.col("dn")) >= GENERALISE).select("entity", "term", "both", "de"))
     terms = pairs.select("term").distinct()
-    n = terms.limit(BROADCAST_ROWS + 1).count()
-    if not n:
+    if terms.isEmpty():
         return None
-    few = n <= BROADCAST_ROWS
+    few = is_small(terms)
     words = all_terms(docs).select("key", F.explode("terms").alias("term"))
     held = materialize(words.join(F.broadcast(terms) if few else terms, "term").select("key", "term").distinct())
     df_t = held.groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
@@ -192,7 +190,7 @@ def known_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> Da
         return docs.sparkSession.createDataFrame([], "key long, known array<struct<term:string,drop:boolean>>")
     terms, held = rows
     worst = materialize(terms.groupBy("term").agg((F.max("disclosure") >= REMOVE).alias("drop")))
-    few = worst.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    few = is_small(worst)
     of_text = held.join(F.broadcast(worst) if few else worst, "term")
     return materialize(of_text.groupBy("key").agg(F.collect_set(F.struct("term", "drop")).alias("known")))
 
@@ -224,7 +222,7 @@ def find_personal_data(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
                 out.append([{"kind": k, "start": a, "end": b} for k, a, b in term_places(text, known, base_spans(text))])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(out, kind)], ["doc_id", "key", "more"])
 
-    of_text = F.broadcast(of_text) if of_text.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else of_text
+    of_text = F.broadcast(of_text) if is_small(of_text, BROADCAST_TERMS) else of_text
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
     touched = keyed.join(of_text, F.col("key") == F.col("_key")).select("doc_id", "key", "text", "known")
     more = touched.mapInArrow(places, "doc_id long, key long, more array<struct<kind:string,start:long,end:long>>").dropDuplicates(["doc_id", "key"])
@@ -255,7 +253,7 @@ def sanitise(docs: DataFrame, support: int = SUPPORT) -> DataFrame:
     text stays null. Only the few documents that hold a disclosing term are looked up; patterns need no join."""
     texts = documents(docs).where("text IS NOT NULL")
     known = known_terms(texts, materialize(found_spans(texts)), support).select(F.col("key").alias("known_key"), F.col("known").alias("known_terms"))
-    known = F.broadcast(known) if known.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS else known
+    known = F.broadcast(known) if is_small(known, BROADCAST_TERMS) else known
     kinds, names = docs.schema, docs.columns
     joined = docs.join(known, F.xxhash64(docs["text"]) == F.col("known_key"), "left")
 

@@ -10,7 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from fieldtally.llm import common, decontamination, jaccard, repeats, tokens
+from fieldtally.llm import common, decontamination, jaccard, pii, repeats, tokens
 from tests_llm_plain import plain_removed
 
 
@@ -139,3 +139,28 @@ def test_long_periodic_text_loses_all_but_one_window(spark):
     assert found[2]["n_removed"] == 600_000 - 3 and found[2]["kept_sha256"] == hashlib.sha256(b"abc").hexdigest()
     near = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert near == {1: 1, 2: 2}
+
+
+def test_terms_that_keep_company_with_an_entity_are_found(spark):
+    """Recall and precision on texts with planted entities, each with a term of its own, and terms that only half keep it
+    company."""
+    rng = np.random.default_rng(8)
+    common_words = [f"{a}{b}" for a in ("bal", "cor", "dem", "fin", "gor") for b in ("an", "eth", "ist", "ock", "ump", "ery")]
+    rows, planted = [], set()
+    for e in range(25):
+        for _ in range(6):
+            words = [*rng.choice(common_words, 40).tolist(), f"secret{'abcdefghijklmnopqrstuvwxyz'[e]}", f"person{e}@mail.example.org"]
+            rng.shuffle(words)
+            planted.add((len(rows), f"secret{'abcdefghijklmnopqrstuvwxyz'[e]}"))
+            rows.append((len(rows), " ".join(words)))
+    for i in range(600):
+        words = rng.choice(common_words, 40).tolist()
+        rows.append((len(rows), " ".join([*words, f"half{i % 3}"])))
+    found = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r["doc_id"], rows[r["doc_id"]][1][x["start"] : x["end"]]) for r in found for x in r["spans"] if x["kind"] in ("term", "drop")}
+    assert len(got & planted) / len(planted) >= 0.99 and len(got & planted) / len(got) >= 0.99
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    few = spark.createDataFrame([(i, "x" * 100) for i in range(20)], "k long, v string")
+    assert common.is_small(few) and not common.is_small(few, rows=19) and not common.is_small(few, size=2000) and common.is_small(few.limit(0))
