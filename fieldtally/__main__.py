@@ -51,7 +51,7 @@ def ship(spark, config) -> None:
     spool = Spool(spark, config.storage.path, keep.max_rows, keep.policy, keep.quarantine_rows)
     if config.input.path:
         lines = spark.readStream.schema(SPOOLED).option("maxFilesPerTrigger", config.input.files_per_batch).parquet(config.input.path)
-        lines.writeStream.foreachBatch(lambda batch, _: spool.append(batch)).option("checkpointLocation", config.storage.checkpoint).trigger(availableNow=True).start().awaitTermination()
+        lines.writeStream.foreachBatch(spool.intake(config.storage.checkpoint)).option("checkpointLocation", config.storage.checkpoint).trigger(availableNow=True).start().awaitTermination()
     shipper = Shipper(spool, sink_of(config, "reading"), sink_of(config, "gap"), to.batch_rows, to.hold_s, to.purge_every)
     shipper.run(to.most_failures, initial_s=to.initial_backoff_s, max_s=to.max_backoff_s, immediate=to.immediate_retries)
 
