@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldtally.functions import scalars
-from fieldtally.operators import audit, buffer, clock, delivery, retention
+from fieldtally.operators import answers, audit, buffer, clock, counters, delivery, intake, intervals, retention
 from fieldtally.sources import wire
 from fieldtally.sources.tables import arrivals, readings
 
@@ -624,3 +624,83 @@ def point_lookup(spark, sf_dir):
 @query("SELECT buffer_id, seq, row_number() OVER (ORDER BY buffer_id, seq) AS place FROM readings")
 def total_order(spark, sf_dir):
     return retention.total_order(readings(spark, sf_dir).select("buffer_id", "seq"))
+
+
+#: Sends of readings at the times of their events, with an answer after up to 75 s or none; what has none in 30 s is sent
+#: again 40 s after, as a second attempt that is answered after up to 50 s.
+ANSWERED = """, first AS (SELECT 'buf-' || CAST(user_id % 4 AS VARCHAR) AS buffer_id, event_id AS seq, 0 AS attempt, epoch_us(ts) AS sent, CASE WHEN event_id % 13 <> 0 THEN event_id * 37 % 75000 * 1000 END AS took, CASE WHEN event_id % 17 = 0 THEN 'rejected' ELSE 'accepted' END AS said FROM events),
+attempts AS (SELECT * FROM first UNION ALL SELECT buffer_id, seq, 1, sent + 40000000, CASE WHEN seq % 29 <> 0 THEN seq * 53 % 50000 * 1000 END, said FROM first WHERE took IS NULL OR took > 30000000),
+outcomes AS (SELECT *, CASE WHEN took <= 30000000 THEN said ELSE 'timed_out' END AS outcome FROM attempts)"""
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ms = F.expr("INTERVAL '0.001' SECOND")
+    said = F.when(F.col("event_id") % 17 == 0, "rejected").otherwise("accepted")
+    first = events.select(F.concat(F.lit("buf-"), (F.col("user_id") % 4).cast("string")).alias("buffer_id"), F.col("event_id").alias("seq"), F.lit(0).alias("attempt"), F.col("ts").cast("timestamp_ntz").alias("sent_at"), F.when(F.col("event_id") % 13 != 0, F.col("event_id") * 37 % 75000).alias("took"), said.alias("outcome"))
+    again = first.where("took IS NULL OR took > 30000").select("buffer_id", "seq", F.lit(1).alias("attempt"), (F.col("sent_at") + F.expr("INTERVAL '40' SECOND")).alias("sent_at"), F.when(F.col("seq") % 29 != 0, F.col("seq") * 53 % 50000).alias("took"), "outcome")
+    both = first.unionByName(again)
+    sends, keys = both.select("buffer_id", "seq", "attempt", "sent_at"), ("buffer_id", "seq", "attempt")
+    return sends, answers.first_answers(both.where("took IS NOT NULL").select(*keys, (F.col("sent_at") + ms * F.col("took")).alias("answered_at"), "outcome"))
+
+
+@query(ANSWERED + " SELECT buffer_id, attempt, outcome, count(*) AS n, CAST(max(CASE WHEN outcome <> 'timed_out' THEN took END) AS BIGINT) AS slowest_us FROM outcomes GROUP BY ALL")
+def answer_outcomes(spark, sf_dir):
+    """Every attempt's outcome: what its answer says within 30 s, or that it timed out."""
+    found = answers.resolve(*_answered(spark, sf_dir), 30)
+    took = F.timestamp_diff("MICROSECOND", F.col("sent_at"), F.col("answered_at"))
+    return found.groupBy("buffer_id", "attempt", "outcome").agg(F.count(F.lit(1)).alias("n"), F.max(took).alias("slowest_us"))
+
+
+@query(ANSWERED + """, late AS (SELECT buffer_id, seq, said FROM attempts WHERE took > 30000000 AND took <= 60000000),
+each AS (SELECT buffer_id, seq, count(*) AS attempts, count(*) FILTER (outcome = 'timed_out') AS timed_out, CASE max_by(outcome, attempt) WHEN 'timed_out' THEN 'released' ELSE max_by(outcome, attempt) END AS outcome, count(*) FILTER (outcome = 'accepted') AS taken FROM outcomes GROUP BY buffer_id, seq)
+SELECT buffer_id, seq, attempts, timed_out, outcome, CAST(taken + (SELECT count(*) FROM late l WHERE l.buffer_id = e.buffer_id AND l.seq = e.seq AND l.said = 'accepted') AS BIGINT) AS copies FROM each e""")
+def late_deliveries(spark, sf_dir):
+    """Each record's settled outcome and how often the receiver has it: answers up to a minute after the send deliver too."""
+    sends, said = _answered(spark, sf_dir)
+    return answers.deliveries(answers.resolve(sends, said, 30), answers.late_answers(sends, said, 30, 60))
+
+
+@query(ANSWERED + """, steps AS (SELECT buffer_id, sent + 30000000 AS t, 1 AS step, NULL AS seq, NULL AS attempt FROM attempts WHERE took IS NULL OR took > 30000000 UNION ALL SELECT buffer_id, sent + took, -1, NULL, NULL FROM attempts WHERE took > 30000000 UNION ALL SELECT buffer_id, sent, 0, seq, attempt FROM attempts),
+hung AS (SELECT *, CAST(sum(step) OVER (PARTITION BY buffer_id ORDER BY t) AS BIGINT) AS hung FROM steps) SELECT buffer_id, CAST(seq AS BIGINT) AS seq, CAST(attempt AS INTEGER) AS attempt, hung FROM hung WHERE seq IS NOT NULL AND hung >= 400""")
+def held_back_sends(spark, sf_dir):
+    """Attempts at whose time so many abandoned ones of their buffer were still without an answer."""
+    return answers.held_back(*_answered(spark, sf_dir), 30, 400)
+
+
+@query(", r AS (SELECT buffer_id, seq, seq - row_number() OVER (PARTITION BY buffer_id ORDER BY seq) AS g FROM (SELECT DISTINCT buffer_id, seq FROM arrivals WHERE seq % 100 < 97)), i AS (SELECT buffer_id, min(seq) AS low, max(seq) AS high FROM r GROUP BY buffer_id, g) SELECT buffer_id, CAST(sum(high - low + 1) AS BIGINT) AS n, count(*) AS intervals, min(low) AS low, max(high) AS high, CAST(max(high) - min(low) + 1 - sum(high - low + 1) AS BIGINT) AS missing FROM i GROUP BY buffer_id")
+def stored_intervals(spark, sf_dir):
+    """What two receivers have stored of each buffer, as the union of their sets of intervals."""
+    came = arrivals(spark, sf_dir).where("seq % 100 < 97")
+    halves = [intervals.interval_set(came.where(F.col("arrival_batch") % 2 == k), 4096) for k in (0, 1)]
+    return intervals.size(intervals.union(*halves))
+
+
+@query(" SELECT arrival_batch, buffer_id, count(*) AS n FROM (SELECT a.buffer_id, a.arrival_batch, a.seq FROM arrivals a WHERE a.arrival_batch >= 6 AND NOT EXISTS (SELECT 1 FROM arrivals b WHERE b.arrival_batch < 6 AND b.buffer_id = a.buffer_id AND b.seq = a.seq)) GROUP BY ALL")
+def beyond_stored(spark, sf_dir):
+    """Arrivals whose keys the batches before the sixth didn't store, told by their intervals."""
+    came = arrivals(spark, sf_dir)
+    held = intervals.interval_set(came.where("arrival_batch < 6"), 4096)
+    return intervals.outside(came.where("arrival_batch >= 6"), held, 4096).groupBy("arrival_batch", "buffer_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(BUFFERED + """, counted AS (SELECT buffer_id, 'reading' AS kind, state, count(*) AS n, CAST(0 AS BIGINT) AS discarded FROM (SELECT buffer_id, CASE WHEN state = 1 AND ts_quality = 0 THEN 2 WHEN state = 1 AND seq % 3 = 0 THEN 3 ELSE state END AS state FROM held) GROUP BY ALL
+  UNION ALL SELECT buffer_id, 'gap', state, count(*), CAST(sum(count) AS BIGINT) FROM gaps GROUP BY ALL) SELECT buffer_id, kind, CAST(state AS INTEGER) AS state, n, discarded FROM counted""")
+def kept_counters(spark, sf_dir):
+    """Counters after an acknowledgement and a refusal, folded from what was counted before and the rows that moved."""
+    rows = buffered(spark, sf_dir)
+    flying = rows.where("state = 1")
+    acked, refused = flying.where("ts_quality = 0"), flying.where("ts_quality <> 0 AND seq % 3 = 0")
+    before = counters.recount(rows, buffered_gaps(spark, sf_dir))
+    return counters.fold(before, [*counters.moves(acked, "reading", 1, 2), *counters.moves(refused, "reading", 1, 3)])
+
+
+@query(""", tries AS (SELECT device_id AS source, arrival_batch AS batch, arrival_batch * 10 + k AS pos, count(*) AS n FROM first_arrivals, (VALUES (0), (1), (12)) t(k) WHERE k = 0 OR arrival_batch % 3 = k % 3 GROUP BY ALL),
+t AS (SELECT *, row_number() OVER (PARTITION BY source, batch ORDER BY pos) = 1 AND batch > coalesce(max(batch) OVER (PARTITION BY source ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS taken FROM tries)
+SELECT source, batch, pos, n, taken, CAST(sum(CASE WHEN taken THEN n ELSE 0 END) OVER (PARTITION BY source ORDER BY pos) AS BIGINT) AS next_seq FROM t""")
+def intake_log(spark, sf_dir):
+    """Batches of streams as they reach a spool, some of them again at once or after others: which are taken, and the number that comes next."""
+    came = arrivals(spark, sf_dir).where("arrival_batch = seq % 11")
+    sizes = came.groupBy(F.col("device_id").alias("source"), F.col("arrival_batch").alias("batch")).agg(F.count(F.lit(1)).alias("n"))
+    again = F.when(F.col("batch") % 3 == 1, F.array(F.lit(0), F.lit(1))).when(F.col("batch") % 3 == 0, F.array(F.lit(0), F.lit(12))).otherwise(F.array(F.lit(0)))
+    return intake.taken(sizes.select("source", "batch", "n", F.explode(again).alias("k")).select("source", "batch", (F.col("batch") * 10 + F.col("k")).alias("pos"), "n"))

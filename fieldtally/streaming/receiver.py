@@ -5,22 +5,26 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from fieldtally.operators import clock
+from fieldtally.operators import clock, intervals
 from fieldtally.schemas import BRONZE
 from fieldtally.sources import wire
 
 
 class Store:
     """Tables under one path, a folder for each batch. A batch that runs again overwrites its own folders and nothing
-    else, so a replay after a crash changes nothing."""
+    else, so a replay after a crash changes nothing.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    A batch doesn't read the history of readings: which numbers are stored is kept as sets of intervals, and corrected
+    readings stand in `buckets` buckets of boots, of which a batch writes those anew that hold boots of its new readings.
+    Both are kept as of the last two batches, so that the last one can run again."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
 
     def _table(self, name: str) -> DataFrame | None:
         from pyspark.errors import AnalysisException
@@ -36,18 +40,46 @@ class Store:
     def _write(self, rows: DataFrame, name: str, batch: int) -> None:
         rows.drop("arrival_batch").write.mode("overwrite").parquet(f"{self.path}/{name}/arrival_batch={batch}")
 
-    def _new(self, rows: DataFrame, name: str, batch: int) -> DataFrame:
-        """The first arrival of each key, without keys of earlier batches."""
-        first = clock.first_arrivals(rows)
-        known = self._table(name)
-        if known is None:
-            return first
-        # Only what the batch's range of numbers may hold is read of the history: the range reaches the scan.
-        low, high = first.agg(F.min("seq"), F.max("seq")).first()
-        if low is None:
-            return first
-        known = known.where((F.col("arrival_batch") < batch) & F.col("seq").between(low, high))
-        return first.join(known.select("buffer_id", "seq"), ["buffer_id", "seq"], "left_anti")
+    def _list(self, name: str) -> list[str]:
+        """The names of what stands in a folder of the store."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [x.getPath().getName() for x in files.listStatus(path)] if files.exists(path) else []
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def _versions(self, name: str) -> list[int]:
+        """The batches as of which a kept table stands whole, in order."""
+        return sorted(int(x[5:]) for x in self._list(name) if x.startswith("upto=") and "_SUCCESS" in self._list(f"{name}/{x}"))
+
+    def _kept(self, name: str, kinds: str, batch: int) -> DataFrame:
+        """A kept table as it stood before a batch; empty where there was none."""
+        before = [v for v in self._versions(name) if v < batch]
+        return self.spark.read.schema(kinds).parquet(f"{self.path}/{name}/upto={before[-1]}") if before else self.spark.createDataFrame([], kinds)
+
+    def _keep(self, table: DataFrame, name: str, batch: int) -> None:
+        table.write.mode("overwrite").parquet(f"{self.path}/{name}/upto={batch}")
+        for v in [v for v in self._versions(name) if v < batch][:-1]:
+            self._delete(f"{name}/upto={v}")
+
+    def _stored(self, name: str, batch: int) -> DataFrame:
+        """The numbers that were stored before a batch. A store of before there were sets is read once for them."""
+        if not any(v < batch for v in self._versions(f"{name}_stored")):
+            known = self._table(name)
+            if known is not None and "seq" in known.columns:
+                return intervals.interval_set(known.where(F.col("arrival_batch") < batch))
+        return self._kept(f"{name}_stored", intervals.INTERVALS, batch)
+
+    def _take(self, rows: DataFrame, name: str, batch: int) -> tuple[DataFrame, int]:
+        """Stores the first arrival of each key that no earlier batch stored; gives what it wrote, and how many."""
+        held = self._stored(name, batch)
+        count = Observation()
+        self._write(intervals.outside(clock.first_arrivals(rows), held).observe(count, F.count(F.lit(1)).alias("n")), name, batch)
+        new = self.spark.read.schema(rows.drop("arrival_batch").schema).parquet(f"{self.path}/{name}/arrival_batch={batch}")
+        self._keep(intervals.union(held, intervals.interval_set(new)).coalesce(1), f"{name}_stored", batch)
+        return new, count.get["n"]
 
     def store(self, messages: DataFrame, batch: int) -> None:
         """foreachBatch function. messages: source, payload, and optionally arrival_pos; without it, first is the message
@@ -55,23 +87,76 @@ class Store:
         at = F.col("arrival_pos") if "arrival_pos" in messages.columns else F.xxhash64("source", "payload")
         checked = wire.validate(messages.select("source", "payload", F.lit(batch).cast("long").alias("arrival_batch"), at.alias("arrival_pos"))).persist()
         try:
-            self._write(self._new(wire.good_readings(checked), "readings", batch), "readings", batch)
-            self._write(self._new(wire.good_gaps(checked), "gaps", batch), "gaps", batch)
+            new, n = self._take(wire.good_readings(checked), "readings", batch)
+            _, gaps = self._take(wire.good_gaps(checked), "gaps", batch)
             self._write(wire.dead_letters(checked), "dead_letters", batch)
+            self._correct(new.withColumn("arrival_batch", F.lit(batch).cast("long")), batch)
             counts = checked.agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("error").isNotNull()).alias("dead_letters"))
-            new = {name: self.spark.read.parquet(f"{self.path}/{name}/arrival_batch={batch}").count() for name in ("readings", "gaps")}
-            counts = counts.withColumns({name: F.lit(n).cast("long") for name, n in new.items()})
+            counts = counts.withColumns({"readings": F.lit(n).cast("long"), "gaps": F.lit(gaps).cast("long")})
             counts = counts.withColumn("duplicates", F.col("messages") - F.col("dead_letters") - F.col("readings") - F.col("gaps"))
             self._write(counts, "batches", batch)
         finally:
             checked.unpersist()
 
+    def _buckets(self, batch: int) -> dict[int, int]:
+        """Of each bucket, the batch below this one that wrote it last. What later ones replaced is not looked at."""
+        last: dict[int, int] = {}
+        for v in self._versions("corrected"):
+            if v < batch:
+                last |= dict.fromkeys((int(x[7:]) for x in self._list(f"corrected/upto={v}") if x.startswith("bucket=")), v)
+        return last
+
+    def _in_buckets(self, last: dict[int, int], kinds: str) -> DataFrame:
+        paths = [f"{self.path}/corrected/upto={v}/bucket={b}" for b, v in sorted(last.items())]
+        return self.spark.read.schema(kinds).parquet(*paths) if paths else self.spark.createDataFrame([], kinds)
+
+    def _correct(self, new: DataFrame, batch: int) -> None:
+        """Writes the buckets anew that hold boots of new readings, their unsynced readings corrected where their boot has a
+        clock by now. A corrected reading keeps its time, whatever clock comes later."""
+        clocks = self._kept("clocks", CLOCKS, batch)
+        fresh = clock.boot_clocks(new, "arrival_batch", "arrival_pos")
+        both = clocks.withColumn("later", F.lit(0)).unionByName(fresh.withColumn("later", F.lit(1)))
+        best = both.groupBy("boot_id").agg(F.min(F.struct("mono_ns", "later", "offset_ns")).alias("c")).select("boot_id", "c.offset_ns", "c.mono_ns")
+        self._keep(best.coalesce(1), "clocks", batch)
+        bucket = F.pmod(F.xxhash64("boot_id"), F.lit(self.buckets)).cast("int")
+        touched = [r[0] for r in new.select(bucket).distinct().collect()]  # no more than there are buckets
+        if not touched and batch:
+            return
+        last = self._buckets(batch)
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in new.schema) + ", wall_ns_device long"
+        before = self._in_buckets({b: v for b, v in last.items() if b in touched}, kinds)
+        rows = before.unionByName(new.withColumn("wall_ns_device", F.lit(None).cast("long")).select(before.columns))
+        # only boots of this batch: others had their chance when their clock came
+        boots = new.select("boot_id").distinct()
+        known = self.spark.read.schema(CLOCKS).parquet(f"{self.path}/clocks/upto={batch}").join(boots, "boot_id", "left_semi")
+        corrected = clock.correct(rows.withColumnRenamed("wall_ns_device", "_device"), known)
+        corrected = corrected.withColumn("wall_ns_device", F.coalesce("wall_ns_device", "_device")).select(before.columns)
+        corrected = corrected.withColumn("ts_quality", F.col("ts_quality").cast(before.schema["ts_quality"].dataType))
+        corrected.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/corrected/upto={batch}")
+        self._prune(batch)
+
+    def _prune(self, batch: int) -> None:
+        """Deletes what neither this batch nor a replay of it needs."""
+        needed = {(b, v) for last in (self._buckets(batch), self._buckets(batch + 1)) for b, v in last.items()}
+        for v in self._versions("corrected"):
+            there = [int(x[7:]) for x in self._list(f"corrected/upto={v}") if x.startswith("bucket=")]
+            if v < batch and not any((b, v) in needed for b in there):
+                self._delete(f"corrected/upto={v}")
+                continue
+            for b in there:
+                if v < batch and (b, v) not in needed:
+                    self._delete(f"corrected/upto={v}/bucket={b}")
+
     def readings(self, mode: str = "arrival") -> DataFrame:
-        """Stored readings with their times corrected: `arrival`, as each batch would have been corrected when it came, or
+        """Stored readings with their times corrected: `arrival`, as each batch corrected them when it came, or
         `converged`, by the best clock of each boot that is known by now."""
         rows = self._table("readings")
         if mode == "arrival":
-            return clock.correct_by_arrival(rows)
+            last = self._buckets(1 << 62)
+            if not last:  # a store of before corrected readings were kept
+                return clock.correct_by_arrival(rows)
+            kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "arrival_batch")
+            return self._in_buckets(last, f"{kinds}, arrival_batch long, wall_ns_device long").drop("wall_ns_device")
         return clock.correct(rows, clock.boot_clocks(rows, "arrival_batch", "arrival_pos"))
 
     def totals(self) -> DataFrame:
@@ -116,6 +201,7 @@ def deduplicate(readings: DataFrame, delay: str | None = None) -> DataFrame:
     return readings.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["buffer_id", "seq"])
 
 
+CLOCKS = "boot_id string, offset_ns long, mono_ns long"
 HELD = "boot_id string, buffer_id string, seq long, mono_ns long, wall_ns long, ts_quality int, offset_ns long"
 
 

@@ -11,10 +11,13 @@ keys. Each round writes the spool anew, so a round should take a good part of it
 from __future__ import annotations
 
 import json
+import threading
 import time
 from collections.abc import Callable
+from concurrent.futures import Future, wait
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -174,9 +177,15 @@ def sealed(gaps: DataFrame, following: DataFrame) -> tuple[DataFrame, DataFrame]
 
 class Shipper:
     """sinks: of readings and of gaps. hold_s: so long after the start readings wait while no boot of theirs has a clock.
-    told(buffer_id, gaps, unaccounted) hears of refused gaps, whose counts the sink's accounting is short by."""
+    told(buffer_id, gaps, unaccounted) hears of refused gaps, whose counts the sink's accounting is short by.
 
-    def __init__(self, spool: Spool, readings: Sink, gaps: Sink, batch_rows: int = 1_000_000, hold_s: float = 0.0, purge_every: int = 10, clock_s: Callable[[], float] = time.monotonic, told: Callable[[str, int, int], None] = print):
+    A send that takes longer than send_timeout_s is abandoned: its rows stay pending and are sent again under their keys, and
+    what it answers later is not heard, so a late success is a duplicate. While most_hung abandoned sends still run,
+    rounds fail without sending."""
+
+    def __init__(self, spool: Spool, readings: Sink, gaps: Sink, batch_rows: int = 1_000_000, hold_s: float = 0.0, purge_every: int = 10, clock_s: Callable[[], float] = time.monotonic, told: Callable[[str, int, int], None] = print, send_timeout_s: float | None = None, most_hung: int = 4):
+        self.send_timeout_s, self.most_hung, self.hung = send_timeout_s, most_hung, []
+        self.stats = {"sends": 0, "timeouts": 0, "failed_sends": 0}
         self.spool, self.sinks, self.batch_rows, self.purge_every, self.clock_s, self.told = spool, {"reading": readings, "gap": gaps}, batch_rows, purge_every, clock_s, told
         self.hold_until, self.rounds = clock_s() + hold_s, 0
 
@@ -185,9 +194,41 @@ class Shipper:
 
     def _send(self, claimed: DataFrame, kind: str) -> DataFrame:
         """(buffer_id, seq, outcome) of what was sent. A buffer whose rows are all refused has a faulty sink: none are."""
+        self.hung = [x for x in self.hung if not x.done()]
+        if len(self.hung) >= self.most_hung:
+            self.stats["failed_sends"] += 1
+            raise SendFailed(f"{len(self.hung)} hung sends still run")
+        self.stats["sends"] += 1
         # a round that is repeated has the same number: what it sent before is replaced
-        answers = self.sinks[kind].send(claimed, self.spool.version() + 1).withColumnRenamed("buffer_id", "batch")
-        return outcomes(claimed.select(F.col("buffer_id").alias("batch"), "seq"), answers).withColumnRenamed("batch", "buffer_id").checkpoint()
+        number = self.spool.version() + 1
+
+        def send() -> DataFrame:
+            answers = self.sinks[kind].send(claimed, number).withColumnRenamed("buffer_id", "batch")
+            return outcomes(claimed.select(F.col("buffer_id").alias("batch"), "seq"), answers).withColumnRenamed("batch", "buffer_id").checkpoint()
+
+        try:
+            return send() if self.send_timeout_s is None else self._within(send, self.send_timeout_s)
+        except SendFailed:
+            self.stats["failed_sends"] += 1
+            raise
+
+    def _within(self, send: Callable[[], DataFrame], timeout_s: float) -> DataFrame:
+        """What a send answers in time, from a thread of its own: an abandoned one must not hold up the next, nor the
+        program's end."""
+        future: Future = Future()
+
+        def settle() -> None:
+            try:
+                future.set_result(send())
+            except BaseException as e:  # noqa: BLE001 - whatever a sink raises is the waiting round's to hear
+                future.set_exception(e)
+
+        threading.Thread(target=inheritable_thread_target(settle), daemon=True).start()
+        if not wait([future], timeout_s).done:
+            self.hung.append(future)
+            self.stats["timeouts"] += 1
+            raise SendFailed(f"no answer in {timeout_s} s")
+        return future.result()
 
     def once(self) -> str:
         """A round: gaps first, then readings, unless they wait for a clock. progress, failed, or empty."""

@@ -73,14 +73,14 @@ def counted(spool):
 
 
 def test_counters_equal_a_recount_after_random_scripts(spark, tmp_path):
-    for seed in range(3):
+    for seed in range(2):
         rng = random.Random(seed)
         spool = Spool(spark, f"{tmp_path}/spool{seed}", max_rows=14, policy=rng.choice(["drop_oldest", "halt_and_alarm"]), quarantine_rows=2)
         answers = [None, "'accepted'", "IF(seq % 3 = 0, 'rejected', 'accepted')", "'rejected'", "IF(seq % 2 = 0, 'accepted', NULL)"]
         now = [0.0]
         shipper = Shipper(spool, Scripted([rng.choice(answers) for _ in range(9)]), Scripted([rng.choice(answers[:3]) for _ in range(9)]), batch_rows=5, purge_every=3, clock_s=lambda: now[0], told=lambda *x: None)
         at = 0
-        for step in range(9):
+        for step in range(7):
             if rng.random() < 0.5:
                 n = rng.randint(1, 12)
                 spool.append(readings(spark, at, n, rng.choice("ab"), rng.choice("st")))
