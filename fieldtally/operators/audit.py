@@ -53,16 +53,37 @@ def run_report(log: DataFrame, received: DataFrame, tail_ok: int = 0) -> DataFra
     return both.select("run", how.alias("how"), written.cast("long").alias("written"), n.alias("received"), (high + 1 - n).alias("holes"), tail.alias("tail"), ((high + 1 == n) & (tail <= tail_ok)).alias("ok"))
 
 
-def percentiles(samples: DataFrame, value: str, *keys: str, ranges: int = 65_536) -> DataFrame:
+#: Distinct values, over all groups, up to which percentiles are ranked by one window for each group.
+FEW_VALUES = 1_000_000
+
+
+def _ranked_values(counts: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Percentiles of counted values (_k0, ..., _v, _c) by one window for each group."""
+    ks = [f"_k{i}" for i in range(len(keys))]
+    whole = Window.partitionBy(*ks)
+    ranked = counts.select(*ks, "_v", "_c", F.sum("_c").over(whole.orderBy("_v")).alias("_to"), F.sum("_c").over(whole).alias("_n"))
+    n, to = F.col("_n"), F.col("_to")
+    at = lambda index: F.max(F.when((index < to) & (index >= to - F.col("_c")), F.col("_v")))
+    nearest = lambda q: at(F.least(n - 1, F.floor(n * F.lit(q))))
+    low, high = at(F.floor((n - 1) / 2)).cast("double"), at(F.floor(n / 2)).cast("double")
+    p50 = F.when(low == high, low).otherwise(low * 0.5 + high * 0.5)
+    got = ranked.groupBy(*ks).agg(F.max("_n").alias("n"), p50.alias("p50"), nearest(0.9).alias("p90"), nearest(0.99).alias("p99"), F.max("_v").alias("max"))
+    return got.select(*[F.col(k).alias(name) for name, k in zip(keys, ks, strict=True)], "n", "p50", "p90", "p99", "max")
+
+
+def percentiles(samples: DataFrame, value: str, *keys: str, ranges: int = 65_536, few: int = FEW_VALUES) -> DataFrame:
     """p50 is the interpolated median; p90 and p99 are sorted[min(n - 1, int(q n))].
 
-    Equal values of a group are counted before the shuffle. A group's values are cut into ranges of about equal width;
-    ranks are taken within a range plus the rows of the ranges before, so that one large group is ranked by many tasks.
-    A range's share of the rows doesn't matter, its distinct values do. NaN is the greatest value; nulls don't count."""
+    Equal values of a group are counted before the shuffle. Up to `few` distinct values, a group is ranked by one window. Of
+    more, a group's values are cut into ranges of about equal width; ranks are taken within a range plus the rows of the
+    ranges before, so that one large group is ranked by many tasks. A range's share of the rows doesn't matter, its distinct
+    values do. NaN is the greatest value; nulls don't count."""
     same = lambda a, b: F.equal_null(a, b)
     ks = [f"_k{i}" for i in range(len(keys))]
     rows = samples.select(*[F.col(k).alias(n) for k, n in zip(keys, ks, strict=True)], F.col(value).alias("_v"))
     counts = rows.groupBy(*ks, "_v").agg(F.count("_v").alias("_c"))
+    if counts.limit(few + 1).count() <= few:
+        return _ranked_values(counts, keys)
     finite = F.col("_v").cast("double")
     finite = F.when(~F.isnan(finite) & (F.abs(finite) < float("inf")), finite)
     groups = counts.groupBy(*ks).agg(F.sum("_c").alias("n"), F.max("_v").alias("max"), F.min(finite).alias("_low"), F.max(finite).alias("_high"))
@@ -180,25 +201,19 @@ def invariants(readings: DataFrame, gaps: DataFrame, written: DataFrame) -> Data
     readings: buffer_id, seq, step (what was read), gaps: buffer_id, seq, sensor_id, boot_id, reason, count, as sent, copies
     included; written: step. A key names one reading; a reading has one key; a key names a reading or a gap; a gap is sent
     again as it was; only what was written is delivered; and what is delivered and what is in gaps add up to it."""
-    spark = readings.sparkSession
-    key = ["buffer_id", "seq"]
-    n = lambda df, name: df.agg(F.count(F.lit(1)).alias("broken")).select(F.lit(name).alias("invariant"), "broken")
-    per_key = readings.groupBy(*key).agg(F.min("step").alias("a"), F.max("step").alias("b"))
-    at = F.struct(*key)
-    per_step = readings.groupBy("step").agg(F.min(at).alias("a"), F.max(at).alias("b"))
+    key, yes, no = ["buffer_id", "seq"], F.lit(True), F.lit(False)
     body = F.struct("sensor_id", "boot_id", "reason", "count")
-    per_gap = gaps.groupBy(*key).agg(F.min(body).alias("a"), F.max(body).alias("b"))
-    names = written.select("step").distinct()
-    sums = [per_step.agg(F.count(F.lit(1)).alias("x")), per_gap.agg(F.coalesce(F.sum("a.count"), F.lit(0)).alias("x")), names.agg((-F.count(F.lit(1))).alias("x"))]
-    off = sums[0].unionByName(sums[1]).unionByName(sums[2]).agg(F.abs(F.sum("x")).alias("broken")).select(F.lit("delivered and gaps add up").alias("invariant"), "broken")
-    parts = [
-        n(per_key.where("a <> b"), "a key names one reading"), n(per_step.where("a <> b"), "a reading has one key"), n(per_key.join(per_gap.select(*key), key, "left_semi"), "a key names a reading or a gap"),
-        n(per_gap.where("a <> b"), "a gap is sent again as it was"), n(per_step.join(names, "step", "left_anti"), "only what was written is delivered"), off,
-    ]
-    out = spark.createDataFrame([], "invariant string, broken long")
-    for part in parts:
-        out = out.unionByName(part)
-    return out
+    keyed = readings.select(*key, "step", no.alias("gap")).withColumn("body", F.lit(None).cast(gaps.select(body).schema[0].dataType)).unionByName(gaps.select(*key, F.lit(None).cast(readings.schema["step"].dataType).alias("step"), yes.alias("gap"), body.alias("body")))
+    per_key = keyed.groupBy(*key).agg(F.min("step").alias("a"), F.max("step").alias("b"), F.max("gap").alias("gap"), F.min("gap").alias("only_gap"), F.min("body").alias("g"), F.max("body").alias("h"))
+    by_key = per_key.agg(F.count_if(F.col("a") != F.col("b")).alias("readings"), F.count_if(F.col("gap") & ~F.col("only_gap")).alias("both"), F.count_if(F.col("g") != F.col("h")).alias("changed"), F.coalesce(F.sum("g.count"), F.lit(0)).alias("in_gaps"))
+    stepped = readings.select("step", F.struct(*key).alias("at"), no.alias("wrote")).unionByName(written.select("step", F.lit(None).cast(readings.select(F.struct(*key)).schema[0].dataType).alias("at"), yes.alias("wrote")))
+    per_step = stepped.groupBy("step").agg(F.min("at").alias("a"), F.max("at").alias("b"), F.max("wrote").alias("wrote"))
+    came = F.col("a").isNotNull()
+    by_step = per_step.agg(F.count_if(F.col("a") != F.col("b")).alias("keys"), F.count_if(came & ~F.col("wrote")).alias("unknown"), F.count_if(came).alias("delivered"), F.count_if(F.col("wrote")).alias("written"))
+    off = F.abs(F.col("delivered") + F.col("in_gaps") - F.col("written"))
+    found = {"a key names one reading": "readings", "a reading has one key": "keys", "a key names a reading or a gap": "both", "a gap is sent again as it was": "changed", "only what was written is delivered": "unknown", "delivered and gaps add up": off}
+    rows = F.array(*[F.struct(F.lit(name).alias("invariant"), (F.col(x) if isinstance(x, str) else x).cast("long").alias("broken")) for name, x in found.items()])
+    return by_key.crossJoin(by_step).select(F.inline(rows))  # one row each
 
 
 def batch_results(messages: DataFrame) -> DataFrame:

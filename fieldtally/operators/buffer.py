@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldtally.operators.retention import gap_summary, top
+from fieldtally.operators.small import beside
 from fieldtally.schemas import ACKED, BACKPRESSURE, DROP_OLDEST, INFLIGHT, PENDING, REJECTED, REJECTED_BY_SINK
 
 KEYS = ("buffer_id", "seq")
@@ -29,7 +30,7 @@ def append(held: DataFrame, incoming: DataFrame, cap: int, policy: str = "drop_o
 
     drop_oldest evicts the oldest pending rows, never those in flight, and if they don't suffice the oldest of the batch.
     halt_and_alarm refuses a batch whole that doesn't fit. incoming: rows without a state; they come in as pending."""
-    over = overflow(held, incoming, cap)
+    over = beside(overflow(held, incoming, cap))
     added = incoming.withColumn("state", F.lit(PENDING)).select(held.columns)
     if policy == "halt_and_alarm":
         full = over.where("over > 0").select("buffer_id")
@@ -50,9 +51,9 @@ def cutoff(rows: DataFrame, k: int | DataFrame, descending: bool = False) -> Dat
 
 
 def marked(rows: DataFrame, cuts: DataFrame, which: Column, descending: bool = False) -> DataFrame:
-    """rows with `_hit`: those of `which` up to the cut of their buffer."""
+    """rows with `_hit`: those of `which` up to the cut of their buffer. Cuts are a row for each buffer."""
     near = F.col("seq") >= F.col("_cut") if descending else F.col("seq") <= F.col("_cut")
-    return rows.join(cuts, "buffer_id", "left").withColumn("_hit", F.coalesce(which & near, F.lit(False))).select(*rows.columns, "_hit")
+    return rows.join(beside(cuts), "buffer_id", "left").withColumn("_hit", F.coalesce(which & near, F.lit(False))).select(*rows.columns, "_hit")
 
 
 def claim(rows: DataFrame, n: int) -> DataFrame:

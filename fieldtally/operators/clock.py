@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fieldtally.functions.scalars import corrected_quality, corrected_wall, trusted
 from fieldtally.operators.audit import percentiles
+from fieldtally.operators.small import beside
 
 
 def first_arrivals(arrivals: DataFrame) -> DataFrame:
@@ -27,8 +28,7 @@ def boot_clocks(readings: DataFrame, *order: str) -> DataFrame:
 
 def correct(readings: DataFrame, clocks: DataFrame) -> DataFrame:
     """Readings with wall_ns and ts_quality corrected where their boot has a clock; wall_ns_device keeps what was sent."""
-    offsets = clocks.select("boot_id", "offset_ns")
-    joined = readings.join(offsets, "boot_id", "left")
+    joined = readings.join(beside(clocks.select("boot_id", "offset_ns")), "boot_id", "left")
     quality = corrected_quality(F.col("ts_quality"), F.col("mono_ns"), F.col("offset_ns"))
     changed = quality != F.col("ts_quality")
     wall = corrected_wall(F.col("ts_quality"), F.col("mono_ns"), F.col("wall_ns"), F.col("offset_ns"))
@@ -49,7 +49,7 @@ def correct_by_arrival(readings: DataFrame) -> DataFrame:
     # before the boot's first clock, a batch takes that first clock
     first_later = F.first("now", ignorenulls=True).over(by_batch.rowsBetween(0, Window.unboundedFollowing))
     clocks = running.select("boot_id", "arrival_batch", first_later["offset_ns"].alias("offset_ns"))
-    joined = readings.join(clocks, ["boot_id", "arrival_batch"])
+    joined = readings.join(beside(clocks), ["boot_id", "arrival_batch"])
     quality = corrected_quality(F.col("ts_quality"), F.col("mono_ns"), F.col("offset_ns"))
     kept = [c for c in readings.columns if c not in ("wall_ns", "ts_quality")]
     return joined.select(*kept, corrected_wall(F.col("ts_quality"), F.col("mono_ns"), F.col("wall_ns"), F.col("offset_ns")).alias("wall_ns"), quality.alias("ts_quality"))

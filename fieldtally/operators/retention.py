@@ -112,16 +112,20 @@ def seal_epochs(discards: DataFrame, seals: DataFrame, part_rows: int = 1_000_00
     """Gaps merged until a seal freezes them: discards and seals of a (buffer, sensor, boot, reason) in the order of pos;
     each seal that follows a discard closes the open gap. discards: ..., pos, mono_ns; seals: ..., pos.
 
-    Seals are counted within parts of the range of pos plus those of the parts before, so that a group of many rows is
-    looked through by many tasks."""
+    A group of up to part_rows rows is looked through by one task. If there is a larger one, seals are counted within parts of the range
+    of pos plus those of the parts before, so that it is looked through by many."""
     keys = ["buffer_id", "sensor_id", "boot_id", "reason"]
     both = discards.select(*keys, "pos", "mono_ns", F.lit(0).alias("seal")).unionByName(seals.select(*keys, "pos", F.lit(None).cast("long").alias("mono_ns"), F.lit(1).alias("seal")))
+    largest = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    sealed = lambda rows, epoch: rows.withColumn("epoch", epoch).where("seal = 0").groupBy(*keys, "epoch").agg(F.min("mono_ns").alias("from_mono_ns"), F.max("mono_ns").alias("to_mono_ns"), F.count(F.lit(1)).alias("count"))
+    if largest <= part_rows:
+        earlier = Window.partitionBy(*keys).orderBy("pos", "seal").rowsBetween(Window.unboundedPreceding, -1)
+        return sealed(both, F.coalesce(F.sum("seal").over(earlier), F.lit(0)))
     both = both.withColumn("_part", F.floor(F.col("pos") / part_rows))
     parts = both.groupBy(*keys, "_part").agg(F.sum("seal").alias("_s"))
     before = parts.select(*keys, "_part", (F.sum("_s").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_s")).alias("_before"))
     at = Window.partitionBy(*keys, "_part").orderBy("pos", "seal").rowsBetween(Window.unboundedPreceding, -1)
-    counted = both.join(before, [*keys, "_part"]).withColumn("epoch", F.coalesce(F.sum("seal").over(at), F.lit(0)) + F.col("_before")).where("seal = 0")
-    return counted.groupBy(*keys, "epoch").agg(F.min("mono_ns").alias("from_mono_ns"), F.max("mono_ns").alias("to_mono_ns"), F.count(F.lit(1)).alias("count"))
+    return sealed(both.join(before, [*keys, "_part"]), F.coalesce(F.sum("seal").over(at), F.lit(0)) + F.col("_before"))
 
 
 def next_commits(t: np.ndarray, known: np.ndarray, max_rows: int, max_delay: int) -> np.ndarray:

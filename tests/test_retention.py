@@ -45,3 +45,12 @@ def test_halted_batches_hold_no_array(spark):
     found = retention.halted_batches(spark.createDataFrame(batches, "buffer_id string, batch long, n long, acked long").repartition(5), 60)
     assert sorted(map(tuple, found.collect())) == expected
     assert "collect_list" not in found._jdf.queryExecution().toString()
+
+
+def test_seals_are_counted_alike_in_parts(spark):
+    rng = random.Random(4)
+    rows = [("b", "s", f"boot{rng.randrange(2)}", "r", pos, rng.randrange(100)) for pos in range(60)]
+    discards = spark.createDataFrame([r for r in rows if r[5] % 4], "buffer_id string, sensor_id string, boot_id string, reason string, pos long, mono_ns long")
+    seals = spark.createDataFrame([r[:5] for r in rows if r[5] % 4 == 0], "buffer_id string, sensor_id string, boot_id string, reason string, pos long")
+    found = [sorted(map(tuple, retention.seal_epochs(discards, seals, part_rows).collect())) for part_rows in (7, 1000)]
+    assert found[0] == found[1] and len(found[0]) > 4
