@@ -106,6 +106,12 @@ def free_terms(text: str, spans: list[tuple[str, int, int]]) -> Iterator[re.Matc
             yield found
 
 
+def text_terms(text: str) -> set[str]:
+    """The distinct terms of a text, in lower case."""
+    got = base_spans(text)
+    return {w.lower() for w in (TERM.findall(text) if not got else (x[0] for x in free_terms(text, got)))}
+
+
 def found_spans(docs: DataFrame) -> DataFrame:
     """doc_id, key (of the text), spans and entities of every document."""
 
@@ -132,8 +138,7 @@ def all_terms(docs: DataFrame) -> DataFrame:
             terms = []
             for text in batch.column("text"):
                 text = text.as_py() or ""
-                got = base_spans(text)
-                terms.append(list({w.lower() for w in (TERM.findall(text) if not got else (x[0] for x in free_terms(text, got)))}))
+                terms.append(list(text_terms(text)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(terms, pa.list_(pa.string()))], ["doc_id", "key", "terms"])
 
     return docs.select("doc_id", "text", F.xxhash64("text").alias("key")).mapInArrow(find, "doc_id long, key long, terms array<string>")
@@ -172,16 +177,36 @@ def term_rows(docs: DataFrame, found: DataFrame, support: int) -> tuple[DataFram
     rare = rare.select("term", "dn", F.explode(F.filter("held", lambda x: F.col("dn") <= reach(x["de"]))).alias("x"))
     both = rare.groupBy("x.entity", "x.de", "term", "dn").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
     pairs = materialize(both.where(disclosure(F.col("both"), F.col("dn")) >= GENERALISE).select("entity", "term", "both", "de"))
-    terms = pairs.select("term").distinct()
+    terms = materialize(pairs.select("term").distinct())
     if terms.isEmpty():
         return None
-    few = is_small(terms)
-    words = all_terms(docs).select("key", F.explode("terms").alias("term"))
-    held = materialize(words.join(F.broadcast(terms) if few else terms, "term").select("key", "term").distinct())
+    held = holders_of(docs, terms) if is_small(terms) else materialize(all_terms(docs).select("key", F.explode("terms").alias("term")).join(terms, "term").select("key", "term").distinct())
     df_t = held.groupBy("term").agg(F.count(F.lit(1)).alias("dt"))
     return pairs.join(df_t, "term").select("entity", "term", disclosure(F.col("both"), F.col("dt")).alias("disclosure")).where(F.col("disclosure") >= GENERALISE), held
 
 
+def holders_of(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(key, term) of the texts that hold one of a few terms: tasks look for all of them, and what is shuffled, to take
+    copies for one, is a row of their numbers for each text. terms: one column, written and small."""
+    spark = docs.sparkSession
+    numbers = {r["term"]: i for i, r in enumerate(terms.orderBy("term").collect())}
+    wanted = spark.sparkContext.broadcast(numbers)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lists = [], []
+            for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                if mine := sorted(wanted.value[w] for w in text_terms(text or "") if w in wanted.value):
+                    keys.append(key)
+                    lists.append(mine)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int32()))], ["key", "numbers"])
+
+    found = docs.select("text", F.xxhash64("text").alias("key")).mapInArrow(find, "key long, numbers array<int>")
+    once = materialize(found.dropDuplicates(["key"]))
+    names = spark.createDataFrame([(i, term) for term, i in numbers.items()], "number int, term string")
+    return once.select("key", F.explode("numbers").alias("number")).join(F.broadcast(names), "number").select("key", "term")
+
+
 def known_terms(docs: DataFrame, found: DataFrame, support: int = SUPPORT) -> DataFrame:
     """key, known: the disclosing terms of each text that holds one, beside their entity or without it, with whether to
     drop them (by the entity that they disclose most)."""
