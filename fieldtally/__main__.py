@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib.util
 import json
 import sys
 from pathlib import Path
@@ -29,9 +30,10 @@ def status(store, correction: str = "arrival") -> dict[str, int]:
 
 
 def sink_of(config, kind: str):
-    """The sink that the settings name, for readings or gaps. An MQTT client is the caller's to provide: see sinks.mqtt."""
+    """The sink that the settings name, for readings or gaps. MQTT takes paho-mqtt, which must be there then."""
     from fieldtally.sinks.http import Http
     from fieldtally.sinks.jsonl import JsonLines
+    from fieldtally.sinks.mqtt import Broker, Mqtt
 
     to = config.shipping
     if to.sink == "jsonl":
@@ -39,7 +41,10 @@ def sink_of(config, kind: str):
     if to.sink == "http":
         token = Path(to.token_file).read_text().strip() if to.token_file else None
         return Http(to.url, to.device_id, token, kind=kind)
-    raise ConfigError("shipping.sink: mqtt needs a client; ship from Python with sinks.mqtt.Mqtt")
+    if importlib.util.find_spec("paho") is None:
+        raise ConfigError("shipping.sink: mqtt needs paho-mqtt, which is not installed")
+    password = Path(to.password_file).read_text().strip() if to.password_file else ""
+    return Mqtt(Broker(to.host, to.port, to.client_id, username=to.username, password=password, tls=to.tls == "on", ca_file=to.ca_file), kind, to.ack_timeout_s)
 
 
 def ship(spark, config) -> None:
@@ -52,7 +57,7 @@ def ship(spark, config) -> None:
     if config.input.path:
         lines = spark.readStream.schema(SPOOLED).option("maxFilesPerTrigger", config.input.files_per_batch).parquet(config.input.path)
         lines.writeStream.foreachBatch(spool.intake(config.storage.checkpoint)).option("checkpointLocation", config.storage.checkpoint).trigger(availableNow=True).start().awaitTermination()
-    shipper = Shipper(spool, sink_of(config, "reading"), sink_of(config, "gap"), to.batch_rows, to.hold_s, to.purge_every)
+    shipper = Shipper(spool, sink_of(config, "reading"), sink_of(config, "gap"), to.batch_rows, to.hold_s, to.purge_every, send_timeout_s=to.send_timeout_s)
     shipper.run(to.most_failures, initial_s=to.initial_backoff_s, max_s=to.max_backoff_s, immediate=to.immediate_retries)
 
 

@@ -39,6 +39,15 @@ class Shipping:
     url: str = ""
     token_file: str = ""
     device_id: str = ""
+    host: str = ""
+    port: int = 1883
+    client_id: str = ""
+    username: str = ""
+    password_file: str = ""
+    tls: str = "off"
+    ca_file: str = ""
+    ack_timeout_s: float = 10.0
+    send_timeout_s: float = 300.0
     batch_rows: int = 1_000_000
     hold_s: float = 120.0
     purge_every: int = 10
@@ -57,7 +66,9 @@ class Config:
 
 
 #: What a setting may be.
-CHOICES = {"policy": ("drop_oldest", "halt_and_alarm"), "sink": ("jsonl", "http", "mqtt"), "correction": ("arrival", "converged")}
+CHOICES = {"policy": ("drop_oldest", "halt_and_alarm"), "sink": ("jsonl", "http", "mqtt"), "correction": ("arrival", "converged"), "tls": ("off", "on")}
+#: What a sink can't do without.
+NEEDED = {"jsonl": "path", "http": "url", "mqtt": "host"}
 
 
 def _unknown(name: str, known: list[str], where: str) -> ConfigError:
@@ -91,6 +102,8 @@ def parse(text: str, source: str = "config") -> Config:
     config = Config(**out)
     if config.shipping.max_backoff_s < config.shipping.initial_backoff_s:
         raise ConfigError(f"{source}: shipping.max_backoff_s must not be under initial_backoff_s")
+    if "shipping" in out and not getattr(config.shipping, NEEDED[config.shipping.sink]):
+        raise ConfigError(f"{source}: shipping.{NEEDED[config.shipping.sink]} must be set for sink {config.shipping.sink!r}")
     return config
 
 

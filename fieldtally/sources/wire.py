@@ -40,6 +40,7 @@ def _bad(condition: Column, message: str) -> Column:
     return F.when(F.coalesce(condition, F.lit(True)), message)
 
 
+# The texts of errors, and the order in which the rules are tried.
 def error_of(v: Column) -> Column:
     """The first rule that a parsed record breaks; null for a good one."""
     is_object = F.coalesce(F.schema_of_variant(v), F.lit("VOID")).startswith("OBJECT")

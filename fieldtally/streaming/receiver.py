@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
@@ -15,6 +15,35 @@ from fieldtally.schemas import BRONZE
 from fieldtally.sources import wire
 
 
+def isolated(rows: DataFrame, attempt: Callable[[DataFrame], None], ways: int = 16) -> DataFrame | None:
+    """The rows that a storage refuses, each alone, with `error`; None if it takes them all. A part that fails is cut in so
+    many parts by a hash of its keys, until a row that fails is alone: a bad row costs itself, and `ways` tries for each
+    digit of the number of rows. What isn't an error of data (an OSError) is raised: the batch is tried again."""
+    hashed = rows.withColumn("_h", F.xxhash64("buffer_id", "seq"))
+    bad: list[tuple[str, int, str]] = []
+
+    def look(part: DataFrame, low: int, width: int) -> None:
+        try:
+            attempt(part.drop("_h"))
+            return
+        except OSError:
+            raise
+        except Exception as e:  # noqa: BLE001 - what a storage raises for a row is the row's error
+            error = str(e).strip().split("\n")[0]
+        few = part.select("buffer_id", "seq").limit(2).collect()
+        if len(few) < 2 or width <= 1:
+            bad.extend((r["buffer_id"], r["seq"], error) for r in few)
+            return
+        step = -(-width // ways)
+        for at in range(low, low + width, step):
+            look(part.where(F.col("_h").between(at, min(at + step, low + width) - 1)), at, step)
+
+    look(hashed, -(1 << 63), 1 << 64)
+    if not bad:
+        return None
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(bad, "buffer_id string, seq long, error string")), ["buffer_id", "seq"])
+
+
 class Store:
     """Tables under one path, a folder for each batch. A batch that runs again overwrites its own folders and nothing
     else, so a replay after a crash changes nothing.
@@ -75,12 +104,24 @@ class Store:
     def _take(self, rows: DataFrame, name: str, batch: int) -> tuple[DataFrame, int]:
         """Stores the first arrival of each key that no earlier batch stored; gives what it wrote, and how many."""
         held = self._stored(name, batch)
+        fresh = intervals.outside(clock.first_arrivals(rows), held)
+        refused = isolated(fresh, lambda part: self._stores(part, name))
+        if refused is not None:
+            keys = refused.select("buffer_id", "seq")
+            fresh = fresh.join(keys, ["buffer_id", "seq"], "left_anti").select(fresh.columns)
+            text = F.to_json(F.struct(*[c for c in rows.columns if not c.startswith("arrival_")]))
+            self._write(refused.select(F.lit(name).alias("source"), text.alias("payload"), F.col("error"), F.col("arrival_pos")), "refused", batch)
         count = Observation()
-        self._write(intervals.outside(clock.first_arrivals(rows), held).observe(count, F.count(F.lit(1)).alias("n")), name, batch)
+        self._write(fresh.observe(count, F.count(F.lit(1)).alias("n")), name, batch)
         new = self.spark.read.schema(rows.drop("arrival_batch").schema).parquet(f"{self.path}/{name}/arrival_batch={batch}")
         self._keep(intervals.union(held, intervals.interval_set(new)).coalesce(1), f"{name}_stored", batch)
         return new, count.get["n"]
 
+    def _stores(self, part: DataFrame, name: str) -> None:
+        """Raises what the storage would raise for these rows. None by default: Parquet takes any row of the schema. For
+        stores with constraints of their own, which a subclass tries here without keeping anything."""
+        return None
+
     def store(self, messages: DataFrame, batch: int) -> None:
         """foreachBatch function. messages: source, payload, and optionally arrival_pos; without it, first is the message
         of the smallest hash, which a replay finds again."""
