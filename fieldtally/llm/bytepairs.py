@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, islice
 
 import numpy as np
@@ -27,7 +27,7 @@ WIDE = 256
 #: Ids of a matrix.
 CELLS = 1 << 20
 #: Words that a worker remembers, and their characters; at more it starts over.
-REMEMBERED, REMEMBERED_CHARS = 500_000, 16 << 20
+REMEMBERED, REMEMBERED_CHARS = 300_000, 8 << 20
 #: Words of a long text that are taken at once.
 WORDS_AT_ONCE = 200_000
 #: Bytes of texts taken at once, and of a batch of results.
@@ -217,31 +217,42 @@ def loaded(ranks_path: str, pattern: str) -> BytePairs:
     return _LOADED.get(key) or _LOADED.setdefault(key, BytePairs(*key))
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """For every document: doc_id, n_tokens, and ids, its tokens' ids as little-endian unsigned 32-bit integers.
+def decoder(ids: dict[bytes, int]) -> Callable[[bytes], bytes]:
+    """The bytes that packed ids stand for."""
+    token = {i: x for x, i in ids.items()}
+    return lambda packed: b"".join([token[i] for i in np.frombuffer(packed, "<u4").tolist()])
+
+
+def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """For every document: doc_id, n_tokens, and ids, its tokens' ids as little-endian unsigned 32-bit integers; with
+    `decoded` also data, the bytes that these ids stand for (see decode_ids), decoded by the task that encoded them.
 
     Special tokens' strings are text like any other. A null or empty text has no tokens. Repeated rows, and rows without a
     doc_id, are encoded each for itself. An empty table gives no rows. Other columns of docs are not looked at."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = loaded(ranks_path, pattern)
+        decode = decoder(pairs.ids)
         for batch in batches:
             _, offsets = text_bytes(batch.column("text"))
             for a, b in slices(np.diff(offsets), STEP):
                 ids = list(pairs.encode([x or "" for x in batch.column("text").slice(a, b - a).to_pylist()]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+                out = {"doc_id": batch.column("doc_id").slice(a, b - a), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())}
+                if decoded:
+                    out["data"] = pa.array([decode(x) for x in ids], pa.binary())
+                yield pa.RecordBatch.from_pydict(out)
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(encode, "doc_id long, n_tokens long, ids binary")
+    return texts.mapInArrow(encode, "doc_id long, n_tokens long, ids binary" + (", data binary" if decoded else ""))
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """encoded (doc_id, n_tokens, ids) with data, the bytes that the ids stand for; null where ids is null."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {i: x for x, i in read_ranks(ranks_path).items()}
+        bytes_of = decoder(read_ranks(ranks_path))
         for batch in batches:
-            data = [None if x is None else b"".join([token[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in batch.column("ids").to_pylist()]
+            data = [None if x is None else bytes_of(x) for x in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "n_tokens", "ids")), pa.array(data, pa.binary())], ["doc_id", "n_tokens", "ids", "data"])
 
     return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(decode, "doc_id long, n_tokens long, ids binary, data binary")

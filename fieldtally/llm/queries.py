@@ -98,10 +98,9 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fieldtally.llm.bytepairs import decode_ids, encode_texts
+    from fieldtally.llm.bytepairs import encode_texts
 
-    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    done = decode_ids(encode_texts(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    done = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
 
 

@@ -129,6 +129,8 @@ def test_byte_pairs_equal_the_library(spark, tmp_path, plain_encoding):
         ids = plain_encoding.encode_ordinary(text or "")
         expected.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(text or "")))
     assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+    apart = bytepairs.decode_ids(bytepairs.encode_texts(frame.where("doc_id < 12"), RANKS, public_tokenizers.PATTERN), RANKS)
+    assert {r["doc_id"]: bytes(r["data"]).decode() for r in apart.collect()} == {i: t or "" for i, t in enumerate(texts[:12])}
     assert bytepairs.encode_texts(frame.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
