@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from fieldtally.operators import clock, intervals
 from fieldtally.schemas import BRONZE
@@ -244,56 +245,108 @@ def deduplicate(readings: DataFrame, delay: str | None = None) -> DataFrame:
 
 CLOCKS = "boot_id string, offset_ns long, mono_ns long"
 HELD = "boot_id string, buffer_id string, seq long, mono_ns long, wall_ns long, ts_quality int, offset_ns long"
+WAITING = "buffer_id string, seq long, mono_ns long, wall_ns long, ts_quality int"
+NAMES = [x.split()[0] for x in WAITING.split(", ")]
+#: Rows of a boot that come out of its state together.
+AT_ONCE = 50_000
+
+
+def _with_state(spark: SparkSession) -> None:
+    """Keyed state of lists and timers stands in RocksDB: batches append to it and don't write it anew."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class HoldGate(StatefulProcessor):
+    """Of each boot: the offset, once a trusted reading gave it, whether its hold has ended, and the readings that wait."""
+
+    def __init__(self, hold_ms: int | None):
+        self.hold_ms = hold_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.told = handle.getValueState("told", "offset_ns long, released boolean")
+        self.waiting = handle.getListState("waiting", WAITING)
+
+    def _out(self, boot: str, rows: list[tuple], offset: int | None) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=NAMES)
+        out.insert(0, "boot_id", boot)
+        out["offset_ns"] = pd.array([offset] * len(out), "Int64")
+        return out
+
+    def _release(self, boot: str, offset: int | None) -> Iterator[pd.DataFrame]:
+        waiting = self.waiting.get()
+        while rows := [tuple(r) for r in islice(waiting, AT_ONCE)]:
+            yield self._out(boot, rows, offset)
+        self.waiting.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values("seq")[NAMES]
+        offset, released = self.told.get() if self.told.exists() else (None, False)
+        was = released
+        if offset is None and len(good := new[new["ts_quality"] != 0]):
+            mono, wall = min(zip(good["mono_ns"].tolist(), good["wall_ns"].tolist(), strict=True))
+            offset = wall - mono
+        released = released or offset is not None
+        if released:
+            self.told.update((offset, True))
+            if not was:
+                yield from self._release(key[0], offset)
+            yield self._out(key[0], list(new.itertuples(index=False, name=None)), offset)
+            return
+        if not self.told.exists():  # the first rows of the boot start the clock
+            self.told.update((None, False))
+            if self.hold_ms is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.hold_ms)
+        self.waiting.appendList([(b, int(s), int(m), int(w), int(q)) for b, s, m, w, q in new.itertuples(index=False, name=None)])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        offset, released = self.told.get()
+        if not released:
+            self.told.update((offset, True))
+            yield from self._release(key[0], offset)
+
+    def close(self) -> None:
+        pass
 
 
 def hold_unsynced(readings: DataFrame, hold_ms: int | None = 120_000) -> DataFrame:
     """Readings of a boot wait until one of them is trusted, which gives the offset of all, or until hold_ms have passed.
-    readings: boot_id, buffer_id, seq, mono_ns, wall_ns, ts_quality. What waits is state of its boot; a boot whose hold has
-    ended keeps its offset only. With hold_ms of None they wait for a trusted one alone; only then does a query that stops
-    when all is read (availableNow) come to an end, as a stream with timers always has another batch to run."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        offset, released, held = (None, False, []) if not state.exists else (state.get[0], state.get[1], list(zip(*state.get[2:], strict=True)))
-        new = [row for frame in frames for row in frame.sort_values("seq")[["buffer_id", "seq", "mono_ns", "wall_ns", "ts_quality"]].itertuples(index=False, name=None)]
-        if state.hasTimedOut:
-            released = True
-        good = [(m, w - m) for _, _, m, w, q in new if q != 0]
-        if offset is None and good:
-            offset = min(good)[1]
-        rows = held + new
-        if offset is not None or released:
-            held = []
-            out = pd.DataFrame(rows, columns=["buffer_id", "seq", "mono_ns", "wall_ns", "ts_quality"])
-            out.insert(0, "boot_id", key[0])
-            out["offset_ns"] = pd.array([offset] * len(out), "Int64")
-            state.update((offset, True, [], [], [], [], []))
-            if len(out):
-                yield out
-        else:
-            state.update((None, False, *map(list, zip(*rows, strict=True))))
-            if not held and hold_ms is not None:  # the first rows of the boot start the clock
-                state.setTimeoutDuration(hold_ms)
-
-    state = "offset_ns long, released boolean, buffer_id array<string>, seq array<long>, mono_ns array<long>, wall_ns array<long>, ts_quality array<int>"
-    return readings.groupBy("boot_id").applyInPandasWithState(step, HELD, state, "append", GroupStateTimeout.NoTimeout if hold_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
+    readings: boot_id, buffer_id, seq, mono_ns, wall_ns, ts_quality. What waits is appended to its boot's list, so a batch
+    costs what it brings, however much waits; a boot whose hold has ended keeps its offset only. With hold_ms of None they
+    wait for a trusted one alone; only then does a query that stops when all is read (availableNow) come to an end, as a
+    stream with timers always has another batch to run."""
+    _with_state(readings.sparkSession)
+    rows = readings.select("boot_id", *[F.col(n).cast(kind).alias(n) for n, kind in (x.split() for x in WAITING.split(", "))])
+    return rows.groupBy("boot_id").transformWithStateInPandas(HoldGate(hold_ms), HELD, "Append", "None" if hold_ms is None else "ProcessingTime")
+
+
+class Allocator(StatefulProcessor):
+    """Of each buffer: the run that it is in, its next number, and the end of its block."""
+
+    def __init__(self, block: int):
+        self.block = block
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.at = handle.getValueState("at", "run long, following long, top long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        run, following, top = self.at.get() if self.at.exists() else (None, 0, 0)
+        frame = pd.concat(list(rows)).sort_values(["run", "pos"])
+        for r, part in frame.groupby("run", sort=True):
+            if r != run:  # a new run begins a block
+                run, following = int(r), top
+            n = len(part)
+            yield pd.DataFrame({"buffer_id": key[0], "run": part["run"], "pos": part["pos"], "seq": range(following, following + n)})
+            following += n
+            top += self.block * max(0, -(-(following - top) // self.block))
+        self.at.update((run, following, top))
+
+    def close(self) -> None:
+        pass
 
 
 def allocate_seqs(readings: DataFrame, block: int = 1000) -> DataFrame:
     """Numbers the readings of each buffer on a stream: contiguous within a run, each new run from a new block, never the
-    same number twice. readings: buffer_id, run, pos."""
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        run, following, top = state.get if state.exists else (None, 0, 0)
-        rows = pd.concat(list(frames)).sort_values(["run", "pos"])
-        out = []
-        for r, pos in rows[["run", "pos"]].itertuples(index=False, name=None):
-            if r != run:
-                run, following = r, top
-            if following == top:
-                top += block
-            out.append((key[0], r, pos, following))
-            following += 1
-        state.update((run, following, top))
-        yield pd.DataFrame(out, columns=["buffer_id", "run", "pos", "seq"])
-
-    return readings.groupBy("buffer_id").applyInPandasWithState(step, "buffer_id string, run long, pos long, seq long", "run long, following long, top long", "append", GroupStateTimeout.NoTimeout)
+    same number twice. readings: buffer_id, run, pos. Three numbers of each buffer are kept."""
+    _with_state(readings.sparkSession)
+    return readings.groupBy("buffer_id").transformWithStateInPandas(Allocator(block), "buffer_id string, run long, pos long, seq long", "Append", "None")

@@ -14,7 +14,7 @@ from fieldtally.config import ConfigError, parse
 from fieldtally.sinks.mqtt import Acks, Connection, Mqtt
 from fieldtally.sinks.stream import ShippingSink, outcomes_of
 from fieldtally.sources.broker import BrokerReader, FileLog
-from fieldtally.streaming.receiver import Store, isolated
+from fieldtally.streaming.receiver import Store, hold_unsynced, isolated
 from test_receiver import message
 from test_store import state, take
 
@@ -175,3 +175,40 @@ def test_a_row_that_the_storage_refuses_costs_itself(spark, tmp_path):
 
     with pytest.raises(OSError):
         isolated(spark.createDataFrame([("b", 1)], "buffer_id string, seq long"), out)
+
+
+HOLD = "boot_id string, buffer_id string, seq long, mono_ns long, wall_ns long, ts_quality int"
+
+
+def test_a_hold_ends_by_its_timer(spark, tmp_path):
+    """Without a trusted reading, what waits comes out when the hold is over; what comes later doesn't wait."""
+    import time
+
+    spark.createDataFrame([("x", "a", i, i, i, 0) for i in range(5)], HOLD).coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    rows = spark.readStream.schema(HOLD).parquet(f"{tmp_path}/in/*")
+    query = hold_unsynced(rows, 1500).writeStream.format("memory").queryName("held").option("checkpointLocation", f"{tmp_path}/cp").start()
+    try:
+        out = lambda: sorted((r["seq"], r["offset_ns"]) for r in spark.table("held").collect())
+        deadline = time.monotonic() + 120
+        while len(out()) < 5 and time.monotonic() < deadline:
+            time.sleep(0.3)
+        assert out() == [(i, None) for i in range(5)]
+        spark.createDataFrame([("x", "a", 5, 5, 5, 0)], HOLD).coalesce(1).write.parquet(f"{tmp_path}/in/1")
+        while len(out()) < 6 and time.monotonic() < deadline:
+            time.sleep(0.3)
+        assert out()[-1] == (5, None)
+    finally:
+        query.stop()
+
+
+def test_much_that_waits_is_appended_and_comes_out_whole(spark, tmp_path):
+    """Batches add to what waits; the trusted reading lets all of it go."""
+    for k in range(3):
+        spark.range(4000 * k, 4000 * k + 4000).selectExpr("'x' AS boot_id", "'a' AS buffer_id", "id AS seq", "id AS mono_ns", "id AS wall_ns", "0 AS ts_quality").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    run = lambda: hold_unsynced(spark.readStream.schema(HOLD).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"), None).writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
+    run()
+    assert spark.read.schema("seq long").parquet(f"{tmp_path}/out").count() == 0
+    spark.createDataFrame([("x", "a", 12000, 12000, 13000, 2)], HOLD).coalesce(1).write.parquet(f"{tmp_path}/in/3")
+    run()
+    got = spark.read.parquet(f"{tmp_path}/out")
+    assert got.count() == 12001 == got.select("seq").distinct().count() and {r[0] for r in got.select("offset_ns").distinct().collect()} == {1000}
