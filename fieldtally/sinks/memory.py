@@ -20,11 +20,11 @@ class Hang:
 
 
 class Scripted:
-    """A behaviour is a SQL expression over the records that gives an outcome, None to fail the call, or a Hang. got are
+    """A behaviour is a SQL expression over the records that gives an outcome, None to fail the call, or a Hang. delivered are
     the keys that it took, those of late acceptances included."""
 
     def __init__(self, script: list[str | Hang | None], default: str | None = "'accepted'"):
-        self.got: list[tuple[str, int]] = []
+        self.delivered: list[tuple[str, int]] = []
         self.script, self.default, self.calls = script, default, 0
 
     def send(self, batch: DataFrame, batch_id: int) -> DataFrame:
@@ -35,5 +35,5 @@ class Scripted:
             how = "'accepted'" if how.late_accept else None
         if how is None:
             raise SendFailed("scripted")
-        self.got += [tuple(r) for r in batch.select("buffer_id", "seq").where(F.expr(how) == "accepted").collect()]
+        self.delivered += [tuple(r) for r in batch.select("buffer_id", "seq").where(F.expr(how) == "accepted").collect()]
         return batch.select("buffer_id", "seq", F.expr(how).alias("outcome")).where("outcome IS NOT NULL")

@@ -34,9 +34,9 @@ def test_a_hung_send_is_released_and_its_late_success_is_a_duplicate(spark, tmp_
     shipper.send_timeout_s = 120.0
     assert shipper.once() == "progress" and spool.status().first()["acked_not_purged"] == 6
     deadline = time.monotonic() + 90
-    while len(sink.got) < 12 and time.monotonic() < deadline:
+    while len(sink.delivered) < 12 and time.monotonic() < deadline:
         time.sleep(0.2)
-    assert sorted(sink.got) == sorted(2 * [("buf", i) for i in range(6)])  # the same keys, twice
+    assert sorted(sink.delivered) == sorted(2 * [("buf", i) for i in range(6)])  # the same keys, twice
     assert contents(spool)[1] == [("buf", 6)] and spool.status().first()["acked_not_purged"] == 6
 
 
