@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from fieldtally.operators.small import beside
 
 
 def gap_summary(discarded: DataFrame, reason: str, *keys: str) -> DataFrame:
@@ -83,29 +88,165 @@ def total_order(rows: DataFrame, by: str = "buffer_id") -> DataFrame:
     return placed.drop("nth", "_ahead").orderBy(by, "seq")
 
 
-def halted_batches(batches: DataFrame, cap: int) -> DataFrame:
+def _taken(used: int, n: int | None, freed: int | None, cap: int) -> tuple[int, bool | None]:
+    """The rows in use after a batch of n that finds `freed` more acknowledged, and whether it was taken."""
+    used = 0 if freed is None else max(0, used - freed)
+    fits = None if n is None else used + n <= cap
+    return (used + n if fits else used), fits
+
+
+class HaltMap:
+    """Some batches in order as one map of the rows in use, from those before them to those after: pieces (lo, out, slope)
+    in which the latter stay as they are (0) or grow with the former (1). Once every piece stays, its distinct values are
+    led on; they soon are one, as buffers that hold the same go on alike."""
+
+    def __init__(self, cap: int):
+        self.cap, self.end = cap, max(cap, 0) + 1
+        self.lo, self.out, self.slope = np.array([0]), np.array([0]), np.array([1])
+        self.values = self.of = None
+
+    def _cut(self, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+        """Cuts each piece behind its first `at` inputs; tells which pieces are first halves."""
+        width = np.concatenate([at, width - at])
+        keep = np.flatnonzero(width > 0)
+        lo = np.concatenate([self.lo, self.lo + at])[keep]
+        order = np.argsort(lo)
+        self.out = np.concatenate([self.out, self.out + self.slope * at])[keep][order]
+        self.slope = np.where(width == 1, 0, np.concatenate([self.slope, self.slope]))[keep][order]
+        self.lo = lo[order]
+        return (keep < len(at))[order]
+
+    def _below(self, bound: int) -> np.ndarray:
+        """Cuts the pieces where their values reach the bound; tells which are below."""
+        width = np.append(self.lo[1:], self.end) - self.lo
+        return self._cut(np.where(self.slope == 1, np.clip(bound - self.out, 0, width), np.where(self.out < bound, width, 0)), width)
+
+    def then(self, n: int | None, freed: int | None) -> None:
+        """n, freed: of the next batch, not negative."""
+        if self.values is not None:
+            if len(self.values) == 1:
+                self.values[0] = _taken(int(self.values[0]), n, freed, self.cap)[0]
+                return
+            v = self.values * 0 if freed is None else np.maximum(self.values - freed, 0)
+            v = v if n is None else np.where(v + n <= self.cap, v + n, v)
+            self.values, again = np.unique(v, return_inverse=True)
+            self.of = again[self.of]
+            return
+        if freed is None:
+            self.out, self.slope = self.out * 0, self.slope * 0
+        elif freed:
+            none = self._below(freed)
+            self.out, self.slope = np.where(none, 0, self.out - freed), np.where(none, 0, self.slope)
+        if n:
+            self.out = np.where(self._below(self.cap - n + 1), self.out + n, self.out)
+        width = np.append(self.lo[1:], self.end) - self.lo
+        on = (self.slope[1:] == self.slope[:-1]) & (self.out[1:] == self.out[:-1] + self.slope[:-1] * width[:-1])
+        keep = np.append(True, ~on)
+        self.lo, self.out, self.slope = self.lo[keep], self.out[keep], self.slope[keep]
+        if not self.slope.any():
+            self.values, self.of = np.unique(self.out, return_inverse=True)
+
+    def pieces(self) -> list[tuple[int, int, int]]:
+        out = self.out if self.values is None else self.values[self.of]
+        keep = np.append(True, (out[1:] != out[:-1]) | (self.slope[1:] != 0) | (self.slope[:-1] != 0))
+        return list(zip(self.lo[keep].tolist(), out[keep].tolist(), self.slope[keep].tolist(), strict=True))
+
+
+def _maps(batches: Iterator[tuple[int | None, int | None]], cap: int, most: int) -> Iterator[tuple[int, int | None, int | None, int]]:
+    """(sub, lo, out, slope) of the batches (n, freed) of a part. A map of more than `most` pieces ends, and another one goes
+    on behind it; one that has more pieces than batches is given as these: (sub, n, freed, -1). So never more rows
+    come out than went in."""
+    sub, part, seen, count = 0, HaltMap(cap), [], 0
+
+    def done() -> Iterator[tuple[int, int | None, int | None, int]]:
+        pieces = part.pieces()
+        if len(pieces) < count or len(seen) < count:
+            yield from ((sub, *piece) for piece in pieces)
+        else:
+            yield from ((sub + i, n, freed, -1) for i, (n, freed) in enumerate(seen))
+
+    for n, freed in batches:
+        odd = (n or 0) < 0 or (freed or 0) < 0
+        if count and (odd or len(part.lo) > most):
+            yield from done()
+            sub, part, seen, count = sub + count, HaltMap(cap), [], 0
+        if odd:
+            yield sub, n, freed, -1
+            sub += 1
+            continue
+        part.then(n, freed)
+        count += 1
+        if len(seen) < 4 * most:
+            seen.append((n, freed))
+    if count:
+        yield from done()
+
+
+def halted_batches(batches: DataFrame, cap: int, part_batches: int = 1_000_000, most: int = 4096) -> DataFrame:
     """A buffer that halts takes a batch only if it fits whole; a small one may fit after a large one was refused.
     batches: buffer_id, batch, n (and acked, rows that are acknowledged before it; 0 if absent).
 
-    The fold runs over a buffer's batches in order and gives out rows as it goes; it keeps one number of each buffer."""
+    Buffers whose batches span one range of part_batches numbers are folded by one task each, a number kept of each. Where
+    one spans more, each range becomes a map of the rows in use (see HaltMap), the maps are composed in order, and
+    every range is folded from what was in use before it, by a task of its own."""
     acked = F.col("acked") if "acked" in batches.columns else F.lit(0)
     ordered = batches.select("buffer_id", F.col("batch").cast("long").alias("batch"), F.col("n").cast("long").alias("n"), acked.cast("long").alias("acked"))
+    ordered = ordered.withColumn("part", F.floor(F.col("batch") / part_batches))
     kinds = ordered.select("buffer_id", "batch", "n", F.lit(None).cast("boolean").alias("accepted"), F.lit(None).cast("long").alias("used")).schema
+    ids = ordered.schema["buffer_id"].dataType
+    id_type = to_arrow_type(ids)
+    by = ["buffer_id", "part"]
+
+    def rows_of(some: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+        return zip(*(some.column(c).to_pylist() for c in columns), strict=True)
+
+    def maps(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = (row for some in rows for row in rows_of(some, *by, "n", "acked"))
+        pieces = ((*key, *piece) for key, of in groupby(every, itemgetter(0, 1)) for piece in _maps(((n, freed) for _, _, n, freed in of), cap, most))
+        while some := list(islice(pieces, 50_000)):
+            columns = zip(*some, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i else id_type) for i, c in enumerate(columns)], [*by, "sub", "lo", "out", "slope"])
+
+    def compose(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buffer, part, sub, used, after = (), (), None, 0, 0
+        for some in rows:
+            first, came = [], []
+            for i, (b, p, s, lo, out, slope) in enumerate(rows_of(some, *by, "sub", "lo", "out", "slope")):
+                if buffer != (b,):
+                    buffer, part, sub, used, after = (b,), (), None, 0, 0
+                if part != (p,) or s != sub:
+                    used = after
+                    if part != (p,):
+                        first.append(i)
+                        came.append(used)
+                    part, sub = (p,), s
+                if slope < 0:
+                    after = _taken(used, lo, out, cap)[0]
+                elif lo <= used:
+                    after = out + slope * (used - lo)
+            at = pa.array(first, pa.int64())
+            yield pa.RecordBatch.from_arrays([some.column("buffer_id").take(at), some.column("part").take(at), pa.array(came, pa.int64())], [*by, "came"])
 
     def fold(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, used = (), 0
         for some in rows:
             accepted, after = [], []
-            for buffer, n, freed in zip(*(some.column(c).to_pylist() for c in ("buffer_id", "n", "acked")), strict=True):
-                at, used = (buffer,), used if at == (buffer,) else 0
-                used = 0 if freed is None else max(0, used - freed)
-                fits = None if n is None else used + n <= cap
-                used += n if fits else 0
+            for buffer, part, came, n, freed in rows_of(some, *by, "came", "n", "acked"):
+                used, fits = _taken(used if at == (buffer, part) else came, n, freed, cap)
+                at = (buffer, part)
                 accepted.append(fits)
                 after.append(used)
             yield pa.RecordBatch.from_arrays([some.column("buffer_id"), some.column("batch"), some.column("n"), pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], ["buffer_id", "batch", "n", "accepted", "used"])
 
-    return ordered.repartition("buffer_id").sortWithinPartitions("buffer_id", "batch", "n", "acked").mapInArrow(fold, kinds)
+    spans = ordered.groupBy("buffer_id").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count_if(F.col("part").isNull()).alias("none"))
+    if spans.where((F.col("a") != F.col("b")) | ((F.col("none") > 0) & F.col("a").isNotNull())).limit(1).count():
+        pieces = ordered.repartition(*by).sortWithinPartitions(*by, "batch", "n", "acked").mapInArrow(maps, f"buffer_id {ids.simpleString()}, part long, sub long, lo long, out long, slope long")
+        entries = pieces.repartition("buffer_id").sortWithinPartitions(*by, "sub", "lo").mapInArrow(compose, f"buffer_id {ids.simpleString()}, part long, came long")
+        few = beside(entries.withColumnsRenamed({"buffer_id": "_b", "part": "_p"}))
+        started = ordered.join(few, F.col("buffer_id").eqNullSafe(F.col("_b")) & F.col("part").eqNullSafe(F.col("_p"))).drop("_b", "_p").repartition(*by)
+    else:
+        started = ordered.withColumns({"part": F.lit(0).cast("long"), "came": F.lit(0).cast("long")}).repartition("buffer_id")
+    return started.sortWithinPartitions(*by, "batch", "n", "acked").mapInArrow(fold, kinds)
 
 
 def seal_epochs(discards: DataFrame, seals: DataFrame, part_rows: int = 1_000_000) -> DataFrame:

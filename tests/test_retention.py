@@ -47,6 +47,57 @@ def test_halted_batches_hold_no_array(spark):
     assert "collect_list" not in found._jdf.queryExecution().toString()
 
 
+def held_one_by_one(batches, cap):
+    expected, used = [], {}
+    for b, k, n, acked in batches:
+        now = 0 if acked is None else max(0, used.get(b, 0) - acked)
+        fits = None if n is None else now + n <= cap
+        used[b] = now + n if fits else now
+        expected.append((b, k, n, fits, used[b]))
+    return expected
+
+
+@pytest.mark.parametrize("cap, most", [(60, 4096), (60, 3), (700, 4), (0, 4096), (10_000, 4096)])
+def test_halted_batches_over_parts(spark, cap, most):
+    rng = random.Random(cap + most)
+    batches = [(b, k, rng.choice([0, rng.randint(0, 50), rng.randint(0, 9)]), rng.choice([0, 0, rng.randint(0, 30)])) for b in "abc" for k in range(130 if b == "a" else 40)]
+    batches[50], batches[61], batches[70], batches[75] = ("a", 50, None, 3), ("a", 61, 5, None), ("a", 70, -2, 4), ("a", 75, 5, -6)
+    table = spark.createDataFrame(batches, "buffer_id string, batch long, n long, acked long").repartition(5)
+    found = retention.halted_batches(table, cap, part_batches=12, most=most)
+    key = lambda r: (r[0], r[1])
+    assert sorted(map(tuple, found.collect()), key=key) == held_one_by_one(batches, cap)
+
+
+def test_halted_batches_without_ids(spark):
+    batches = [(None, None, 30, 0), (None, 0, 40, 0), (None, 30, 20, 0), (None, 30, 20, 0), (None, 61, 7, 0)]
+    table = spark.createDataFrame(batches, "buffer_id string, batch long, n long, acked long")
+    found = sorted((r["batch"] or -1, r["n"], r["accepted"], r["used"]) for r in retention.halted_batches(table, 60, 10).collect())
+    assert found == [(-1, 30, True, 30), (-1, 40, False, 30), (30, 20, False, 50), (30, 20, True, 50), (61, 7, True, 57)]
+    assert retention.halted_batches(table.limit(0), 60, 10).count() == 0
+
+
+def test_maps_of_batches_equal_their_fold():
+    """The map of some batches, for every number of rows in use, and no more pieces than batches."""
+    rng = random.Random(8)
+    for _ in range(60):
+        cap, most = rng.randrange(0, 90), rng.choice([2, 6, 4096])
+        batches = [(rng.choice([None, rng.randrange(0, 60), rng.randrange(0, 9)]), rng.choice([0, 0, rng.randrange(0, 25)])) for _ in range(rng.randrange(1, 60))]
+        rows = list(retention._maps(iter(batches), cap, most))
+        assert len(rows) <= len(batches)
+        for start in range(cap + 1):
+            used = expected = start
+            for n, freed in batches:
+                expected = retention._taken(expected, n, freed, cap)[0]
+            for sub in sorted({r[0] for r in rows}):
+                mine = [r for r in rows if r[0] == sub]
+                if mine[0][3] < 0:
+                    used = retention._taken(used, mine[0][1], mine[0][2], cap)[0]
+                else:
+                    _, lo, out, slope = max(r for r in mine if r[1] <= used)
+                    used = out + slope * (used - lo)
+            assert used == expected
+
+
 def test_seals_are_counted_alike_in_parts(spark):
     rng = random.Random(4)
     rows = [("b", "s", f"boot{rng.randrange(2)}", "r", pos, rng.randrange(100)) for pos in range(60)]
