@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from fieldtally.operators import clock, intervals
 from fieldtally.schemas import BRONZE
@@ -207,21 +208,57 @@ class Store:
         names = ("messages", "readings", "gaps", "duplicates", "dead_letters")
         return self._table("batches").select("arrival_batch", *[F.sum(c).over(so_far).alias(c) for c in names])
 
-    def compact(self, files: int) -> None:
-        """Lays the readings of all batches out for reads by device and time, in few files of a table of its own."""
-        rows = self._table("readings").withColumnRenamed("arrival_batch", "batch")
-        rows.repartition(files, "device_id").sortWithinPartitions("device_id", "wall_ns").write.mode("overwrite").parquet(f"{self.path}/readings_compact")
+    def _layout(self) -> tuple[int, list[Row]]:
+        """The newest version of the layout for reads by device, and its runs: few, whatever the history (see compact)."""
+        versions = self._versions("layout")
+        return (versions[-1], self.spark.read.schema(RUNS).parquet(f"{self.path}/layout/upto={versions[-1]}").collect()) if versions else (-1, [])
+
+    def _runs(self, runs: list[Row], kinds: StructType) -> DataFrame:
+        return self.spark.read.schema(kinds).parquet(*[f"{self.path}/runs/{r['name']}" for r in runs])
+
+    def compact(self, file_rows: int = 5_000_000, ways: int = 8) -> None:
+        """Lays the readings of finished batches that no run holds yet out as a run, sorted by device and time; where there
+        are `ways` runs of a level, they become one of the next. So a reading is written anew once for each digit (to the
+        base `ways`) of the number of calls, and there are fewer than `ways` runs of a level. One call at a time; a run
+        stays until the version after the last one that names it, for those who read it."""
+        version, runs = self._layout()
+        high = max((r["high"] for r in runs), default=-1)
+        numbers = sorted(int(x.split("=")[1]) for x in self._list("batches") if x.startswith("arrival_batch="))
+        new = [b for b in numbers if b > high and "_SUCCESS" in self._list(f"batches/arrival_batch={b}")]
+        if not new:
+            return
+        rows = self.spark.read.option("basePath", f"{self.path}/readings").parquet(*[f"{self.path}/readings/arrival_batch={b}" for b in new])
+        rows = rows.withColumn("batch", F.col("arrival_batch").cast("long")).drop("arrival_batch")
+        n = self._table("batches").where(F.col("arrival_batch").isin(new)).agg(F.sum("readings")).first()[0] or 0
+        level, merged = 0, []
+        while len(same := [r for r in runs if r["level"] == level]) >= ways - 1:
+            merged, level = merged + same, level + 1
+        if merged:
+            rows = rows.unionByName(self._runs(merged, rows.schema))
+            n += sum(r["rows"] for r in merged)
+        name, seen = f"run-{version + 1}", Observation()
+        by = ("device_id", "wall_ns")
+        laid = rows.repartitionByRange(max(1, -(-n // file_rows)), *by).sortWithinPartitions(*by)
+        laid = laid.observe(seen, F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{f.__name__}_{c}") for c in by for f in (F.min, F.max)])
+        laid.write.mode("overwrite").parquet(f"{self.path}/runs/{name}")
+        got = seen.get
+        mine = (name, level, max(new), got["rows"], *(got[f"{f}_{c}"] for c in by for f in ("min", "max")))
+        kept = [r for r in runs if r not in merged]
+        self._keep(self.spark.createDataFrame([*map(tuple, kept), mine], RUNS).coalesce(1), "layout", version + 1)
+        named = {r["name"] for r in [*runs, *kept]} | {name}
+        for x in self._list("runs"):
+            if x not in named:
+                self._delete(f"runs/{x}")
 
     def of_device(self, device_id: str, low_ns: int, high_ns: int) -> DataFrame:
-        """Readings of a device by the time it gave them: from the layout for such reads, whose files are skipped by
-        their ranges, and from the batches that came after it was made."""
+        """Readings of a device by the time it gave them: from the runs that can hold them, whose files are skipped by their
+        ranges, and from the batches that came after the last run was made."""
         wanted = (F.col("device_id") == device_id) & F.col("wall_ns").between(low_ns, high_ns)
-        rows, laid_out = self._table("readings").withColumnRenamed("arrival_batch", "batch"), self._table("readings_compact")
-        if laid_out is None:
-            return rows.where(wanted)
-        last = laid_out.agg(F.max("batch")).first()[0]
-        newer = rows if last is None else rows.where(F.col("batch") > last)
-        return laid_out.where(wanted).unionByName(newer.where(wanted))
+        _, runs = self._layout()
+        rows = self._table("readings").where(F.col("arrival_batch") > max((r["high"] for r in runs), default=-1))
+        rows = rows.withColumn("batch", F.col("arrival_batch").cast("long")).drop("arrival_batch").where(wanted)
+        runs = [r for r in runs if r["rows"] and r["least_device"] <= device_id <= r["most_device"] and r["least_ns"] <= high_ns and r["most_ns"] >= low_ns]
+        return self._runs(runs, rows.schema).where(wanted).unionByName(rows) if runs else rows
 
 
 def messages_from_files(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
@@ -243,6 +280,7 @@ def deduplicate(readings: DataFrame, delay: str | None = None) -> DataFrame:
     return readings.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(["buffer_id", "seq"])
 
 
+RUNS = "name string, level int, high long, rows long, least_device string, most_device string, least_ns long, most_ns long"
 CLOCKS = "boot_id string, offset_ns long, mono_ns long"
 HELD = "boot_id string, buffer_id string, seq long, mono_ns long, wall_ns long, ts_quality int, offset_ns long"
 WAITING = "buffer_id string, seq long, mono_ns long, wall_ns long, ts_quality int"

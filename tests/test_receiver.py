@@ -235,6 +235,6 @@ def test_reads_by_device(spark, tmp_path):
     store.store(frame(range(5, 8)), 1)
     seen = lambda: sorted(r["seq"] for r in store.of_device("d", 1003, 1009).collect())
     assert seen() == [3, 4, 5, 6, 7]
-    store.compact(2)
+    store.compact()
     store.store(frame(range(8, 12)), 2)
     assert seen() == [3, 4, 5, 6, 7, 8, 9] and store.of_device("x", 0, 1 << 60).count() == 0

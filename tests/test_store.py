@@ -99,3 +99,33 @@ def test_a_store_without_sets_is_read_once(spark, tmp_path):
     shutil.rmtree(f"{tmp_path}/store/readings_stored")
     take(spark, store, 1, [message(i, 5 + i, 1005 + i, 2) for i in range(6)])
     assert store.table("readings").count() == 6 and len(state(store)) == 6
+
+
+def test_runs_are_merged_in_tiers(spark, tmp_path):
+    """What is read by device stays the same, runs stay few, and a row is written once for each level."""
+    store, written = Store(spark, f"{tmp_path}/store"), 0
+
+    def finished(batch, seqs):
+        rows = [(f"d{s % 2}", s, 1000 + s) for s in seqs]
+        store._write(spark.createDataFrame(rows, "device_id string, seq long, wall_ns long").coalesce(1), "readings", batch)
+        store._write(spark.createDataFrame([(len(rows),)], "readings long").coalesce(1), "batches", batch)
+
+    store.compact()  # nothing there
+    for batch in range(9):
+        finished(batch, range(3 * batch, 3 * batch + 3))
+        before = store.of_device("d1", 1004, 1900)
+        store.compact(file_rows=4, ways=3)
+        version, runs = store._layout()
+        written += next(r["rows"] for r in runs if r["name"] == f"run-{version}")
+        assert version == batch and max(r["high"] for r in runs) == batch and sum(r["rows"] for r in runs) == 3 * batch + 3
+        assert all(sum(r["level"] == x for r in runs) < 3 for x in range(4))
+        for found in (before, store.of_device("d1", 1004, 1900)):  # one that was planned before is still right
+            assert sorted(r["seq"] for r in found.collect()) == list(range(5, 3 * batch + 3, 2))
+    assert [(r["level"], r["rows"]) for r in runs] == [(2, 27)] and written == 6 * 3 + 2 * 9 + 27
+    assert len(os.listdir(f"{tmp_path}/store/runs")) <= 6
+    store.compact()  # nothing new
+    assert store._layout()[0] == 8
+    finished(9, [])
+    store.compact(ways=3)
+    assert sorted(r["rows"] for r in store._layout()[1]) == [0, 27] and store.of_device("d0", 0, 1 << 60).count() == 14
+    assert not any("/runs/" in x for x in store.of_device("d1", 2000, 3000).inputFiles())
