@@ -2,27 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldtally.operators.retention import beyond, top
 from fieldtally.schemas import ACKED, INFLIGHT, PENDING, REJECTED
 
-#: State changes that count, by the state before.
-ALLOWED = {PENDING: (INFLIGHT,), INFLIGHT: (PENDING, ACKED, REJECTED)}
-
-
-def states(transitions: DataFrame) -> DataFrame:
-    """(buffer_id, id, state) after all transitions in order of pos; those that their state doesn't allow are no-ops."""
-    ordered = transitions.groupBy("buffer_id", "id").agg(F.sort_array(F.collect_list(F.struct("pos", "to_state"))).alias("xs"))
-
-    def step(s, x):
-        ok = F.lit(False)
-        for state, nexts in ALLOWED.items():
-            ok = ok | ((s == state) & x["to_state"].isin(*nexts))
-        return F.when(ok, x["to_state"].cast("int")).otherwise(s)
-
-    return ordered.select("buffer_id", "id", F.aggregate("xs", F.lit(PENDING), step).alias("state"))
+def states(transitions: DataFrame, part_moves: int = 100_000) -> DataFrame:
+    """(buffer_id, id, state) after all transitions in order of pos (then of to_state); those that their state doesn't allow
+    are no-ops: a pending row can be claimed, a claimed one released, acknowledged or rejected, and the last two are final.
+
+    So a row is claimed where the last claim or release before is a claim, and its first answer while it is claimed is
+    final. An id's history is looked through within ranges of pos, by many tasks; what each leaves is put in order."""
+    by, moves = ["buffer_id", "id"], transitions.withColumn("_part", F.floor(F.col("pos") / part_moves))
+    move = F.struct("pos", "to_state")
+    toggles, answers = F.col("to_state").isin(PENDING, INFLIGHT), F.col("to_state").isin(ACKED, REJECTED)
+    earlier = Window.partitionBy(*by, "_part").orderBy("pos", "to_state").rowsBetween(Window.unboundedPreceding, -1)
+    told = moves.withColumn("_at", F.last(F.when(toggles, F.col("to_state")), ignorenulls=True).over(earlier))
+    parts = told.groupBy(*by, "_part").agg(
+        F.max(F.when(toggles, move))["to_state"].alias("last"),
+        F.min(F.when(answers & (F.col("_at") == INFLIGHT), move)).alias("answer"),
+        F.min(F.when(answers & F.col("_at").isNull(), move)).alias("early"),
+    )
+    before = Window.partitionBy(*by).orderBy("_part")
+    came = F.last("last", ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("answer", F.least("answer", F.when(came == INFLIGHT, F.col("early"))))
+    ends = parts.groupBy(*by).agg(F.min(F.when(F.col("answer").isNotNull(), F.struct("_part", "answer")))["answer"]["to_state"].alias("final"), F.max(F.when(F.col("last").isNotNull(), F.struct("_part", "last")))["last"].alias("last"))
+    return ends.select(*by, F.coalesce("final", "last", F.lit(PENDING)).cast("int").alias("state"))
 
 
 def state_histogram(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from fieldtally.operators import retention
+from fieldtally.operators import delivery, retention
 
 
 def test_next_commit_of_every_row():
@@ -105,3 +105,18 @@ def test_seals_are_counted_alike_in_parts(spark):
     seals = spark.createDataFrame([r[:5] for r in rows if r[5] % 4 == 0], "buffer_id string, sensor_id string, boot_id string, reason string, pos long")
     found = [sorted(map(tuple, retention.seal_epochs(discards, seals, part_rows).collect())) for part_rows in (7, 1000)]
     assert found[0] == found[1] and len(found[0]) > 4
+
+
+@pytest.mark.parametrize("part_moves", [4, 100_000])
+def test_states_of_long_histories(spark, part_moves):
+    """Against a loop, with ties in pos, unknown and missing states, and histories over many parts."""
+    rng = random.Random(part_moves)
+    moves = [("b", None if i == 3 else i, rng.choice([None, *range(40)]), rng.choice([0, 0, 1, 1, 1, None, 7, *([2, 3] if k > i else [])])) for i in range(40) for k in range(rng.randint(1, 50))]
+    expected, allowed = {}, {0: (1,), 1: (0, 2, 3)}
+    first = lambda x: (x is not None, x or 0)
+    for b, i, _, to in sorted(moves, key=lambda m: (first(m[1]), first(m[2]), first(m[3]))):
+        now = expected.setdefault((b, i), 0)
+        expected[b, i] = to if to in allowed.get(now, ()) else now
+    found = delivery.states(spark.createDataFrame(moves, "buffer_id string, id long, pos long, to_state int").repartition(3), part_moves)
+    assert {(r["buffer_id"], r["id"]): r["state"] for r in found.collect()} == expected
+    assert set(expected.values()) == {0, 1, 2, 3} and "collect_list" not in found._jdf.queryExecution().toString()
