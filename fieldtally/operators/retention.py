@@ -182,16 +182,16 @@ def _maps(batches: Iterator[tuple[int | None, int | None]], cap: int, most: int)
         yield from done()
 
 
-def halted_batches(batches: DataFrame, cap: int, part_batches: int = 1_000_000, most: int = 4096) -> DataFrame:
+def halted_batches(batches: DataFrame, cap: int, part_batches: int | None = None, most: int = 4096) -> DataFrame:
     """A buffer that halts takes a batch only if it fits whole; a small one may fit after a large one was refused.
     batches: buffer_id, batch, n (and acked, rows that are acknowledged before it; 0 if absent).
 
-    Buffers whose batches span one range of part_batches numbers are folded by one task each, a number kept of each. Where
-    one spans more, each range becomes a map of the rows in use (see HaltMap), the maps are composed in order, and
+    By default each buffer is folded by one task, a number kept of it: about a second for a million batches. With
+    part_batches, and where a buffer spans more than one range of so many batch numbers, each range becomes a map of the rows in use (see HaltMap), the maps are composed in order, and
     every range is folded from what was in use before it, by a task of its own."""
     acked = F.col("acked") if "acked" in batches.columns else F.lit(0)
     ordered = batches.select("buffer_id", F.col("batch").cast("long").alias("batch"), F.col("n").cast("long").alias("n"), acked.cast("long").alias("acked"))
-    ordered = ordered.withColumn("part", F.floor(F.col("batch") / part_batches))
+    ordered = ordered.withColumn("part", F.floor(F.col("batch") / part_batches) if part_batches else F.lit(0).cast("long"))
     kinds = ordered.select("buffer_id", "batch", "n", F.lit(None).cast("boolean").alias("accepted"), F.lit(None).cast("long").alias("used")).schema
     ids = ordered.schema["buffer_id"].dataType
     id_type = to_arrow_type(ids)
@@ -239,7 +239,7 @@ def halted_batches(batches: DataFrame, cap: int, part_batches: int = 1_000_000,
             yield pa.RecordBatch.from_arrays([some.column("buffer_id"), some.column("batch"), some.column("n"), pa.array(accepted, pa.bool_()), pa.array(after, pa.int64())], ["buffer_id", "batch", "n", "accepted", "used"])
 
     spans = ordered.groupBy("buffer_id").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.count_if(F.col("part").isNull()).alias("none"))
-    if spans.where((F.col("a") != F.col("b")) | ((F.col("none") > 0) & F.col("a").isNotNull())).limit(1).count():
+    if part_batches and spans.where((F.col("a") != F.col("b")) | ((F.col("none") > 0) & F.col("a").isNotNull())).limit(1).count():
         pieces = ordered.repartition(*by).sortWithinPartitions(*by, "batch", "n", "acked").mapInArrow(maps, f"buffer_id {ids.simpleString()}, part long, sub long, lo long, out long, slope long")
         entries = pieces.repartition("buffer_id").sortWithinPartitions(*by, "sub", "lo").mapInArrow(compose, f"buffer_id {ids.simpleString()}, part long, came long")
         few = beside(entries.withColumnsRenamed({"buffer_id": "_b", "part": "_p"}))
