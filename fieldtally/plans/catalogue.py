@@ -633,15 +633,21 @@ attempts AS (SELECT * FROM first UNION ALL SELECT buffer_id, seq, 1, sent + 4000
 outcomes AS (SELECT *, CASE WHEN took <= 30000000 THEN said ELSE 'timed_out' END AS outcome FROM attempts)"""
 
 
-def _answered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _said(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """Sends, their answers, and so many tasks as they need."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     ms = F.expr("INTERVAL '0.001' SECOND")
     said = F.when(F.col("event_id") % 17 == 0, "rejected").otherwise("accepted")
     first = events.select(F.concat(F.lit("buf-"), (F.col("user_id") % 4).cast("string")).alias("buffer_id"), F.col("event_id").alias("seq"), F.lit(0).alias("attempt"), F.col("ts").cast("timestamp_ntz").alias("sent_at"), F.when(F.col("event_id") % 13 != 0, F.col("event_id") * 37 % 75000).alias("took"), said.alias("outcome"))
     again = first.where("took IS NULL OR took > 30000").select("buffer_id", "seq", F.lit(1).alias("attempt"), (F.col("sent_at") + F.expr("INTERVAL '40' SECOND")).alias("sent_at"), F.when(F.col("seq") % 29 != 0, F.col("seq") * 53 % 50000).alias("took"), "outcome")
     both = first.unionByName(again)
-    sends, keys = both.select("buffer_id", "seq", "attempt", "sent_at"), ("buffer_id", "seq", "attempt")
-    return sends, answers.first_answers(both.where("took IS NOT NULL").select(*keys, (F.col("sent_at") + ms * F.col("took")).alias("answered_at"), "outcome"))
+    said = both.where("took IS NOT NULL").select(*answers.KEYS, (F.col("sent_at") + ms * F.col("took")).alias("answered_at"), "outcome")
+    return both.select(*answers.KEYS, "sent_at"), said, answers.parts(events.count())
+
+
+def _answered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sends, said, n = _said(spark, sf_dir)
+    return answers.dealt(sends, n, *answers.KEYS), answers.first_answers(answers.dealt(said, n, *answers.KEYS))
 
 
 @query(ANSWERED + " SELECT buffer_id, attempt, outcome, count(*) AS n, CAST(max(CASE WHEN outcome <> 'timed_out' THEN took END) AS BIGINT) AS slowest_us FROM outcomes GROUP BY ALL")
@@ -657,8 +663,8 @@ each AS (SELECT buffer_id, seq, count(*) AS attempts, count(*) FILTER (outcome =
 SELECT buffer_id, seq, attempts, timed_out, outcome, CAST(taken + (SELECT count(*) FROM late l WHERE l.buffer_id = e.buffer_id AND l.seq = e.seq AND l.said = 'accepted') AS BIGINT) AS copies FROM each e""")
 def late_deliveries(spark, sf_dir):
     """Each record's settled outcome and how often the receiver has it: answers up to a minute after the send deliver too."""
-    sends, said = _answered(spark, sf_dir)
-    return answers.deliveries(answers.resolve(sends, said, 30), answers.late_answers(sends, said, 30, 60))
+    sends, said, n = _said(spark, sf_dir)
+    return answers.settle(sends, said, 30, 60, n)
 
 
 @query(ANSWERED + """, steps AS (SELECT buffer_id, sent + 30000000 AS t, 1 AS step, NULL AS seq, NULL AS attempt FROM attempts WHERE took IS NULL OR took > 30000000 UNION ALL SELECT buffer_id, sent + took, -1, NULL, NULL FROM attempts WHERE took > 30000000 UNION ALL SELECT buffer_id, sent, 0, seq, attempt FROM attempts),

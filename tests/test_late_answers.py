@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldtally.operators import answers
+from fieldtally.plans import catalogue
 from fieldtally.sinks.base import SendFailed
 from fieldtally.sinks.memory import Hang, Scripted
 from fieldtally.streaming.shipper import Shipper, Spool
@@ -87,6 +88,28 @@ def test_outcomes_equal_a_plain_version(spark):
         assert (r["attempts"], r["outcome"], r["copies"]) == (len(mine), mine[-1][1].replace("timed_out", "released"), len(took))
 
 
+def test_one_pass_equals_outcomes_and_late_answers_by_joins(spark):
+    """Also with answers for attempts that were not made, without an outcome, or without a time."""
+    sends, said = made(random.Random(4), 60)
+    said += [("b0", 0, 7, seconds(1), "accepted"), ("b9", 1, 0, seconds(1), "accepted"), ("b0", 3, 0, seconds(15), None), ("b1", 4, 0, None, "accepted")]
+    s, a = spark.createDataFrame(sends, SENDS), spark.createDataFrame(said, ANSWERS)
+    first = answers.first_answers(a)
+    joined = answers.deliveries(answers.resolve(s, first, 30), answers.late_answers(s, first, 30, 60))
+    for n in (None, 1, 5):
+        got = answers.settle(s, a, 30, 60, n)
+        assert got.columns == joined.columns and [f.dataType for f in got.schema] == [f.dataType for f in joined.schema]
+        assert sorted(got.collect()) == sorted(joined.collect())
+
+
+@pytest.mark.parametrize("step", ["settle", "resolve"])
+def test_a_task_holds_so_many_records_only(spark, sf, monkeypatch, step):
+    """Tasks grow in number and not in size: 1,000 records are dealt out over ten tasks, which nothing coalesces."""
+    monkeypatch.setattr(answers, "PART_RECORDS", 100, raising=False)
+    rows = catalogue.late_deliveries(spark, sf) if step == "settle" else answers.resolve(*catalogue._answered(spark, sf), 30)
+    held = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) == 10 and max(held) < (200 if step == "settle" else 300)
+
+
 def test_outcomes_on_streams_equal_those_of_tables(spark, tmp_path):
     """The same functions on streams: an attempt without an answer comes out when the watermark passes its time."""
     sends, said = made(random.Random(3), 25)
