@@ -98,11 +98,11 @@ def settle(sends: DataFrame, answers: DataFrame, timeout_s: float, known_for_s:
     return each.groupBy("buffer_id", "seq").agg(F.sum("n").alias("attempts"), count(timed_out).alias("timed_out"), settled.alias("outcome"), copies.alias("copies"))
 
 
-def held_back(sends: DataFrame, answers: DataFrame, timeout_s: float, most: int = 4) -> DataFrame:
+def held_back(sends: DataFrame, answers: DataFrame, timeout_s: float, most: int = 4, n: int | None = None) -> DataFrame:
     """The attempts that would not have been made: at their time `most` abandoned ones of their buffer were still without
     an answer. A running sum over abandonments (1, at the time-out) and late answers (-1), within an hour plus the hours
-    before, so that a buffer of many attempts is summed by many tasks."""
-    joined = sends.join(_named(answers), _meets(F.col("sent_at"), F.to_timestamp(F.lit("9999-12-31"))), "left")
+    before, so that a buffer of many attempts is summed by many tasks. n: so many tasks join, as answers are dealt out."""
+    joined = (dealt(sends, n, *KEYS) if n else sends).join(_named(answers), _meets(F.col("sent_at"), F.to_timestamp(F.lit("9999-12-31"))), "left")
     abandoned = joined.where(F.col("answered_at").isNull() | (F.col("answered_at") > _after(timeout_s)))
     ups = abandoned.select("buffer_id", _after(timeout_s).alias("at"), F.lit(1).alias("step"))
     downs = abandoned.where("answered_at IS NOT NULL").select("buffer_id", F.col("answered_at").alias("at"), F.lit(-1).alias("step"))

@@ -645,15 +645,17 @@ def _said(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
     return both.select(*answers.KEYS, "sent_at"), said, answers.parts(events.count())
 
 
-def _answered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _answered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, int]:
+    """Sends, and their first answers dealt out over so many tasks."""
     sends, said, n = _said(spark, sf_dir)
-    return answers.dealt(sends, n, *answers.KEYS), answers.first_answers(answers.dealt(said, n, *answers.KEYS))
+    return sends, answers.first_answers(answers.dealt(said, n, *answers.KEYS)), n
 
 
 @query(ANSWERED + " SELECT buffer_id, attempt, outcome, count(*) AS n, CAST(max(CASE WHEN outcome <> 'timed_out' THEN took END) AS BIGINT) AS slowest_us FROM outcomes GROUP BY ALL")
 def answer_outcomes(spark, sf_dir):
     """Every attempt's outcome: what its answer says within 30 s, or that it timed out."""
-    found = answers.resolve(*_answered(spark, sf_dir), 30)
+    sends, said, n = _answered(spark, sf_dir)
+    found = answers.resolve(answers.dealt(sends, n, *answers.KEYS), said, 30)
     took = F.timestamp_diff("MICROSECOND", F.col("sent_at"), F.col("answered_at"))
     return found.groupBy("buffer_id", "attempt", "outcome").agg(F.count(F.lit(1)).alias("n"), F.max(took).alias("slowest_us"))
 
@@ -671,7 +673,8 @@ def late_deliveries(spark, sf_dir):
 hung AS (SELECT *, CAST(sum(step) OVER (PARTITION BY buffer_id ORDER BY t) AS BIGINT) AS hung FROM steps) SELECT buffer_id, CAST(seq AS BIGINT) AS seq, CAST(attempt AS INTEGER) AS attempt, hung FROM hung WHERE seq IS NOT NULL AND hung >= 400""")
 def held_back_sends(spark, sf_dir):
     """Attempts at whose time so many abandoned ones of their buffer were still without an answer."""
-    return answers.held_back(*_answered(spark, sf_dir), 30, 400)
+    sends, said, n = _answered(spark, sf_dir)
+    return answers.held_back(sends, said, 30, 400, n)
 
 
 @query(", r AS (SELECT buffer_id, seq, seq - row_number() OVER (PARTITION BY buffer_id ORDER BY seq) AS g FROM (SELECT DISTINCT buffer_id, seq FROM arrivals WHERE seq % 100 < 97)), i AS (SELECT buffer_id, min(seq) AS low, max(seq) AS high FROM r GROUP BY buffer_id, g) SELECT buffer_id, CAST(sum(high - low + 1) AS BIGINT) AS n, count(*) AS intervals, min(low) AS low, max(high) AS high, CAST(max(high) - min(low) + 1 - sum(high - low + 1) AS BIGINT) AS missing FROM i GROUP BY buffer_id")

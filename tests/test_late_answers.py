@@ -101,13 +101,18 @@ def test_one_pass_equals_outcomes_and_late_answers_by_joins(spark):
         assert sorted(got.collect()) == sorted(joined.collect())
 
 
-@pytest.mark.parametrize("step", ["settle", "resolve"])
-def test_a_task_holds_so_many_records_only(spark, sf, monkeypatch, step):
+def test_a_task_holds_so_many_records_only(spark, sf, monkeypatch):
     """Tasks grow in number and not in size: 1,000 records are dealt out over ten tasks, which nothing coalesces."""
     monkeypatch.setattr(answers, "PART_RECORDS", 100, raising=False)
-    rows = catalogue.late_deliveries(spark, sf) if step == "settle" else answers.resolve(*catalogue._answered(spark, sf), 30)
-    held = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
-    assert len(held) == 10 and max(held) < (200 if step == "settle" else 300)
+    held = [r["count"] for r in catalogue.late_deliveries(spark, sf).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) == 10 and max(held) < 200
+
+
+def test_attempts_are_resolved_by_so_many_tasks(spark, sf, monkeypatch):
+    monkeypatch.setattr(answers, "PART_RECORDS", 100)
+    sends, said, n = catalogue._answered(spark, sf)
+    held = [r["count"] for r in answers.resolve(answers.dealt(sends, n, *answers.KEYS), said, 30).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) == n == 10 and max(held) < 300
 
 
 def test_outcomes_on_streams_equal_those_of_tables(spark, tmp_path):
